@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import near_dedup
+from tessera.llm import exact_dedup, licenses, near_dedup
 
 _QUERIES = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, near_dedup.ORACLE),
+    "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.ORACLE),
+    "op8_license_scan": (licenses.op8_license_scan, licenses.ORACLE),
 }
 
 
