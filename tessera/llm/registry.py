@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, licenses, near_dedup, packing, token_files
+from tessera.llm import decontaminate, exact_dedup, licenses, near_dedup, packing, token_files
 
 _QUERIES = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, near_dedup.ORACLE),
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.ORACLE),
+    "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.ORACLE),
     "op8_license_scan": (licenses.op8_license_scan, licenses.ORACLE),
     "op9_token_files": (token_files.op9_token_files, None),
     "op10_packing": (packing.op10_packing, None),
