@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, licenses, near_dedup, packing, token_files
+from tessera.llm import decontaminate, exact_dedup, licenses, near_dedup, packing, quality, token_files
 
 _QUERIES = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, near_dedup.ORACLE),
+    "op2_quality": (quality.op2_quality, None),
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.ORACLE),
     "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.ORACLE),
     "op8_license_scan": (licenses.op8_license_scan, licenses.ORACLE),
