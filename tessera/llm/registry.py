@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, licenses, near_dedup, packing, quality, token_files
+from tessera.llm import decontaminate, exact_dedup, language_model, licenses, near_dedup, packing, quality, token_files
 
 _QUERIES = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, near_dedup.ORACLE),
     "op2_quality": (quality.op2_quality, None),
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.ORACLE),
+    "op6_language_model": (language_model.op6_language_model, None),
     "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.ORACLE),
     "op8_license_scan": (licenses.op8_license_scan, licenses.ORACLE),
     "op9_token_files": (token_files.op9_token_files, None),
