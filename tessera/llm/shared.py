@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once; a longer text is handled alone.
 BLOCK_BYTES = 1 << 20
@@ -202,3 +203,26 @@ def distinct_in_texts(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
     return h[keep], np.searchsorted(t[keep], np.arange(len(first)))
+
+
+# ---------------------------------------------------------------- bitmaps of fixed size
+
+#: Bits of a bitmap that tells tasks which keys may matter: 16 MB, whatever the tables hold.
+BITMAP_BITS = 1 << 27
+
+
+def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A set bit for each value of the one long column of keys, modulo bits; Spark folds the bits into words first."""
+    (name,) = keys.columns
+    bit = F.pmod(F.col(name), F.lit(bits))
+    words = keys.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("value"))
+    found = words.toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("value").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which unsigned keys may be among those of a bitmap; a signed key has the same bit as its unsigned twin."""
+    at = keys & np.uint64(64 * len(words) - 1)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
