@@ -112,10 +112,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.Re
     encoder, packer, task = byte_encoder(path), Packer(), TaskContext.get().partitionId()
     rows, end = _Rows(task * _STEP), np.array([END], "<u4").tobytes()
     for batch in batches:
-        for part, _, _ in blocks(batch):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
-                ids = memoryview(ids + end)
+        for part, data, offsets in blocks(batch):
+            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(data, offsets)):
+                ids = memoryview(ids.tobytes() + end)
                 for full in packer.take(doc, 0, ids, len(ids) // 4):
                     rows.add(full)
             if rows.size:

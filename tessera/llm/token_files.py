@@ -41,9 +41,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tu
     encoder = word_encoder(path)
     end = np.array([END], "<u4").tobytes()
     for batch in batches:
-        for part, _, _ in blocks(batch):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            yield part.column("doc_id").to_pylist(), [x + end for x in encoder.encode(texts)]
+        for part, data, offsets in blocks(batch):
+            yield part.column("doc_id").to_pylist(), [x.tobytes() + end for x in encoder.encode(data, offsets)]
 
 
 def serialized(ids: bytes, width: int) -> bytes:

@@ -1,22 +1,44 @@
-"""Token ids of the tokenizers library, with each distinct piece between spaces encoded once per task.
+"""Token ids of the tokenizers library, with each distinct atom of the texts encoded once per worker.
 
-Both public vocabularies split a text into pieces before they merge bytes, and never across certain spaces, so the
-ids of a text are those of its pieces one after another. Pieces that were seen before come from a table; all others
-are encoded by the library. A text whose spaces do not part it safely is encoded by the library as a whole.
+Both public vocabularies split a text before they merge bytes, so the ids of a text are those of its parts one after
+another. Texts are cut here where both must split: at single spaces and line ends, and between Latin letters and the
+punctuation behind them. An atom is such a run of letters or of punctuation, or any other stretch between spaces as a
+whole. The library encodes each new atom; places and hashes of atoms are found for a block of texts at once. A text
+whose white space does not part it safely is encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
 import os
+from functools import cache
 
 import numpy as np
 
-#: Pieces and bytes that the table of a task holds at most; beyond, it starts anew.
-MOST_PIECES, MOST_BYTES = 400_000, 64 << 20
+from tessera.llm.shared import prefix_sums, span_hash
+
+#: Atoms and ids that the table of a Python worker holds at most; beyond, it starts anew.
+MOST_ATOMS, MOST_IDS = 1_000_000, 8 << 20
+#: Punctuation that neither vocabulary parts or joins with letters. No apostrophe: contractions are special.
+_MARKS = b".,!?$%&*#|;:"
+_SPACE, _LETTER, _MARK, _OTHER, _LINE = range(5)
+_JOIN = 256
+_TAG = np.array([0, 0x9E3779B97F4A7C15], np.uint64)
+
+
+def _kinds(leading: bool) -> np.ndarray:
+    t = np.full(256, _OTHER, np.uint8)
+    t[65:91] = t[97:123] = _LETTER
+    t[list(_MARKS)] = _MARK
+    t[32] = _SPACE
+    if leading:
+        t[10] = _LINE
+    else:
+        t[9:14] = _SPACE
+    return t
 
 
 class Encoder:
-    """encode(texts): the ids of each text as little-endian unsigned 32-bit integers.
+    """Ids as unsigned 32-bit integers.
 
     leading: the vocabulary keeps a space with the word that follows (byte-level) rather than dropping white space.
     """
@@ -28,50 +50,151 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path or public_tokenizers.path(name))
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.leading = leading
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes | None] = {}
-        self.size = 0
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, table: dict, pieces: set[str], prefix: str) -> None:
-        new = [p for p in pieces if p not in table]
-        if self.leading and prefix:
-            unsafe = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
-            table.update(dict.fromkeys(unsafe))
-            new = [p for p in new if p not in table]
-        for p, ids in zip(new, self.whole([prefix + p for p in new])):
-            table[p] = ids
-            self.size += len(p) + len(ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > MOST_PIECES or self.size > MOST_BYTES:
-            self.first, self.rest, self.size = {}, {}, 0
-        parts = [t.split(" ") for t in texts]
-        if self.leading:
-            self._learn(self.first, {p[0] for p in parts}, "")
-            self._learn(self.rest, {x for p in parts for x in p[1:]}, " ")
-        else:
-            self._learn(self.rest, {x for p in parts for x in p}, "")
-        get, out = self.rest.__getitem__, []
-        for text, p in zip(texts, parts):
-            if not self.leading:
-                out.append(b"".join(map(get, p)))
-            elif len(p) > 1 and (not p[0] or p[0][-1].isspace()):
-                out += self.whole([text])
+        self.leading, self.kinds = leading, _kinds(leading)
+        vocabulary = self.library.get_vocab()
+        #: Ids that end a run of letters, or begin one with its space.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if leading else t.endswith("</w>"))]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        self.at, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _keep(self, hashes: list[int], found: list[np.ndarray | None]) -> None:
+        """Put the ids of atoms into the table; None: the atom is not parted safely from what stands beside it."""
+        n = len(self.known)
+        while n + len(hashes) > len(self.at):
+            self.at, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.at, self.size))
+        sizes = [-1 if x is None else len(x) for x in found]
+        joined = np.concatenate([x for x in found if x is not None] or [np.empty(0, np.uint32)])
+        while self.used + len(joined) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+        self.pool[self.used : self.used + len(joined)] = joined
+        lengths = np.array(sizes, np.int64)
+        spans = np.maximum(lengths, 0)
+        self.at[n : n + len(sizes)] = self.used + np.cumsum(spans) - spans
+        self.size[n : n + len(sizes)] = lengths
+        self.used += len(joined)
+        self.known.update(zip(hashes, range(n, n + len(hashes))))
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, runs: list[str]) -> list[np.ndarray]:
+        """Ids of runs of letters (after a space), many to a text; the ids tell where one ends."""
+        out: list[np.ndarray] = []
+        groups = [runs[i : i + _JOIN] for i in range(0, len(runs), _JOIN)]
+        space = " " if self.leading else ""
+        for group, found in zip(groups, self.library.encode_batch_fast([space + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            edges = np.flatnonzero(self.edge[ids])
+            cuts = np.append(edges, len(ids)) if self.leading else np.append(0, edges + 1)
+            if len(cuts) == len(group) + 1 and cuts[-1] == len(ids):
+                cuts = cuts.tolist()
+                out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
             else:
-                try:
-                    out.append(self.first[p[0]] + b"".join(map(get, p[1:])))
-                except TypeError:  # a piece that a space does not part safely
-                    out += self.whole([text])
+                out += self.whole([space + g for g in group])
+        return out
+
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray, spaced: np.ndarray) -> None:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+        keys = hashes.tolist()
+        joined = [i for i in np.flatnonzero((kind == _LETTER) & (spaced | (not self.leading))).tolist()]
+        self._keep([keys[i] for i in joined], self._letters([texts[i] for i in joined]))
+        rest = np.flatnonzero(~((kind == _LETTER) & (spaced | (not self.leading)))).tolist()
+        found = self.whole([(" " if self.leading and spaced[i] else "") + texts[i] for i in rest])
+        if self.leading:
+            found = [None if kind[i] == _OTHER and (texts[i][0].isspace() or texts[i][-1].isspace()) else x for i, x in zip(rest, found)]
+        self._keep([keys[i] for i in rest], found)
+
+    def _atoms(self, data: np.ndarray, offsets: np.ndarray):
+        """(starts, ends, kinds, after a space, text) of atoms, and which texts are not parted safely."""
+        n = len(data)
+        kind = self.kinds[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)  # é, ü and the like; not × and ÷
+        lead = lead[(data[lead + 1] & 0xDF != 0x97) & (data[lead + 1] >> 6 == 2)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        parts = (kind == _SPACE) | (kind == _LINE)
+        new_text = np.zeros(n + 1, bool)
+        new_text[offsets] = True
+        begins = ~parts
+        begins[1:] &= parts[:-1] | new_text[1:-1]
+        starts = np.flatnonzero(begins)
+        stops = ~parts
+        stops[:-1] &= parts[1:] | new_text[1:-1]
+        ends = np.flatnonzero(stops) + 1
+        # A piece between spaces is simple if it is letters, then marks; its marks begin at one place at most.
+        simple = np.zeros(len(starts), bool)
+        turn = ends.copy()
+        if len(starts):
+            odd = np.zeros(n + 1, np.int32)
+            np.cumsum(kind == _OTHER, out=odd[1:])
+            falls = np.zeros(n + 1, np.int32)  # a letter after a mark
+            fall = (kind[1:] == _LETTER) & (kind[:-1] == _MARK)
+            np.cumsum(fall, out=falls[2:])
+            letters = np.zeros(n + 1, np.int32)
+            np.cumsum(kind == _LETTER, out=letters[1:])
+            simple = (odd[ends] == odd[starts]) & (falls[ends] == falls[starts + 1])
+            turn = np.where(simple, starts + letters[ends] - letters[starts], ends)
+        spaced = np.zeros(len(starts), bool)
+        inner = (starts > 0) & ~new_text[starts]
+        spaced[inner] = kind[starts[inner] - 1] == _SPACE
+        unsafe = np.zeros(len(offsets) - 1, bool)
+        lines = np.zeros(0, np.int64)
+        if self.leading:
+            lines = np.flatnonzero(kind == _LINE)
+            at = np.flatnonzero(parts)
+            edge = new_text[at] | new_text[at + 1] | parts[np.maximum(at - 1, 0)] | parts[np.minimum(at + 1, n - 1)]
+            unsafe[np.searchsorted(offsets, at[edge], "right") - 1] = True
+        two = simple & (turn > starts) & (turn < ends)
+        first_end = np.where(two, turn, ends)
+        first_kind = np.where(simple, np.where(turn > starts, _LETTER, _MARK), _OTHER)
+        s = np.concatenate((starts, turn[two], lines))
+        e = np.concatenate((first_end, ends[two], lines + 1))
+        k = np.concatenate((first_kind, np.full(int(two.sum()), _MARK), np.full(len(lines), _LINE)))
+        sp = np.concatenate((spaced, np.zeros(int(two.sum()) + len(lines), bool)))
+        order = np.argsort(s, kind="stable")
+        return s[order], e[order], k[order], sp[order], unsafe
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text, given their UTF-8 bytes one after another and where each begins."""
+        if len(self.known) > MOST_ATOMS or self.used > MOST_IDS:
+            self._forget()
+        if not len(data):
+            return [np.empty(0, np.uint32)] * (len(offsets) - 1)
+        starts, ends, kind, spaced, unsafe = self._atoms(data, offsets)
+        hashes = span_hash(prefix_sums(data), starts, ends) ^ _TAG[(spaced & self.leading).astype(np.int64)]
+        names, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        get = self.known.get
+        rows = np.array([get(h, -1) for h in names.tolist()], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            at = one[new]
+            self._learn(data, names[new], starts[at], ends[at], kind[at], spaced[at])
+            rows[new] = [get(h) for h in names[new].tolist()]
+        rows = rows[which]
+        sizes = self.size[rows]
+        text = np.searchsorted(offsets, starts, "right") - 1
+        unsafe[text[sizes < 0]] = True
+        sizes = np.maximum(sizes, 0)
+        ends_at = np.cumsum(sizes)
+        begin = ends_at - sizes
+        ids = self.pool[np.repeat(self.at[rows] - begin, sizes) + np.arange(int(ends_at[-1]) if len(ends_at) else 0)]
+        cuts = np.append(begin, len(ids))[np.searchsorted(text, np.arange(len(offsets)))]
+        out = [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        for k in np.flatnonzero(unsafe).tolist():
+            out[k] = self.whole([data[offsets[k] : offsets[k + 1]].tobytes().decode()])[0]
         return out
 
 
+@cache  # a worker that Spark uses again keeps its table
 def word_encoder(path: str | None = None) -> Encoder:
     return Encoder("word_bpe_49k.json", False, path)
 
 
+@cache
 def byte_encoder(path: str | None = None) -> Encoder:
     return Encoder("byte_bpe_50k.json", True, path)
