@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, language_model, licenses, near_dedup, packing, quality, substring_dedup, token_files
+from tessera.llm import decontaminate, exact_dedup, html_text, language_model, licenses, near_dedup, packing, quality, substring_dedup, token_files
 
 _QUERIES = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, near_dedup.ORACLE),
     "op2_quality": (quality.op2_quality, None),
     "op3_substring_dedup": (substring_dedup.op3_substring_dedup, None),
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.ORACLE),
+    "op5_html_text": (html_text.op5_html_text, None),
     "op6_language_model": (language_model.op6_language_model, None),
     "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.ORACLE),
     "op8_license_scan": (licenses.op8_license_scan, licenses.ORACLE),
