@@ -1,26 +1,62 @@
-"""A corpus cleaning pipeline of the corpus operators, each stage written and read again."""
+"""A corpus cleaning pipeline of the corpus operators, each stage written and read again.
+
+Rejected are documents of low quality, then all but one of each group of equal and of nearly equal texts, then those
+that hold a benchmark passage; the rest is packed into sequences. A stage drops documents by their doc_id, so rows
+that repeat one share its fate; rows without a doc_id stay in the stages that drop by it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import contamination
+from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import pack
+from tessera.llm.quality import accepted, fit
+from tessera.llm.quality import held_out as unlearned
 from tessera.llm.shared import read, written
 
+#: No SQL: the classifier is learned and tokens are packed. tests/llm checks each stage against a plain version.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    return docs.join(dropped.select("doc_id").where("doc_id is not null"), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    labels = read(spark, sf_dir, "labels").where(~unlearned()).select("doc_id", F.col("quality").alias("label"))
+    return accepted(docs, fit(docs, labels))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest doc_id stays."""
+    return _without(docs, exact_duplicates(docs, keep="largest").where("not kept"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of a group of near-duplicates, the one with the smallest doc_id stays."""
+    return _without(docs, near_duplicates(docs).where("not kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return _without(docs, contamination(docs, read(spark, sf_dir, "benchmark")).where("size(hit_words) > 0"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences of one length."""
+    return pack(docs)
 
 
-STAGES = [("near-dedup", near_dedup)]
+STAGES = [("quality", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
