@@ -1,7 +1,9 @@
 """Exact de-duplication by a distributed content sort; DataFrame functions only.
 
 Splitters sampled by Spark deal ranges of the normalised texts out to partitions, Spark's external sort puts equal
-texts side by side, and a window compares each full text with its neighbour. Before the sort, copies are folded
+texts side by side, and a window compares each full text with its neighbour. The order is that of the first PREFIX
+characters, then of a hash, then of the whole text: what Spark samples for splitters is small however long the texts
+are, and many texts with one beginning still lie in many ranges. Before the sort, copies are folded
 within their map tasks and a few salts, so a text that makes up a third of the table reaches the sort as a handful
 of rows. The rows of the table meet the survivors by their digest, in a join that Spark splits where it is skewed.
 """
@@ -16,6 +18,7 @@ from tessera.llm.shared import read, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one text that reach the sort, at most.
 SALTS = 8
+PREFIX = 32
 
 
 def lower_ascii(text: Column | str) -> Column:
@@ -41,8 +44,9 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     rows = docs.select("doc_id", lower_ascii("text").alias("norm"))
     folded = rows.groupBy("norm", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(pick("doc_id").alias("keep_id"), F.count("*").alias("size"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = folded.repartitionByRange(n, "norm")
-    same = Window.partitionBy("norm")
+    keyed = folded.withColumns({"head": F.substring("norm", 1, PREFIX), "hash": F.xxhash64("norm")})
+    ranges = keyed.repartitionByRange(n, "head", "hash")
+    same = Window.partitionBy("head", "hash", "norm")
     run = ranges.select(
         "norm",
         pick("keep_id").over(same).alias("keep_id"),
