@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import drop, written
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) for each end of links (a, b): component is the smallest id that can be reached.
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
+    """(id, component) for each end of links (a, b): component is the smallest id that can be reached. files: of written tables.
 
     Each round takes the smallest label of the neighbours and then follows the label's own label, so the
     rounds grow with the logarithm of a chain's length. It ends when a round changes nothing.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component"), F.lit(True).alias("changed")), "labels")
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links", files)
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component"), F.lit(True).alias("changed"))
+    labels = written(labels, "labels", files)
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         lower = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "m").alias("mid"))
         up = labels.select(F.col("id").alias("mid"), F.col("component").alias("top"))
         new = lower.join(up, "mid", "left").select("id", F.least("mid", "top").alias("component"), (F.least("mid", "top") != F.col("was")).alias("changed"))
-        new = written(new, "labels")
+        new = written(new, "labels", files)
         drop(labels)
         labels = new
         if labels.where("changed").isEmpty():

@@ -8,7 +8,9 @@ candidates go without a look at their texts. What is left is confirmed on the fu
 Documents with equal sets are one class before any pairing. In a bucket, members are first compared with two
 pivots; then the components are known for most, and only members outside a bucket's largest component are
 compared with the members of other components. So a group of n alike texts costs about n comparisons, and no
-candidate pair that could still join two components is left out.
+candidate pair that could still join two components is left out. For this last step, a second bitmap of 1024 bits
+folds whole sets of shingles instead of samples: two sets that differ in d shingles differ in at most d bits, so it
+tells texts that are alike but not enough.
 """
 
 from __future__ import annotations
@@ -21,18 +23,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import SPACED, blocks, distinct_in_texts, drop, find_words, mix, read, shingle_hashes, word_hashes, written
+from tessera.llm.shared import SPACED, blocks, bounded_batches, distinct_in_texts, drop, files_for, find_words, mix, read, shingle_hashes, word_hashes, written
 
 SHINGLE = 5
 BANDS, ROWS, SAMPLES, BITS = 25, 5, 128, 512
 LONGS = BITS // 64
+#: Bits of the bitmap of a whole set.
+SET_BITS = 1024
+SET_LONGS = SET_BITS // 64
 
 _rng = np.random.default_rng(20_240)
 _FACTORS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>, parity array<long>"
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +70,14 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def set_parities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bitmaps (a row of SET_LONGS for each set): a bit is the parity of the shingles that fall on it."""
+    n = len(first) - 1
+    at = np.repeat(np.arange(n), np.diff(first)) * SET_BITS + (hashes & np.uint64(SET_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * SET_BITS) & 1).astype(np.uint8).reshape(n, SET_BITS)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
     out = np.empty((samples.shape[1], BANDS), np.uint64)
     for b in range(BANDS):
@@ -83,13 +96,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(n)
             ids = part.column("doc_id")
             h1, h2 = (np.zeros(len(n), np.uint64) for _ in range(2))
-            bands, sketch = (np.zeros((len(n), k), np.int64) for k in (BANDS, LONGS))
+            bands, sketch, parity = (np.zeros((len(n), k), np.int64) for k in (BANDS, LONGS, SET_LONGS))
             if len(full):
                 at = np.append(first[:-1][full], len(h))
                 h1[full], h2[full] = np.add.reduceat(mix(h), at[:-1]), np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at[:-1])
                 s = signatures(h, at)
-                bands[full], sketch[full] = band_keys(s), odd_sketches(s)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (bands, sketch)]
+                bands[full], sketch[full], parity[full] = band_keys(s), odd_sketches(s), set_parities(h, at)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (bands, sketch, parity)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists], schema=_SIGNED)
 
 
@@ -110,9 +123,19 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 yield sub.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _differ(prefix_a: str, prefix_b: str) -> Column:
+def _differ(a: str, b: str, longs: int) -> Column:
     """Bits in which two bitmaps differ."""
-    return sum((F.bit_count(F.col(f"{prefix_a}{i}").bitwiseXOR(F.col(f"{prefix_b}{i}"))) for i in range(LONGS)), F.lit(0))
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(longs)), F.lit(0))
+
+
+def _most_set_bits(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Bits of set bitmaps that differ at most for sets as like as asked.
+
+    Such sets differ in d shingles at most and so in d bits; where many fall on the same bits, it is the number that
+    is expected and 6 standard deviations of room.
+    """
+    d = (n_a + n_b) * (100 - percent) / (100 + percent)
+    return F.least(d, SET_BITS / 2 * (1 - F.exp(-2 * d / SET_BITS)) + 3 * SET_BITS**0.5)
 
 
 def _most_bits(percent: int) -> int:
@@ -131,55 +154,75 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts are alike, and the result has a row for each. A null doc_id stays alone, with a null component_id.
     An empty table gives no rows. Columns besides doc_id and text are not read.
     """
+    bounded_batches(docs.sparkSession)
     # A pair of 85 % is missed by all 25 bands with a probability of 4e-7.
     signed = written(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED), "signed")
+    files = files_for(docs.sparkSession, signed.count())
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = written(full.dropDuplicates(["doc_id"]).join(classes, (full.doc_id == classes.rep) & (full.h1 == classes.h1) & (full.h2 == classes.h2), "left_semi").select("doc_id", "n_shingles", "bands", "sketch"), "reps")
+    first = classes.select(F.col("rep").alias("doc_id"), "h1", "h2")
+    reps = written(full.join(first, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]), "reps", files)
     members = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    buckets = members.join(shared, "bucket")
-    marks = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)])
-    buckets = written(buckets.join(marks, "rep"), "buckets")
+    buckets = written(members.join(shared, "bucket"), "buckets", files)
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.where("doc_id is not null").select("doc_id", "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    def alike(a: str, b: str) -> Column:
-        return (_differ(f"{a}s", f"{b}s") <= _most_bits(percent)) & (F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent)
+    texts = _may_be_in(docs.where("doc_id is not null").select("doc_id", "text"), involved)
+    texts = written(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts", files)
+    marks = written(reps.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *_spread("sketch", "s", LONGS), *_spread("parity", "f", SET_LONGS)), "marks", files)
+    drop(reps)
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return written(pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), name)
+        return written(pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "confirmed", files)
 
-    other = marks.select(*[F.col(c).alias(f"p_{c}") for c in marks.columns])
-    pivots = buckets.select("rep", F.explode(F.array("low", "high")).alias("p_rep"), "n", *[f"s{i}" for i in range(LONGS)]).where("rep <> p_rep").dropDuplicates(["rep", "p_rep"])
-    pairs = written(pivots.join(other, "p_rep").where(alike("p_", "")).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct(), "pairs")
+    mine = marks.select("rep", "n", *[f"s{i}" for i in range(LONGS)])
+    other = mine.select(*[F.col(c).alias(f"p_{c}") for c in mine.columns])
+    pivots = buckets.select("rep", F.explode(F.array("low", "high")).alias("p_rep")).where("rep <> p_rep").distinct()
+    near = (_differ("p_s", "s", LONGS) <= _most_bits(percent)) & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
+    pairs = written(pivots.join(mine, "rep").join(other, "p_rep").where(near).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct(), "pairs", files)
     # One pair for each member first; then those that could still join two components.
-    tries = confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "confirmed")
-    links = tries
-    comps = components(links)
+    links = confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    comps = components(links, files)
     ca, cb = (comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     open_pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    links = links.union(confirmed(open_pairs, "confirmed"))
-    comps = components(links)
-    links = links.union(confirmed(_across(buckets, comps, alike), "confirmed"))
-    comps = components(links)
+    links = links.union(confirmed(open_pairs))
+    comps = components(links, files)
+    links = links.union(confirmed(_across(buckets, marks, comps, percent, files).join(pairs, ["a", "b"], "left_anti")))
+    comps = components(links, files)
+    drop(buckets, texts, marks, pairs)
 
     named = classes.join(comps, classes.rep == comps.id, "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = signed.join(named, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _across(buckets: DataFrame, comps: DataFrame, alike) -> DataFrame:
+def _spread(column: str, name: str, longs: int) -> list[Column]:
+    return [F.col(column)[i].alias(f"{name}{i}") for i in range(longs)]
+
+
+#: Bits of the filter below, and so 16 bytes for each 64 of them to broadcast: 4 MB, whatever the tables hold.
+FILTER_BITS = 1 << 24
+
+
+def _may_be_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be one of ids, by a bitmap of fixed size: a join that follows moves fewer texts."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("set_bits"))
+    tested = docs.withColumn("bit", bit).join(F.broadcast(words), F.expr("bit div 64 = word"))
+    return tested.where("getbit(set_bits, cast(bit % 64 as int)) = 1").select(docs.columns)
+
+
+def _across(buckets: DataFrame, marks: DataFrame, comps: DataFrame, percent: int, files: int) -> DataFrame:
     """Candidate pairs within buckets whose ends lie in different components."""
-    cols = ["bucket", "rep", "n", *[f"s{i}" for i in range(LONGS)], "component"]
-    named = buckets.join(comps, buckets.rep == comps.id, "left").withColumn("component", F.coalesce("component", "rep"))
+    named = buckets.select("bucket", "rep").join(comps, buckets.rep == comps.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    # The largest component of each bucket, the size and the component in one number pair that min and max can order.
     most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    named = written(named.join(most, "bucket").select(*cols, (F.col("component") != F.col("m.component")).alias("apart")), "apart")
-    few = named.where("apart").select(*[F.col(c).alias(c if c == "bucket" else f"p_{c}") for c in cols])
-    met = few.join(named, "bucket").where((F.col("p_component") != F.col("component")) & (F.col("p_rep") != F.col("rep")) & alike("p_", ""))
+    marked = marks.drop(*[f"s{i}" for i in range(LONGS)])
+    named = named.join(most, "bucket").select("bucket", "rep", "component", (F.col("component") != F.col("m.component")).alias("apart")).join(marked, "rep")
+    named = written(named, "apart", files)
+    few = named.where("apart").select(*[F.col(c).alias(c if c == "bucket" else f"p_{c}") for c in named.columns])
+    alike = (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent) & (_differ("p_f", "f", SET_LONGS) <= _most_set_bits(F.col("n"), F.col("p_n"), percent))
+    met = few.join(named, "bucket").where((F.col("p_component") != F.col("component")) & (F.col("p_rep") != F.col("rep")) & alike)
     return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
 
 

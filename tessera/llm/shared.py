@@ -15,7 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once; a longer text is handled alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows and bytes that Spark sends to Python at once: texts may be long, so the usual 10 000 rows are too many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,9 +42,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of the input that a file of an intermediate table stands for, about.
+ROWS_A_FILE = 100_000
+
+
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files of small intermediate tables of an input of so many rows: a task for each core at least, and no dust."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE))
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and lost executors cost no recomputation."""
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     if not _kept:
         atexit.register(_drop_all)
     path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
