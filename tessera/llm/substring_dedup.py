@@ -3,9 +3,11 @@
 A string of LENGTH bytes is found by the 50-byte gram in it with the smallest hash. Starts of a text one after another
 whose strings have the same smallest gram make a chunk, so each string lies in one chunk and all its copies lie in
 chunks with the same gram. Grams that occur once need no more work: a bitmap of fixed size tells tasks which may
-occur more often. Equal chunks are folded and counted; unlike chunks of one gram meet in one task, which builds a
-suffix array of them by two-stage sorting and takes the strings that share LENGTH bytes with a neighbour. A gram
-with very many unlike chunks (a line that many texts share) is not gathered: its strings are counted one by one.
+occur more often. Equal chunks are folded and counted; one that stays alone under its gram repeats in its copies or
+not at all. Unlike chunks of one gram meet in one task, which builds a suffix array of them by two-stage sorting and
+takes the strings that share LENGTH bytes with a neighbour. A gram with very many unlike chunks (a line that many
+texts share) is not gathered: its chunks are cut into pieces of fewer starts, which meet under the bytes that all
+strings of a piece share, and the same is done with those, down to single strings.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import BLOCK_BYTES, bitmap, blocks, drop, may_hold, mix, powers, prefix_sums, read, span_hash, written
+from tessera.llm.shared import BLOCK_BYTES, bitmap, blocks, bounded_batches, drop, files_for, may_hold, mix, powers, prefix_sums, read, span_hash, written
 from tessera.llm.suffixes import repeated_starts
 
 LENGTH, GRAM = 200, 50
 GRAMS = LENGTH - GRAM + 1
 #: Unlike chunks of one gram that one task takes together, at most.
 TOGETHER = 256
+#: Starts of the pieces that crowded chunks are cut into, level by level; the last are single strings.
+WIDTHS = (16, 4, 1)
 #: Bytes of a suffix array.
 SORT_BYTES = 1 << 20
 _PLACE_BITS = 21
@@ -43,10 +47,11 @@ def _window_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _stretch_chunks(data: np.ndarray, offsets: np.ndarray):
-    """(text, first start, starts, gram hash, chunk hash) of each chunk; data is short enough for _PLACE_BITS."""
+    """(text, first start, starts, gram hash, chunk hash, bytes from the first start to the gram) of each chunk; data is
+    short enough for _PLACE_BITS."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     sums = prefix_sums(data.astype(np.uint64) + np.uint64(1))
     n = len(data) - GRAM + 1
     grams = mix((sums[GRAM:] - sums[:n]) * powers(len(data))[1][:n])
@@ -59,18 +64,18 @@ def _stretch_chunks(data: np.ndarray, offsets: np.ndarray):
     valid = starts + LENGTH <= offsets[text + 1]
     starts, text, place = starts[valid], text[valid], place[valid]
     if not len(starts):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(fresh)
     counts = np.diff(np.append(at, len(starts)))
     first = starts[at]
     hashes = span_hash(sums, first, first + counts + LENGTH - 1)
-    return text[at], first - offsets[text[at]], counts, grams[place[at]], hashes
+    return text[at], first - offsets[text[at]], counts, grams[place[at]], hashes, place[at] - first
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray):
-    """(text, first start, starts, gram hash, chunk hash) of each chunk of some texts."""
+    """(text, first start, starts, gram hash, chunk hash, bytes from the first start to the gram) of each chunk."""
     if len(data) < 1 << _PLACE_BITS:
         return _stretch_chunks(data, offsets)
     found = []
@@ -97,19 +102,18 @@ def _chosen(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[p
     """Chunks whose gram may repeat; a chunk's bytes come with its first copy in a block only."""
     for batch in batches:
         for part, data, offsets in blocks(batch):
-            text, first, counts, grams, hashes = chunks(data, offsets)
-            keep = may_hold(wanted, grams)
-            text, first, counts, grams, hashes = (x[keep] for x in (text, first, counts, grams, hashes))
-            _, lead = np.unique(grams ^ mix(hashes), return_index=True)
+            found = chunks(data, offsets)
+            keep = may_hold(wanted, found[3])
+            text, first, counts, grams, hashes, lead = (x[keep] for x in found)
             shown = np.zeros(len(text), bool)
-            shown[lead] = True
+            shown[np.unique(grams ^ mix(hashes), return_index=True)[1]] = True
             begin = offsets[text] + first
             raw = [data[a : a + n + LENGTH - 1].tobytes() if s else None for a, n, s in zip(begin.tolist(), counts.tolist(), shown.tolist())]
-            columns = [_keys(part.column("doc_id"), text), _keys(part.column("digest"), text), *(pa.array(x) for x in (first, counts, grams.view(np.int64), hashes.view(np.int64))), pa.array(raw, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "first", "starts", "gram", "chunk", "bytes"])
+            columns = [_keys(part.column("doc_id"), text), _keys(part.column("digest"), text), *(pa.array(x) for x in (first, lead, grams.view(np.int64), hashes.view(np.int64))), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "first", "lead", "gram", "chunk", "bytes"])
 
 
-CHOSEN = "doc_id long, digest long, first long, starts long, gram long, chunk long, bytes binary"
+CHOSEN = "doc_id long, digest long, first long, lead long, gram long, chunk long, bytes binary"
 
 
 def covered(starts: np.ndarray) -> np.ndarray:
@@ -142,24 +146,53 @@ def _sorted_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield found()
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each string of some chunks, as two hashes."""
-    for batch in batches:
-        for gram, chunk, n, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "chunk", "n", "bytes"))):
-            x = np.frombuffer(raw, np.uint8).astype(np.uint64)
-            at = np.arange(len(x) - LENGTH + 1)
-            one, two = (span_hash(prefix_sums(y), at, at + LENGTH).view(np.int64) for y in (x + np.uint64(1), mix(x + np.uint64(77))))
-            k = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array([gram] * k, pa.int64()), pa.array([chunk] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(at), pa.array(one), pa.array(two)], ["gram", "chunk", "n", "start", "h1", "h2"])
-
+PIECES = "gram long, chunk long, at long, gram1 long, chunk1 long, n long, lead long, bytes binary"
 
-def _runs_of(starts: pa.Array) -> pa.Array:
-    return pa.array([covered(np.sort(np.array(s, np.int64))).ravel() for s in starts.to_pylist()], pa.list_(pa.int64()))
 
+def _cut_up(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of chunks: strings whose starts lie as far before the gram, in steps of width.
 
-def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    gram1 stands for the bytes that all strings of such a piece would share, chunk1 for all bytes of the piece.
+    """
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("chunk"), _runs_of(batch.column("all"))], ["gram", "chunk", "runs"])
+        rows = []
+        for gram, chunk, n, lead, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "chunk", "n", "lead", "bytes"))):
+            starts = len(raw) - LENGTH + 1
+            at = 0
+            while at < starts:
+                step = (lead - at) // width
+                to = min(starts, lead - step * width + 1)
+                core = raw[lead - step * width : lead - (step + 1) * width + 1 + LENGTH]
+                piece = raw[at : to - 1 + LENGTH]
+                key = hashlib.blake2b(core, digest_size=8, salt=step.to_bytes(4, "little", signed=True)).digest()
+                name = hashlib.blake2b(piece, digest_size=8, salt=(lead - at).to_bytes(4, "little", signed=True)).digest()
+                rows.append((gram, chunk, at, int.from_bytes(key, "little", signed=True), int.from_bytes(name, "little", signed=True), n, lead - at, piece))
+                at = to
+        types = [*[pa.int64()] * 7, pa.binary()]
+        columns = list(zip(*rows)) if rows else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in PIECES.split(", ")])
+
+
+def _resolved(folded: DataFrame, widths: tuple[int, ...], files: int) -> DataFrame:
+    """(gram, chunk, runs) of the chunks in folded (gram, chunk, n, lead, bytes) with strings that repeat."""
+    spark = folded.sparkSession
+    kinds = written(folded.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1"), "kinds", files)
+    # A gram with one chunk, once, is alone.
+    few, many = (kinds.where(c).select("gram") for c in (f"kinds between 2 and {TOGETHER}", f"kinds > {TOGETHER}"))
+    alone = folded.join(kinds.where("kinds = 1 and most > 1").select("gram"), "gram", "left_semi")
+    runs = alone.select("gram", "chunk", F.array(F.lit(0), F.length("bytes")).cast("array<long>").alias("runs"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = folded.join(few, "gram", "left_semi").repartition(n, "gram").sortWithinPartitions("gram", "chunk")
+    runs = runs.union(near.select("gram", "chunk", "n", "bytes").mapInArrow(_sorted_chunks, "gram long, chunk long, runs array<long>"))
+    if widths and not many.isEmpty():
+        crowded = folded.join(many, "gram", "left_semi").select("gram", "chunk", "n", "lead", "bytes")
+        pieces = written(crowded.mapInArrow(lambda it: _cut_up(it, widths[0]), PIECES), "pieces", files)
+        below = pieces.groupBy(F.col("gram1").alias("gram"), F.col("chunk1").alias("chunk")).agg(F.sum("n").alias("n"), F.max("lead").alias("lead"), F.max("bytes").alias("bytes"))
+        inner = _resolved(written(below, "folded", files), widths[1:], files).select(F.col("gram").alias("gram1"), F.col("chunk").alias("chunk1"), "runs")
+        back = pieces.select("gram", "chunk", "at", "gram1", "chunk1").join(inner, ["gram1", "chunk1"])
+        moved = back.select("gram", "chunk", F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
+        runs = runs.union(moved.groupBy("gram", "chunk").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    return written(runs, "runs", files)
 
 
 def _whole(batches: Iterator[pa.RecordBatch], touched: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -212,27 +245,19 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     bytes that stay, null where all do. Null and empty texts have no bytes. Rows that repeat a doc_id are texts of
     their own, and repeat each other where they are alike. An empty table gives no rows. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text", "doc_id"))
     counts = texts.select("text").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(bitmap(counts.where("n > 1").select("gram")))
     chosen = written(texts.select("doc_id", "digest", "text").mapInArrow(lambda it: _chosen(it, wanted.value), CHOSEN), "chunks")
-    folded = written(chosen.groupBy("gram", "chunk").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes")), "folded")
-    kinds = folded.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("n").alias("most"))
-    # A gram with one chunk, once, is alone: the bitmap let it pass by chance.
-    few, many = (written(kinds.where(c).select("gram"), "grams") for c in (f"kinds between 2 and {TOGETHER} or (kinds = 1 and most > 1)", f"kinds > {TOGETHER}"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = folded.join(few, "gram", "left_semi").repartition(n, "gram").sortWithinPartitions("gram", "chunk")
-    by_suffix = near.select("gram", "chunk", "n", "bytes").mapInArrow(_sorted_chunks, "gram long, chunk long, runs array<long>")
-    strings = folded.join(many, "gram", "left_semi").select("gram", "chunk", "n", "bytes").mapInArrow(_strings, "gram long, chunk long, n long, start long, h1 long, h2 long")
-    strings = written(strings, "strings")
-    often = strings.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
-    one_by_one = strings.join(often, ["h1", "h2"], "left_semi").groupBy("gram", "chunk").agg(F.collect_list("start").alias("all")).mapInArrow(_one_by_one, "gram long, chunk long, runs array<long>")
-    runs = written(by_suffix.union(one_by_one), "runs")
+    files = 4 * files_for(spark, docs.count())
+    folded = written(chosen.groupBy("gram", "chunk").agg(F.count("*").alias("n"), F.max("lead").alias("lead"), F.max("bytes").alias("bytes")), "folded", files)
+    runs = _resolved(folded, WIDTHS, files)
     placed = chosen.select("doc_id", "digest", "first", "gram", "chunk").join(runs, ["gram", "chunk"])
     shifted = placed.select("doc_id", "digest", F.transform("runs", lambda x: x + F.col("first")).alias("runs"))
-    found = written(shifted.groupBy("doc_id", "digest").agg(F.collect_set("runs").alias("runs")), "removed")
-    drop(chosen, folded, few, many, strings, runs)
+    found = written(shifted.groupBy("doc_id", "digest").agg(F.collect_set("runs").alias("runs")), "removed", files)
+    drop(chosen, folded, runs)
     touched = spark.sparkContext.broadcast(bitmap(found.select("digest")))
     whole = texts.mapInArrow(lambda it: _whole(it, touched.value), "doc_id long, digest long, n_bytes long, sha string, bytes binary")
     found = found.withColumnRenamed("doc_id", "d")
