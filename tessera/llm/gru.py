@@ -63,13 +63,16 @@ class Lanes:
         return out
 
 
-def _run(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """States after each step (steps, lanes, STATE), and what a step back needs. x: input symbols; fresh: 0 at a start."""
-    gates = (p["embed"] @ p["wx"] + p["b"])[x]
+def _run(p: dict, table: np.ndarray, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, back: bool = True) -> tuple[np.ndarray, list]:
+    """States after each step (steps, lanes, STATE), and what a step back needs.
+
+    table: the gates' input of each symbol; x: input symbols; fresh: 0 at a start.
+    """
+    gates, wh = table[x], p["wh"]
     states, kept = np.empty((*x.shape, STATE), np.float32), []
     for t in range(len(x)):
         h = h * fresh[t][:, None]
-        u = h @ p["wh"]
+        u = h @ wh
         zr = gates[t, :, : 2 * STATE] + u[:, : 2 * STATE]
         zr *= 0.5
         np.tanh(zr, out=zr)
@@ -77,7 +80,8 @@ def _run(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.n
         zr *= 0.5
         z, r, un = zr[:, :STATE], zr[:, STATE:], u[:, 2 * STATE :]
         n = np.tanh(gates[t, :, 2 * STATE :] + r * un)
-        kept.append((h, z, r, un, n))
+        if back:
+            kept.append((h, z, r, un, n))
         h = n + z * (h - n)
         states[t] = h
     return states, kept
@@ -93,7 +97,7 @@ def _softmax(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e, (np.log(s) + top)[:, 0]
 
 
-def score(shape: Shape, flat: np.ndarray, symbols: np.ndarray, classes: np.ndarray, words: np.ndarray, first: np.ndarray, begin: int, lanes: int = 256, steps: int = 32) -> np.ndarray:
+def score(shape: Shape, flat: np.ndarray, symbols: np.ndarray, classes: np.ndarray, words: np.ndarray, first: np.ndarray, begin: int, lanes: int = 384, steps: int = 32) -> np.ndarray:
     """Natural log probability of each symbol's class, and of its word where the class has words, given all before it.
 
     A document's state starts at zero with the symbol `begin` and is carried through it to its end.
@@ -109,11 +113,12 @@ def score(shape: Shape, flat: np.ndarray, symbols: np.ndarray, classes: np.ndarr
     starts = np.zeros(len(symbols), bool)
     starts[first[:-1]] = True
     h = np.zeros((len(places), STATE), np.float32)
+    table = p["embed"] @ p["wx"] + p["b"]
     for at in range(0, places.shape[1], steps):
         live = int(np.searchsorted(-laid.sizes, -at, "left"))
         cut = places[:live, at : at + steps].T
         there = cut >= 0
-        states, _ = _run(p, before[cut], (~starts[cut]).astype(np.float32), h[:live])
+        states, _ = _run(p, table, before[cut], (~starts[cut]).astype(np.float32), h[:live], back=False)
         h = states[-1]
         where, s = cut[there], states[there]
         a = s @ p["class_w"] + p["class_b"]
@@ -139,7 +144,7 @@ def score(shape: Shape, flat: np.ndarray, symbols: np.ndarray, classes: np.ndarr
 class Trainer:
     """Adam on truncated windows; take() learns from documents once, in order of their lanes."""
 
-    def __init__(self, shape: Shape, flat: np.ndarray, lanes: int = 256, rate: float = RATE):
+    def __init__(self, shape: Shape, flat: np.ndarray, lanes: int = 384, rate: float = RATE):
         self.shape, self.flat, self.lanes, self.rate = shape, flat.copy(), lanes, rate
         self.m, self.v, self.t, self.seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
 
@@ -167,7 +172,7 @@ class Trainer:
         grad = np.zeros_like(self.flat)
         g = shape.views(grad)
         there, x, fresh = cut >= 0, before[cut], (~starts[cut]).astype(np.float32)
-        states, kept = _run(p, x, fresh, h)
+        states, kept = _run(p, p["embed"] @ p["wx"] + p["b"], x, fresh, h)
         where, s = cut[there], states[there]
         n = len(where)
         e, _ = _softmax(s @ p["class_w"] + p["class_b"])

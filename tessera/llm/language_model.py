@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import gru
-from tessera.llm.shared import SPACED, blocks, find_words, read, word_hashes, written
+from tessera.llm.shared import SPACED, blocks, bounded_batches, find_words, read, word_hashes, written
 
 #: Words with a class of their own: CLASSES of WORDS.
-CLASSES, WORDS = 32, 32
+CLASSES, WORDS = 16, 64
 #: Words whose counts are sent to tasks, at most: 24 bytes each.
 SENT = 1 << 18
 ROUNDS = 2
@@ -31,14 +31,14 @@ STRETCH = 2048
 TRAIN_BYTES, SCORE_BYTES = 12 << 20, 20 << 20
 #: Stands for the end of a document.
 END = 1
-ENDINGS, ACCENTS, LENGTHS = 6, 5, 2
+ENDINGS, ACCENTS, LENGTHS = 5, 4, 2
 FORMS = ENDINGS * ACCENTS * LENGTHS
 END_FORM = 0
 
 
 def _endings() -> np.ndarray:
-    t = np.full(256, 5, np.int32)
-    t[97:123], t[48:58] = 0, 4
+    t = np.full(256, 4, np.int32)
+    t[97:123] = 0
     for k, group in ((1, b".,;:"), (2, b"#$%&*|"), (3, b"!?")):
         t[list(group)] = k
     return t
@@ -56,7 +56,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(high):
         at = high[np.minimum(np.searchsorted(high, starts), len(high) - 1)]
         has = (at >= starts) & (at < ends)
-        accent[has] = 1 + (low[np.minimum(at + 1, len(low) - 1)][has] & 3)
+        accent[has] = 1 + (low[np.minimum(at + 1, len(low) - 1)][has] % 3)
     form = (_ENDING[low[ends - 1]] * ACCENTS + accent) * LENGTHS + (ends - starts > 5)
     place = np.arange(n) + np.repeat(np.arange(n_texts), np.diff(first))
     hashes, forms = np.full(n + n_texts, END, np.uint64), np.full(n + n_texts, END_FORM, np.int32)
@@ -124,12 +124,23 @@ class Vocabulary:
         self.begin = CLASSES * WORDS + FORMS
         self.start = self.shape.start(np.concatenate((word_counts.reshape(CLASSES, WORDS).sum(1), self.divisor)), word_counts.reshape(CLASSES, WORDS))
 
+        # A slot by the hash's low bits holds one word; those that find it taken are looked up by bisection.
+        self.slots = np.full(1 << 20, -1, np.int32)
+        slot = (self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)
+        self.slots[slot] = np.arange(len(self.hashes), dtype=np.int32)
+        self.shared = np.bincount(slot, minlength=1 << 20) > 1
+
     def found(self, hashes: np.ndarray) -> np.ndarray:
         """Rows of the words, or -1."""
         if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+            return np.full(len(hashes), -1, np.int32)
+        slot = (hashes & np.uint64((1 << 20) - 1)).astype(np.int32)
+        rows = self.slots[slot]
+        rows[self.hashes[rows] != hashes] = -1
+        again = np.flatnonzero((rows < 0) & self.shared[slot])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[again]), len(self.hashes) - 1)
+        rows[again] = np.where(self.hashes[at] == hashes[again], at, -1)
+        return rows
 
     def encoded(self, rows: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(input symbols, classes, words in their class)."""
@@ -257,6 +268,7 @@ def language_scores(docs: DataFrame, skip: Column | None = None) -> DataFrame:
     Null and empty texts have the end alone. With nothing to learn from, all words are unknown, one for all. Rows that
     repeat a doc_id each get a row and count each; an empty table gives none. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     skip = held_out() if skip is None else skip
     learned = docs.where(~skip)
     counts = count_words(learned)
