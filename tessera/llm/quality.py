@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import SPACED, blocks, distinct_in_texts, find_words, read, shingle_hashes, word_hashes
+from tessera.llm.shared import SPACED, blocks, bounded_batches, distinct_in_texts, find_words, read, shingle_hashes, word_hashes
 
 #: Labelled rows to fit on, at most: those with the smallest hashes of their id.
-SAMPLE = 4096
+SAMPLE = 3072
 LATENT, NEIGHBOURS, POWER = 48, 24, 4
 WORDS, CLASSES = 4096, 16
 SHAPES = CLASSES**3
@@ -77,10 +77,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Logarithmic counts times idf; words, shapes and measures each of one length."""
-    x = np.log1p(counts) * idf
+    x = np.log1p(counts)
+    x *= idf
     for a, b, weight in ((0, WORDS, 0.5), (WORDS, WORDS + SHAPES, 1.0), (WORDS + SHAPES, WIDTH, 1.0)):
         part = x[:, a:b]
-        part *= weight / np.maximum(np.sqrt((part * part).sum(1, keepdims=True)), 1e-9)
+        part *= weight / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-9)[:, None]
     return x
 
 
@@ -139,6 +140,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of labels (doc_id, label) on the texts of docs, from SAMPLE labelled rows at most."""
+    bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = {r["doc_id"]: r["label"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()}
     spark = docs.sparkSession
