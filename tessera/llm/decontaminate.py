@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import PLAIN, blocks, drop, find_words, read, utf8, word_hashes, written
+from tessera.llm.shared import PLAIN, blocks, bounded_batches, drop, find_words, read, utf8, word_hashes, written
 
 WINDOW = 10
 SEGMENT_BYTES = 8 << 20
@@ -178,6 +178,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     than a window is one window; null and empty texts have no words. An item without an id counts in hit_words and
     is not named. Rows that repeat a doc_id each get a row. Empty tables of either kind give no hits.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0

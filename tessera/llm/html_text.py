@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.markup import text_blocks
-from tessera.llm.shared import read, written
+from tessera.llm.shared import bounded_batches, files_for, read, written
 
 #: Cells of an alignment table that are held at once.
 CELLS = 1 << 22
@@ -149,8 +149,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     as for null and empty html. Pages without a URL are neighbours of each other. Rows that repeat a page_id each get
     a row. An empty table gives none. Other columns are not read.
     """
+    bounded_batches(pages.sparkSession)
     parsed = written(pages.select("page_id", "url", "html").mapInArrow(_parsed, PARSED), "parsed")
-    shared = written(template_lines(parsed), "template").dropDuplicates(["page_id", "digest"]).withColumnRenamed("page_id", "p").withColumnRenamed("digest", "d")
+    shared = written(template_lines(parsed), "template", files_for(pages.sparkSession, parsed.count())).dropDuplicates(["page_id", "digest"]).withColumnRenamed("page_id", "p").withColumnRenamed("digest", "d")
     loose = parsed.where("text is null")
     kept = F.filter(F.arrays_zip("blocks", "places"), lambda x: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), x["places"]))
     found = loose.join(shared, (loose.digest == shared.d) & loose.page_id.eqNullSafe(shared.p), "left").select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n\n").alias("text"))

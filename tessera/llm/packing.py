@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import blocks, read, written
+from tessera.llm.shared import blocks, bounded_batches, read, written
 from tessera.llm.tokens import byte_encoder
 
 LENGTH, OPEN, END = 1024, 16, 0
@@ -145,6 +145,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     Each id lies in one piece. Rows that repeat a doc_id, or have none, are documents of their own. An empty table
     gives no rows. Other columns are not read. path: the vocabulary file.
     """
+    bounded_batches(docs.sparkSession)
     packed = written(docs.select("doc_id", "text").mapInArrow(lambda it: _pack(it, path), FIELDS), "packed")
     left = F.pmod("sequence_id", F.lit(_STEP)) >= _LEFT
     group = F.expr(f"sequence_id div {_STEP * TASKS}")

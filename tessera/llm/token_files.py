@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import blocks, read, shared_folder
+from tessera.llm.shared import blocks, bounded_batches, read, shared_folder
 from tessera.llm.tokens import word_encoder
 
 MAGIC = b"TOKSHRD1"
@@ -110,6 +110,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, width: int = 2)
     all written, in any order among themselves. An empty table gives a folder without documents. Other columns are
     not read. path: the vocabulary file; width: bytes of an id in the files.
     """
+    bounded_batches(docs.sparkSession)
     dictionary = train_dictionary(docs, width, path)
     digest = hashlib.sha256(dictionary).digest()
 
