@@ -81,7 +81,7 @@ def dampened(findings: Column, framed: Column) -> Column:
 
 def is_quoted_mention(text: Column) -> Column:
     """Attack words in quotation marks with a verb that reports them, or near an artifact of security work."""
-    return has(text, "quoted_attack") & (has(text, "attribution") | has(text, "artifact"))
+    return has(text, "quoted_attack") & (has(text, "attribution") | has(text, "artifact") | has(text, "descriptive"))
 
 
 def without_code(text: Column) -> Column:

@@ -130,7 +130,7 @@ def sliding_counts(events: DataFrame, seconds: int, by: str = "agent_id") -> Dat
 
     Of events at the same moment, those with a larger number are not counted.
     """
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     upto = Window.partitionBy(by).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(by).orderBy("us").rangeBetween(Window.unboundedPreceding, -seconds * 1_000_000 - 1)
     counted = events.withColumn("us", micros).withColumns({"all": F.count("*").over(upto), "gone": F.count("*").over(before)})
@@ -148,6 +148,7 @@ def issued_status(issued: DataFrame, checked: DataFrame, ttl: int = TTL) -> Data
     own.
     """
     cols = ["agent_id", "ref", "ts", "kind", "has_method"]
+    issued, checked = (x.withColumn("ts", F.col("ts").cast("timestamp")) for x in (issued, checked))
     both = issued.select("agent_id", "ref", "ts", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("has_method"), F.col("ts").alias("at"), F.lit(0).alias("order")).union(
         checked.select(*cols, F.lit(None).cast("timestamp").alias("at"), F.lit(1).alias("order"))
     )
@@ -164,6 +165,6 @@ def issued_status(issued: DataFrame, checked: DataFrame, ttl: int = TTL) -> Data
 
 def kept_ids(issued: DataFrame, most: int = MOST_IDS, ttl: int = TTL) -> DataFrame:
     """Of each agent's identifiers, the most that expire last; each once with its expiry."""
-    expiry = issued.groupBy("agent_id", "ref").agg((F.max(F.unix_seconds("ts")) + ttl).alias("expires"))
+    expiry = issued.groupBy("agent_id", "ref").agg((F.max(F.unix_seconds(F.col("ts").cast("timestamp"))) + ttl).alias("expires"))
     place = F.row_number().over(Window.partitionBy("agent_id").orderBy(F.desc("expires"), "ref"))
     return expiry.withColumn("place", place).where(F.col("place") <= most).drop("place")

@@ -14,7 +14,11 @@ from tessera.operators import findings as D
 from tessera.operators import verdict as V
 from tessera.rules.inputs import INPUT_RULES, RESERVED_FILTERED
 
-_NONE = F.lit
+
+
+def pinned(df: DataFrame, columns: dict) -> DataFrame:
+    """df with columns that are computed once: Catalyst does not copy them into each of the expressions that use them."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def views(df: DataFrame, text: str = "text") -> DataFrame:
@@ -28,7 +32,8 @@ def views(df: DataFrame, text: str = "text") -> DataFrame:
     words = F.array_distinct(F.split(F.lower("raw"), r"[^a-z]+"))
     near = F.exists(words, lambda w: F.length(w).between(4, 15) & w.substr(1, 1).isin(*"ibofdrlepscgunxwvkqzmjhtay"))
     needs = ~is_plain(F.col("raw")) | F.col("raw").rlike(spread) | near
-    return df.withColumn("view", F.when(needs, normalised("raw")).otherwise(single_spaced(F.col("raw"))))
+    df = df.withColumn("seen", F.when(needs, normalised("raw")))
+    return pinned(df, {"view": F.coalesce("seen", single_spaced(F.col("raw")))}).drop("seen")
 
 
 def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normalise: bool = True) -> DataFrame:
@@ -39,8 +44,8 @@ def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normali
     out = views(df, text) if normalise else df.withColumns({"raw": head(F.col(text)), "view": head(F.col(text))})
     view, raw = F.col("view"), F.col("raw")
     rules = D.united(D.outputs(view), D.outputs(raw)) if normalise else D.outputs(raw)
-    out = out.withColumn("l1", rules)
-    out = out.withColumn("l2", D.behaviours(view, D.categories(F.col("l1")))).withColumn("dlp", D.data_loss(view)).withColumn("related", D.relations(view))
+    out = pinned(out, {"l1": rules})
+    out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view), "related": D.relations(view)})
     return _verdict(out, text, mode).drop("raw", "view")
 
 
@@ -64,12 +69,12 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     out = C.with_extraction(out, "view")
     view, raw = F.col("view"), F.col("raw")
     scan = lambda t: D.scanned(t, INPUT_RULES, RESERVED_FILTERED)
-    out = out.withColumn("l1", F.concat(C.repetitions("raw"), D.united(scan(view), scan(raw))).cast(D.FINDING))
-    out = out.withColumn("l2", D.behaviours(view, D.categories(F.col("l1")))).withColumn("dlp", D.data_loss(view)).withColumn("related", D.relations(view, traffic))
-    framed = C.frame(view, F.col("extraction")).isNotNull()
-    disarmed = C.carries_command(F.col("l1"), V.BLOCK) & (C.frame(view, F.col("extraction")) != "protective")
-    out = out.withColumn("framed", F.coalesce(framed & ~disarmed, F.lit(False)))
-    out = out.withColumns({c: C.dampened(F.col(c), F.col("framed")) for c in ("l1", "l2")}).withColumn("related", F.when(F.col("framed"), F.array().cast(D.FINDING)).otherwise(F.col("related")))
+    out = pinned(out.withColumn("repeats", C.repetitions("raw")), {"by_view": scan(view), "by_raw": F.when(raw != view, scan(raw)).otherwise(F.array().cast(D.FINDING))})
+    out = pinned(out, {"l1": F.concat("repeats", D.united(F.col("by_view"), F.col("by_raw"))).cast(D.FINDING)}).drop("repeats", "by_view", "by_raw")
+    out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view), "related": D.relations(view, traffic), "frame": C.frame(view, F.col("extraction"))})
+    disarmed = C.carries_command(F.col("l1"), V.BLOCK) & (F.col("frame") != "protective")
+    out = out.withColumn("framed", F.coalesce(F.col("frame").isNotNull() & ~disarmed, F.lit(False)))
+    out = pinned(out, {c: C.dampened(F.col(c), F.col("framed")) for c in ("l1", "l2")} | {"related": F.when(F.col("framed"), F.array().cast(D.FINDING)).otherwise(F.col("related"))})
     l1, l2, dlp, related = (F.col(c) for c in ("l1", "l2", "dlp", "related"))
     # A dampened text has plain maxima.
     first = F.when(F.col("framed"), D.top_score(l1)).otherwise(D.rule_score(l1))
@@ -78,14 +83,17 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     cap = F.greatest(F.lit(V.FLAG), F.lit(V.BLOCK - 0.05))
     mentioned = (score >= V.BLOCK) & (D.top_score(dlp) < V.BLOCK) & ~live & ~C.active_extraction(view) & C.is_quoted_mention(raw)
     clean = ~F.exists(scan(C.without_code(raw)), lambda x: C.is_live(x) | (x["score"] >= V.BLOCK))
-    score = F.when(mentioned | (C.is_documentary(raw) & clean), F.least(score, cap)).otherwise(score)
+    documentary = F.when(C.is_documentary(raw), clean).otherwise(F.lit(False))
+    score = F.when(mentioned | documentary, F.least(score, cap)).otherwise(score)
     bypass = C.protective_then_override(view, F.col("extraction"))
     encoded = C.encoded_directive(raw)
     out = out.withColumn("decoded", F.when(raw.rlike("%[0-9A-Fa-f]{2}"), percent_decoded("raw")))
     dangers = ["prompt_injection", "jailbreak", "system_prompt_leak", "code_execution", "credential_access", "data_exfiltration"]
-    decoded = F.coalesce(D.top_score(F.filter(scan(F.col("decoded")), lambda x: x["category"].isin(dangers))), F.lit(0.0))
+    danger = F.when(F.col("decoded").isNotNull(), D.top_score(F.filter(scan(F.col("decoded")), lambda x: x["category"].isin(dangers)))).otherwise(F.lit(0.0))
     long, missing = F.length(text) > HEAD, F.col(text).isNull()
-    out = out.withColumn("tail", F.when(long, _tail_score(F.col(text), traffic)).otherwise(F.lit(0.0)))
+    tail = F.when(long, _tail_score(F.col(text), traffic)).otherwise(F.lit(0.0))
+    out = pinned(out, {"tail": tail, "danger": danger, "bypass": bypass, "encoded": encoded, "capped": score})
+    bypass, encoded, decoded, score = (F.col(c) for c in ("bypass", "encoded", "danger", "capped"))
     score = F.when(bypass, F.greatest(score, F.lit(0.85))).otherwise(score)
     score = F.when(encoded, F.greatest(score, F.lit(0.75))).otherwise(score)
     score = F.greatest(score, decoded, F.when(long, F.greatest(F.lit(V.FLAG), F.col("tail"))).otherwise(F.lit(0.0)))
@@ -105,7 +113,7 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     )
     out = out.withColumn("true_action", V.true_action(V.band(F.col("score_exact"))))
     out = out.withColumns({"action": V.action(F.col("true_action"), mode), "score": F.round("score_exact", 3)})
-    return out.drop("score_exact", "raw", "view", "decoded", "tail", "extraction")
+    return out.drop("score_exact", "raw", "view", "decoded", "tail", "extraction", "danger", "bypass", "encoded", "capped", "frame")
 
 
 def _tail_score(text, traffic: str):
@@ -146,15 +154,14 @@ def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[s
     out = views(out.withColumn("flat", flat), "flat")
     scan = lambda t: D.scanned(t, INPUT_RULES, RESERVED_FILTERED)
     every = D.united(D.united(scan(F.col("view")), scan(F.col("raw"))), F.coalesce(scan(rebuilt(F.col("segments"))), F.array().cast(D.FINDING)))
-    out = out.withColumn("content", F.filter(every, lambda x: x["category"].isin(*HARD, *SOFT)))
-    out = out.withColumn("secrets", D.data_loss(F.col("raw"), D.SURE_SECRETS))
+    out = pinned(out, {"content": F.filter(every, lambda x: x["category"].isin(*HARD, *SOFT)), "secrets": D.data_loss(F.col("raw"), D.SURE_SECRETS)})
     listed = is_listed(F.col("tool_name"), list(blocked_tools))
     prose = C.is_documentary(F.col("raw")) & ~F.exists(F.map_keys("arguments"), lambda k: F.lower(k).isin(*PROSE_FREE_KEYS))
     residue = ~F.exists(scan(C.without_code(F.col("raw"))), lambda x: x["category"].isin(*HARD))
     all_found = F.concat("content", "structure", "secrets")
     hard = F.filter(all_found, lambda x: ~x["category"].isin(*SOFT))
     missing = F.col("tool_name").isNull()
-    out = out.withColumns({"all_found": all_found, "hard": F.when(F.coalesce(prose & residue, F.lit(False)), F.array().cast(D.FINDING)).otherwise(hard), "listed": listed})
+    out = pinned(out, {"all_found": all_found, "hard": F.when(F.coalesce(prose & residue, F.lit(False)), F.array().cast(D.FINDING)).otherwise(hard), "listed": listed})
     found, long = F.col("all_found"), F.length("flat") > HEAD
     out = out.withColumns(
         {
