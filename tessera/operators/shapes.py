@@ -39,7 +39,7 @@ def sql_statements(text: Column) -> Column:
 
 
 #: Conditions that hold of every row: a literal equal to itself, a column equal to itself, true.
-TAUTOLOGY = r"(?i)\bwhere\b.*?(?:\b(\d+)\s*=\s*\1\b|'([^']*)'\s*=\s*'\2'|\b([a-z_][\w.]*)\s*=\s*\3\b(?!\s*\.)|\btrue\b|\b1\b\s*$|\bor\s+1\b)"
+TAUTOLOGY = r"(?i)\bwhere\s+1\s*$|\bwhere\b.*?(?:\b(\d+)\s*=\s*\1\b|'([^']*)'\s*=\s*'\2'|\b([a-z_][\w.]*)\s*=\s*\3\b(?!\s*\.)|\btrue\b|\bor\s+1\s*$)"
 
 
 def sql_shape(statement: Column) -> Column:
