@@ -1,6 +1,6 @@
 """Removal of repeated strings with suffix arrays.
 
-A string of LENGTH bytes is found by the 50-byte gram in it with the smallest hash. Starts of a text one after another
+A string of LENGTH bytes is found by the 80-byte gram in it with the smallest hash. Starts of a text one after another
 whose strings have the same smallest gram make a chunk, so each string lies in one chunk and all its copies lie in
 chunks with the same gram. Grams that occur once need no more work: a bitmap of fixed size tells tasks which may
 occur more often. Equal chunks are folded and counted; one that stays alone under its gram repeats in its copies or
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import BLOCK_BYTES, bitmap, blocks, bounded_batches, drop, files_for, may_hold, mix, powers, prefix_sums, read, span_hash, written
 from tessera.llm.suffixes import repeated_starts
 
-LENGTH, GRAM = 200, 50
+LENGTH, GRAM = 200, 80
 GRAMS = LENGTH - GRAM + 1
 #: Unlike chunks of one gram that one task takes together, at most.
 TOGETHER = 256

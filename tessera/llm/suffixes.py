@@ -58,9 +58,15 @@ def _sorted_directly(places: np.ndarray, keys: np.ndarray, depth: int) -> np.nda
         rows = order[at]
         # A suffix that has met a separator has nothing more to compare.
         k = keys[np.minimum(rows + done, len(keys) - 1)]
-        new = np.lexsort((k, group))
-        rows, k = rows[new], k[new]
-        order[at] = rows
+        # Most groups agree in the next symbols too; only those that do not are sorted.
+        apart = group[1:][(k[1:] != k[:-1]) & (group[1:] == group[:-1])]
+        if len(apart):
+            mixed = np.zeros(int(group[-1]) + 1, bool)
+            mixed[apart] = True
+            some = np.flatnonzero(mixed[group])
+            new = some[np.lexsort((k[some], group[some]))]
+            rows[some], k[some] = rows[new], k[new]
+            order[at[some]] = rows[some]
         same = np.zeros(len(at) + 1, bool)
         same[1:-1] = (k[1:] == k[:-1]) & (group[1:] == group[:-1])
         group = np.cumsum(~same[:-1])
