@@ -37,13 +37,22 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or one set here where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")  # unset: a single machine, as in tests
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))  # unset: a single machine, as in tests
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, until the session's end."""
+    if not _kept:
+        atexit.register(_drop_all)
+    path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    _kept.append((spark, path))
+    return path
+
+
 #: Rows of the input that a file of an intermediate table stands for, about.
-ROWS_A_FILE = 100_000
+ROWS_A_FILE = 40_000
 
 
 def files_for(spark: SparkSession, rows: int) -> int:
@@ -55,11 +64,8 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and lost executors cost no recomputation."""
     spark = df.sparkSession
     df = df.coalesce(files) if files else df
-    if not _kept:
-        atexit.register(_drop_all)
-    path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _kept.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import blocks, bounded_batches, read, shared_folder
+from tessera.llm.shared import blocks, bounded_batches, new_folder, read
 from tessera.llm.tokens import word_encoder
 
 MAGIC = b"TOKSHRD1"
@@ -116,14 +116,14 @@ def write(docs: DataFrame, folder: str, path: str | None = None, width: int = 2)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).compress
-        part, number, names, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, number, inside, names, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def row() -> pa.RecordBatch:
             first = next((d for d in names if d is not None), None)
             last = next((d for d in reversed(names) if d is not None), None)
-            columns = [[part], [number], [first], [last], [len(names)], [sum(len(x) for x in held) // 4], [make_shard(names, held, width, compress, digest)]]
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "number", "first_doc", "last_doc", "n_docs", "n_tokens", "shard"])
+            columns = [[part], [number], [inside], [first], [last], [len(names)], [sum(len(x) for x in held) // 4], [make_shard(names, held, width, compress, digest)]]
+            types = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "number", "inside", "first_doc", "last_doc", "n_docs", "n_tokens", "shard"])
 
         for found, ids in _encoded(batches, path):
             names += found
@@ -131,14 +131,14 @@ def write(docs: DataFrame, folder: str, path: str | None = None, width: int = 2)
             size += sum(map(len, ids))
             if size >= 3 * SHARD_BYTES:
                 yield row()
-                number, names, held, size = number + 1, [], [], 0
+                number, inside, names, held, size = number + 1, inside + size // 4, [], [], 0
         if names:
             yield row()
 
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    fields = "part int, number long, first_doc long, last_doc long, n_docs long, n_tokens long, shard binary"
+    fields = "part int, number long, inside long, first_doc long, last_doc long, n_docs long, n_tokens long, shard binary"
     ordered.mapInArrow(shards, fields).write.mode("overwrite").option("compression", "none").parquet(f"{folder}/shards")
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/dictionary")
 
@@ -147,11 +147,10 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document in a folder; ids: little-endian unsigned 32-bit integers."""
     dictionary = bytes(spark.read.parquet(f"{folder}/dictionary").first()["dictionary"])
     shards = spark.read.parquet(f"{folder}/shards")
-    # Starts in two steps: over the parts, of which there are as many as tasks wrote, then over the shards of a part.
+    # A shard knows the ids before it in its part; there are as many parts as tasks wrote, which is what is broadcast.
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = shards.select("part", "number", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("n_tokens")).alias("inside"))
-    starts = inside.join(before, "part").select("part", "number", (F.col("before") + F.col("inside")).alias("start"))
+    placed = shards.join(F.broadcast(before), "part").select("shard", (F.col("before") + F.col("inside")).alias("start"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,10 +163,10 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
                     names = pa.array(shard.index["doc_id"][cut].astype(np.int64), mask=shard.index["null"][cut].astype(bool))
                     yield pa.RecordBatch.from_arrays([names, pa.array(begin[cut]), pa.array(shard.index["n"][cut].astype(np.int64)), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return shards.join(starts, ["part", "number"]).select("shard", "start").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/tessera-token-files-{abs(hash(sf_dir)):x}"
+    folder = new_folder(spark, "token-files")
     write(read(spark, sf_dir, "documents"), folder)
     return read_back(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
