@@ -166,7 +166,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if words > SENT:
             break
         least = r["least"]
-    known = counts.where(F.lit(False) if least is None else (F.col("n") >= least) | (F.col("h") == END)).toArrow()
+    known = counts.where((F.col("h") == END) | (F.lit(False) if least is None else F.col("n") >= least)).toArrow()
     forms, form_words = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
     for r in counts.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         forms[r["form"]], form_words[r["form"]] = r["n"], r["words"]
