@@ -80,15 +80,8 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.ALL + "SELECT conv_id, turn, round(score, 6) AS score, true_action, CASE WHEN true_action = 'blocked' THEN 'flagged' ELSE true_action END AS monitored FROM verdicts")
 def output_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    l1 = findings.outputs(text)
-    layers = P.records(spark, sf_dir).withColumn("l1", l1).select(
-        "conv_id", "turn", findings.rule_score(F.col("l1")).alias("a"), findings.top_score(findings.behaviours(text, findings.categories(F.col("l1")))).alias("b"),
-        findings.top_score(findings.data_loss(text)).alias("c"), findings.top_score(findings.relations(text)).alias("d"),
-    )
-    scored = layers.withColumn("exact", F.greatest(verdict.fused(F.col("a"), F.col("b"), F.col("c")), F.col("d")))
-    true = verdict.true_action(verdict.band(F.col("exact")))
-    return scored.select("conv_id", "turn", F.round("exact", 6).alias("score"), true.alias("true_action"), verdict.action(true, "monitor").alias("monitored"))
+    out = _scanned(spark, sf_dir)
+    return out.select("conv_id", "turn", F.round("score_exact", 6).alias("score"), "true_action", verdict.action(F.col("true_action"), "monitor").alias("monitored"))
 
 
 @query(

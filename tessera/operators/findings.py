@@ -127,14 +127,21 @@ AGENT_TRAFFIC = ("a2a", "agent", "mcp")
 STRONG, MEDIUM, WEAK = 0.65, 0.45, 0.30
 
 
-def relations(text: Column, mode: str = "chat") -> Column:
+def concepts(text: Column) -> dict[str, Column]:
+    """Whether a text holds each concept, and as imperative, whether a sentence of it begins as an order."""
+    has = {k: text.rlike(pattern(p)) for k, p in fixed.CONCEPTS.items()}
+    has["imperative"] = F.exists(F.split(text, "[.!?]"), lambda s: F.trim(s).rlike(pattern(fixed.CONCEPTS["imperative"])))
+    return has
+
+
+def relations(text: Column, mode: str = "chat", has: dict[str, Column] | None = None) -> Column:
     """Relations between concepts (an order to an assistant to drop its rules, and the like), as findings.
 
     Where nothing is aimed at an assistant, protected or an order, no score exceeds .04. Between agents scores are
-    raised by a third, to .85 at most.
+    raised by a third, to .85 at most. has: the concepts, where they are columns already.
     """
-    has = {k: text.rlike(pattern(p)) for k, p in fixed.CONCEPTS.items() if k != "imperative"}
-    order = F.exists(F.split(text, "[.!?]"), lambda s: F.trim(s).rlike(pattern(fixed.CONCEPTS["imperative"])))
+    has = has or concepts(text)
+    order = has["imperative"]
     protected = has["protected"] | has["secret"]
     ai = has["ai"] | has["system_ai"] | (order & protected)
     ai = F.when(F.lower(text).contains("system") & has["other_system"], has["ai"]).otherwise(ai)

@@ -36,6 +36,14 @@ def views(df: DataFrame, text: str = "text") -> DataFrame:
     return pinned(df, {"view": F.coalesce("seen", single_spaced(F.col("raw")))}).drop("seen")
 
 
+def related(df: DataFrame, view: str = "view", traffic: str = "chat") -> DataFrame:
+    """df with related, the relations in a view; each concept is looked for once."""
+    has = D.concepts(F.col(view))
+    out = pinned(df, {f"has_{k}": c for k, c in has.items()})
+    out = pinned(out, {"related": D.relations(F.col(view), traffic, {k: F.col(f"has_{k}") for k in has})})
+    return out.drop(*[f"has_{k}" for k in has])
+
+
 def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normalise: bool = True) -> DataFrame:
     """df with the verdict on model outputs: findings, score, category, rules, true_action, action.
 
@@ -43,24 +51,26 @@ def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normali
     """
     out = views(df, text) if normalise else df.withColumns({"raw": head(F.col(text)), "view": head(F.col(text))})
     view, raw = F.col("view"), F.col("raw")
-    rules = D.united(D.outputs(view), D.outputs(raw)) if normalise else D.outputs(raw)
+    differs = F.when(raw != view, D.outputs(raw)).otherwise(F.array().cast(D.FINDING))
+    rules = D.united(D.outputs(view), differs) if normalise else D.outputs(raw)
     out = pinned(out, {"l1": rules})
-    out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view), "related": D.relations(view)})
+    out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view)})
+    out = related(out)
     return _verdict(out, text, mode).drop("raw", "view")
 
 
 def _verdict(out: DataFrame, text: str, mode: str) -> DataFrame:
-    l1, l2, dlp, related = (F.col(c) for c in ("l1", "l2", "dlp", "related"))
-    score = F.greatest(V.fused(D.rule_score(l1), D.top_score(l2), D.top_score(dlp)), D.top_score(related))
+    l1, l2, dlp, rel = (F.col(c) for c in ("l1", "l2", "dlp", "related"))
+    score = F.greatest(V.fused(D.rule_score(l1), D.top_score(l2), D.top_score(dlp)), D.top_score(rel))
     missing = F.col(text).isNull()
     long = F.length(text) > HEAD
     score = F.when(missing, 0.0).when(long, F.greatest(score, F.lit(V.FLAG))).otherwise(score)
     fallback = F.when(missing, "input_not_scannable").when(long, "oversized_input")
-    rules = F.transform(F.concat(l1, l2, dlp, related), lambda x: x["rule"])
+    rules = F.transform(F.concat(l1, l2, dlp, rel), lambda x: x["rule"])
     rules = F.when(missing, F.array(F.lit("INPUT_NOT_SCANNABLE"))).when(long, F.array_append(rules, "LLM01_oversized_input")).otherwise(rules)
-    out = out.withColumns({"score_exact": score, "category": V.category(F.concat(l1, l2, dlp), related, fallback), "rules": rules, "input_status": F.when(missing, "not_scannable")})
+    out = out.withColumns({"score_exact": score, "category": V.category(F.concat(l1, l2, dlp), rel, fallback), "rules": rules, "input_status": F.when(missing, "not_scannable")})
     out = out.withColumn("true_action", V.true_action(V.band(F.col("score_exact"))))
-    return out.withColumns({"action": V.action(F.col("true_action"), mode), "score": F.round("score_exact", 3)}).drop("score_exact")
+    return out.withColumns({"action": V.action(F.col("true_action"), mode), "score": F.round("score_exact", 3)})
 
 
 def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic: str = "chat") -> DataFrame:
@@ -71,14 +81,15 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     scan = lambda t: D.scanned(t, INPUT_RULES, RESERVED_FILTERED)
     out = pinned(out.withColumn("repeats", C.repetitions("raw")), {"by_view": scan(view), "by_raw": F.when(raw != view, scan(raw)).otherwise(F.array().cast(D.FINDING))})
     out = pinned(out, {"l1": F.concat("repeats", D.united(F.col("by_view"), F.col("by_raw"))).cast(D.FINDING)}).drop("repeats", "by_view", "by_raw")
-    out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view), "related": D.relations(view, traffic), "frame": C.frame(view, F.col("extraction"))})
+    out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view), "frame": C.frame(view, F.col("extraction"))})
+    out = related(out, "view", traffic)
     disarmed = C.carries_command(F.col("l1"), V.BLOCK) & (F.col("frame") != "protective")
     out = out.withColumn("framed", F.coalesce(F.col("frame").isNotNull() & ~disarmed, F.lit(False)))
     out = pinned(out, {c: C.dampened(F.col(c), F.col("framed")) for c in ("l1", "l2")} | {"related": F.when(F.col("framed"), F.array().cast(D.FINDING)).otherwise(F.col("related"))})
-    l1, l2, dlp, related = (F.col(c) for c in ("l1", "l2", "dlp", "related"))
+    l1, l2, dlp, rel = (F.col(c) for c in ("l1", "l2", "dlp", "related"))
     # A dampened text has plain maxima.
     first = F.when(F.col("framed"), D.top_score(l1)).otherwise(D.rule_score(l1))
-    score = F.greatest(V.fused(first, D.top_score(l2), D.top_score(dlp)), D.top_score(related))
+    score = F.greatest(V.fused(first, D.top_score(l2), D.top_score(dlp)), D.top_score(rel))
     live = F.exists(l1, C.is_live)
     cap = F.greatest(F.lit(V.FLAG), F.lit(V.BLOCK - 0.05))
     mentioned = (score >= V.BLOCK) & (D.top_score(dlp) < V.BLOCK) & ~live & ~C.active_extraction(view) & C.is_quoted_mention(raw)
@@ -101,12 +112,12 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
         F.array(F.when(bypass, "LLM01_protective_override"), F.when(encoded, "LLM01_encoded_payload_directive"), F.when(decoded > 0, "LLM01_url_encoded_danger"), F.when(long, "LLM01_oversized_input")),
         lambda x: x.isNotNull(),
     )
-    rules = F.concat(F.transform(F.concat(l1, l2, dlp, related), lambda x: x["rule"]), extra)
+    rules = F.concat(F.transform(F.concat(l1, l2, dlp, rel), lambda x: x["rule"]), extra)
     fallback = F.when(missing, "input_not_scannable").when(bypass, "system_prompt_leak").when(encoded | (decoded > 0), "prompt_injection").when(long, "oversized_input")
     out = out.withColumns(
         {
             "score_exact": F.when(missing, 0.0).otherwise(score),
-            "category": V.category(F.concat(l1, l2, dlp), related, fallback),
+            "category": V.category(F.concat(l1, l2, dlp), rel, fallback),
             "rules": F.when(missing, F.array(F.lit("INPUT_NOT_SCANNABLE"))).otherwise(rules),
             "input_status": F.when(missing, "not_scannable"),
         }
