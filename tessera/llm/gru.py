@@ -56,7 +56,7 @@ class Lanes:
 
     def laid(self, first: np.ndarray) -> np.ndarray:
         """Places of the symbols, a row for each lane, -1 where a lane is over."""
-        out = np.full((len(self.docs), int(self.sizes.max(initial=0))), -1, np.int64)
+        out = np.full((len(self.docs), int(self.sizes.max(initial=0))), -1, np.int32)
         for k, ds in enumerate(self.docs):
             if ds:
                 out[k, : self.sizes[k]] = np.concatenate([np.arange(first[d], first[d + 1]) for d in ds])
