@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
@@ -115,31 +117,75 @@ def encoded_directive(text: Column) -> Column:
 
 def longest_repetition(text: str, shortest: int, longest: int, least: int) -> str | None:
     """A unit of so many characters that stands at least so often in a row, white space folded."""
+    text, chars = _folded(text)
+    return _repeated(text, chars, _periods(chars, shortest, longest, shortest * (least - 1)), shortest, longest, least)
+
+
+def _folded(text: str) -> tuple[str, np.ndarray]:
+    """A text with white space folded, and its characters as numbers."""
     text = re.sub(r"\s+", " ", text)
-    n = len(text)
-    for size in range(shortest, min(longest, n // least) + 1):
+    return text, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+#: Probes of a text that are compared at once.
+_PROBES = 4096
+
+
+def _periods(chars: np.ndarray, shortest: int, longest: int, need: int) -> list[int]:
+    """The shifts at which a text may be equal to itself over a stretch of need characters, in order.
+
+    Such a stretch holds a whole probe of some characters, as one begins every few characters; so none is missed.
+    """
+    width = min(32, need)
+    short, step = min(8, width), need - width + 1
+    padded = np.append(chars, np.full(width + longest, 0xFFFFFFFF, np.uint32))
+    rows = sliding_window_view(padded, width + longest)[: max(len(chars), 1) : step]
+    found: set[int] = set()
+    for k in range(0, len(rows), _PROBES):
+        part = rows[k : k + _PROBES]
+        equal = np.ones((len(part), longest - shortest + 1), bool)
+        for j in range(short):
+            equal &= part[:, shortest + j : longest + j + 1] == part[:, j : j + 1]
+        row, shift = np.nonzero(equal)
+        for j in range(short, width):
+            if not len(row):
+                break
+            same = part[row, j] == part[row, shift + shortest + j]
+            row, shift = row[same], shift[same]
+        found.update((np.unique(shift) + shortest).tolist())
+    return sorted(found)
+
+
+def _repeated(text: str, chars: np.ndarray, periods: list[int], shortest: int, longest: int, least: int) -> str | None:
+    for size in periods:
         # Equal to itself shifted by size, over a stretch of (least - 1) units.
-        need, run = size * (least - 1), 0
-        for i in range(n - size):
-            run = run + 1 if text[i] == text[i + size] else 0
-            if run >= need:
-                return text[i + 1 - run : i + 1 - run + size]
+        if shortest <= size <= min(longest, len(text) // least):
+            ends = len(text) - size
+            breaks = np.flatnonzero(chars[:ends] != chars[size:])
+            begins, stops = np.append(0, breaks + 1), np.append(breaks, ends)
+            long = np.flatnonzero(stops - begins >= size * (least - 1))
+            if len(long):
+                i = int(begins[long[0]])
+                return text[i : i + size]
     return None
 
 
+_UNITS = min(r[3] for r in REPETITION_RULES), max(r[4] for r in REPETITION_RULES), min(r[3] * (r[5] - 1) for r in REPETITION_RULES)
 _REPEATS = ArrayType(StructType([StructField("rule", StringType()), StructField("category", StringType()), StructField("score", DoubleType()), StructField("matched", StringType())]))
 
 
 @F.pandas_udf(_REPEATS)
 def repetitions(texts: pd.Series) -> pd.Series:
-    """Findings of phrases repeated many times; short texts and texts of many different words are passed over."""
+    """Findings of phrases repeated many times, anywhere in a text; in fewer than 100 characters no rule has room."""
 
     def found(text: str | None) -> list:
         out = []
-        if not text or len(text) < 100 or len(set(text[:20_000].split())) > 60:
+        if not text or len(text) < 100:
             return out
+        text, chars = _folded(text)
+        periods = _periods(chars, *_UNITS)
         for rule, category, score, shortest, longest, least in REPETITION_RULES:
-            unit = longest_repetition(text[:20_000], shortest, longest, least)
+            unit = _repeated(text, chars, periods, shortest, longest, least)
             if unit:
                 out.append((rule, category, score, unit))
         return out

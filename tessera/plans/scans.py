@@ -79,7 +79,7 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     out = C.with_extraction(out, "view")
     view, raw = F.col("view"), F.col("raw")
     scan = lambda t: D.scanned(t, INPUT_RULES, RESERVED_FILTERED)
-    out = pinned(out.withColumn("repeats", C.repetitions("raw")), {"by_view": scan(view), "by_raw": F.when(raw != view, scan(raw)).otherwise(F.array().cast(D.FINDING))})
+    out = pinned(out.withColumn("repeats", C.repetitions(text)), {"by_view": scan(view), "by_raw": F.when(raw != view, scan(raw)).otherwise(F.array().cast(D.FINDING))})
     out = pinned(out, {"l1": F.concat("repeats", D.united(F.col("by_view"), F.col("by_raw"))).cast(D.FINDING)}).drop("repeats", "by_view", "by_raw")
     out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view), "frame": C.frame(view, F.col("extraction"))})
     out = related(out, "view", traffic)

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,33 @@ def test_repetition():
     assert context.longest_repetition("every word here differs from any other one in the text", 5, 50, 21) is None
 
 
+def test_repetition_is_found_anywhere(spark):
+    ordinary = " ".join(f"word{i}" for i in range(200))
+    texts = [ordinary + " " + "buy now " * 40, ordinary * 20 + "buy now " * 40 + ordinary, ordinary * 20]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [{f.rule for f in r.f} for r in df.select("i", context.repetitions("text").alias("f")).orderBy("i").collect()]
+    assert "LLM04_phrase_repeat_overflow" in got[0] and "LLM04_phrase_repeat_overflow" in got[1] and not got[2]
+
+
+def test_repetition_agrees_with_a_plain_loop():
+    def plain(text, shortest, longest, least):
+        text = re.sub(r"\s+", " ", text)
+        for size in range(shortest, min(longest, len(text) // least) + 1):
+            run = 0
+            for i in range(len(text) - size):
+                run = run + 1 if text[i] == text[i + size] else 0
+                if run >= size * (least - 1):
+                    return text[i + 1 - run : i + 1 - run + size]
+        return None
+
+    rng = random.Random(7)
+    for _ in range(400):
+        unit = "".join(rng.choices("abé 😀", k=rng.randint(1, 9)))
+        text = "".join(rng.choices("abcé ", k=rng.randint(0, 60))) + unit * rng.randint(1, 30) + "".join(rng.choices("ab", k=rng.randint(0, 40)))
+        bounds = rng.choice([(1, 4, 2), (2, 9, 3), (5, 50, 21), (10, 50, 15), (3, 8, 6)])
+        assert context.longest_repetition(text, *bounds) == plain(text, *bounds)
+
+
 def test_shell_segments():
     got = commands.parse_command("sudo -u bob env A=1 cat '/etc/shadow' > out.txt && bash -c 'rm -rf / | tee x'")
     assert [(s["name"], s["wrappers"], s["depth"]) for s in got] == [("cat", ["sudo", "env"], 0), ("bash", [], 0), ("rm", [], 1), ("tee", [], 1)]
