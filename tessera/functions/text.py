@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from tessera.rules.fixed import KEYWORDS, LEFT_ALONE
 
@@ -141,6 +141,12 @@ def normalised(texts: pd.Series) -> pd.Series:
     return texts.map(normalised_text, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def all_normalised(texts: pd.Series) -> pd.Series:
+    """Arrays of texts, each normalised."""
+    return texts.map(lambda a: [normalised_text(t) for t in a], na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def percent_decoded(texts: pd.Series) -> pd.Series:
     """Texts with at least two percent escapes, decoded; else null."""

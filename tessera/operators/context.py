@@ -193,8 +193,11 @@ def repetitions(texts: pd.Series) -> pd.Series:
     return texts.map(found)
 
 
-def windows(text: Column, size: int = 100_000, overlap: int = 512, most: int = 8) -> Column:
-    """Overlapping windows of a long text as structs of place and text; a short one is one window."""
+def windows(text: Column, size: int = 100_000, overlap: int = 512, most: int | None = 8) -> Column:
+    """Overlapping windows of a long text as structs of place and text; a short one is one window. most: windows at
+    most, None for as many as cover the text."""
     step = size - overlap
-    count = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step).cast("int")))
+    count = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step).cast("int"))
+    if most is not None:
+        count = F.least(F.lit(most), count)
     return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct((k * step).alias("at"), text.substr(k * step + 1, F.lit(size)).alias("part")))

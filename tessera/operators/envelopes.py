@@ -21,7 +21,7 @@ NOISE_KEYS = set(
     " requestid request_id traceid trace_id correlationid correlation_id source timestamp fileid file_id".split()
 )
 _NOISE = re.compile(r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{16,})$", re.I)
-SHORTEST, MOST_CHARS = 4, 800_000
+SHORTEST = 4
 # Providers by a part of a host.
 PROVIDERS = [("anthropic", "anthropic"), ("openai", "openai"), ("azure", "azure-openai"), ("generativelanguage", "google"), ("googleapis", "google"), ("cohere", "cohere"), ("mistral", "mistral"), ("bedrock", "bedrock"), ("groq", "groq")]
 
@@ -86,7 +86,7 @@ def text_of(body: str | None) -> str | None:
             for key in ("message", "messages", "artifacts", "input", "prompt", "query"):
                 _walk(holder.get(key), key, found)
     _walk(tree, None, found)
-    return "\n".join(dict.fromkeys(found))[:MOST_CHARS] or body
+    return "\n".join(dict.fromkeys(found)) or body
 
 
 @F.pandas_udf(StringType())

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import HEAD, content_hash, head, is_plain, normalised, percent_decoded, single_spaced
+from tessera.functions.text import HEAD, all_normalised, content_hash, head, is_plain, normalised, percent_decoded, single_spaced
 from tessera.operators import context as C
 from tessera.operators import findings as D
 from tessera.operators import verdict as V
@@ -44,6 +44,40 @@ def related(df: DataFrame, view: str = "view", traffic: str = "chat") -> DataFra
     return out.drop(*[f"has_{k}" for k in has])
 
 
+def behind(df: DataFrame, text: str, normalise: bool = True) -> DataFrame:
+    """df with tails, the overlapping windows of a text behind its head (null for a short text), and tail_views, the
+    same windows as a reader sees them. They cover all of the text, and stay in the record's own row."""
+    parts = F.filter(C.windows(F.col(text), HEAD, most=None), lambda w: w["at"] > 0)
+    out = pinned(df, {"tails": F.when(F.length(text) > HEAD, F.transform(parts, lambda w: w["part"]))})
+    return out.withColumn("tail_views", all_normalised("tails") if normalise else F.col("tails"))
+
+
+def with_tail(df: DataFrame, text: str, rules, traffic: str = "chat", normalise: bool = True) -> DataFrame:
+    """df with tail, the verdict on the strongest window behind the head (the first of equals; null for a short text):
+    score, category, rules. Layers are those of the head, without a frame and with the largest score; rules: text
+    column -> findings."""
+    out = behind(df, text, normalise)
+    names = list(D.concepts(F.lit("")))
+    looked = lambda t: F.struct(t.alias("part"), rules(t).alias("l1"), D.intents(t).alias("intents"), D.data_loss(t).alias("dlp"), F.struct(*[c.alias(k) for k, c in D.concepts(t).items()]).alias("has"))
+    out = pinned(out, {"tail": F.transform("tail_views", looked)})
+
+    def layers(p):
+        both = F.array_union(D.categories(p["l1"]), D.categories(p["intents"]))
+        related = D.relations(p["part"], traffic, {k: p["has"][k] for k in names})
+        return F.struct(p["l1"].alias("l1"), F.concat(p["intents"], D.composites(both)).alias("l2"), p["dlp"].alias("dlp"), related.alias("related"))
+
+    def judged(p):
+        l1, l2, dlp, rel = (p[c] for c in ("l1", "l2", "dlp", "related"))
+        score = F.greatest(D.rule_score(l1), D.top_score(l2), D.top_score(dlp), D.top_score(rel))
+        category = V.category(F.concat(l1, l2, dlp), rel, F.lit(None).cast("string"))
+        return F.struct(score.alias("score"), category.alias("category"), F.transform(F.concat(l1, l2, dlp, rel), lambda x: x["rule"]).alias("rules"))
+
+    out = pinned(out, {"tail": F.transform("tail", layers)})
+    out = pinned(out, {"tail": F.transform("tail", judged)})
+    out = pinned(out, {"tail": V.first_top(F.col("tail"))})
+    return out.drop("tails", "tail_views")
+
+
 def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normalise: bool = True) -> DataFrame:
     """df with the verdict on model outputs: findings, score, category, rules, true_action, action.
 
@@ -55,8 +89,13 @@ def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normali
     rules = D.united(D.outputs(view), differs) if normalise else D.outputs(raw)
     out = pinned(out, {"l1": rules})
     out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view)})
-    out = related(out)
-    return _verdict(out, text, mode).drop("raw", "view")
+    out = with_tail(related(out), text, D.outputs, normalise=normalise)
+    return _verdict(out, text, mode).drop("raw", "view", "tail")
+
+
+def _and_tail(rules):
+    """Rules, then those of the tail that are not among them."""
+    return F.concat(rules, F.coalesce(F.array_except("tail.rules", rules), F.array().cast("array<string>")))
 
 
 def _verdict(out: DataFrame, text: str, mode: str) -> DataFrame:
@@ -64,10 +103,10 @@ def _verdict(out: DataFrame, text: str, mode: str) -> DataFrame:
     score = F.greatest(V.fused(D.rule_score(l1), D.top_score(l2), D.top_score(dlp)), D.top_score(rel))
     missing = F.col(text).isNull()
     long = F.length(text) > HEAD
-    score = F.when(missing, 0.0).when(long, F.greatest(score, F.lit(V.FLAG))).otherwise(score)
-    fallback = F.when(missing, "input_not_scannable").when(long, "oversized_input")
+    score = F.when(missing, 0.0).when(long, F.greatest(score, F.lit(V.FLAG), F.col("tail.score"))).otherwise(score)
+    fallback = F.when(missing, "input_not_scannable").when(long, F.coalesce("tail.category", F.lit("oversized_input")))
     rules = F.transform(F.concat(l1, l2, dlp, rel), lambda x: x["rule"])
-    rules = F.when(missing, F.array(F.lit("INPUT_NOT_SCANNABLE"))).when(long, F.array_append(rules, "LLM01_oversized_input")).otherwise(rules)
+    rules = F.when(missing, F.array(F.lit("INPUT_NOT_SCANNABLE"))).when(long, F.array_append(_and_tail(rules), "LLM01_oversized_input")).otherwise(rules)
     out = out.withColumns({"score_exact": score, "category": V.category(F.concat(l1, l2, dlp), rel, fallback), "rules": rules, "input_status": F.when(missing, "not_scannable")})
     out = out.withColumn("true_action", V.true_action(V.band(F.col("score_exact"))))
     return out.withColumns({"action": V.action(F.col("true_action"), mode), "score": F.round("score_exact", 3)})
@@ -82,7 +121,7 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     out = pinned(out.withColumn("repeats", C.repetitions(text)), {"by_view": scan(view), "by_raw": F.when(raw != view, scan(raw)).otherwise(F.array().cast(D.FINDING))})
     out = pinned(out, {"l1": F.concat("repeats", D.united(F.col("by_view"), F.col("by_raw"))).cast(D.FINDING)}).drop("repeats", "by_view", "by_raw")
     out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view), "frame": C.frame(view, F.col("extraction"))})
-    out = related(out, "view", traffic)
+    out = with_tail(related(out, "view", traffic), text, scan, traffic)
     disarmed = C.carries_command(F.col("l1"), V.BLOCK) & (F.col("frame") != "protective")
     out = out.withColumn("framed", F.coalesce(F.col("frame").isNotNull() & ~disarmed, F.lit(False)))
     out = pinned(out, {c: C.dampened(F.col(c), F.col("framed")) for c in ("l1", "l2")} | {"related": F.when(F.col("framed"), F.array().cast(D.FINDING)).otherwise(F.col("related"))})
@@ -102,18 +141,18 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     dangers = ["prompt_injection", "jailbreak", "system_prompt_leak", "code_execution", "credential_access", "data_exfiltration"]
     danger = F.when(F.col("decoded").isNotNull(), D.top_score(F.filter(scan(F.col("decoded")), lambda x: x["category"].isin(dangers)))).otherwise(F.lit(0.0))
     long, missing = F.length(text) > HEAD, F.col(text).isNull()
-    tail = F.when(long, _tail_score(F.col(text), traffic)).otherwise(F.lit(0.0))
-    out = pinned(out, {"tail": tail, "danger": danger, "bypass": bypass, "encoded": encoded, "capped": score})
+    out = pinned(out, {"danger": danger, "bypass": bypass, "encoded": encoded, "capped": score})
     bypass, encoded, decoded, score = (F.col(c) for c in ("bypass", "encoded", "danger", "capped"))
     score = F.when(bypass, F.greatest(score, F.lit(0.85))).otherwise(score)
     score = F.when(encoded, F.greatest(score, F.lit(0.75))).otherwise(score)
-    score = F.greatest(score, decoded, F.when(long, F.greatest(F.lit(V.FLAG), F.col("tail"))).otherwise(F.lit(0.0)))
+    score = F.greatest(score, decoded, F.when(long, F.greatest(F.lit(V.FLAG), F.col("tail.score"))).otherwise(F.lit(0.0)))
     extra = F.filter(
-        F.array(F.when(bypass, "LLM01_protective_override"), F.when(encoded, "LLM01_encoded_payload_directive"), F.when(decoded > 0, "LLM01_url_encoded_danger"), F.when(long, "LLM01_oversized_input")),
+        F.array(F.when(bypass, "LLM01_protective_override"), F.when(encoded, "LLM01_encoded_payload_directive"), F.when(decoded > 0, "LLM01_url_encoded_danger")),
         lambda x: x.isNotNull(),
     )
     rules = F.concat(F.transform(F.concat(l1, l2, dlp, rel), lambda x: x["rule"]), extra)
-    fallback = F.when(missing, "input_not_scannable").when(bypass, "system_prompt_leak").when(encoded | (decoded > 0), "prompt_injection").when(long, "oversized_input")
+    rules = F.when(long, F.array_append(_and_tail(rules), "LLM01_oversized_input")).otherwise(rules)
+    fallback = F.when(missing, "input_not_scannable").when(bypass, "system_prompt_leak").when(encoded | (decoded > 0), "prompt_injection").when(long, F.coalesce("tail.category", F.lit("oversized_input")))
     out = out.withColumns(
         {
             "score_exact": F.when(missing, 0.0).otherwise(score),
@@ -127,17 +166,6 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     return out.drop("score_exact", "raw", "view", "decoded", "tail", "extraction", "danger", "bypass", "encoded", "capped", "frame")
 
 
-def _tail_score(text, traffic: str):
-    """The largest score of the windows behind the head."""
-    parts = F.slice(C.windows(text), 2, 7)
-
-    def one(w):
-        t = w["part"]
-        return F.greatest(D.rule_score(D.scanned(t, INPUT_RULES, RESERVED_FILTERED)), D.top_score(D.data_loss(t)))
-
-    return F.coalesce(F.array_max(F.transform(parts, one)), F.lit(0.0))
-
-
 def hashed(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the text's hash and length in place of the text: what events may carry."""
     return df.withColumns({"content_hash": content_hash(F.col(text)), "content_length": F.length(text)}).drop(text)
@@ -149,6 +177,15 @@ SOFT = ["data_exfiltration", "jailbreak", "system_prompt_leak", "encoding_evasio
 PROSE_FREE_KEYS = ["command", "cmd", "script", "args", "shell", "code"]
 
 
+def _found_behind(scan):
+    """Findings in the windows behind the head of a tool call's text, each rule once."""
+    none = F.array().cast(D.FINDING)
+    kept = lambda t: F.filter(scan(t), lambda x: x["category"].isin(*HARD, *SOFT))
+    content = F.transform(F.array_union("tail_views", "tails"), kept)
+    secrets = F.transform("tails", lambda t: D.data_loss(t, D.SURE_SECRETS))
+    return F.coalesce(F.aggregate(F.concat(content, secrets), none, D.united), none)
+
+
 def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[str] = (), policy=None) -> DataFrame:
     """calls (tool_name, arguments map<string,string>, ...) with impact, findings and a verdict.
 
@@ -166,13 +203,16 @@ def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[s
     scan = lambda t: D.scanned(t, INPUT_RULES, RESERVED_FILTERED)
     every = D.united(D.united(scan(F.col("view")), scan(F.col("raw"))), F.coalesce(scan(rebuilt(F.col("segments"))), F.array().cast(D.FINDING)))
     out = pinned(out, {"content": F.filter(every, lambda x: x["category"].isin(*HARD, *SOFT)), "secrets": D.data_loss(F.col("raw"), D.SURE_SECRETS)})
+    out = pinned(behind(out, "flat"), {"tail_found": _found_behind(scan)})
     listed = is_listed(F.col("tool_name"), list(blocked_tools))
     prose = C.is_documentary(F.col("raw")) & ~F.exists(F.map_keys("arguments"), lambda k: F.lower(k).isin(*PROSE_FREE_KEYS))
     residue = ~F.exists(scan(C.without_code(F.col("raw"))), lambda x: x["category"].isin(*HARD))
-    all_found = F.concat("content", "structure", "secrets")
-    hard = F.filter(all_found, lambda x: ~x["category"].isin(*SOFT))
+    head_found = F.concat("content", "structure", "secrets")
+    all_found = D.united(head_found, F.col("tail_found"))
+    # What prose explains is explained in the head only.
+    hard, hard_behind = (F.filter(x, lambda x: ~x["category"].isin(*SOFT)) for x in (head_found, F.col("tail_found")))
     missing = F.col("tool_name").isNull()
-    out = pinned(out, {"all_found": all_found, "hard": F.when(F.coalesce(prose & residue, F.lit(False)), F.array().cast(D.FINDING)).otherwise(hard), "listed": listed})
+    out = pinned(out, {"all_found": all_found, "hard": F.when(F.coalesce(prose & residue, F.lit(False)), hard_behind).otherwise(D.united(hard, hard_behind)), "listed": listed})
     found, long = F.col("all_found"), F.length("flat") > HEAD
     out = out.withColumns(
         {
