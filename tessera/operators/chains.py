@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.findings import pattern
@@ -26,26 +28,17 @@ def chain_ends(turns: DataFrame, chain: tuple) -> DataFrame:
     """(conv_id, turn) of the turns at which a chain (name, category, score, gap, steps) is complete: its steps stand in
     order, each at most gap turns after the one before.
 
-    A conversation's turns are folded once, carrying for each step the last turn at which the steps up to it were
-    complete; what is carried is as long as the chain, not as the conversation.
+    A step is complete at a turn that fits it if the step before is complete within gap turns before; each is a window
+    over a conversation's turns, which spills, so no conversation has to fit into memory.
     """
     _, _, _, gap, steps = chain
-    marked = turns.select("conv_id", "turn", F.array(*[_step(s, F.col("text"), F.col("role")) for s in steps]).alias("fits"))
-    marked = marked.where(F.exists("fits", lambda x: x))
-    ordered = marked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "fits"))).alias("turns"))
-    n = len(steps)
-    start = F.struct(F.array_repeat(F.lit(None).cast("long"), n).alias("last"), F.array().cast("array<long>").alias("ends"))
-
-    def fold(state: Column, t: Column) -> Column:
-        last = state["last"]
-        now = F.array(*[
-            F.when(t["fits"][k] & (F.lit(True) if k == 0 else F.coalesce((last[k - 1] < t["turn"]) & (t["turn"] - last[k - 1] <= gap), F.lit(False))), t["turn"]).otherwise(last[k])
-            for k in range(n)
-        ])
-        done = F.coalesce(now[n - 1] == t["turn"], F.lit(False))
-        return F.struct(now.alias("last"), F.when(done, F.array_append(state["ends"], t["turn"])).otherwise(state["ends"]).alias("ends"))
-
-    return ordered.select("conv_id", F.explode(F.aggregate("turns", start, fold, lambda s: s["ends"])).alias("turn"))
+    out = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), *[_step(s, F.col("text"), F.col("role")).alias(f"s{k}") for k, s in enumerate(steps)])
+    out = out.where(reduce(lambda x, y: x | y, [F.col(f"s{k}") for k in range(len(steps))]) & F.col("turn").isNotNull())
+    before = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-gap, -1)
+    for k in range(1, len(steps)):
+        complete = F.max(F.when(F.col(f"s{k - 1}"), F.col("turn"))).over(before).isNotNull()
+        out = out.withColumn(f"s{k}", F.col(f"s{k}") & complete)
+    return out.where(f"s{len(steps) - 1}").select("conv_id", "turn")
 
 
 def chain_findings(turns: DataFrame, names: list[str] | None = None) -> DataFrame:
