@@ -1,12 +1,14 @@
 """Main text of web pages by differencing with the pages whose URLs are nearest.
 
-The pages of a host are sorted by path, by ranges of (host, path), so that a host with a third of all pages lies in
-many tasks. Each page's lines are aligned with those of the pages before and after it by a longest common
-subsequence; lines they share are the site's template and are deleted. Neighbours meet by their rank in the order, a
-join of equal keys without a hot one, and only line hashes move.
-
-Lines inside a declared content element (article, main) are kept even if they are shared: copies of one article on
-near pages would delete each other. Lines in elements that are declared as menus, footers and the like go in any case.
+Markup names part of a page's frame (menus, footers, adverts); these lines go. The others are candidates. Candidate
+lines of one host's pages are sorted by path, by ranges of (host, path), so that a host with a third of all pages lies
+in many tasks; pages with the same lines are one there, so copies are no neighbours of each other. Each page's lines
+are aligned with those of its two nearest by a longest common subsequence, and lines that they share are the site's
+template and are deleted. Pages meet their neighbours by their rank in the order, keys of at most five rows, and only
+line hashes move.
+
+A neighbour that shares nearly all of a page's text (COPY of its characters) is a copy of it and tells nothing about
+the template. Lines inside a declared content element (article, main) are kept even if they are shared.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.components import met
 from tessera.llm.markup import text_blocks
-from tessera.llm.shared import bounded_batches, files_for, read, written
+from tessera.llm.shared import bounded_batches, read, written
 
 #: Cells of an alignment table that are held at once.
 CELLS = 1 << 22
+#: A page that shares more than this part of the characters is a copy.
+COPY = 0.8
 
-PARSED = "page_id long, url string, host string, path string, digest long, text string, blocks array<string>, places array<int>, hashes array<long>"
+PARSED = "page_id long, url string, host string, path string, content long, blocks array<string>, sure array<boolean>, hashes array<long>, sizes array<int>"
 
 
 def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,18 +95,15 @@ def _where(url: str | None) -> tuple[str, str]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.int64()), ("text", pa.string()), ("blocks", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())), ("sure", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             rows = []
             for page_id, url, source in zip(*(batch.slice(at, 256).column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                found = text_blocks(source or "")
-                content = [b for b, frame, inside in found if inside and not frame]
-                hashes = [xxhash.xxh64_intdigest(b) - (1 << 63) for b, _, _ in found]
-                digest = xxhash.xxh64_intdigest(f"{url}\0{source}") - (1 << 63)
-                loose = [] if content else [(k, b) for k, (b, frame, _) in enumerate(found) if not frame]
-                text = "\n\n".join(content) if content else None if loose else ""
-                rows.append((page_id, url, *_where(url), digest, text, [b for _, b in loose], [k for k, _ in loose], hashes))
+                found = [(b, inside) for b, frame, inside in text_blocks(source or "") if not frame]
+                hashes = np.array([xxhash.xxh64_intdigest(b) for b, _ in found], np.uint64).view(np.int64)
+                content = xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+                rows.append((page_id, url, *_where(url), content, [b for b, _ in found], [s for _, s in found], hashes, [len(b) for b, _ in found]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
 
@@ -112,34 +114,45 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += batch.num_rows
 
 
+def shared_lines(own: np.ndarray, sizes: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which lines of a page its neighbours share; a neighbour that shares over COPY of the characters is not counted."""
+    shared, whole = np.zeros(len(own), bool), COPY * sizes.sum()
+    for other in others:
+        common = common_lines(own, other)
+        if sizes[common].sum() <= whole:
+            shared |= common
+    return shared
+
+
 def _template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for own, before, after in zip(*(batch.column(c).to_pylist() for c in ("hashes", "before", "after"))):
-            own = np.array(own, np.int64)
-            shared = np.zeros(len(own), bool)
-            for other in (before, after):
-                if other:
-                    shared |= common_lines(own, np.array(other, np.int64))
-            found.append(np.flatnonzero(shared).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("digest"), pa.array(found, pa.list_(pa.int32()))], ["page_id", "digest", "shared"])
+        for near in batch.column("near").to_pylist():
+            at = {x["k"]: x for x in near}
+            own = at[0]
+            same = {k: np.array(x["hashes"], np.int64) for k, x in at.items() if x["host"] == own["host"]}
+            chosen = [k for k in (-1, 1, -2, 2) if k in same][:2]
+            shared = shared_lines(np.array(own["hashes"], np.int64), np.array(own["sizes"], np.int64), [same[k] for k in chosen])
+            found.append((own["host"], own["content"], np.flatnonzero(shared).astype(np.int32)))
+        columns = list(zip(*found)) if found else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int32())))], ["host", "content", "shared"])
 
 
 def template_lines(parsed: DataFrame) -> DataFrame:
-    """(page_id, digest, shared) of each page: the lines it shares with the page before or after it on its host."""
+    """(host, content, shared): of each host's distinct lists of lines, those shared with the nearest pages."""
     n = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = parsed.select("page_id", "digest", "host", "path", "hashes")
-    order = ["host", "path", "page_id", "digest"]
-    fields = "page_id long, digest long, host string, path string, hashes array<long>, part int, place long"
-    ordered = written(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_numbered, fields), "ordered")
+    lines = parsed.groupBy("host", "content").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
+    order = ["host", "path", "content"]
+    fields = "host string, path string, content long, hashes array<long>, sizes array<int>, part int, place long"
+    ordered = lines.select("host", "path", "content", "hashes", "sizes").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ordered = written(ordered.mapInArrow(_numbered, fields), "ordered")
     parts = ordered.groupBy("part").agg(F.count("*").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     ranked = ordered.join(F.broadcast(before), "part").withColumn("rank", F.col("first") + F.col("place"))  # a row for each task that sorted
-    near = ranked.select("rank", "host", "hashes")
-    left, right = (near.select((F.col("rank") + k).alias("rank"), F.col("host").alias(f"host_{name}"), F.col("hashes").alias(name)) for k, name in ((1, "before"), (-1, "after")))
-    met = ranked.join(left, "rank", "left").join(right, "rank", "left")
-    same = [F.when(F.col("host") == F.col(f"host_{c}"), F.col(c)).alias(c) for c in ("before", "after")]
-    return met.select("page_id", "digest", "hashes", *same).mapInArrow(_template, "page_id long, digest long, shared array<int>")
+    line = F.struct(F.col("k"), "host", "content", "hashes", "sizes")
+    sent = ranked.withColumn("k", F.explode(F.array(*map(F.lit, range(-2, 3))))).select((F.col("rank") - F.col("k")).alias("rank"), line.alias("line"))
+    near = sent.groupBy("rank").agg(F.collect_list("line").alias("near"))  # five at most
+    return near.where(F.exists("near", lambda x: x["k"] == 0)).select("near").mapInArrow(_template, "host string, content long, shared array<int>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -147,15 +160,17 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     text has the blocks of the main text in page order with an empty line between; it is empty where there is none,
     as for null and empty html. Pages without a URL are neighbours of each other. Rows that repeat a page_id each get
-    a row. An empty table gives none. Other columns are not read.
+    a row; copies of a page have one text, which they do not take from each other. An empty table gives none. Other
+    columns are not read.
     """
     bounded_batches(pages.sparkSession)
     parsed = written(pages.select("page_id", "url", "html").mapInArrow(_parsed, PARSED), "parsed")
-    shared = written(template_lines(parsed), "template", files_for(pages.sparkSession, parsed.count())).dropDuplicates(["page_id", "digest"]).withColumnRenamed("page_id", "p").withColumnRenamed("digest", "d")
-    loose = parsed.where("text is null")
-    kept = F.filter(F.arrays_zip("blocks", "places"), lambda x: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), x["places"]))
-    found = loose.join(shared, (loose.digest == shared.d) & loose.page_id.eqNullSafe(shared.p), "left").select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n\n").alias("text"))
-    return parsed.where("text is not null").select("page_id", "url", "text").union(found)
+    shared = written(template_lines(parsed), "template", True).where(F.size("shared") > 0)
+    pages = met(parsed, shared, "content", "page_id", "left", ["host"])
+    lines = F.arrays_zip("blocks", "sure", F.sequence(F.lit(0), F.size("blocks")).alias("place"))
+    gone = F.coalesce("shared", F.array().cast("array<int>"))
+    kept = F.filter(lines, lambda x: x["blocks"].isNotNull() & (x["sure"] | ~F.array_contains(gone, x["place"])))
+    return pages.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n\n").alias("text"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
+#: Attributes end where the next tag begins, so a tag that is left open is looked through once.
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
+    r"<!--.*?(?P<shut>-->|\Z)"
+    rf"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|canvas)\b{_ATTRS}>.*?(?P<over></(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
+_BROKEN = re.compile(r"<[a-zA-Z/!?]")
 _MARKED = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 #: Elements that are never content.
@@ -48,13 +52,22 @@ def text_blocks(source: str) -> list[tuple[str, bool, bool]]:
     """(text, in the frame, in a content element) of each block in page order; empty blocks are left out.
 
     Character references are decoded, and white space in a block is one space. Elements left open end with those
-    around them; an end without a start is ignored.
+    around them; an end without a start is ignored, and so is a tag that the page's end cuts off. Time grows in
+    proportion to the page.
     """
     out: list[tuple[str, bool, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
+    opened: Counter[str] = Counter()
     frames = contents = 0
 
+    def close() -> str:
+        nonlocal frames, contents
+        name, f, c = stack.pop()
+        opened[name] -= 1
+        frames, contents = frames - f, contents - c
+        return name
+
     def flush() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
@@ -62,8 +75,9 @@ def text_blocks(source: str) -> list[tuple[str, bool, bool]]:
             if joined:
                 out.append((joined, frames > 0, contents > 0))
 
-    at = 0
-    for m in _TOKEN.finditer(source):
+    at, last = 0, source.rfind(">") + 1
+    body, tail = source[:last], _BROKEN.split(source[last:], maxsplit=1)[0]
+    for m in _TOKEN.finditer(body):
         if m.start() > at:
             text.append(source[at : m.start()])
         at = m.end()
@@ -71,6 +85,8 @@ def text_blocks(source: str) -> list[tuple[str, bool, bool]]:
         if not tag:
             if m["raw"]:
                 text.append(" ")
+            if m["shut"] == "" or m["over"] == "":  # left open: the rest is part of it
+                tail = ""
             continue
         tag = tag.lower()
         if tag in INLINE:
@@ -79,35 +95,34 @@ def text_blocks(source: str) -> list[tuple[str, bool, bool]]:
             if m["end"]:
                 if stack and stack[-1][0] == tag:
                     flush()
-                    _, f, c = stack.pop()
-                    frames, contents = frames - f, contents - c
+                    close()
             elif m["attrs"] and tag not in VOID and _frame_by_name(m["attrs"])[0]:
                 flush()
                 stack.append((tag, True, False))
+                opened[tag] += 1
                 frames += 1
             continue
         flush()
         if m["end"]:
-            if any(s[0] == tag for s in stack):
-                while True:
-                    name, f, c = stack.pop()
-                    frames, contents = frames - f, contents - c
-                    if name == tag:
-                        break
+            if opened[tag]:
+                while close() != tag:
+                    pass
             continue
         if tag in VOID:
             continue
         if tag == "body":
-            stack, frames, contents = [], 0, 0
+            stack.clear()
+            opened.clear()
+            frames = contents = 0
         while stack and stack[-1][0] in ("p", "b", "span", "a", "i", "small", "strong", "em") and tag not in CONTENT:
-            _, f, c = stack.pop()
-            frames, contents = frames - f, contents - c
+            close()
         by_frame, by_content = _frame_by_name(m["attrs"]) if m["attrs"] else (False, False)
         frame = tag in FRAME or by_frame and tag not in CONTENT and tag not in ("body", "html") or tag == "header" and not contents
         content = not frame and (tag in CONTENT or by_content)
         if tag != "p" or frame:
             stack.append((tag, frame, content))
+            opened[tag] += 1
             frames, contents = frames + frame, contents + content
-    text.append(source[at:])
+    text.append(body[at:] + tail)
     flush()
     return out

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.components import components
-from tessera.llm.shared import SPACED, blocks, bounded_batches, distinct_in_texts, drop, files_for, find_words, mix, read, shingle_hashes, word_hashes, written
+from tessera.llm.components import components, met
+from tessera.llm.shared import SPACED, blocks, bounded_batches, distinct_in_texts, drop, find_words, mix, read, shingle_hashes, word_hashes, written
 
 SHINGLE = 5
 BANDS, ROWS, SAMPLES, BITS = 25, 5, 128, 512
@@ -36,8 +36,8 @@ _rng = np.random.default_rng(20_240)
 _FACTORS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>, parity array<long>"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+SIGNED = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>, parity array<long>"
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, first = text_sets(data, offsets)
             n = np.diff(first)
             full = np.flatnonzero(n)
-            ids = part.column("doc_id")
             h1, h2 = (np.zeros(len(n), np.uint64) for _ in range(2))
             bands, sketch, parity = (np.zeros((len(n), k), np.int64) for k in (BANDS, LONGS, SET_LONGS))
             if len(full):
@@ -103,7 +102,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = signatures(h, at)
                 bands[full], sketch[full], parity[full] = band_keys(s), odd_sketches(s), set_parities(h, at)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (bands, sketch, parity)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists], schema=_SIGNED)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -146,54 +145,69 @@ def _most_bits(percent: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id long, text string, ...).
+    """(doc_id, n_shingles, component_id, kept, text_hash) of each row of docs (doc_id long, text string, ...).
 
     Linked are documents whose shingle sets have 100 * intersection >= percent * union; a component is named
     after its smallest doc_id, which is kept. Null and empty texts and texts of white space have no shingles and
-    are linked with nothing. Rows that repeat a doc_id are one document each of the same component where their
-    texts are alike, and the result has a row for each. A null doc_id stays alone, with a null component_id.
-    An empty table gives no rows. Columns besides doc_id and text are not read.
+    are linked with nothing. Rows are documents of their own: those that repeat a doc_id are linked by their texts
+    alone, so two with unlike texts may lie in different components, and each row has a row in the result, told apart
+    by text_hash (xxhash64 of the text). A null doc_id stays alone, with a null component_id. An empty table gives no
+    rows. Columns besides doc_id and text are not read.
     """
     bounded_batches(docs.sparkSession)
     # A pair of 85 % is missed by all 25 bands with a probability of 4e-7.
-    signed = written(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED), "signed")
-    files = files_for(docs.sparkSession, signed.count())
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    first = classes.select(F.col("rep").alias("doc_id"), "h1", "h2")
-    reps = written(full.join(first, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]), "reps", files)
-    members = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    buckets = written(members.join(shared, "bucket"), "buckets", files)
-    involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = _may_be_in(docs.where("doc_id is not null").select("doc_id", "text"), involved)
-    texts = written(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts", files)
-    marks = written(reps.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *_spread("sketch", "s", LONGS), *_spread("parity", "f", SET_LONGS)), "marks", files)
-    drop(reps)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = written(rows.mapInArrow(_sign, SIGNED), "signed")
+    classes = _classes(signed.where("n_shingles > 0 and doc_id is not null"))
+    members = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    buckets = written(met(members, shared, "bucket", "node"), "buckets", True)
+    involved = written(classes.join(buckets.select("node").distinct(), "node", "left_semi"), "involved", True)
+    named = involved.select("doc_id", "text_hash", "node")
+    texts = _may_be_in(rows, named).join(named, ["doc_id", "text_hash"])
+    texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts", True)
+    marks = written(involved.select("node", F.col("n_shingles").alias("n"), *_spread("sketch", "s", LONGS), *_spread("parity", "f", SET_LONGS)), "marks", True)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return written(pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "confirmed", files)
+        a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        return written(met(pairs, a, "a", "b").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "confirmed")
 
-    mine = marks.select("rep", "n", *[f"s{i}" for i in range(LONGS)])
+    mine = marks.select("node", "n", *[f"s{i}" for i in range(LONGS)])
     other = mine.select(*[F.col(c).alias(f"p_{c}") for c in mine.columns])
-    pivots = buckets.select("rep", F.explode(F.array("low", "high")).alias("p_rep")).where("rep <> p_rep").distinct()
+    pivots = buckets.select("node", F.explode(F.array("low", "high")).alias("p_node")).where("node <> p_node").distinct()
     near = (_differ("p_s", "s", LONGS) <= _most_bits(percent)) & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
-    pairs = written(pivots.join(mine, "rep").join(other, "p_rep").where(near).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct(), "pairs", files)
+    pairs = written(met(pivots.join(mine, "node"), other, "p_node", "node").where(near).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct(), "pairs", True)
     # One pair for each member first; then those that could still join two components.
     links = confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    comps = components(links, files)
+    comps = components(links)
     ca, cb = (comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    open_pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    open_pairs = met(pairs, ca, "a", "b", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     links = links.union(confirmed(open_pairs))
-    comps = components(links, files)
-    links = links.union(confirmed(_across(buckets, marks, comps, percent, files).join(pairs, ["a", "b"], "left_anti")))
-    comps = components(links, files)
-    drop(buckets, texts, marks, pairs)
+    comps = components(links)
+    links = links.union(confirmed(_across(buckets, marks, comps, percent).join(pairs, ["a", "b"], "left_anti")))
+    comps = components(links)
+    drop(buckets, texts, marks, pairs, involved)
 
-    named = classes.join(comps, classes.rep == comps.id, "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(named, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # Nodes are numbered in the order of their doc_id, so a component's smallest node has its smallest doc_id.
+    roots = comps.where("id = component").select("component").join(classes.select(F.col("node").alias("component"), F.col("doc_id").alias("name")), "component")
+    named = met(comps, roots, "component", "id").select(F.col("id").alias("node"), "name")
+    sets = classes.join(named, "node", "left").select("h1", "h2", F.coalesce("name", "doc_id").alias("component"))
+    out = met(signed.where("n_shingles > 0 and doc_id is not null"), sets, "h2", "doc_id", others=["h1"])
+    none = signed.where("n_shingles = 0 or doc_id is null").withColumn("component", F.col("doc_id"))
+    fields = ["doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "text_hash"]
+    return out.select(*fields).union(none.select(*fields))
+
+
+def _classes(full: DataFrame) -> DataFrame:
+    """A node for each distinct set: its smallest doc_id, the text_hash of a row with that, and its signature.
+
+    Copies are folded within map tasks. Nodes are numbered along a sort by doc_id, and written, so a number stays.
+    """
+    n = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity")])
+    order = ["doc_id", "h1", "h2"]
+    sets = one.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"), "h1", "h2", "n_shingles", "bands", "sketch", "parity")
+    return written(sets.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def _spread(column: str, name: str, longs: int) -> list[Column]:
@@ -204,26 +218,34 @@ def _spread(column: str, name: str, longs: int) -> list[Column]:
 FILTER_BITS = 1 << 24
 
 
-def _may_be_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be one of ids, by a bitmap of fixed size: a join that follows moves fewer texts."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("set_bits"))
-    tested = docs.withColumn("bit", bit).join(F.broadcast(words), F.expr("bit div 64 = word"))
-    return tested.where("getbit(set_bits, cast(bit % 64 as int)) = 1").select(docs.columns)
+def _may_be_in(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows whose (doc_id, text_hash) may be in named, by a bitmap of fixed size: a join that follows moves fewer texts."""
+    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS))
+    words = named.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("set_bits"))
+    tested = rows.withColumn("bit", bit).join(F.broadcast(words), F.expr("bit div 64 = word"))
+    return tested.where("getbit(set_bits, cast(bit % 64 as int)) = 1").select(rows.columns)
+
+
+#: Members of a bucket outside its largest component that one task compares with the rest of the bucket, about.
+APART = 256
 
 
-def _across(buckets: DataFrame, marks: DataFrame, comps: DataFrame, percent: int, files: int) -> DataFrame:
+def _across(buckets: DataFrame, marks: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs within buckets whose ends lie in different components."""
-    named = buckets.select("bucket", "rep").join(comps, buckets.rep == comps.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    named = buckets.select("bucket", "node").join(comps, buckets.node == comps.id, "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts"), F.sum("size").alias("all")).where("parts > 1")
+    most = most.withColumn("shares", F.ceil((F.col("all") - F.col("m.size")) / APART))
     marked = marks.drop(*[f"s{i}" for i in range(LONGS)])
-    named = named.join(most, "bucket").select("bucket", "rep", "component", (F.col("component") != F.col("m.component")).alias("apart")).join(marked, "rep")
-    named = written(named, "apart", files)
-    few = named.where("apart").select(*[F.col(c).alias(c if c == "bucket" else f"p_{c}") for c in named.columns])
+    named = met(named, most, "bucket", "node").select("bucket", "shares", "node", "component", (F.col("component") != F.col("m.component")).alias("apart")).join(marked, "node")
+    named = written(named, "apart", True)
+    # Many members apart are dealt to as many tasks as that takes; all members of the bucket go to each of these.
+    few = named.where("apart").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
+    few = few.select(*[F.col(c).alias(c if c in ("bucket", "share") else f"p_{c}") for c in few.columns])
+    every = named.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
     alike = (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent) & (_differ("p_f", "f", SET_LONGS) <= _most_set_bits(F.col("n"), F.col("p_n"), percent))
-    met = few.join(named, "bucket").where((F.col("p_component") != F.col("component")) & (F.col("p_rep") != F.col("rep")) & alike)
-    return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
+    pairs = few.join(every, ["bucket", "share"]).where((F.col("p_component") != F.col("component")) & (F.col("p_node") != F.col("node")) & alike)
+    return pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

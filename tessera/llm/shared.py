@@ -19,9 +19,14 @@ BLOCK_BYTES = 1 << 19
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Rows and bytes that Spark sends to Python at once: texts may be long, so the usual 10 000 rows are too many."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Rows and bytes that Spark sends to Python at once: texts may be long, so the usual 10 000 rows are too many.
+
+    Results are computed when the caller asks for them, so these bounds stay in the session. Smaller ones are kept.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        found = spark.conf.get(name).rstrip("b")
+        if not (found.isdigit() and 0 < int(found) <= most):
+            spark.conf.set(name, str(most))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,9 +39,14 @@ _kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one set here where it is unset.
+
+    A cluster must name it: a folder made here would be another one on each machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))  # unset: a single machine, as in tests
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -51,19 +61,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Rows of the input that a file of an intermediate table stands for, about.
-ROWS_A_FILE = 40_000
+def written(df: DataFrame, name: str, even: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost no recomputation.
 
-
-def files_for(spark: SparkSession, rows: int) -> int:
-    """Files of small intermediate tables of an input of so many rows: a task for each core at least, and no dust."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE))
-
-
-def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost no recomputation."""
+    even: Spark evens out and joins the partitions of a shuffle by their measured sizes first, so that a small table
+    has few files, a large one many, and none grows with the table.
+    """
     spark = df.sparkSession
-    df = df.coalesce(files) if files else df
+    df = df.hint("rebalance") if even else df
     path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -259,6 +260,55 @@ def test_html(spark):
     assert text_blocks("<p>a<script>var t='</p>'</script> b<!-- x --><li>c") == [("a b", False, False), ("c", False, False)]
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    article = "".join(f"<p>{prose(30)}</p>" for _ in range(4))
+    text = "\n\n".join(re.findall("<p>(.*?)</p>", article))
+    rows = [(1, "http://a/x/1", article), (1, "http://a/x/1", article), (2, "http://a/x/2", article)]
+    rows += [(3, "http://b/y/1", "<p>menu</p>" + article + "<p>1 May</p>"), (4, "http://b/y/2", "<p>menu</p>" + article + "<p>2 May</p>")]
+    rows += [(5, "http://c/1", f"<p>menu of pages</p><article><p>{text[:90].strip()}</p></article><p>foot</p>"), (6, "http://c/2", f"<p>menu of pages</p><article><p>{text[:90].strip()}</p></article><p>note</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in html_text.main_text(df).collect())
+    same = [("menu\n\n" + text + f"\n\n{k} May") for k in (1, 2)]
+    assert got[:5] == [(1, text), (1, text), (2, text), (3, same[0]), (4, same[1])]
+    assert [g[1].endswith(end) for g, end in zip(got[5:], ("foot", "note"))] == [True, True] and all(text[:90].strip() in g[1] for g in got[5:])
+
+
+def test_html_agrees_with_plain_differencing(spark):
+    rng = np.random.default_rng(11)
+    menu, foot = [prose(3) for _ in range(4)], prose(4)
+    pages = []
+    for k in range(40):
+        body = [prose(int(rng.integers(8, 30))) for _ in range(int(rng.integers(3, 7)))]
+        lines = [*menu[: int(rng.integers(1, 5))], *body, foot]
+        pages.append((k, f"http://h{k % 3}/p/{k:03d}", lines))
+    df = spark.createDataFrame([(k, u, "".join(f"<div>{x}</div>" for x in lines)) for k, u, lines in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+
+    def common(a, b):
+        table = [[[] for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + [i] if x == y else max(table[i][j + 1], table[i + 1][j], key=len)
+        return table[-1][-1]
+
+    for h in range(3):
+        host = sorted((p for p in pages if p[0] % 3 == h), key=lambda p: p[1])
+        for i, (k, _, lines) in enumerate(host):
+            near = [host[j] for j in (i - 1, i + 1, i - 2, i + 2) if 0 <= j < len(host)][:2]
+            gone = {lines[x] for o in near for x in common(lines, o[2])}
+            assert got[k] == "\n\n".join(x for x in lines if x not in gone), k
+
+
+def test_broken_markup_takes_time_in_proportion():
+    began = time.perf_counter()
+    for piece in ("<a ", "<a '", '<a "<b ', "<div>", "<div></p>", "<!--", "<script", "</", "<p class=' "):
+        text_blocks("x" + piece * (2_000_000 // len(piece) // 4))
+    text_blocks("x" + "<a " * 700_000)
+    assert time.perf_counter() - began < 20
+    assert text_blocks("<p>a<b <i>c</i></p> d < e <a") == [("ac", False, False), ("d < e", False, False)]
+    assert text_blocks("<p>a</p><!-- b > c") == [("a", False, False)]
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -274,3 +324,24 @@ def test_common_lines_is_a_longest_common_subsequence():
             it = iter(b)
             assert all(x in it for x in a[mask])
     html_text.CELLS = 1 << 22
+
+
+def test_rows_of_one_id_with_unlike_texts_are_documents_of_their_own(spark):
+    a, b = prose(60), prose(60)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " z"), (3, b + " z"), (5, a + " y"), (5, prose(50))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 1, False), (5, 5, True)]
+
+
+def test_many_members_apart_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "APART", 2)
+    texts = [" ".join(BASE.split()[:60] + prose(8 * k % 37).split()) for k in range(24)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    top = list(range(24))
+    for _ in range(24):
+        for i in range(24):
+            for j in range(24):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    top[i] = min(top[i], top[j])
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == dict(enumerate(top))
