@@ -1,10 +1,12 @@
 """License scan by diagonal voting; DataFrame functions only.
 
 Every rolling pair of words of a text is joined to the places of that pair in the templates. A match votes for the
-diagonal "place in the text less place in the template"; votes are summed by diagonal, diagonals of one template
-that differ by few words are merged (words put in or left out move a match to a near diagonal), and a span counts
-if its votes cover enough of the template. The join compares the words themselves besides their hash, so a vote is
-verified word for word, and a short phrase is found just where all its pairs vote for one diagonal.
+diagonal "place in the text less place in the template"; words put in or left out move a match to a near diagonal, so
+each diagonal is merged with those NEAR words before and behind it. Such a band is a span of bounded width, and its
+votes are verified along the text: a vote counts if its place in the template lies behind all those before it, so a
+pair of the template counts once at most and in its order. A span counts if enough of the template is covered. The join
+compares the words themselves besides their hash; a short phrase is found just where all its pairs vote for one
+diagonal.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ TEMPLATES = [
     ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
 ]
-#: Words by which near diagonals may differ; part of a template that must be covered; least votes of a template.
+#: Words by which the diagonals of a span differ from its own; part of a template that must be covered; least votes of a template.
 NEAR, COVER, LEAST = 2, 0.75, 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -70,22 +72,27 @@ def scan(docs: DataFrame) -> DataFrame:
     rolling = zipped.select("row", "doc_id", "n_words", "pos", F.col("pair.word").alias("word"), F.col("pair.next").alias("next"))
     rolling = rolling.withColumn("h", F.xxhash64("word", "next"))
     votes = rolling.join(templates, (rolling.h == templates.h) & (rolling.word == templates.t_word) & (rolling.next == templates.t_next))
-    keys = ["row", "doc_id", "n_words", "template", "label", "base", "pairs"]
-    diagonals = votes.groupBy(*keys, (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("votes"))
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    starts = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= NEAR, 0).otherwise(1)
-    # A base phrase needs one whole diagonal: its diagonals are never merged.
-    islands = diagonals.withColumn("island", F.when(F.col("base"), F.col("diagonal").cast("long")).otherwise(F.sum(starts).over(order)))
-    spans = islands.groupBy(*keys, "island").agg(F.sum("votes").alias("votes"), F.min("diagonal").cast("long").alias("at"))
+    # All that follows is by row: one exchange, of the votes alone.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    votes = votes.select("row", "doc_id", "n_words", "template", "pos", "place").repartition(n, "row")
+    bands = F.sequence(F.col("pos") - F.col("place") - F.col("near"), F.col("pos") - F.col("place") + F.col("near"))
+    kinds = F.broadcast(spark.createDataFrame(sorted({(t, label, base, n, 0 if base or not t else NEAR) for t, label, base, n, *_ in _pairs()}), "template int, label string, base boolean, pairs int, near int"))
+    banded = votes.join(kinds, "template").withColumn("band", F.explode(bands))
+    keys = ["row", "doc_id", "n_words", "template", "label", "base", "pairs", "band"]
+    # Votes at one place of a text count once: that of the largest place in the template comes first.
+    before = Window.partitionBy(*keys).orderBy("pos", F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    verified = banded.withColumn("counts", F.col("place") > F.coalesce(F.max("place").over(before), F.lit(-1)))
+    spans = verified.groupBy(*keys).agg(F.count(F.when(F.col("counts"), 1)).alias("votes"))
     whole = F.col("base") & (F.col("votes") == F.col("pairs"))
-    cover = F.when(F.col("base"), F.when(whole, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("votes"), F.col("pairs")), F.lit(0.0))))
-    spans = spans.withColumn("cover", cover)
+    cover = F.when(F.col("base"), F.when(whole, 1.0).otherwise(0.0)).otherwise(F.coalesce(F.try_divide(F.col("votes"), F.col("pairs")), F.lit(0.0)))
+    spans = spans.withColumn("cover", F.when(F.col("template") == 0, 0.0).otherwise(cover))
     found = whole | (~F.col("base") & (F.col("cover") >= COVER) & (F.col("votes") >= LEAST))
+    at = F.col("band").cast("long")
     joined = lambda keep: F.array_join(F.sort_array(F.collect_set(F.when(keep, F.col("label")))), ",")
     out = spans.groupBy("row", "doc_id", "n_words").agg(
         F.count(F.when(whole, 1)).alias("n_base"),
-        F.min(F.when(whole, F.col("at"))).alias("first_word"),
-        F.max(F.when(whole, F.col("at"))).alias("last_word"),
+        F.min(F.when(whole, at)).alias("first_word"),
+        F.max(F.when(whole, at)).alias("last_word"),
         joined(whole).alias("base_labels"),
         joined(found).alias("labels"),
         F.max("cover").alias("score"),
@@ -105,18 +112,14 @@ docs AS (
     list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
 pairs AS (SELECT r, unnest(list_zip(range(0, len(w) - 1), w[1:len(w) - 1], w[2:])) AS p FROM docs WHERE len(w) > 1),
-diagonals AS (
-  SELECT r, template, label, base, pairs, p[1] - place AS diagonal, count(*) AS votes
-  FROM pairs JOIN t ON p[2] = word AND p[3] = next GROUP BY ALL),
-gaps AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS fresh FROM diagonals),
-islands AS (
-  SELECT *, CASE WHEN base THEN diagonal ELSE sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) END AS island FROM gaps),
-spans AS (
-  SELECT r, label, base, sum(votes) AS votes, any_value(pairs) AS n, min(diagonal) AS place
-  FROM islands GROUP BY r, template, label, base, island),
+votes AS (
+  SELECT r, template, label, base, pairs AS n, p[1] AS pos, place, unnest(range(p[1] - place - CASE WHEN base THEN 0 ELSE {NEAR} END, p[1] - place + CASE WHEN base THEN 1 ELSE {NEAR} + 1 END)) AS band
+  FROM pairs JOIN t ON p[2] = word AND p[3] = next),
+counted AS (
+  SELECT *, place > coalesce(max(place) OVER (PARTITION BY r, template, band ORDER BY pos, place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS counts FROM votes),
+spans AS (SELECT r, label, base, n, band AS place, count(*) FILTER (WHERE counts) AS votes FROM counted GROUP BY r, template, label, base, n, band),
 covers AS (
-  SELECT *, base AND votes = n AS whole, CASE WHEN base THEN CASE WHEN votes = n THEN 1.0 ELSE 0.0 END ELSE least(1.0, CAST(votes AS DOUBLE) / n) END AS cover FROM spans)
+  SELECT *, base AND votes = n AS whole, CASE WHEN base THEN CASE WHEN votes = n THEN 1.0 ELSE 0.0 END ELSE CAST(votes AS DOUBLE) / n END AS cover FROM spans)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) FILTER (WHERE whole) AS n_base,
   CAST(min(place) FILTER (WHERE whole) AS BIGINT) AS first_word, CAST(max(place) FILTER (WHERE whole) AS BIGINT) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole), '') AS base_labels,

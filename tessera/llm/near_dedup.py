@@ -249,7 +249,7 @@ def _across(buckets: DataFrame, marks: DataFrame, comps: DataFrame, percent: int
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE = r"""

@@ -162,6 +162,36 @@ def test_licenses(docs, none):
     assert len(got) == len(ROWS) and licenses.scan(none).count() == 0
 
 
+def test_license_spans_are_verified(spark):
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+    w = mit.split()
+    texts = [
+        "under the under the under the", "mit license " * 50, "mit license mit license released under the mit license", " ".join([*w[:9], "new", "words", *w[9:]]),
+        " ".join([*w[12:], *w[:12]]), " ".join(w[::-1]), "under the " * 40 + "licensed under the apache license version 2 0", " ".join(w[:20]),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(licenses.scan(df))
+
+    def plain(text):
+        words, best, labels = text.split(), 0.0, set()
+        for label, t in licenses.TEMPLATES:
+            t = t.split()
+            votes = [(p, k) for p in range(len(words) - 1) for k in range(len(t) - 1) if words[p : p + 2] == t[k : k + 2]]
+            for band in {p - k + e for p, k in votes for e in range(-licenses.NEAR, licenses.NEAR + 1)}:
+                top, n = -1, 0
+                for _, k in sorted(((p, k) for p, k in votes if abs(p - k - band) <= licenses.NEAR), key=lambda v: (v[0], -v[1])):
+                    if k > top:
+                        top, n = k, n + 1
+                best = max(best, n / (len(t) - 1))
+                if n >= licenses.LEAST and n / (len(t) - 1) >= licenses.COVER:
+                    labels.add(label)
+        return best, ",".join(sorted(labels))
+
+    assert {d: (pytest.approx(r.score), r.labels) for d, r in got.items()} == dict(enumerate(map(plain, texts)))
+    assert [got[k].labels for k in range(8)] == ["", "", "mit", "mit", "", "", "apache-2.0", ""]
+    assert got[0].score == 0.25 and got[2].score == 1.0
+
+
 def test_token_files(spark, docs, none, tmp_path):
     encoder = word_encoder()
     for df, name in ((docs, "a"), (none, "b")):
