@@ -1,12 +1,14 @@
-"""Benchmark decontamination with a positional inverted index.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-Tasks index the documents in segments: for each term that the test items use, the places where it stands, stored as
-a written table. The terms' frequencies over all segments tell the rarest term of each window of an item; a segment
-starts from that term's places, moves them to where the window would begin, and intersects them with the moved
-places of the next rarest terms. What survives all terms is an exact occurrence. Places that are close rather than
-consecutive come from the same lists (near_matches).
+Tasks index the documents in segments, once: for each word that a test item may hold (told by a bitmap of fixed size)
+the places where it stands, stored as a written table of postings. Their counts over all segments give each term's
+frequency. Items are cut into pieces of bounded length, and a window of an item is looked for from its rarest term:
+a segment takes that term's places, moves them to where the window would begin, and keeps those that also lie in the
+moved places of the next rarest term, and so on; what survives all terms is an exact occurrence. All windows of a slice
+of pieces that a segment can hold are intersected together, one rank of rarity at a time. Proximity matches come from
+the same lists: places of the rarest term that have each other term of the window at most `within` words away.
 
-Items are matched in slices of a bounded number of words, which is what tasks are sent; more items mean more slices.
+Slices of pieces, of a bounded number of words, are what tasks are sent; more items mean more slices over one index.
 """
 
 from __future__ import annotations
@@ -20,15 +22,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import PLAIN, blocks, bounded_batches, drop, find_words, read, utf8, word_hashes, written
+from tessera.llm.shared import PLAIN, bitmap, blocks, bounded_batches, find_words, may_hold, read, utf8, word_hashes, written
 
 WINDOW = 10
+#: Words around the rarest term's place in which a proximity match has all terms of a window.
+WITHIN = 12
 SEGMENT_BYTES = 8 << 20
-#: Words of the items that are sent to tasks at once: 16 bytes each.
-SLICE_WORDS = 1 << 20
+#: Words of the pieces that tasks are sent at once, about, and of one piece at most.
+SLICE_WORDS, PIECE_WORDS = 1 << 20, 4096
+#: Candidate places that a task holds at once.
+PAIRS = 1 << 20
+#: Bits of the bitmap of the items' words: 2 MB, whatever the items hold.
+TERM_BITS = 1 << 24
+#: Places in a segment; a term's number and a place make one key.
+PLACE_BITS = 32
 
-SEGMENT = "segment long, doc_ids array<long>, first_word array<long>, terms array<int>, counts array<long>, postings binary"
-HITS = "segment long, ordinal int, doc_id long, n_words long, hit_words array<int>, items array<string>"
+SEGMENT = "segment long, doc_ids array<long>, first_word array<long>, terms binary, counts array<long>, postings binary"
+HITS = "segment long, ordinal int, doc_id long, n_words long, hit_words array<int>, items array<string>, near_items array<string>"
+PIECE = "item_id string, width int, words binary"
 
 
 def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,53 +49,85 @@ def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(low, starts, ends), first
 
 
-class Item:
-    """A test item: its id as a string or None, its words as terms (numbers in the sorted vocabulary)."""
-
-    def __init__(self, name: str | None, terms: np.ndarray, window: int):
-        self.name, self.terms = name, terms
-        self.width = min(window, len(terms))
-
-
-def item_slice(rows: list, window: int) -> tuple[np.ndarray, list[Item]]:
-    """(sorted word hashes of the vocabulary, items) of rows (id, text)."""
-    words, first = text_words(pa.array([r[1] for r in rows], pa.string()))
-    vocabulary, terms = np.unique(words, return_inverse=True)
-    return vocabulary, [Item(r[0], terms[first[i] : first[i + 1]], window) for i, r in enumerate(rows) if first[i + 1] > first[i]]
-
-
-def _index(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    """Segments. Places count words through a segment, with a gap between documents that no window bridges."""
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Items as pieces of at most PIECE_WORDS words; a piece overlaps the next, so each window lies in one."""
+    for batch in batches:
+        rows = []
+        for name, text in zip(batch.column("item_id").to_pylist(), batch.column("text")):
+            words, _ = text_words(pa.array([text.as_py()], pa.string()))
+            width = min(window, len(words))
+            step = max(PIECE_WORDS, 2 * window) - width + 1
+            for at in range(0, len(words) - width + 1 if width else 0, step):
+                rows.append((name, width, words[at : at + step + width - 1].tobytes()))
+        columns = list(zip(*rows)) if rows else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary()))], ["item_id", "width", "words"])
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words in batch.column("words"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(words.as_py(), np.int64)))], ["term"])
+
+
+class Windows:
+    """The windows of a slice of pieces: terms as numbers in the sorted vocabulary, rarest first with their offsets."""
+
+    def __init__(self, rows: list, vocabulary: np.ndarray, frequency: np.ndarray):
+        self.vocabulary = vocabulary
+        names = sorted({r["item_id"] for r in rows if r["item_id"] is not None})
+        number = {n: k for k, n in enumerate(names)}
+        self.names = names
+        self.groups = []  # by width: (item of each window, terms, offsets), rarest first
+        for width in sorted({r["width"] for r in rows}):
+            items, terms = [], []
+            for r in rows:
+                if r["width"] == width:
+                    w = np.searchsorted(vocabulary, np.frombuffer(r["words"], np.uint64))
+                    terms.append(np.lib.stride_tricks.sliding_window_view(w, width))
+                    items.append(np.full(len(terms[-1]), number.get(r["item_id"], -1)))
+            terms, items = np.concatenate(terms).astype(np.int32), np.concatenate(items)
+            live = (frequency[terms] > 0).all(1)  # others occur nowhere
+            terms, items = terms[live], items[live]
+            both, at = np.unique(np.column_stack((items, terms)), axis=0, return_index=True)  # windows that an item repeats
+            terms, items = terms[at], items[at]
+            offsets = np.argsort(frequency[terms], axis=1, kind="stable").astype(np.int32)
+            self.groups.append((items, np.take_along_axis(terms, offsets, 1), offsets))
+
+
+def _index(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, gap: int) -> Iterator[pa.RecordBatch]:
+    """Segments. Places count words through a segment, with a gap between documents that no match bridges."""
     number, compress = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1).compress
     held: list[tuple] = []
     size = 0
 
     def segment() -> pa.RecordBatch:
-        doc_ids = [d for ids, _, _ in held for d in ids]
-        n_words = np.concatenate([np.diff(first) for _, _, first in held])
-        first = np.zeros(len(doc_ids) + 1, np.int64)
-        np.cumsum(n_words + window, out=first[1:])
-        terms = np.concatenate([t for _, t, _ in held])
-        places = np.arange(len(terms)) + np.repeat(np.arange(len(n_words)) * window, n_words)
-        known = terms >= 0
-        terms, places = terms[known], places[known]
-        order = np.argsort(terms, kind="stable")
-        terms, places = terms[order], places[order].astype(np.int64)
-        names, counts = np.unique(terms, return_counts=True)
+        doc_ids = [d for ids, *_ in held for d in ids]
+        n_words = np.concatenate([np.diff(first) for *_, first in held])
+        begin = np.zeros(len(doc_ids) + 1, np.int64)
+        np.cumsum(n_words + gap, out=begin[1:])
+        words = np.concatenate([w for _, w, _, _ in held])
+        shift, places = 0, []
+        for _, _, at, first in held:
+            doc = np.searchsorted(first, at, "right") - 1
+            places.append(at + shift + doc * gap)
+            shift += int(first[-1]) + (len(first) - 1) * gap
+        places = np.concatenate(places)
+        order = np.argsort(words, kind="stable")
+        words, places = words[order], places[order].astype(np.int64)
+        names, starts, counts = np.unique(words, return_index=True, return_counts=True)
         deltas = np.diff(places, prepend=0)
-        deltas[np.cumsum(counts)[:-1]] = places[np.cumsum(counts)[:-1]]  # each list starts from 0
+        deltas[starts] = places[starts]  # each list starts from 0
         small = np.minimum(deltas, 255).astype(np.uint8)
         packed = compress(small.tobytes() + deltas[deltas >= 255].astype("<u4").tobytes())
-        columns = [pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([first], pa.list_(pa.int64())), pa.array([names.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int64())), pa.array([packed], pa.binary())]
+        columns = [pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([begin], pa.list_(pa.int64())), pa.array([names.tobytes()], pa.binary()), pa.array([counts], pa.list_(pa.int64())), pa.array([packed], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["segment", "doc_ids", "first_word", "terms", "counts", "postings"])
 
     for batch in batches:
         for part, data, offsets in blocks(batch):
             low, starts, ends, first = find_words(data, offsets, PLAIN)
             h = word_hashes(low, starts, ends)
-            at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-            terms = np.where(vocabulary[at] == h, at, -1).astype(np.int32) if len(vocabulary) else np.full(len(h), -1, np.int32)
-            held.append((part.column("doc_id").to_pylist(), terms, first))
+            at = np.flatnonzero(may_hold(wanted, h))
+            held.append((part.column("doc_id").to_pylist(), h[at], at, first))
             size += len(data) + 64 * part.num_rows
             if size >= SEGMENT_BYTES:
                 yield segment()
@@ -94,114 +137,153 @@ def _index(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, window: in
 
 
 class Postings:
-    """The places of each term in a segment."""
+    """The places of each term in a segment, as sorted keys (term, place)."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, vocabulary: np.ndarray):
         counts = np.array(row["counts"], np.int64)
         raw = zstandard.ZstdDecompressor().decompress(row["postings"])
         small = np.frombuffer(raw, np.uint8, int(counts.sum()))
         deltas = small.astype(np.int64)
         deltas[small == 255] = np.frombuffer(raw, "<u4", offset=len(small))
-        ends = np.cumsum(counts)
         places = np.cumsum(deltas)
+        ends = np.cumsum(counts)
         starts = ends - counts
         base = np.where(starts > 0, places[np.maximum(starts - 1, 0)], 0) if len(places) else starts
         places -= np.repeat(base, counts)
-        self.lists = {t: places[s:e] for t, s, e in zip(row["terms"], starts, ends)}
-        self.none = places[:0]
-
-    def of(self, term: int) -> np.ndarray:
-        return self.lists.get(int(term), self.none)
-
-
-def _intersect(starts: np.ndarray, places: np.ndarray, offset: int) -> np.ndarray:
-    """Those starts at whose offset one of the places lies."""
-    at = np.searchsorted(places, starts + offset)
-    return starts[np.take(places, at, mode="clip") == starts + offset] if len(places) else starts[:0]
-
-
-def exact_matches(postings: Postings, item: Item, frequency: np.ndarray) -> Iterator[np.ndarray]:
-    """Where windows of an item stand: arrays of first places."""
-    rank = frequency[item.terms]
-    for s in range(len(item.terms) - item.width + 1):
-        order = np.argsort(rank[s : s + item.width], kind="stable")
-        found = postings.of(item.terms[s + order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(found):
+        words = np.frombuffer(row["terms"], np.uint64)
+        at = np.searchsorted(vocabulary, words)
+        known = vocabulary[np.minimum(at, len(vocabulary) - 1)] == words if len(vocabulary) else np.zeros(len(words), bool)
+        self.counts = np.zeros(len(vocabulary) + 1, np.int64)
+        self.counts[at[known]] = counts[known]
+        self.starts = np.cumsum(self.counts) - self.counts
+        kept = np.repeat(known, counts)
+        # The words are sorted as the vocabulary is, so keys are too.
+        self.keys = (np.repeat(at[known], counts[known]) << PLACE_BITS) + places[kept]
+
+    def pairs(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, place) for each place of each row's term, at most PAIRS or one row's at once."""
+        n = self.counts[terms]
+        edges = np.append(0, np.cumsum(n))
+        at = 0
+        while at < len(terms):
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + PAIRS, "right")) - 1)
+            rows = np.repeat(np.arange(at, to), n[at:to])
+            inside = np.arange(len(rows)) - np.repeat(edges[at:to] - edges[at], n[at:to])
+            yield rows, self.keys[self.starts[terms[rows]] + inside] & ((1 << PLACE_BITS) - 1)
+            at = to
+
+    def has(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether each term stands at each place."""
+        asked = (terms.astype(np.int64) << PLACE_BITS) + places
+        return (places >= 0) & (np.take(self.keys, np.searchsorted(self.keys, asked), mode="clip") == asked)
+
+    def distance(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """From each place to the nearest place of each term, which stands somewhere."""
+        asked = (terms.astype(np.int64) << PLACE_BITS) + places
+        at = np.searchsorted(self.keys, asked)
+        first, last = self.starts[terms], self.starts[terms] + self.counts[terms] - 1
+        left, right = self.keys[np.clip(at - 1, first, last)], self.keys[np.clip(at, first, last)]
+        return np.minimum(np.abs(asked - left), np.abs(right - asked))
+
+
+def exact_matches(postings: Postings, terms: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, first place) of each occurrence of windows whose terms all stand in the segment, rarest first."""
+    for rows, places in postings.pairs(terms[:, 0]):
+        starts = places - offsets[rows, 0]
+        for k in range(1, terms.shape[1]):
+            keep = postings.has(terms[rows, k], starts + offsets[rows, k])
+            rows, starts = rows[keep], starts[keep]
+            if not len(rows):
                 break
-            found = _intersect(found, postings.of(item.terms[s + k]), k)
-        if len(found):
-            yield found
+        yield rows, starts
 
 
-def near_matches(postings: Postings, terms: np.ndarray, within: int) -> np.ndarray:
-    """Places of the rarest of some terms that have all the others at most so many words away."""
-    lists = sorted((postings.of(t) for t in terms), key=len)
-    found = lists[0]
-    for places in lists[1:]:
-        if not len(places):
-            return places
-        at = np.searchsorted(places, found)
-        left, right = places[np.maximum(at - 1, 0)], places[np.minimum(at, len(places) - 1)]
-        found = found[np.minimum(np.abs(found - left), np.abs(right - found)) <= within]
-    return found
+def near_matches(postings: Postings, terms: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, place) of places of a window's rarest term that have all its other terms at most so many words away."""
+    for rows, places in postings.pairs(terms[:, 0]):
+        for k in range(1, terms.shape[1]):
+            keep = postings.distance(terms[rows, k], places) <= within
+            rows, places = rows[keep], places[keep]
+            if not len(rows):
+                break
+        yield rows, places
 
 
-def _search(batches: Iterator[pa.RecordBatch], items: list[Item], frequency: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], windows: Windows, within: int | None, gap: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            postings, first = Postings(row), np.array(row["first_word"], np.int64)
-            hits, named = [], {}
-            for item in items:
-                for starts in exact_matches(postings, item, frequency):
-                    hits.append((starts[:, None] + np.arange(item.width)).ravel())
-                    if item.name is not None:
-                        for d in set(np.searchsorted(first, starts, "right").tolist()):
-                            named.setdefault(d - 1, set()).add(item.name)
-            places = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-            doc = np.searchsorted(first, places, "right") - 1
+            postings, first = Postings(row, windows.vocabulary), np.array(row["first_word"], np.int64)
             n = len(row["doc_ids"])
+            hits, named, near = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+            for items, terms, offsets in windows.groups:
+                held = np.flatnonzero((postings.counts[terms] > 0).all(1))
+                items, terms, offsets = items[held], terms[held], offsets[held]
+                if not len(terms):
+                    continue
+                for rows, starts in exact_matches(postings, terms, offsets):
+                    hits.append(np.unique((starts[:, None] + np.arange(terms.shape[1])).ravel()))
+                    named.append(np.unique(np.column_stack((np.searchsorted(first, starts, "right") - 1, items[rows])), axis=0))
+                for rows, places in near_matches(postings, terms, within) if within is not None else ():
+                    near.append(np.unique(np.column_stack((np.searchsorted(first, places, "right") - 1, items[rows])), axis=0))
+            places = np.unique(np.concatenate(hits))
+            doc = np.searchsorted(first, places, "right") - 1
             words = (places - first[doc]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["segment"]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(first) - WINDOW), lists, pa.array([sorted(named.get(k, ())) for k in range(n)], pa.list_(pa.string()))],
-                ["segment", "ordinal", "doc_id", "n_words", "hit_words", "items"],
+                [pa.array([row["segment"]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(first) - gap), lists, *(_names(x, n, windows.names) for x in (named, near))],
+                ["segment", "ordinal", "doc_id", "n_words", "hit_words", "items", "near_items"],
             )
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, hit_words, items) of each row of docs (doc_id long, text string, ...).
+def _names(pairs: list[np.ndarray], n: int, names: list[str]) -> pa.Array:
+    """The names of the items of each document; items without one have number -1."""
+    found = np.unique(np.concatenate(pairs), axis=0)
+    found = found[found[:, 1] >= 0]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(found[:, 0], np.arange(n + 1)).astype(np.int32)), pa.array([names[k] for k in found[:, 1]], pa.string()))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, within: int | None = None) -> DataFrame:
+    """(doc_id, n_words, hit_words, items, near_items) of each row of docs (doc_id long, text string, ...).
 
     items has item_id and text. Words are runs of digits, letters a-z (A-Z are lower-cased) and characters beyond
     ASCII, told apart by 64-bit hashes. hit_words are the places of words inside any occurrence of a window of an
-    item; items are the ids (strings, sorted, distinct) of those with an occurring window. An item of fewer words
-    than a window is one window; null and empty texts have no words. An item without an id counts in hit_words and
-    is not named. Rows that repeat a doc_id each get a row. Empty tables of either kind give no hits.
+    item; items are the ids (strings, sorted, distinct) of those with an occurring window; near_items those with a
+    proximity match: a place of a window's rarest term that has each other term of the window at most `within` words
+    away, in any order (none where within is not given). An item of fewer words than a window is one window; null and
+    empty texts have no words. An item without an id counts in hit_words and is not named. Rows that repeat a doc_id
+    each get a row. Empty tables of either kind give no hits. Items of any length and number are matched whole.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
+    gap = max(window, within or 0) + 1
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(1, -(-size // (2 * SLICE_WORDS)))  # a word and its space take two characters at least
-    found = []
+    pieces = written(items.mapInArrow(lambda it: _pieces(it, window), PIECE), "pieces")
+    size = pieces.agg(F.sum(F.length("words"))).first()[0] or 0
+    slices = max(1, -(-size // (8 * SLICE_WORDS)))
+    terms = pieces.mapInArrow(_words_of, "term long")
+    sent = spark.sparkContext.broadcast(bitmap(terms, TERM_BITS) if size else np.zeros(TERM_BITS // 64, np.uint64))
+    index = written(docs.select("doc_id", "text").mapInArrow(lambda it: _index(it, sent.value, gap), SEGMENT), "postings")
+    counts = written(index.select("terms", "counts").mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
+    found = None
     for k in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()
-        vocabulary, chosen = item_slice(rows, window)
-        sent = spark.sparkContext.broadcast(vocabulary)
-        index = written(docs.select("doc_id", "text").mapInArrow(lambda it, v=sent: _index(it, v.value, window), SEGMENT), "postings")
-        counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("t")).agg(F.sum("x.counts").alias("n"))
-        frequency = np.zeros(max(len(vocabulary), 1), np.int64)
-        for t, n in counts.collect():
-            frequency[t] = n
-        asked = spark.sparkContext.broadcast((chosen, frequency))
-        found.append(index.mapInArrow(lambda it, a=asked: _search(it, *a.value), HITS))
-    if len(found) == 1:
-        return found[0].drop("segment", "ordinal")
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    merged = every.groupBy("segment", "ordinal", "doc_id", "n_words").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "items")])
-    return merged.drop("segment", "ordinal")
+        mine = pieces.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(slices)) == k)
+        asked = mine.mapInArrow(_words_of, "term long").distinct().join(counts, "term", "left").toArrow()
+        order = np.argsort(asked.column("term").to_numpy().view(np.uint64))
+        vocabulary = asked.column("term").to_numpy().view(np.uint64)[order]
+        frequency = asked.column("n").fill_null(0).to_numpy()[order]
+        windows = spark.sparkContext.broadcast(Windows(mine.collect(), vocabulary, frequency))
+        hits = index.mapInArrow(lambda it, w=windows: _search(it, w.value, within, gap), HITS)
+        found = hits if found is None else found.union(hits)
+    if slices > 1:
+        lists = ("hit_words", "items", "near_items")
+        found = found.groupBy("segment", "ordinal", "doc_id", "n_words").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists])
+    return found.drop("segment", "ordinal")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for terms, counts in zip(batch.column("terms"), batch.column("counts")):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_py(), np.int64)), pa.array(counts.values)], ["term", "n"])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

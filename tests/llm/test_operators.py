@@ -140,17 +140,48 @@ def test_contamination(spark, docs, none):
     assert all(not r.hit_words for r in decontaminate.contamination(docs, items.limit(0)).collect())
 
 
-def test_slices_of_items_agree(spark, docs, monkeypatch):
-    items = spark.createDataFrame([(k, ITEM if k == 3 else prose(25)) for k in range(6)] + [(9, BASE)], "item_id long, text string")
-    whole = {r.doc_id: (r.n_words, r.hit_words, r.items) for r in decontaminate.contamination(docs, items).collect()}
-    monkeypatch.setattr(decontaminate, "SLICE_WORDS", 100)
-    assert whole == {r.doc_id: (r.n_words, r.hit_words, r.items) for r in decontaminate.contamination(docs, items).collect()}
-
-
-def test_near_matches():
-    lists = decontaminate.Postings({"terms": [0, 1], "counts": [3, 2], "postings": __import__("zstandard").compress(bytes([5, 10, 20, 7, 100]))})
-    assert list(lists.of(0)) == [5, 15, 35] and list(lists.of(1)) == [7, 107]
-    assert list(decontaminate.near_matches(lists, np.array([0, 1]), 3)) == [7]
+def test_slices_and_pieces_of_items_agree(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(k, ITEM if k == 3 else prose(25)) for k in range(6)] + [(9, BASE), (10, prose(30) + " " + ITEM)], "item_id long, text string")
+    fields = lambda df: {r.doc_id: (r.n_words, r.hit_words, r.items, r.near_items) for r in df.collect()}
+    whole = fields(decontaminate.contamination(docs, items, within=6))
+    assert any(v[3] for v in whole.values())
+    for name, value in (("SLICE_WORDS", 10), ("PIECE_WORDS", 20), ("PAIRS", 3), ("SEGMENT_BYTES", 500)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert whole == fields(decontaminate.contamination(docs, items, within=6))
+
+
+@pytest.mark.parametrize("window", [4, 13])
+def test_other_windows(spark, docs, window):
+    items = spark.createDataFrame([(1, ITEM), (2, BASE[:200])], "item_id long, text string")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    wanted = {tuple(w[s : s + window]) for t in (ITEM, BASE[:200]) for w in [words(t)] for s in range(len(w) - window + 1)}
+    got = by_id(decontaminate.contamination(docs, items, window))
+    for d, t, *_ in ROWS:
+        w = words(t)
+        hit = {s + k for s in range(len(w) - window + 1) if tuple(w[s : s + window]) in wanted for k in range(window)}
+        assert (got[d].n_words, got[d].hit_words) == (len(w), sorted(hit)), d
+
+
+def test_proximity_matches(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = WORDS[:25]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(0, 60)))) for _ in range(60)]
+    asked = [" ".join(rng.choice(vocabulary, int(n))) for n in rng.integers(2, 9, 12)]
+    docs, items = (spark.createDataFrame(list(enumerate(x)), f"{n} long, text string") for x, n in ((texts, "doc_id"), (asked, "item_id")))
+    frequency = Counter(w for t in texts for w in t.split())
+    within, window = 3, 4
+    for d, r in by_id(decontaminate.contamination(docs, items, window, within)).items():
+        w, near, exact = texts[d].split(), set(), set()
+        for i, t in enumerate(asked):
+            q = t.split()
+            for s in range(max(len(q) - window, 0) + 1):
+                part = q[s : s + window]
+                least = min(frequency[x] for x in part)
+                exact |= {str(i) for p in range(len(w)) if w[p : p + len(part)] == part}
+                # Of equally rare terms the first in the window is taken.
+                rarest = next(x for x in part if frequency[x] == least)
+                near |= {str(i) for p, x in enumerate(w) if x == rarest and all(y in w[max(0, p - within) : p + within + 1] for y in part)}
+        assert (r.near_items, r.items) == (sorted(near), sorted(exact)), d
 
 
 def test_licenses(docs, none):
