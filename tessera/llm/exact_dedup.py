@@ -1,11 +1,13 @@
 """Exact de-duplication by a distributed content sort; DataFrame functions only.
 
 Splitters sampled by Spark deal ranges of the normalised texts out to partitions, Spark's external sort puts equal
-texts side by side, and a window compares each full text with its neighbour. The order is that of the first PREFIX
-characters, then of a hash, then of the whole text: what Spark samples for splitters is small however long the texts
-are, and many texts with one beginning still lie in many ranges. Before the sort, copies are folded
-within their map tasks and a few salts, so a text that makes up a third of the table reaches the sort as a handful
-of rows. The rows of the table meet the survivors by their digest, in a join that Spark splits where it is skewed.
+texts side by side, and each row's full text is compared with its neighbour's: a run of equal rows is one group, whose
+first row stays. The order is that of the first PREFIX characters, then of a hash, then of the whole text: what Spark
+samples for splitters is small however long the texts are, and many texts with one beginning still lie in many ranges.
+
+A text that makes up much of the table would be one run in one range. Counts of hashes, folded within map tasks, name
+the few such texts (their number has a bound), and a salt of the doc_id cuts their runs into pieces that lie in ranges
+of their own; what the pieces found is put together for these texts alone.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import read, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of one text that reach the sort, at most.
-SALTS = 8
-PREFIX = 32
+#: Pieces that a text of very many copies is cut into.
+SALTS = 64
+#: A text has very many copies if it has more than this part of the rows that a partition holds on average.
+SHARE = 0.25
+PREFIX = 64
 
 
 def lower_ascii(text: Column | str) -> Column:
@@ -33,39 +37,53 @@ def digest(text: Column) -> Column:
 
 
 def exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) of each row of docs (doc_id long, text string, ...).
+    """(doc_id, keep_id, group_size, kept, text_sha256, text_hash) of each row of docs (doc_id long, text string, ...).
 
     Equal are texts identical after lower-casing A-Z; null counts as empty, and empty texts equal each other. Of a
-    group, the row with the smallest (or "largest") doc_id stays. Rows that repeat a doc_id all count in group_size;
-    they are all marked as kept if their doc_id is the one that stays. A null doc_id stays only where the whole group
-    has none. Texts of any length are compared whole. An empty table gives no rows. Other columns are not read.
+    group, one row with the smallest (or "largest") doc_id stays; of rows that repeat that doc_id, one, of null ones
+    and empty ones the null one last. A null doc_id stays only where the whole group has none. Texts of any length are
+    compared whole. text_hash is xxhash64 of the text as it is. An empty table gives no rows. Other columns are not
+    read.
     """
-    pick = {"smallest": F.min, "largest": F.max}[keep]
-    rows = docs.select("doc_id", lower_ascii("text").alias("norm"))
-    folded = rows.groupBy("norm", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(pick("doc_id").alias("keep_id"), F.count("*").alias("size"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = folded.withColumns({"head": F.substring("norm", 1, PREFIX), "hash": F.xxhash64("norm")})
-    ranges = keyed.repartitionByRange(n, "head", "hash")
-    same = Window.partitionBy("head", "hash", "norm")
-    run = ranges.select(
-        "norm",
-        pick("keep_id").over(same).alias("keep_id"),
-        F.sum("size").over(same).alias("group_size"),
-        F.row_number().over(same.orderBy("salt")).alias("place"),
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lower_ascii("text").alias("norm")).withColumn("hash", F.xxhash64("norm"))
+    counts = rows.groupBy("hash").agg(F.count("*").alias("n"))
+    # Fewer than n / SHARE texts can have so many rows.
+    many = written(counts, "counts")
+    total = many.agg(F.sum("n")).first()[0] or 0
+    hot = many.where(F.col("n") > SHARE * total / n).where("n > 1").select("hash", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(-1).cast("long"))
+    keyed = rows.join(F.broadcast(hot), "hash", "left").select("doc_id", "text_hash", "norm", "hash", F.substring("norm", 1, PREFIX).alias("head"), salt.alias("salt"))
+    order = [F.desc("doc_id") if keep == "largest" else F.asc_nulls_last("doc_id"), F.asc("text_hash")]
+    run = Window.partitionBy("head", "hash", "norm", "salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.row_number().over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = keyed.repartitionByRange(n, "head", "hash", "salt").select(
+        "doc_id",
+        "text_hash",
+        F.first("doc_id").over(run).alias("keep_id"),
+        F.count("*").over(run).alias("group_size"),
+        (place == 1).alias("kept"),
+        (F.col("salt") >= 0).alias("cut"),
+        digest(F.col("norm")).alias("text_sha256"),
     )
-    groups = run.where("place = 1").select(digest(F.col("norm")).alias("text_sha256"), "keep_id", "group_size")
-    marked = docs.select("doc_id", digest(lower_ascii("text")).alias("text_sha256"))
-    out = marked.join(written(groups, "groups"), "text_sha256")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    found = written(found, "groups")
+    pick = {"smallest": F.min, "largest": F.max}[keep]
+    whole = found.where("cut and kept").groupBy("text_sha256").agg(pick("keep_id").alias("k"), F.sum("group_size").alias("size"), F.lit(True).alias("joined"))
+    # Rows of one doc_id lie in one piece, so the piece that has the chosen doc_id has the one row that stays.
+    out = found.join(F.broadcast(whole), "text_sha256", "left")
+    chosen = F.when(F.col("joined"), F.col("k")).otherwise(F.col("keep_id"))
+    stays = F.col("kept") & F.when(F.col("joined"), F.col("doc_id").eqNullSafe(F.col("k"))).otherwise(F.lit(True))
+    return out.select("doc_id", chosen.alias("keep_id"), F.coalesce("size", "group_size").alias("group_size"), stays.alias("kept"), "text_sha256", "text_hash")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(read(spark, sf_dir, "documents"), keep="largest")
+    found = exact_duplicates(read(spark, sf_dir, "documents"), keep="largest")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-  doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
+  row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM d
 """

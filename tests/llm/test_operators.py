@@ -82,7 +82,9 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
-def test_exact_duplicates(docs, none):
+@pytest.mark.parametrize("share", [0.25, 0.01])
+def test_exact_duplicates(docs, none, share, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARE", share)
     groups = {}
     for d, t, *_ in ROWS:
         groups.setdefault(low(t), []).append(d)
@@ -95,6 +97,16 @@ def test_exact_duplicates(docs, none):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.25, 0.01, 1000.0])
+def test_one_of_equal_rows_stays(spark, share, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARE", share)
+    rows = [(i % 40, "Same text") for i in range(200)] + [(None, "same text"), (7, "other"), (7, "other"), (None, "x"), (None, "X"), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for keep, name in (("largest", 39), ("smallest", 0)):
+        got = exact_dedup.exact_duplicates(df, keep).collect()
+        assert len(got) == len(rows) and sorted((r.doc_id is None, r.keep_id, r.group_size) for r in got if r.kept) == sorted([(False, name, 201), (False, 7, 2), (True, None, 2), (False, 3, 2)], key=lambda r: (r[0], r[1] or 0))
+
+
 @pytest.mark.parametrize("together", [256, 1])
 def test_repeated_strings(docs, none, together, monkeypatch):
     monkeypatch.setattr(substring_dedup, "TOGETHER", together)
