@@ -37,8 +37,8 @@ TERM_BITS = 1 << 24
 #: Places in a segment; a term's number and a place make one key.
 PLACE_BITS = 32
 
-SEGMENT = "segment long, doc_ids array<long>, first_word array<long>, terms binary, counts array<long>, postings binary"
-HITS = "segment long, ordinal int, doc_id long, n_words long, hit_words array<int>, items array<string>, near_items array<string>"
+SEGMENT = "segment long, doc_ids array<long>, text_hashes array<long>, first_word array<long>, terms binary, counts array<long>, postings binary"
+HITS = "segment long, ordinal int, doc_id long, text_hash long, n_words long, hit_words array<int>, items array<string>, near_items array<string>"
 PIECE = "item_id string, width int, words binary"
 
 
@@ -101,13 +101,13 @@ def _index(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, gap: int) -> I
     size = 0
 
     def segment() -> pa.RecordBatch:
-        doc_ids = [d for ids, *_ in held for d in ids]
+        doc_ids, text_hashes = ([x for row in held for x in row[k].to_pylist()] for k in (0, 1))
         n_words = np.concatenate([np.diff(first) for *_, first in held])
         begin = np.zeros(len(doc_ids) + 1, np.int64)
         np.cumsum(n_words + gap, out=begin[1:])
-        words = np.concatenate([w for _, w, _, _ in held])
+        words = np.concatenate([w for *_, w, _, _ in held])
         shift, places = 0, []
-        for _, _, at, first in held:
+        for *_, at, first in held:
             doc = np.searchsorted(first, at, "right") - 1
             places.append(at + shift + doc * gap)
             shift += int(first[-1]) + (len(first) - 1) * gap
@@ -119,15 +119,15 @@ def _index(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, gap: int) -> I
         deltas[starts] = places[starts]  # each list starts from 0
         small = np.minimum(deltas, 255).astype(np.uint8)
         packed = compress(small.tobytes() + deltas[deltas >= 255].astype("<u4").tobytes())
-        columns = [pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([begin], pa.list_(pa.int64())), pa.array([names.tobytes()], pa.binary()), pa.array([counts], pa.list_(pa.int64())), pa.array([packed], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["segment", "doc_ids", "first_word", "terms", "counts", "postings"])
+        columns = [pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([text_hashes], pa.list_(pa.int64())), pa.array([begin], pa.list_(pa.int64())), pa.array([names.tobytes()], pa.binary()), pa.array([counts], pa.list_(pa.int64())), pa.array([packed], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["segment", "doc_ids", "text_hashes", "first_word", "terms", "counts", "postings"])
 
     for batch in batches:
         for part, data, offsets in blocks(batch):
             low, starts, ends, first = find_words(data, offsets, PLAIN)
             h = word_hashes(low, starts, ends)
             at = np.flatnonzero(may_hold(wanted, h))
-            held.append((part.column("doc_id").to_pylist(), h[at], at, first))
+            held.append((part.column("doc_id"), part.column("text_hash"), h[at], at, first))
             size += len(data) + 64 * part.num_rows
             if size >= SEGMENT_BYTES:
                 yield segment()
@@ -230,8 +230,8 @@ def _search(batches: Iterator[pa.RecordBatch], windows: Windows, within: int | N
             words = (places - first[doc]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["segment"]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(first) - gap), lists, *(_names(x, n, windows.names) for x in (named, near))],
-                ["segment", "ordinal", "doc_id", "n_words", "hit_words", "items", "near_items"],
+                [pa.array([row["segment"]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(row["text_hashes"], pa.int64()), pa.array(np.diff(first) - gap), lists, *(_names(x, n, windows.names) for x in (named, near))],
+                ["segment", "ordinal", "doc_id", "text_hash", "n_words", "hit_words", "items", "near_items"],
             )
 
 
@@ -243,7 +243,7 @@ def _names(pairs: list[np.ndarray], n: int, names: list[str]) -> pa.Array:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, within: int | None = None) -> DataFrame:
-    """(doc_id, n_words, hit_words, items, near_items) of each row of docs (doc_id long, text string, ...).
+    """(doc_id, text_hash, n_words, hit_words, items, near_items) of each row of docs (doc_id long, text string, ...).
 
     items has item_id and text. Words are runs of digits, letters a-z (A-Z are lower-cased) and characters beyond
     ASCII, told apart by 64-bit hashes. hit_words are the places of words inside any occurrence of a window of an
@@ -251,7 +251,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, withi
     proximity match: a place of a window's rarest term that has each other term of the window at most `within` words
     away, in any order (none where within is not given). An item of fewer words than a window is one window; null and
     empty texts have no words. An item without an id counts in hit_words and is not named. Rows that repeat a doc_id
-    each get a row. Empty tables of either kind give no hits. Items of any length and number are matched whole.
+    each get a row, told apart by text_hash (xxhash64 of the text). Empty tables of either kind give no hits. Items of any length and number are matched whole.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -262,7 +262,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, withi
     slices = max(1, -(-size // (8 * SLICE_WORDS)))
     terms = pieces.mapInArrow(_words_of, "term long")
     sent = spark.sparkContext.broadcast(bitmap(terms, TERM_BITS) if size else np.zeros(TERM_BITS // 64, np.uint64))
-    index = written(docs.select("doc_id", "text").mapInArrow(lambda it: _index(it, sent.value, gap), SEGMENT), "postings")
+    index = written(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lambda it: _index(it, sent.value, gap), SEGMENT), "postings")
     counts = written(index.select("terms", "counts").mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
     found = None
     for k in range(slices):
@@ -276,7 +276,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, withi
         found = hits if found is None else found.union(hits)
     if slices > 1:
         lists = ("hit_words", "items", "near_items")
-        found = found.groupBy("segment", "ordinal", "doc_id", "n_words").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists])
+        found = found.groupBy("segment", "ordinal", "doc_id", "text_hash", "n_words").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists])
     return found.drop("segment", "ordinal")
 
 

@@ -138,21 +138,28 @@ def _template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int32())))], ["host", "content", "shared"])
 
 
+#: A page has lines that markup leaves undecided.
+LOOSE = "exists(sure, x -> not x)"
+
+
 def template_lines(parsed: DataFrame) -> DataFrame:
-    """(host, content, shared): of each host's distinct lists of lines, those shared with the nearest pages."""
+    """(host, content, shared): of each host's distinct lists of lines, those shared with the nearest pages.
+
+    Lists of lines that all lie in declared content elements are neighbours, but nothing is asked of them.
+    """
     n = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = parsed.groupBy("host", "content").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
+    lines = parsed.groupBy("host", "content").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"), F.max(F.expr(LOOSE)).alias("loose"))
     order = ["host", "path", "content"]
-    fields = "host string, path string, content long, hashes array<long>, sizes array<int>, part int, place long"
-    ordered = lines.select("host", "path", "content", "hashes", "sizes").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    fields = "host string, path string, content long, hashes array<long>, sizes array<int>, loose boolean, part int, place long"
+    ordered = lines.select("host", "path", "content", "hashes", "sizes", "loose").repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered = written(ordered.mapInArrow(_numbered, fields), "ordered")
     parts = ordered.groupBy("part").agg(F.count("*").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     ranked = ordered.join(F.broadcast(before), "part").withColumn("rank", F.col("first") + F.col("place"))  # a row for each task that sorted
-    line = F.struct(F.col("k"), "host", "content", "hashes", "sizes")
+    line = F.struct(F.col("k"), "host", "content", "hashes", "sizes", "loose")
     sent = ranked.withColumn("k", F.explode(F.array(*map(F.lit, range(-2, 3))))).select((F.col("rank") - F.col("k")).alias("rank"), line.alias("line"))
     near = sent.groupBy("rank").agg(F.collect_list("line").alias("near"))  # five at most
-    return near.where(F.exists("near", lambda x: x["k"] == 0)).select("near").mapInArrow(_template, "host string, content long, shared array<int>")
+    return near.where(F.exists("near", lambda x: (x["k"] == 0) & x["loose"])).select("near").mapInArrow(_template, "host string, content long, shared array<int>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -166,7 +173,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     bounded_batches(pages.sparkSession)
     parsed = written(pages.select("page_id", "url", "html").mapInArrow(_parsed, PARSED), "parsed")
     shared = written(template_lines(parsed), "template", True).where(F.size("shared") > 0)
-    pages = met(parsed, shared, "content", "page_id", "left", ["host"])
+    sure = parsed.where(f"not {LOOSE}").withColumn("shared", F.lit(None).cast("array<int>"))
+    pages = sure.unionByName(met(parsed.where(LOOSE), shared, "content", "page_id", "left", ["host"]))
     lines = F.arrays_zip("blocks", "sure", F.sequence(F.lit(0), F.size("blocks")).alias("place"))
     gone = F.coalesce("shared", F.array().cast("array<int>"))
     kept = F.filter(lines, lambda x: x["blocks"].isNotNull() & (x["sure"] | ~F.array_contains(gone, x["place"])))

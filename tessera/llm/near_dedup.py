@@ -145,13 +145,14 @@ def _most_bits(percent: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_hash) of each row of docs (doc_id long, text string, ...).
+    """(doc_id, n_shingles, component_id, kept, text_hash, stays) of each row of docs (doc_id long, text string, ...).
 
     Linked are documents whose shingle sets have 100 * intersection >= percent * union; a component is named
     after its smallest doc_id, which is kept. Null and empty texts and texts of white space have no shingles and
     are linked with nothing. Rows are documents of their own: those that repeat a doc_id are linked by their texts
     alone, so two with unlike texts may lie in different components, and each row has a row in the result, told apart
-    by text_hash (xxhash64 of the text). A null doc_id stays alone, with a null component_id. An empty table gives no
+    by text_hash (xxhash64 of the text). stays is true of one text of each component, one with the smallest doc_id:
+    the kept ones but for further unlike texts of that doc_id. A null doc_id stays alone, with a null component_id. An empty table gives no
     rows. Columns besides doc_id and text are not read.
     """
     bounded_batches(docs.sparkSession)
@@ -161,22 +162,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = _classes(signed.where("n_shingles > 0 and doc_id is not null"))
     members = classes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    buckets = written(met(members, shared, "bucket", "node"), "buckets", True)
-    involved = written(classes.join(buckets.select("node").distinct(), "node", "left_semi"), "involved", True)
+    buckets = written(members.join(shared, "bucket"), "buckets")
+    involved = written(classes.join(buckets.select("node").distinct(), "node", "left_semi"), "involved")
     named = involved.select("doc_id", "text_hash", "node")
     texts = _may_be_in(rows, named).join(named, ["doc_id", "text_hash"])
-    texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts", True)
-    marks = written(involved.select("node", F.col("n_shingles").alias("n"), *_spread("sketch", "s", LONGS), *_spread("parity", "f", SET_LONGS)), "marks", True)
+    texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    marks = written(involved.select("node", F.col("n_shingles").alias("n"), *_spread("sketch", "s", LONGS), *_spread("parity", "f", SET_LONGS)), "marks")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return written(met(pairs, a, "a", "b").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "confirmed")
+        # Texts of the many ends first, so that a pivot's text meets them last; Spark splits its tasks where it has very many.
+        return written(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "confirmed")
 
     mine = marks.select("node", "n", *[f"s{i}" for i in range(LONGS)])
     other = mine.select(*[F.col(c).alias(f"p_{c}") for c in mine.columns])
     pivots = buckets.select("node", F.explode(F.array("low", "high")).alias("p_node")).where("node <> p_node").distinct()
     near = (_differ("p_s", "s", LONGS) <= _most_bits(percent)) & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
-    pairs = written(met(pivots.join(mine, "node"), other, "p_node", "node").where(near).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct(), "pairs", True)
+    pairs = written(pivots.join(mine, "node").join(other, "p_node").where(near).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct(), "pairs", True)
     # One pair for each member first; then those that could still join two components.
     links = confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     comps = components(links)
@@ -189,12 +191,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     drop(buckets, texts, marks, pairs, involved)
 
     # Nodes are numbered in the order of their doc_id, so a component's smallest node has its smallest doc_id.
-    roots = comps.where("id = component").select("component").join(classes.select(F.col("node").alias("component"), F.col("doc_id").alias("name")), "component")
+    roots = comps.where("id = component").select("component").join(classes.select(F.col("node").alias("component"), F.struct("doc_id", "text_hash").alias("name")), "component")
     named = met(comps, roots, "component", "id").select(F.col("id").alias("node"), "name")
-    sets = classes.join(named, "node", "left").select("h1", "h2", F.coalesce("name", "doc_id").alias("component"))
+    sets = classes.join(named, "node", "left").select("h1", "h2", F.coalesce("name", F.struct("doc_id", "text_hash")).alias("first"))
     out = met(signed.where("n_shingles > 0 and doc_id is not null"), sets, "h2", "doc_id", others=["h1"])
-    none = signed.where("n_shingles = 0 or doc_id is null").withColumn("component", F.col("doc_id"))
-    fields = ["doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "text_hash"]
+    none = signed.where("n_shingles = 0 or doc_id is null").withColumn("first", F.struct("doc_id", "text_hash"))
+    kept = F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(True))
+    fields = ["doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), kept.alias("kept"), "text_hash", (kept & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays")]
     return out.select(*fields).union(none.select(*fields))
 
 
@@ -238,7 +241,7 @@ def _across(buckets: DataFrame, marks: DataFrame, comps: DataFrame, percent: int
     most = most.withColumn("shares", F.ceil((F.col("all") - F.col("m.size")) / APART))
     marked = marks.drop(*[f"s{i}" for i in range(LONGS)])
     named = met(named, most, "bucket", "node").select("bucket", "shares", "node", "component", (F.col("component") != F.col("m.component")).alias("apart")).join(marked, "node")
-    named = written(named, "apart", True)
+    named = written(named, "apart")
     # Many members apart are dealt to as many tasks as that takes; all members of the bucket go to each of these.
     few = named.where("apart").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
     few = few.select(*[F.col(c).alias(c if c in ("bucket", "share") else f"p_{c}") for c in few.columns])
