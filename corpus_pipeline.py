@@ -1,8 +1,9 @@
 """A corpus cleaning pipeline of the corpus operators, each stage written and read again.
 
 Rejected are documents of low quality, then all but one of each group of equal and of nearly equal texts, then those
-that hold a benchmark passage; the rest is packed into sequences. A stage drops documents by their doc_id, so rows
-that repeat one share its fate; rows without a doc_id stay in the stages that drop by it.
+that hold a benchmark passage; the rest is packed into sequences. A document is a row: those that repeat a doc_id are
+judged by their texts, each on its own; of rows alike in both, the exact stage keeps one. A null doc_id is kept as any
+other; texts that are null or empty are alike for the exact stage and have neither shingles nor passages.
 """
 
 from __future__ import annotations
@@ -22,8 +23,18 @@ from tessera.llm.shared import read, written
 ORACLE_SQL = None
 
 
+#: Percentage of shingles from which on two texts are near-duplicates.
+LIKE = 80
+
+
+def _key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_hash", F.xxhash64("text"))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(dropped.select("doc_id").where("doc_id is not null"), "doc_id", "left_anti").select(docs.columns)
+    """The rows whose doc_id and text are not among those dropped (doc_id, text_hash)."""
+    dropped = dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
+    return _key(docs).join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +44,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id stays."""
-    return _without(docs, exact_duplicates(docs, keep="largest").where("not kept"))
+    """Of equal texts, the one with the largest doc_id stays; of rows alike in doc_id and text, one."""
+    found = exact_duplicates(docs, keep="largest").groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    changed = written(found.where("not kept or n > 1"), "exact")
+    twins = changed.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
+    one = _key(docs).join(twins, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")
+    return _without(docs, changed).union(one.dropDuplicates(["doc_id", "_hash"]).select(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near-duplicates, the one with the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    """Of a group of texts alike by 0.8 or more, the one with the smallest doc_id stays."""
+    return _without(docs, near_duplicates(docs, LIKE).where("not stays"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
