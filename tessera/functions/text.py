@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,8 +69,17 @@ def within_one_edit(a: str, b: str) -> bool:
     return long[k + 1 :] == short[k:]
 
 
-_BY_LENGTH = {n: [k for k in KEYWORDS if abs(len(k) - n) <= 1] for n in range(3, 16)}
-_KNOWN, _ALONE = set(KEYWORDS), set(LEFT_ALONE)
+def _shortened(word: str) -> set[str]:
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+#: Keywords by each form of them that lacks a letter at most, in their order: words within one edit have such a form in common.
+_BY_FORM: dict[str, list[str]] = {}
+for _k in KEYWORDS:
+    for _f in _shortened(_k):
+        _BY_FORM.setdefault(_f, []).append(_k)
+_KNOWN, _ALONE, _ORDER = set(KEYWORDS), set(LEFT_ALONE), {k: i for i, k in enumerate(KEYWORDS)}
+_LONGEST = max(map(len, KEYWORDS))
 _LEET = str.maketrans(*LEET)
 _ALIKE = str.maketrans(*LOOK_ALIKES)
 _SPACED = re.compile(r"(?<![A-Za-z])[A-Za-z](?: [A-Za-z]){2,}(?![A-Za-z])")
@@ -82,11 +92,12 @@ def nearest_keyword(word: str) -> str | None:
         if len(form) >= KEYWORD_LENGTH and form not in _ALONE:
             if form in _KNOWN:
                 return form
-            if near := next((k for k in _BY_LENGTH.get(len(form), ()) if within_one_edit(form, k)), None):
+            if len(form) <= _LONGEST + 1 and (near := min((k for f in _shortened(form) for k in _BY_FORM.get(f, ()) if within_one_edit(form, k)), key=_ORDER.get, default=None)):
                 return near
     return None
 
 
+@lru_cache(1 << 17)
 def _token(token: str) -> str:
     core = token.strip(".,;:!?\"'()[]{}<>")
     low = core.lower()
@@ -133,7 +144,7 @@ def normalised_text(text: str | None) -> str | None:
         return word if word.lower() in _KNOWN else m[0]
 
     text = _SEPARATED.sub(spelled, text)
-    return " ".join(_token(t) for t in _joined_letters(text.split()))
+    return " ".join(_token(t) if len(t) <= 64 else _token.__wrapped__(t) for t in _joined_letters(text.split()))
 
 
 @F.pandas_udf(StringType())

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
+from tessera.functions.gates import gated, may_match, quoted
 from tessera.operators.findings import pattern
 from tessera.rules import fixed
 from tessera.rules.inputs import REPETITION_RULES
@@ -18,8 +19,9 @@ from tessera.rules.inputs import REPETITION_RULES
 _CUE = {k: pattern(p) for k, p in fixed.CUES.items()}
 
 
-def has(text: Column, cue: str) -> Column:
-    return text.rlike(_CUE[cue])
+def has(text: str, cue: str, low: str | None = None) -> Column:
+    """Whether a cue stands in a column; low: the column with the text in lower case."""
+    return F.expr(gated(text, fixed.CUES[cue], _CUE[cue], low))
 
 
 _EXTRACT, _BOUNDARY, _NEGATED = (re.compile(fixed.CUES[k], re.I) for k in ("extract_clause", "clause_boundary", "local_negation"))
@@ -42,23 +44,25 @@ def unnegated_extraction(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: bool(t) and has_unnegated_extraction(t))
 
 
-def with_extraction(df, text: str = "text"):
+def with_extraction(df, text: str = "text", low: str | None = None):
     """df with extraction (an order to hand something out that is not negated). Only texts with such words reach Python."""
-    return df.withColumn("extraction", F.when(F.col(text).rlike(_CUE["extract_clause"]), unnegated_extraction(text)).otherwise(F.lit(False)))
+    asked = F.when(has(text, "extract_clause", low), F.col(text))
+    return df.withColumn("extraction", F.coalesce(unnegated_extraction(asked), F.lit(False)))
 
 
-def active_extraction(text: Column) -> Column:
-    return has(text, "active_exfil") & ~has(text, "negated_extract")
+def active_extraction(text: str, low: str | None = None) -> Column:
+    return has(text, "active_exfil", low) & ~has(text, "negated_extract", low)
 
 
-def frame(text: Column, extraction: Column) -> Column:
+def frame(text: str, extraction: Column, low: str | None = None) -> Column:
     """protective, descriptive or interrogative; null for a text that gives orders or asks for what is its own."""
-    protective = has(text, "protective") & ~active_extraction(text) & ~extraction
+    cue = lambda name: has(text, name, low)
+    protective = cue("protective") & ~active_extraction(text, low) & ~extraction
     return (
-        F.when(has(text, "directive") | has(text, "self_exfil"), F.lit(None).cast("string"))
+        F.when(cue("directive") | cue("self_exfil"), F.lit(None).cast("string"))
         .when(protective, "protective")
-        .when(has(text, "descriptive") | has(text, "code_as_docs"), "descriptive")
-        .when(has(text, "interrogative") & ~has(text, "ai_self"), "interrogative")
+        .when(cue("descriptive") | cue("code_as_docs"), "descriptive")
+        .when(cue("interrogative") & ~cue("ai_self"), "interrogative")
     )
 
 
@@ -81,22 +85,23 @@ def dampened(findings: Column, framed: Column) -> Column:
     return F.when(framed, F.filter(findings, lambda x: ~x["category"].isin(GATED) | is_live(x))).otherwise(findings)
 
 
-def is_quoted_mention(text: Column) -> Column:
+def is_quoted_mention(text: str, low: str | None = None) -> Column:
     """Attack words in quotation marks with a verb that reports them, or near an artifact of security work."""
-    return has(text, "quoted_attack") & (has(text, "attribution") | has(text, "artifact") | has(text, "descriptive"))
+    return has(text, "quoted_attack", low) & (has(text, "attribution", low) | has(text, "artifact", low) | has(text, "descriptive", low))
 
 
-def without_code(text: Column) -> Column:
-    return F.regexp_replace(text, fixed.CUES["code_span"], " ")
+def uncoded(text: str) -> Column:
+    """A column's prose without its code spans; null where there are none or where the prose documents nothing."""
+    bare = f"regexp_replace({text}, {quoted(fixed.CUES['code_span'])}, ' ')"
+    return F.expr(f"case when rlike({text}, {quoted(fixed.CUES['code_span'])}) and rlike({bare}, {quoted(_CUE['documentary'])}) then {bare} end")
 
 
-def is_documentary(text: Column) -> Column:
-    """A code span in prose that documents."""
-    return text.rlike(fixed.CUES["code_span"]) & has(without_code(text), "documentary")
+def protective_then_override(text: str, extraction: Column, low: str | None = None) -> Column:
+    return extraction & has(text, "protective", low)
 
 
-def protective_then_override(text: Column, extraction: Column) -> Column:
-    return has(text, "protective") & extraction
+#: Any blob begins so.
+_BLOB_BEGINS = r"[a-z0-9+/]{24}|%[0-9a-f]{2}%"
 
 
 def _encoded_directive() -> str:
@@ -110,9 +115,10 @@ def _encoded_directive() -> str:
 ENCODED_DIRECTIVE = _encoded_directive()
 
 
-def encoded_directive(text: Column) -> Column:
-    """An order to decode or run right before or after an encoded blob."""
-    return text.rlike(ENCODED_DIRECTIVE)
+def encoded_directive(text: str, low: str | None = None) -> Column:
+    """An order to decode or run right before or after an encoded blob; low: the column with the text in lower case."""
+    match = f"rlike({text}, {quoted(ENCODED_DIRECTIVE)})"
+    return F.expr(f"{may_match(low, fixed.DECODE_DIRECTIVE)} and rlike({low}, {quoted(_BLOB_BEGINS)}) and {match}" if low else match)
 
 
 def longest_repetition(text: str, shortest: int, longest: int, least: int) -> str | None:

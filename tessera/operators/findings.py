@@ -1,7 +1,9 @@
 """Detection: rules on a text as one array column of findings, and what follows from findings.
 
 A finding is struct<rule, category, score, matched>. Rules are literals, so each pattern is compiled once and a scan is
-one projection without a join; findings keep the order of the rules.
+one projection without a join; findings keep the order of the rules. Texts are named: a column, or a lambda's variable in
+the functions that give SQL. Where low names the text in lower case, a pattern is tried only if that holds a literal
+that it needs.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.checks import is_card_number, is_reserved_address
+from tessera.functions.checks import RESERVED_DOMAIN
+from tessera.functions.gates import gated, may_match, quoted
 from tessera.rules import fixed
 
 FINDING = "array<struct<rule:string,category:string,score:double,matched:string>>"
@@ -36,19 +39,37 @@ def pattern(text: str, ignore_case: bool = True, dot_all: bool = False) -> str:
     return f"(?{flags}){text}" if flags else text
 
 
-def scanned(text: Column, rules: list[tuple], reserved: set[str] = frozenset()) -> Column:
+def _struct(rule: str, category: str, score: str, matched: str = "cast(null as string)") -> str:
+    return f"named_struct('rule', {quoted(rule)}, 'category', {quoted(category)}, 'score', cast({score} as double), 'matched', {matched})"
+
+
+def _list(cases: list[tuple[str, str]]) -> str:
+    """SQL for the findings of those cases (condition, finding) that hold."""
+    return f"cast(filter(array({', '.join(f'case when {fires} then {found} end' for fires, found in cases)}), f -> f is not null) as {FINDING})"
+
+
+def _live(text: str, p: str) -> str:
+    """SQL for the matches of a pattern of addresses outside the reserved domains."""
+    return f"filter(regexp_extract_all({text}, {quoted(f'({p})')}, 0), x -> not rlike(x, {quoted(RESERVED_DOMAIN)}))"
+
+
+def scanned_sql(text: str, rules: list[tuple], reserved: set[str] = frozenset(), low: str | None = None) -> str:
     """A finding of each rule (id, category, score, severity, pattern) that matches anywhere.
 
     reserved: rules that count only with an address outside the reserved domains.
     """
     out = []
-    for rule, category, score, _, p in rules:
-        p = pattern(p)
-        fires = text.rlike(p)
+    for rule, category, score, _, bare in rules:
+        p = pattern(bare)
+        fires = gated(text, bare, p, low)
         if rule in reserved:
-            fires = fires & F.exists(F.regexp_extract_all(text, F.lit(f"({p})"), 0), lambda x: ~is_reserved_address(x))
-        out.append(F.when(fires, _finding(rule, category, score, F.regexp_extract(text, p, 0))))
-    return collected(out)
+            fires = f"({fires} and size({_live(text, p)}) > 0)"
+        out.append((fires, _struct(rule, category, str(score), f"substring(regexp_extract({text}, {quoted(p)}, 0), 1, {SHOWN})")))
+    return _list(out)
+
+
+def scanned(text: str, rules: list[tuple], reserved: set[str] = frozenset(), low: str | None = None) -> Column:
+    return F.expr(scanned_sql(text, rules, reserved, low))
 
 
 def united(first: Column, second: Column) -> Column:
@@ -71,19 +92,26 @@ def rule_score(findings: Column) -> Column:
     return F.when(F.size(categories(findings)) >= 2, F.least(F.lit(1.0), top * BOOST)).otherwise(top)
 
 
-def outputs(text: Column) -> Column:
+def outputs_sql(text: str, low: str | None = None) -> str:
     """Findings of the rules on model outputs."""
-    return scanned(text, fixed.OUTPUT_RULES, fixed.RESERVED_FILTERED)
+    return scanned_sql(text, fixed.OUTPUT_RULES, fixed.RESERVED_FILTERED, low)
+
 
+def outputs(text: str, low: str | None = None) -> Column:
+    return F.expr(outputs_sql(text, low))
 
-def intents(text: Column) -> Column:
+
+def intents_sql(text: str, low: str | None = None) -> str:
     """A question about the model itself, then intents: an action and a target anywhere; a modifier raises the score."""
-    out = [F.when(text.rlike(pattern(fixed.SELF_REFERENCE, dot_all=True)), _finding("L2_self_reference", "system_prompt_leak", fixed.SELF_REFERENCE_SCORE))]
+    match = lambda p: gated(text, p, pattern(p), low)
+    out = [(gated(text, fixed.SELF_REFERENCE, pattern(fixed.SELF_REFERENCE, dot_all=True), low), _struct("L2_self_reference", "system_prompt_leak", str(fixed.SELF_REFERENCE_SCORE)))]
     for name, category, base, raised, actions, targets, modifiers in fixed.INTENTS:
-        fires = text.rlike(pattern(actions)) & text.rlike(pattern(targets))
-        score = F.when(text.rlike(pattern(modifiers)), F.lit(raised)).otherwise(F.lit(base))
-        out.append(F.when(fires, _finding(name, category, score)))
-    return collected(out)
+        out.append((f"({match(targets)} and {match(actions)})", _struct(name, category, f"case when {match(modifiers)} then {raised} else {base} end")))
+    return _list(out)
+
+
+def intents(text: str, low: str | None = None) -> Column:
+    return F.expr(intents_sql(text, low))
 
 
 def composites(found: Column) -> Column:
@@ -96,29 +124,31 @@ def composites(found: Column) -> Column:
     return collected(out)
 
 
-def behaviours(text: Column, found: Column) -> Column:
+def behaviours(first: Column, found: Column) -> Column:
     """Intents and then composites over them and the categories found before."""
-    first = intents(text)
     return F.concat(first, composites(F.array_union(found, categories(first))))
 
 
-def data_loss(text: Column, only: set[str] | None = None) -> Column:
-    """Personal data and secrets. A card number counts if the first candidate has a right check digit; addresses, if
-    there are MANY outside the reserved domains. only: categories to look for."""
+def data_loss_sql(text: str, only: set[str] | None = None, low: str | None = None) -> str:
+    """Personal data and secrets. A card number counts if the first candidate has 13 to 19 digits and a right check
+    digit; addresses, if there are MANY outside the reserved domains. only: categories to look for."""
     out = []
-    for rule, category, score, ignore_case, mode, p in fixed.DATA_LOSS:
+    for rule, category, score, ignore_case, mode, bare in fixed.DATA_LOSS:
         if only is not None and category not in only:
             continue
-        p = pattern(p, ignore_case)
-        first = F.regexp_extract(text, p, 0)
+        p = pattern(bare, ignore_case)
+        fires, first = gated(text, bare, p, low), f"regexp_extract({text}, {quoted(p)}, 0)"
         if mode == "luhn":
-            fires = text.rlike(p) & is_card_number(first)
+            number = f"regexp_replace({first}, '[^0-9]', '')"
+            fires = f"({fires} and length({number}) between 13 and 19 and luhn_check({number}))"
         elif mode == "count":
-            fires = text.rlike(p) & (F.size(F.filter(F.regexp_extract_all(text, F.lit(f"({p})"), 0), lambda x: ~is_reserved_address(x))) >= MANY)
-        else:
-            fires = text.rlike(p)
-        out.append(F.when(fires, _finding(rule, category, score, F.substring(first, 1, 50))))
-    return collected(out)
+            fires = f"({fires} and size({_live(text, p)}) >= {MANY})"
+        out.append((fires, _struct(rule, category, str(score), f"substring({first}, 1, 50)")))
+    return _list(out)
+
+
+def data_loss(text: str, only: set[str] | None = None, low: str | None = None) -> Column:
+    return F.expr(data_loss_sql(text, only, low))
 
 
 #: Secrets that are blocked in the arguments of tools; an inline password is not sure enough.
@@ -127,20 +157,25 @@ AGENT_TRAFFIC = ("a2a", "agent", "mcp")
 STRONG, MEDIUM, WEAK = 0.65, 0.45, 0.30
 
 
-def concepts(text: Column) -> dict[str, Column]:
+def concepts_sql(text: str, low: str | None = None) -> dict[str, str]:
     """Whether a text holds each concept, and as imperative, whether a sentence of it begins as an order."""
-    has = {k: text.rlike(pattern(p)) for k, p in fixed.CONCEPTS.items()}
-    has["imperative"] = F.exists(F.split(text, "[.!?]"), lambda s: F.trim(s).rlike(pattern(fixed.CONCEPTS["imperative"])))
+    has = {k: gated(text, p, pattern(p), low) for k, p in fixed.CONCEPTS.items()}
+    order = fixed.CONCEPTS["imperative"]
+    sentence = f"exists(split({text}, '[.!?]'), s -> rlike(trim(s), {quoted(pattern(order))}))"
+    has["imperative"] = f"({may_match(low, order)} and {sentence})" if low else sentence
     return has
 
 
-def relations(text: Column, mode: str = "chat", has: dict[str, Column] | None = None) -> Column:
+def concepts(text: str, low: str | None = None) -> dict[str, Column]:
+    return {k: F.expr(c) for k, c in concepts_sql(text, low).items()}
+
+
+def relations(text: Column, mode: str, has: dict[str, Column]) -> Column:
     """Relations between concepts (an order to an assistant to drop its rules, and the like), as findings.
 
     Where nothing is aimed at an assistant, protected or an order, no score exceeds .04. Between agents scores are
-    raised by a third, to .85 at most. has: the concepts, where they are columns already.
+    raised by a third, to .85 at most. has: the concepts of the text.
     """
-    has = has or concepts(text)
     order = has["imperative"]
     protected = has["protected"] | has["secret"]
     ai = has["ai"] | has["system_ai"] | (order & protected)

@@ -8,37 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import HEAD, all_normalised, content_hash, head, is_plain, normalised, percent_decoded, single_spaced
+from tessera.functions.text import HEAD, all_normalised, content_hash, head, normalised, percent_decoded
 from tessera.operators import context as C
 from tessera.operators import findings as D
 from tessera.operators import verdict as V
 from tessera.rules.inputs import INPUT_RULES, RESERVED_FILTERED
 
 
-
 def pinned(df: DataFrame, columns: dict) -> DataFrame:
     """df with columns that are computed once: Catalyst does not copy them into each of the expressions that use them."""
     return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def views(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with raw (the first HEAD characters) and view (as a reader sees them).
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, as a scan is bound by them; one of many partitions stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    return df.repartition(2 * cores)
 
-    Python normalises only texts that need it: those of characters beyond ASCII, with letters spread out, with leet
-    signs between letters, or with a word that is near a keyword but none. For others, folding white space is all.
-    """
-    spread = r"(?:^|[^A-Za-z])[A-Za-z](?: [A-Za-z]){2}|[A-Za-z][._-][A-Za-z][._-][A-Za-z]|[A-Za-z][0-9@$]|[0-9@$][A-Za-z]"
-    df = df.withColumn("raw", head(F.col(text)))
-    words = F.array_distinct(F.split(F.lower("raw"), r"[^a-z]+"))
-    near = F.exists(words, lambda w: F.length(w).between(4, 15) & w.substr(1, 1).isin(*"ibofdrlepscgunxwvkqzmjhtay"))
-    needs = ~is_plain(F.col("raw")) | F.col("raw").rlike(spread) | near
-    df = df.withColumn("seen", F.when(needs, normalised("raw")))
-    return pinned(df, {"view": F.coalesce("seen", single_spaced(F.col("raw")))}).drop("seen")
+
+def views(df: DataFrame, text: str = "text", normalise: bool = True) -> DataFrame:
+    """df with raw (the first HEAD characters), view (as a reader sees them) and both in lower case."""
+    df = spread(df).withColumn("raw", head(F.col(text)))
+    df = df.withColumn("view", normalised("raw") if normalise else F.col("raw"))
+    return pinned(df, {"low": F.lower("view"), "low_raw": F.lower("raw")})
 
 
 def related(df: DataFrame, view: str = "view", traffic: str = "chat") -> DataFrame:
-    """df with related, the relations in a view; each concept is looked for once."""
-    has = D.concepts(F.col(view))
+    """df (with low, the view in lower case) with related, the relations in a view; each concept is looked for once."""
+    has = D.concepts(view, "low")
     out = pinned(df, {f"has_{k}": c for k, c in has.items()})
     out = pinned(out, {"related": D.relations(F.col(view), traffic, {k: F.col(f"has_{k}") for k in has})})
     return out.drop(*[f"has_{k}" for k in has])
@@ -54,12 +53,13 @@ def behind(df: DataFrame, text: str, normalise: bool = True) -> DataFrame:
 
 def with_tail(df: DataFrame, text: str, rules, traffic: str = "chat", normalise: bool = True) -> DataFrame:
     """df with tail, the verdict on the strongest window behind the head (the first of equals; null for a short text):
-    score, category, rules. Layers are those of the head, without a frame and with the largest score; rules: text
-    column -> findings."""
+    score, category, rules. Layers are those of the head, without a frame and with the largest score; rules: a text's
+    name -> SQL of findings."""
     out = behind(df, text, normalise)
-    names = list(D.concepts(F.lit("")))
-    looked = lambda t: F.struct(t.alias("part"), rules(t).alias("l1"), D.intents(t).alias("intents"), D.data_loss(t).alias("dlp"), F.struct(*[c.alias(k) for k, c in D.concepts(t).items()]).alias("has"))
-    out = pinned(out, {"tail": F.transform("tail_views", looked)})
+    names = list(D.concepts_sql("t"))
+    has = ", ".join(f"'{k}', {c}" for k, c in D.concepts_sql("t").items())
+    looked = f"named_struct('part', t, 'l1', {rules('t')}, 'intents', {D.intents_sql('t')}, 'dlp', {D.data_loss_sql('t')}, 'has', named_struct({has}))"
+    out = pinned(out, {"tail": F.expr(f"transform(tail_views, t -> {looked})")})
 
     def layers(p):
         both = F.array_union(D.categories(p["l1"]), D.categories(p["intents"]))
@@ -78,19 +78,23 @@ def with_tail(df: DataFrame, text: str, rules, traffic: str = "chat", normalise:
     return out.drop("tails", "tail_views")
 
 
+def _twice(scan) -> dict:
+    """Findings in the view, and in the raw text where that is another."""
+    none = F.array().cast(D.FINDING)
+    return {"by_view": F.expr(scan("view", "low")), "by_raw": F.when(F.col("raw") != F.col("view"), F.expr(scan("raw", "low_raw"))).otherwise(none)}
+
+
 def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normalise: bool = True) -> DataFrame:
     """df with the verdict on model outputs: findings, score, category, rules, true_action, action.
 
     A null text is not scannable: it is allowed, with input_status saying so.
     """
-    out = views(df, text) if normalise else df.withColumns({"raw": head(F.col(text)), "view": head(F.col(text))})
-    view, raw = F.col("view"), F.col("raw")
-    differs = F.when(raw != view, D.outputs(raw)).otherwise(F.array().cast(D.FINDING))
-    rules = D.united(D.outputs(view), differs) if normalise else D.outputs(raw)
-    out = pinned(out, {"l1": rules})
-    out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view)})
-    out = with_tail(related(out), text, D.outputs, normalise=normalise)
-    return _verdict(out, text, mode).drop("raw", "view", "tail")
+    out = views(df, text, normalise)
+    out = pinned(out, _twice(D.outputs_sql) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low")})
+    out = pinned(out, {"l1": D.united(F.col("by_view"), F.col("by_raw"))})
+    out = pinned(out, {"l2": D.behaviours(F.col("acts"), D.categories(F.col("l1")))})
+    out = with_tail(related(out), text, D.outputs_sql, normalise=normalise)
+    return _verdict(out, text, mode).drop("raw", "view", "low", "low_raw", "by_view", "by_raw", "acts", "tail")
 
 
 def _and_tail(rules):
@@ -112,16 +116,20 @@ def _verdict(out: DataFrame, text: str, mode: str) -> DataFrame:
     return out.withColumns({"action": V.action(F.col("true_action"), mode), "score": F.round("score_exact", 3)})
 
 
+def _inputs(text: str, low: str | None = None) -> str:
+    """SQL for the findings of the rules on inputs."""
+    return D.scanned_sql(text, INPUT_RULES, RESERVED_FILTERED, low)
+
+
 def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic: str = "chat") -> DataFrame:
     """df with the verdict on inputs: as for outputs, with the frame's calibration and signals against evasion."""
-    out = views(df, text)
-    out = C.with_extraction(out, "view")
-    view, raw = F.col("view"), F.col("raw")
-    scan = lambda t: D.scanned(t, INPUT_RULES, RESERVED_FILTERED)
-    out = pinned(out.withColumn("repeats", C.repetitions(text)), {"by_view": scan(view), "by_raw": F.when(raw != view, scan(raw)).otherwise(F.array().cast(D.FINDING))})
+    out = C.with_extraction(views(df, text), "view", "low")
+    found = _twice(_inputs) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low"), "frame": C.frame("view", F.col("extraction"), "low"), "uncoded": C.uncoded("raw")}
+    out = pinned(out.withColumn("repeats", C.repetitions(text)), found)
     out = pinned(out, {"l1": F.concat("repeats", D.united(F.col("by_view"), F.col("by_raw"))).cast(D.FINDING)}).drop("repeats", "by_view", "by_raw")
-    out = pinned(out, {"l2": D.behaviours(view, D.categories(F.col("l1"))), "dlp": D.data_loss(view), "frame": C.frame(view, F.col("extraction"))})
-    out = with_tail(related(out, "view", traffic), text, scan, traffic)
+    out = pinned(out, {"l2": D.behaviours(F.col("acts"), D.categories(F.col("l1")))}).drop("acts")
+    out = with_tail(related(out, "view", traffic), text, _inputs, traffic)
+    raw = F.col("raw")
     disarmed = C.carries_command(F.col("l1"), V.BLOCK) & (F.col("frame") != "protective")
     out = out.withColumn("framed", F.coalesce(F.col("frame").isNotNull() & ~disarmed, F.lit(False)))
     out = pinned(out, {c: C.dampened(F.col(c), F.col("framed")) for c in ("l1", "l2")} | {"related": F.when(F.col("framed"), F.array().cast(D.FINDING)).otherwise(F.col("related"))})
@@ -131,15 +139,15 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     score = F.greatest(V.fused(first, D.top_score(l2), D.top_score(dlp)), D.top_score(rel))
     live = F.exists(l1, C.is_live)
     cap = F.greatest(F.lit(V.FLAG), F.lit(V.BLOCK - 0.05))
-    mentioned = (score >= V.BLOCK) & (D.top_score(dlp) < V.BLOCK) & ~live & ~C.active_extraction(view) & C.is_quoted_mention(raw)
-    clean = ~F.exists(scan(C.without_code(raw)), lambda x: C.is_live(x) | (x["score"] >= V.BLOCK))
-    documentary = F.when(C.is_documentary(raw), clean).otherwise(F.lit(False))
+    mentioned = (score >= V.BLOCK) & (D.top_score(dlp) < V.BLOCK) & ~live & ~C.active_extraction("view", "low") & C.is_quoted_mention("raw", "low_raw")
+    clean = ~F.exists(F.expr(_inputs("uncoded")), lambda x: C.is_live(x) | (x["score"] >= V.BLOCK))
+    documentary = F.when(F.col("uncoded").isNotNull(), clean).otherwise(F.lit(False))
     score = F.when(mentioned | documentary, F.least(score, cap)).otherwise(score)
-    bypass = C.protective_then_override(view, F.col("extraction"))
-    encoded = C.encoded_directive(raw)
-    out = out.withColumn("decoded", F.when(raw.rlike("%[0-9A-Fa-f]{2}"), percent_decoded("raw")))
+    bypass = C.protective_then_override("view", F.col("extraction"), "low")
+    encoded = C.encoded_directive("raw", "low_raw")
+    out = out.withColumn("decoded", percent_decoded(F.when(raw.rlike("%[0-9A-Fa-f]{2}"), raw)))
     dangers = ["prompt_injection", "jailbreak", "system_prompt_leak", "code_execution", "credential_access", "data_exfiltration"]
-    danger = F.when(F.col("decoded").isNotNull(), D.top_score(F.filter(scan(F.col("decoded")), lambda x: x["category"].isin(dangers)))).otherwise(F.lit(0.0))
+    danger = F.when(F.col("decoded").isNotNull(), D.top_score(F.filter(F.expr(_inputs("decoded")), lambda x: x["category"].isin(dangers)))).otherwise(F.lit(0.0))
     long, missing = F.length(text) > HEAD, F.col(text).isNull()
     out = pinned(out, {"danger": danger, "bypass": bypass, "encoded": encoded, "capped": score})
     bypass, encoded, decoded, score = (F.col(c) for c in ("bypass", "encoded", "danger", "capped"))
@@ -163,7 +171,7 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     )
     out = out.withColumn("true_action", V.true_action(V.band(F.col("score_exact"))))
     out = out.withColumns({"action": V.action(F.col("true_action"), mode), "score": F.round("score_exact", 3)})
-    return out.drop("score_exact", "raw", "view", "decoded", "tail", "extraction", "danger", "bypass", "encoded", "capped", "frame")
+    return out.drop("score_exact", "raw", "view", "low", "low_raw", "uncoded", "decoded", "tail", "extraction", "danger", "bypass", "encoded", "capped", "frame")
 
 
 def hashed(df: DataFrame, text: str = "text") -> DataFrame:
@@ -177,12 +185,12 @@ SOFT = ["data_exfiltration", "jailbreak", "system_prompt_leak", "encoding_evasio
 PROSE_FREE_KEYS = ["command", "cmd", "script", "args", "shell", "code"]
 
 
-def _found_behind(scan):
+def _found_behind():
     """Findings in the windows behind the head of a tool call's text, each rule once."""
     none = F.array().cast(D.FINDING)
-    kept = lambda t: F.filter(scan(t), lambda x: x["category"].isin(*HARD, *SOFT))
-    content = F.transform(F.array_union("tail_views", "tails"), kept)
-    secrets = F.transform("tails", lambda t: D.data_loss(t, D.SURE_SECRETS))
+    kept = ", ".join(f"'{c}'" for c in (*HARD, *SOFT))
+    content = F.expr(f"transform(array_union(tail_views, tails), t -> filter({_inputs('t')}, x -> x.category in ({kept})))")
+    secrets = F.expr(f"transform(tails, t -> {D.data_loss_sql('t', D.SURE_SECRETS)})")
     return F.coalesce(F.aggregate(F.concat(content, secrets), none, D.united), none)
 
 
@@ -197,16 +205,21 @@ def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[s
     from tessera.operators.policy import annotated, evaluated, is_listed
 
     kept = calls.columns
-    out = classified(calls)
+    out = classified(spread(calls))
     flat = F.concat_ws(" ", "tool_name", F.array_join(F.map_values("arguments"), " "))
     out = views(out.withColumn("flat", flat), "flat")
-    scan = lambda t: D.scanned(t, INPUT_RULES, RESERVED_FILTERED)
-    every = D.united(D.united(scan(F.col("view")), scan(F.col("raw"))), F.coalesce(scan(rebuilt(F.col("segments"))), F.array().cast(D.FINDING)))
-    out = pinned(out, {"content": F.filter(every, lambda x: x["category"].isin(*HARD, *SOFT)), "secrets": D.data_loss(F.col("raw"), D.SURE_SECRETS)})
-    out = pinned(behind(out, "flat"), {"tail_found": _found_behind(scan)})
+    none = F.array().cast(D.FINDING)
+    out = pinned(out, {"rebuilt": rebuilt(F.col("segments")), "uncoded": C.uncoded("raw")})
+    # A command that is rebuilt as it stands is seen already.
+    again = F.col("rebuilt").isNotNull() & ~F.col("raw").contains(F.col("rebuilt"))
+    found = _twice(_inputs) | {"by_rebuilt": F.when(again, F.expr(_inputs("rebuilt"))).otherwise(none), "secrets": D.data_loss("raw", D.SURE_SECRETS, "low_raw")}
+    out = pinned(out, found)
+    every = D.united(D.united(F.col("by_view"), F.col("by_raw")), F.col("by_rebuilt"))
+    out = pinned(out, {"content": F.filter(every, lambda x: x["category"].isin(*HARD, *SOFT))})
+    out = pinned(behind(out, "flat"), {"tail_found": _found_behind()})
     listed = is_listed(F.col("tool_name"), list(blocked_tools))
-    prose = C.is_documentary(F.col("raw")) & ~F.exists(F.map_keys("arguments"), lambda k: F.lower(k).isin(*PROSE_FREE_KEYS))
-    residue = ~F.exists(scan(C.without_code(F.col("raw"))), lambda x: x["category"].isin(*HARD))
+    prose = F.col("uncoded").isNotNull() & ~F.exists(F.map_keys("arguments"), lambda k: F.lower(k).isin(*PROSE_FREE_KEYS))
+    residue = ~F.exists(F.expr(_inputs("uncoded")), lambda x: x["category"].isin(*HARD))
     head_found = F.concat("content", "structure", "secrets")
     all_found = D.united(head_found, F.col("tail_found"))
     # What prose explains is explained in the head only.
@@ -234,7 +247,7 @@ def scan_envelopes(df: DataFrame, body: str = "body", mode: str = "block", block
     from tessera.operators.envelopes import envelope_text, structural
 
     kept = df.columns
-    out = structural(df, body).withColumn("envelope_text", envelope_text(body))
+    out = structural(spread(df), body).withColumn("envelope_text", envelope_text(body))
     out = scan_inputs(out, "envelope_text", "block", "a2a")
     score = F.round(F.greatest("score", "structural_score"), 3)
     hit = F.col("structural_score") >= V.FLAG
