@@ -114,9 +114,11 @@ class Model:
             return np.full(len(counts), 0.5)
         near = unit(weighed(counts, self.idf) @ self.space) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(near, best, 1), 1e-6).astype(np.float64) ** POWER
-        return (weight * self.labels[best]).sum(1) / weight.sum(1)
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
+        # Neighbours as near as the last of the nearest all vote, so ties are not broken by chance.
+        row, at = np.nonzero(near >= last[:, None])
+        weight = np.maximum(near[row, at], 1e-6).astype(np.float64) ** POWER
+        return np.bincount(row, weight * self.labels[at], len(near)) / np.bincount(row, weight, len(near))
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,14 +141,19 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of labels (doc_id, label) on the texts of docs, from SAMPLE labelled rows at most."""
+    """A model of labels (doc_id, label) on the texts of docs, from SAMPLE labelled ids at most.
+
+    Of labels that repeat a doc_id the largest counts, and of texts that do, the one whose features come first.
+    """
     bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = {r["doc_id"]: r["label"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()}
     spark = docs.sparkSession
     ids = spark.createDataFrame([(k,) for k in chosen], "doc_id long")
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sparse, "doc_id long, at binary, n binary").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"], r["at"], r["n"]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sparse, "doc_id long, at binary, n binary")
+    # A row for each chosen id, however many rows repeat it; a row has a count for each of WIDTH features at most.
+    found = rows.groupBy("doc_id").agg(F.min(F.struct("at", "n")).alias("x")).select("doc_id", "x.at", "x.n").toArrow().to_pylist()
+    found.sort(key=lambda r: r["doc_id"])
     counts = np.zeros((len(found), WIDTH), np.float32)
     for i, r in enumerate(found):
         counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], np.float32)

@@ -31,8 +31,9 @@ from tessera.llm.tokens import word_encoder
 MAGIC = b"TOKSHRD1"
 HEAD = struct.Struct("<8s32sII")
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("at", "<u8"), ("n", "<u8")])
-#: The dictionary is trained on the ids of the documents with the smallest hashes of their id, so many at most.
-SAMPLE_DOCS, DICTIONARY_BYTES = 512, 64 << 10
+#: The dictionary is trained on the ids of the documents with the smallest hashes of their id and text: so many at most,
+#: one for each doc_id, and of a long one the first bytes of its ids. (All documents are written whole.)
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 1 << 16, 64 << 10
 SHARD_BYTES = 4 << 20
 END = 1
 
@@ -46,20 +47,30 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tu
 
 
 def serialized(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    """Ids of `width` bytes; an id that does not fit is an error, never another id."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError(f"id {wide.max()} needs width 4")
+    return wide.astype("<u2").tobytes()
 
 
 def train_dictionary(docs: DataFrame, width: int, path: str | None = None) -> bytes:
-    """A dictionary from a bounded sample (SAMPLE_DOCS documents, whole); empty if there is too little to train on."""
-    chosen = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    """A dictionary from a bounded sample (SAMPLE_DOCS documents, SAMPLE_BYTES of each); empty if it is too little."""
+    order = F.struct(F.xxhash64("doc_id"), F.xxhash64("text")).alias("order")
+    sample = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), order)
+    chosen = sample.groupBy("doc_id").agg(F.min("order").alias("order")).orderBy("order").limit(SAMPLE_DOCS).select("doc_id", F.col("order.col2").alias("text_hash"))
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, text_hash long")
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _encoded(batches, path):
-            yield pa.RecordBatch.from_arrays([pa.array([serialized(x, width) for x in found], pa.binary())], ["ids"])
+        for names, found in _encoded(batches, path):
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([serialized(x, width)[:SAMPLE_BYTES] for x in found], pa.binary())], ["doc_id", "ids"])
 
-    samples = [bytes(r[0]) for r in docs.where(F.col("doc_id").isin(chosen)).select("doc_id", "text").mapInArrow(ids, "ids binary").collect()] if chosen else []
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(chosen), ["doc_id", "text_hash"], "left_semi")
+    samples = texts.select("doc_id", "text").mapInArrow(ids, "doc_id long, ids binary").groupBy("doc_id").agg(F.min("ids").alias("ids"))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(samples)).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(bytes(r["ids"]) for r in samples.collect())).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -107,7 +118,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, width: int = 2)
     """Write the ids of docs (doc_id long, text string, ...) to a folder, in ascending doc_id order.
 
     Null and empty texts have the end id alone. Documents without a doc_id come first; rows that repeat a doc_id are
-    all written, in any order among themselves. An empty table gives a folder without documents. Other columns are
+    all written, in the order of their texts (null ones first). An empty table gives a folder without documents. Other columns are
     not read. path: the vocabulary file; width: bytes of an id in the files.
     """
     bounded_batches(docs.sparkSession)
@@ -137,7 +148,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, width: int = 2)
 
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     fields = "part int, number long, inside long, first_doc long, last_doc long, n_docs long, n_tokens long, shard binary"
     ordered.mapInArrow(shards, fields).write.mode("overwrite").option("compression", "none").parquet(f"{folder}/shards")
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/dictionary")

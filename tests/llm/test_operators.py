@@ -293,6 +293,12 @@ def test_language_model(docs, none):
     assert language_model.language_scores(none).count() == 0
 
 
+def test_language_model_beats_the_base_on_held_out_text(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
+    rows = language_model.language_scores(df).where("held_out").collect()
+    assert len(rows) > 20 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_gradients_of_the_network():
     from tessera.llm import gru
 
@@ -310,6 +316,34 @@ def test_gradients_of_the_network():
     assert np.allclose(after[7:], alone, atol=1e-4)  # a document's score does not depend on its neighbours
 
 
+def test_votes_agree_with_plain_ones():
+    rng = np.random.default_rng(9)
+    counts = rng.poisson(0.02, (60, quality.WIDTH)).astype(np.float32)
+    counts[30:40] = counts[20:30]  # ties, some of unlike labels
+    labels = rng.integers(0, 2, 60)
+    model = quality.Model(counts, labels, (counts > 0).sum(0), 60)
+    asked = rng.poisson(0.02, (25, quality.WIDTH)).astype(np.float32)
+    asked[:5] = counts[20:25]
+    vectors = quality.unit(quality.weighed(asked.copy(), model.idf) @ model.space)
+    for v, got in zip(vectors, model.score(asked)):
+        near = [(float(v @ w), int(y)) for w, y in zip(model.vectors, labels)]
+        last = sorted((s for s, _ in near), reverse=True)[quality.NEIGHBOURS - 1]
+        votes = [(max(s, 1e-6) ** quality.POWER, y) for s, y in near if s >= last - 1e-6]
+        assert got == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=0.02)
+
+
+def test_sample_of_repeated_ids_is_bounded(spark):
+    rows = [(1, f"{prose(20)} {i}") for i in range(300)] + [(2, "### ### ###")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, label int"))
+    assert len(model.labels) == 2 and token_files.train_dictionary(df, 2) is not None
+
+
+def test_a_wide_id_is_refused():
+    with pytest.raises(ValueError, match="width 4"):
+        token_files.serialized(np.array([5, 70_000], "<u4").tobytes(), 2)
+
+
 def test_quality(spark, docs, none):
     good = [(1000 + i, prose(60)) for i in range(60)]
     bad = [(2000 + i, " ".join(w + "###" for w in prose(60).split())) for i in range(60)]
