@@ -286,10 +286,10 @@ def sql_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, k * 900 AS place, CAST(length(substr(text, k * 900 + 1, 1000)) AS INTEGER) AS size, substr(sha256(substr(text, k * 900 + 1, 1000)), 1, 16) AS part
-FROM (SELECT doc_id, text, unnest(range(0, least(8, greatest(1, ceil((length(text) - 100) / 900.0)))::BIGINT)) AS k FROM documents)""")
+FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 100) / 900.0))::BIGINT)) AS k FROM documents)""")
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    parts = docs.select("doc_id", F.explode(context.windows(F.col("text"), 1000, 100)).alias("w"))
+    parts = docs.select("doc_id", F.explode(context.windows(F.col("text"), 1000, 100, most=None)).alias("w"))
     return parts.select("doc_id", F.col("w.at").cast("long").alias("place"), F.length("w.part").alias("size"), T.content_hash(F.col("w.part")).alias("part"))
 
 

@@ -17,8 +17,11 @@ from tessera.rules.fixed import KEYWORDS, LEFT_ALONE
 HEAD = 100_000
 
 # Look-alike letters of other scripts and their Latin letters; digits and signs read as letters.
-LOOK_ALIKES = ("аеорсхуіјѕԁһѡгктвмёοαερινυχκτϲ", "aeopcxyijsdhwrktbmeoaepivuxktc")
-LEET = ("013456789@$", "oieasgtbgas")
+LATIN = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ѡ": "w", "г": "r", "к": "k", "т": "t", "в": "b", "м": "m", "ё": "e", "ο": "o", "α": "a", "ε": "e", "ρ": "p", "ι": "i", "ν": "v", "υ": "u", "χ": "x", "κ": "k", "τ": "t", "ϲ": "c",
+}
+LETTERS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+LOOK_ALIKES, LEET = (("".join(t), "".join(t.values())) for t in (LATIN, LETTERS))
 KEYWORD_LENGTH = 4
 
 

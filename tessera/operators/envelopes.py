@@ -16,10 +16,11 @@ from pyspark.sql.types import ArrayType, StringType
 from tessera.rules import fixed
 
 # Keys that carry identifiers rather than text; shapes of identifiers.
-NOISE_KEYS = set(
-    "id messageid taskid contextid artifactid jsonrpc method kind role mimetype version uuid userid user_id useremail user_email email sessionid session_id"
-    " requestid request_id traceid trace_id correlationid correlation_id source timestamp fileid file_id".split()
-)
+NOISE_KEYS = {
+    "id", "messageid", "taskid", "contextid", "artifactid", "jsonrpc", "method", "kind", "role", "mimetype", "version", "uuid", "userid", "user_id", "useremail",
+    "user_email", "email", "sessionid", "session_id", "requestid", "request_id", "traceid", "trace_id", "correlationid", "correlation_id", "source", "timestamp",
+    "fileid", "file_id",
+}
 _NOISE = re.compile(r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{16,})$", re.I)
 SHORTEST = 4
 # Providers by a part of a host.
@@ -30,24 +31,32 @@ def _path(body: Column, path: str) -> Column:
     return F.get_json_object(body, path)
 
 
-def _raw(body: Column, path: str, kind: str) -> Column:
-    """The value at a path as VARIANT cast to a type; null where it is absent or of another type."""
-    return F.try_variant_get(F.try_parse_json(body), path, kind)
+def _at(tree: Column, path: str) -> Column:
+    return F.try_variant_get(tree, path, "variant")
+
+
+def _kind(tree: Column, path: str = "$") -> Column:
+    """OBJECT, ARRAY, STRING and the like at a path of a VARIANT; null where there is none."""
+    return F.regexp_extract(F.schema_of_variant(_at(tree, path)), r"^\w+", 0)
+
 
+def _is(tree: Column, path: str, kind: str) -> Column:
+    return F.coalesce(_kind(tree, path) == kind, F.lit(False))
 
-def _kind(body: Column, path: str) -> Column:
-    """OBJECT, ARRAY, STRING and the like at a path; null where there is none."""
-    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), path, "variant")), r"^\w+", 0)
+
+def _items(tree: Column, path: str) -> Column:
+    """The elements of an array at a path; none where there is no array."""
+    return F.coalesce(F.try_variant_get(tree, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
 def is_envelope(body: Column) -> Column:
-    """JSON-RPC 2.0 with a method, or parts in a message, a result or an artifact, or messages that are objects."""
-    rpc = (_path(body, "$.jsonrpc") == "2.0") & (_kind(body, "$.method") == "STRING")
-    parts = [_kind(body, p) == "ARRAY" for p in ("$.params.message.parts", "$.result.message.parts", "$.result.artifacts[0].parts")]
-    out = F.coalesce(rpc, F.lit(False)) | F.coalesce(_kind(body, "$.params.messages[0]") == "OBJECT", F.lit(False))
-    for p in parts:
-        out = out | F.coalesce(p, F.lit(False))
-    return out
+    """JSON-RPC 2.0 with a method, or parts in a message, a result or any artifact, or any message that is an object."""
+    tree = F.try_parse_json(body)
+    rpc = F.coalesce(_path(body, "$.jsonrpc") == "2.0", F.lit(False)) & _is(tree, "$.jsonrpc", "STRING") & _is(tree, "$.method", "STRING")
+    parts = _is(tree, "$.params.message.parts", "ARRAY") | _is(tree, "$.result.message.parts", "ARRAY")
+    messages = F.exists(_items(tree, "$.params.messages"), lambda m: _is(m, "$", "OBJECT"))
+    artifacts = F.exists(_items(tree, "$.result.artifacts"), lambda a: _is(a, "$.parts", "ARRAY"))
+    return _is(tree, "$", "OBJECT") & (rpc | parts | messages | artifacts)
 
 
 def routed(df: DataFrame, body: str = "body") -> DataFrame:
@@ -121,53 +130,59 @@ def id_values(bodies: pd.Series) -> pd.Series:
 
 
 def structural(df: DataFrame, body: str = "body") -> DataFrame:
-    """df with signals (names, sorted) and structural_score, the largest of their scores. What is no JSON object has none."""
-    b = F.col(body)
-    kind = lambda p: _kind(b, p)
-    is_object = F.coalesce(kind("$") == "OBJECT", F.lit(False))
-    rpc = is_object & (kind("$.jsonrpc").isNotNull() | kind("$.method").isNotNull() | kind("$.params").isNotNull())
-    method = _path(b, "$.method")
+    """df with signals (names, sorted) and structural_score, the largest of their scores. What is no JSON object has none.
+
+    Parts are those of a request's message and of all artifacts of a result.
+    """
+    # The body is parsed once: what is looked at below are columns of the parsed tree.
+    fields = {name: f"$.{name}" for name in ("jsonrpc", "method", "params")} | {"message": "$.params.message", "role": "$.params.message.role", "metadata": "$.params.message.metadata", "extensions": "$.params.message.extensions"}
+    df = df.withColumn("tree", F.try_parse_json(F.col(body)))
+    tree = F.col("tree")
+    parts = F.concat(_items(tree, "$.params.message.parts"), F.flatten(F.transform(_items(tree, "$.result.artifacts"), lambda a: _items(a, "$.parts"))))
+    seen = {f"kind_{k}": _kind(tree, p) for k, p in fields.items()} | {f"text_{k}": F.try_variant_get(tree, p, "string") for k, p in fields.items()}
+    seen |= {"is_object": _is(tree, "$", "OBJECT"), "parts": F.transform(parts, _part)}
+    df = df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in seen.items()])))).drop("tree")
+    kind, value = (lambda k: F.col(f"kind_{k}")), (lambda k: F.col(f"text_{k}"))
+    rpc = F.col("is_object") & (kind("jsonrpc").isNotNull() | kind("method").isNotNull() | kind("params").isNotNull())
+    role = value("role")
+    known = (kind("role") == "STRING") & (role.isin("user", "agent") | role.rlike(r"^agent/[\w.-]+$"))
+    long = F.lit(r'"(?:[^"\\]|\\.){201,}"')
+    prose = [F.coalesce(F.rlike(value(k), long) | ((kind(k) == "STRING") & (F.length(value(k)) > 200)), F.lit(False)) for k in ("metadata", "extensions")]
     fires: dict[str, Column] = {
-        "envelope_jsonrpc_version": kind("$.jsonrpc").isNotNull() & ~F.coalesce((kind("$.jsonrpc") == "STRING") & (_path(b, "$.jsonrpc") == "2.0"), F.lit(False)),
-        "envelope_method_not_string": kind("$.method").isNotNull() & (kind("$.method") != "STRING"),
-        "envelope_params_not_object": kind("$.params").isNotNull() & (kind("$.params") != "OBJECT"),
-        "envelope_missing_required": (method == "message/send") & ~F.coalesce(kind("$.params.message") == "OBJECT", F.lit(False)),
-    }
-    parts = F.coalesce(F.try_variant_get(F.try_parse_json(b), "$.params.message.parts", "array<variant>"), F.array().cast("array<variant>"))
-
-    def part(p: Column) -> dict[str, Column]:
-        has = lambda path, t: F.regexp_extract(F.schema_of_variant(F.try_variant_get(p, path, "variant")), r"^\w+", 0) == t
-        is_ = lambda c: F.coalesce(c, F.lit(False))
-        text = is_(has("$.text", "STRING") & (F.trim(F.try_variant_get(p, "$.text", "string")) != ""))
-        data = is_(has("$.data", "OBJECT"))
-        file = is_(has("$.file", "OBJECT")) | is_(has("$.file", "STRING")) | is_(has("$.fileId", "STRING")) | is_(has("$.url", "STRING")) | is_(has("$.uri", "STRING"))
-        n = text.cast("int") + data.cast("int") + file.cast("int")
-        named = F.try_variant_get(p, "$.kind", "string")
-        wrong = F.when(named == "text", ~text).when(named == "data", ~data).when(named == "file", ~file).otherwise(F.lit(False))
-        role = F.try_variant_get(p, "$.role", "string")
-        return {
-            "part_oneof_no_content": n == 0, "part_oneof_multiple_content": n > 1, "part_kind_content_mismatch": (n >= 1) & wrong,
-            "part_role_forgery": is_(role.isin(*PRIVILEGED_ROLES)), "part_unexpected_role": is_(role.isNotNull() & ~role.isin(*PRIVILEGED_ROLES)),
-        }
-
-    for name in ("part_oneof_no_content", "part_oneof_multiple_content", "part_kind_content_mismatch", "part_role_forgery", "part_unexpected_role"):
-        fires[name] = F.exists(parts, _of(part, name))
-    role = _path(b, "$.params.message.role")
-    fires["role_unexpected_value"] = role.isNotNull() & ~role.isin("user", "agent") & ~role.rlike(r"^agent/[\w.-]+$")
-    long = r'"(?:[^"\\]|\\.){201,}"'
-    fires["metadata_prose_surface"] = F.coalesce(_path(b, "$.params.message.metadata"), _path(b, "$.params.metadata"), _path(b, "$.params.message.extensions")).rlike(long)
-    df = df.withColumn("ids", F.when(is_object & b.rlike(r'"(?:id|\w+Id)"\s*:'), id_values(body)))
+        "envelope_jsonrpc_version": kind("jsonrpc").isNotNull() & ~F.coalesce((kind("jsonrpc") == "STRING") & (value("jsonrpc") == "2.0"), F.lit(False)),
+        "envelope_method_not_string": kind("method").isNotNull() & (kind("method") != "STRING"),
+        "envelope_params_not_object": kind("params").isNotNull() & (kind("params") != "OBJECT"),
+        "envelope_missing_required": (kind("method") == "STRING") & (value("method") == "message/send") & ~F.coalesce(kind("message") == "OBJECT", F.lit(False)),
+        "role_unexpected_value": (kind("message") == "OBJECT") & kind("role").isNotNull() & ~known,
+        "metadata_prose_surface": (kind("message") == "OBJECT") & (prose[0] | prose[1]),
+    } | {name: F.exists("parts", _field(name)) for name in ("part_oneof_no_content", "part_oneof_multiple_content", "part_kind_content_mismatch", "part_role_forgery", "part_unexpected_role")}
+    df = df.withColumn("ids", id_values(F.when(F.col("is_object") & F.col(body).rlike(r'"(?:id|\w*Id)"\s*:'), F.col(body))))
     moves = lambda v: v.rlike(fixed.ID_TRAVERSAL) | v.rlike(fixed.ID_ENCODED) | v.rlike(fixed.ID_ABSOLUTE)
     fires["id_field_traversal"] = F.exists("ids", moves)
     fires["id_field_malicious_content"] = F.exists("ids", lambda v: ~moves(v) & (v.rlike(fixed.ID_CONTROL) | v.rlike(fixed.ID_INJECTION)))
-    gate = {k: (rpc if k.startswith("envelope") else is_object) for k in fires}
-    hits = F.array(*[F.when(F.coalesce(gate[k] & c, F.lit(False)), F.struct(F.lit(k).alias("name"), F.lit(SIGNALS[k]).alias("score"))) for k, c in fires.items()])
-    hits = F.filter(hits, lambda h: h.isNotNull())
-    return df.withColumns({"signals": F.sort_array(F.transform(hits, lambda h: h["name"])), "structural_score": F.coalesce(F.array_max(F.transform(hits, lambda h: h["score"])), F.lit(0.0))}).drop("ids")
-
-
-def _of(part, name: str):
-    return lambda p: part(p)[name]
+    gate = {k: (rpc if k.startswith("envelope") else F.col("is_object")) for k in fires}
+    hits = F.filter(F.array(*[F.when(F.coalesce(gate[k] & c, F.lit(False)), F.struct(F.lit(k).alias("name"), F.lit(SIGNALS[k]).alias("score"))) for k, c in fires.items()]), lambda h: h.isNotNull())
+    found = {"signals": F.sort_array(F.transform(hits, lambda h: h["name"])), "structural_score": F.coalesce(F.array_max(F.transform(hits, lambda h: h["score"])), F.lit(0.0))}
+    return df.withColumns(found).drop("ids", *seen)
+
+
+def _part(p: Column) -> Column:
+    """What is wrong with a part of a message: one kind of content is asked for, and no role."""
+    text = _is(p, "$.text", "STRING") & F.coalesce(F.trim(F.try_variant_get(p, "$.text", "string")) != "", F.lit(False))
+    data = _is(p, "$.data", "OBJECT")
+    file = _is(p, "$.file", "OBJECT") | _is(p, "$.file", "STRING") | _is(p, "$.fileId", "STRING") | _is(p, "$.url", "STRING") | _is(p, "$.uri", "STRING")
+    n = text.cast("int") + data.cast("int") + file.cast("int")
+    named, role = (F.try_variant_get(p, f"$.{k}", "string") for k in ("kind", "role"))
+    wrong = F.when(named == "text", ~text).when(named == "data", ~data).when(named == "file", ~file).otherwise(F.lit(False))
+    forged = _is(p, "$.role", "STRING") & F.coalesce(F.lower(F.trim(role)).isin(*PRIVILEGED_ROLES), F.lit(False))
+    # A role of null is none.
+    has_role = ~F.coalesce(_kind(p, "$.role").isin("VOID", "NULL"), F.lit(False)) & _at(p, "$.role").isNotNull()
+    cases = {"part_oneof_no_content": n == 0, "part_oneof_multiple_content": n > 1, "part_kind_content_mismatch": (n >= 1) & wrong, "part_role_forgery": forged, "part_unexpected_role": has_role & ~forged}
+    return F.struct(*[(_is(p, "$", "OBJECT") & c).alias(k) for k, c in cases.items()])
+
+
+def _field(name: str):
+    return lambda p: p[name]
 
 
 def destination(url: Column, body: Column) -> Column:

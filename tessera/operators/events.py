@@ -40,7 +40,7 @@ ATTRIBUTES = {
     "gen_ai.security.interaction.content_hash": "content_hash", "gen_ai.security.interaction.content_length": "content_length",
     "gen_ai.security.detection.action": "action", "gen_ai.security.detection.score": "score", "gen_ai.security.detection.category": "category",
     "gen_ai.security.detection.enforcement_mode": "enforcement_mode", "gen_ai.security.detection.latency_ms": "latency_ms",
-    "gen_ai.security.detection.error_type": "error_type", "gen_ai.security.authz.impact_tier": "impact_tier",
+    "gen_ai.security.detection.error_type": "error_type", "gen_ai.security.detection.degraded": "degraded", "gen_ai.security.authz.impact_tier": "impact_tier",
     "gen_ai.security.authz.decision": "decision", "gen_ai.security.authz.policy_id": "policy_id",
     "gen_ai.security.provenance.on_behalf_of": "on_behalf_of", "gen_ai.security.provenance.actor": "actor",
     "gen_ai.security.provenance.correlation_id": "correlation_id", "gen_ai.security.provenance.origin_agent": "origin_agent",
@@ -48,30 +48,37 @@ ATTRIBUTES = {
 }
 
 
-def mapped(events: DataFrame) -> DataFrame:
-    """events with attributes, a map of dotted names to strings; what is missing or empty is left out.
-
-    events has direction, action, score, category, rules and agent_id, and any of the columns of ATTRIBUTES.
-    """
-    pairs = {a: F.col(c).cast("string") for a, c in ATTRIBUTES.items() if c in events.columns}
+def _values(events: DataFrame) -> dict[str, Column]:
+    """Attributes of events by their dotted names, each of its own type."""
+    found = {a: F.col(c) for a, c in ATTRIBUTES.items() if c in events.columns}
     action, score = F.col("action"), F.col("score")
-    pairs |= {
+    found |= {
         "gen_ai.security.schema_version": F.lit(SCHEMA_VERSION),
         "gen_ai.security.interaction.type": _looked_up(F.col("direction"), INTERACTION),
         "gen_ai.security.interaction.direction": _looked_up(F.col("direction"), WAY),
-        "gen_ai.security.detection.rules": F.when(F.size("rules") > 0, F.to_json("rules")),
+        "gen_ai.security.detection.rules": F.when(F.size("rules") > 0, F.col("rules")),
         "gen_ai.security.detection.severity": detection_severity(action, score),
         "gen_ai.security.detection.message": detection_message(action, F.col("category"), F.col("agent_id"), F.col("rules"), score),
     }
     if "mcp_server" in events.columns:
         name = "gen_ai.security.interaction.destination_id"
-        pairs[name] = F.coalesce(F.col("mcp_server"), pairs.get(name, F.lit(None).cast("string")))
+        found[name] = F.coalesce(F.col("mcp_server"), found.get(name, F.lit(None).cast("string")))
     if "impact_class" in events.columns:
-        pairs["gen_ai.security.authz.impact_class"] = F.when(F.col("impact_class") != "unknown", F.col("impact_class"))
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in sorted(pairs.items())])
+        found["gen_ai.security.authz.impact_class"] = F.when(F.col("impact_class") != "unknown", F.col("impact_class"))
+    return dict(sorted(found.items()))
+
+
+def mapped(events: DataFrame) -> DataFrame:
+    """events with attributes, a map of dotted names to strings; what is missing or empty is left out.
+
+    events has direction, action, score, category, rules and agent_id, and any of the columns of ATTRIBUTES.
+    """
+    texts = {k: F.to_json(v) if k.endswith(".rules") else v.cast("string") for k, v in _values(events).items()}
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in texts.items()])
     return events.withColumn("attributes", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull() & (e["value"] != ""))))
 
 
 def as_json(events: DataFrame) -> DataFrame:
-    """One compact JSON object a row."""
-    return mapped(events).select(F.to_json("attributes").alias("value"))
+    """One compact JSON object a row: numbers, booleans and the list of rules keep their types; missing and empty values are left out."""
+    found = {k: F.when(v.cast("string") != "", v) for k, v in _values(events).items()}
+    return events.select(F.to_json(F.struct(*[v.alias(k) for k, v in found.items()]), {"ignoreNullFields": "true"}).alias("value"))

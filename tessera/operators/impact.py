@@ -116,7 +116,7 @@ def classified(calls: DataFrame) -> DataFrame:
     cls = F.coalesce(F.col("by_name.class"), F.col("by_command.class"), F.lit("unknown"))
     out = out.withColumns({"tier": tier, "impact_class": cls})
     for other in ("by_sql", "url_hit"):
-        higher = F.coalesce((F.col(f"{other}.tier") > F.col("tier")) | (F.col(f"{other}.tier").isNotNull() & (F.col("impact_class") == "unknown")), F.lit(False))
+        higher = F.coalesce(F.col(f"{other}.tier") > F.col("tier"), F.lit(False))
         out = out.withColumns({"impact_class": F.when(higher, F.col(f"{other}.class")).otherwise(F.col("impact_class")), "tier": F.when(higher, F.col(f"{other}.tier")).otherwise(F.col("tier"))})
     for globs, pattern, least in ESCALATIONS:
         raises = F.exists(F.map_entries(arguments), _raises(globs, pattern))

@@ -15,10 +15,11 @@ _VERBS = r"select|insert|update|delete|drop|truncate|alter|create|grant|revoke|m
 def with_url_shape(df: DataFrame, url: str = "url") -> DataFrame:
     """df with scheme, host and address (link_local, loopback, private or public) of a URL.
 
-    A value with white space or over MAX_URL characters is no URL; one without a scheme is if it is an address. Hosts
+    A value with white space is no URL, and of one over MAX_URL characters the beginning is looked at; one without a scheme is if it is an address. Hosts
     that are not plain dotted addresses but could be spelled-out ones reach a Python function; others do not.
     """
-    u = F.when((F.length(url) <= MAX_URL) & ~F.trim(url).rlike(r"\s"), F.trim(url))
+    trimmed = F.substring(F.trim(url), 1, MAX_URL)
+    u = F.when(~trimmed.rlike(r"\s"), trimmed)
     scheme = F.lower(F.nullif(F.regexp_extract(u, fixed.URL_SCHEME, 1), F.lit("")))
     bare = u.rlike(r"^[0-9a-fA-Fx:.\[\]]{3,45}(?::\d{1,5})?(?:[/?#]|$)") & u.rlike(r"[.:]")
     authority = F.when(u.rlike(r"(?i)^[a-z][a-z0-9+.\-]{0,31}://"), F.regexp_extract(u, r"(?i)^[a-z][a-z0-9+.\-]{0,31}://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)).when(bare, F.regexp_extract(u, r"^(\[[^\]]*\]|[0-9a-fA-FxX.]+)", 1))
@@ -26,7 +27,7 @@ def with_url_shape(df: DataFrame, url: str = "url") -> DataFrame:
     df = df.withColumns({"scheme": F.when(host.isNotNull() & bare & ~u.rlike("://"), F.lit(None)).otherwise(scheme), "host": host})
     plain = dotted_quad(F.col("host"))
     odd = F.col("host").rlike(r"^(?:0x[0-9a-f]+|\d+)(?:\.(?:0x[0-9a-f]+|\d+)){0,3}$|^\[[0-9a-f:.]+\]$")
-    number = F.coalesce(plain, F.when(plain.isNull() & odd, odd_address("host")))
+    number = F.coalesce(plain, odd_address(F.when(plain.isNull() & odd, F.col("host"))))
     return df.withColumn("address", F.coalesce(F.when(F.col("host") == "localhost", "loopback"), address_kind(number)))
 
 
@@ -54,6 +55,8 @@ def sql_shape(statement: Column) -> Column:
 
 
 def sql_shapes(text: Column) -> Column:
-    """Shapes of the statements of a text, which begins as SQL and not as a shell command; else an empty array."""
-    sql = F.when((F.length(text) <= MAX_SQL) & text.rlike(rf"(?i)^\s*(?:/\*|--)?.{{0,200}}?\b(?:{_VERBS})\b") & ~text.rlike(r"^\s*(?:-{1,2}[a-zA-Z]|[/~.]|\$|[A-Za-z_]\w*=)"), text)
+    """Shapes of the statements of a text, which begins as SQL and not as a shell command; else an empty array. Of a text
+    over MAX_SQL characters the beginning is looked at."""
+    text = F.substring(text, 1, MAX_SQL)
+    sql = F.when(text.rlike(rf"(?i)^\s*(?:/\*|--)?.{{0,200}}?\b(?:{_VERBS})\b") & ~text.rlike(r"^\s*(?:-{1,2}[a-zA-Z]|[/~.]|\$|[A-Za-z_]\w*=)"), text)
     return F.coalesce(F.filter(F.transform(sql_statements(sql), sql_shape), lambda x: x.isNotNull()), F.array().cast("array<struct<statement:string,object_kind:string,object:string,predicate:string,raw:string>>"))

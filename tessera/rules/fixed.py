@@ -207,20 +207,20 @@ CHAINS = [
 ]
 
 # Words that near misspellings are read as, and words that are left alone.
-KEYWORDS = (
-    "ignore bypass override forget disregard disable reveal disclose expose leak dump exfiltrate extract "
-    "output print display show repeat reproduce echo prompt instructions instruction system configuration "
-    "config rules guidelines policy directive constraint restriction "
-).split()
+KEYWORDS = [
+    "ignore", "bypass", "override", "forget", "disregard", "disable", "reveal", "disclose", "expose", "leak", "dump", "exfiltrate", "extract",
+    "output", "print", "display", "show", "repeat", "reproduce", "echo", "prompt", "instructions", "instruction", "system", "configuration", "config",
+    "rules", "guidelines", "policy", "directive", "constraint", "restriction",
+]
 
-LEFT_ALONE = (
-    "promote promoted promotes promoting promotion promise promised prominent promo promos prince printer "
-    "primate protein protect proven provide process produce product program project proper profit problem "
-    "shovel shower shove shore shown extra extreme external extend extent systemic syntax syndrome symbol "
-    "symptom distant discuss dismiss dispose dispute ruling ruled ruler console consist confirm confine "
-    "concern police polite polish direct digest divine export exploit explore express expand restrictions "
-    "constraints directives prompts "
-).split()
+LEFT_ALONE = [
+    "promote", "promoted", "promotes", "promoting", "promotion", "promise", "promised", "prominent", "promo", "promos", "prince", "printer",
+    "primate", "protein", "protect", "proven", "provide", "process", "produce", "product", "program", "project", "proper", "profit", "problem",
+    "shovel", "shower", "shove", "shore", "shown", "extra", "extreme", "external", "extend", "extent", "systemic", "syntax", "syndrome", "symbol",
+    "symptom", "distant", "discuss", "dismiss", "dispose", "dispute", "ruling", "ruled", "ruler", "console", "consist", "confirm", "confine",
+    "concern", "police", "polite", "polish", "direct", "digest", "divine", "export", "exploit", "explore", "express", "expand", "restrictions",
+    "constraints", "directives", "prompts",
+]
 
 # Concepts that relations are made of; all ignore case.
 CONCEPTS = {

@@ -7,6 +7,7 @@ import json
 import logging
 import urllib.request
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -76,14 +77,21 @@ def deliver(events: DataFrame, sink: Sink, checkpoint: str, every: str = "5 seco
     return writer.start()
 
 
+#: Trips that a handler is given in one call, at most.
+AT_ONCE = 1000
+
+
 def on_trip(handler: Callable[[list], None]) -> Sink:
-    """Hands the trips of breakers (rows with tripped) to a function, once each; there are few of them."""
+    """Hands the trips of breakers (rows with tripped) to a function, once each, at most AT_ONCE in a call.
+
+    They come to the driver partition by partition, however many there are.
+    """
 
     def run(states: DataFrame) -> None:
-        trips = states.where("tripped").limit(10_000).collect()
-        if trips:
+        trips = states.where("tripped").toLocalIterator()
+        while some := list(islice(trips, AT_ONCE)):
             try:
-                handler(trips)
+                handler(some)
             except Exception as e:  # noqa: BLE001 - a handler does not stop the stream
                 log.warning("on_trip failed: %s", e)
 
