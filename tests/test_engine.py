@@ -171,6 +171,46 @@ def test_repetition_agrees_with_a_plain_loop():
         assert context.longest_repetition(text, *bounds) == plain(text, *bounds)
 
 
+def test_shell_segments_leave_nothing_out():
+    names = lambda text: [x["name"] for x in commands.parse_command(text)]
+    many = commands.parse_command("true;" * 64 + "rm -rf /; echo done")
+    assert len(many) == 64 and many[-1]["degraded"] and "rm -rf /" in many[-1]["raw"] and not many[0]["degraded"]
+    assert all(x["degraded"] for x in commands.parse_command("echo " + "a " * 10_000))
+    assert len(commands.parse_command("echo " + "a " * 900)[0]["args"]) == 900
+    assert names("python3.11 -c 'import os'") == ["python3.11", "import"] and commands.parse_command("python3.11 -c 'x'")[1]["degraded"]
+    assert names("ash -c 'cat /etc/shadow'") == ["ash", "cat"] and names("su -c 'cat /etc/shadow'") == ["su", "cat"] and names("su - root") == ["su"]
+    assert names("nice 10 rm -rf /") == ["rm"] and names("timeout --signal KILL 5 rm x") == ["rm"] and names("timeout 5s curl x") == ["curl"]
+    assert names("powershell -Command dir") == ["powershell", "dir"] and names("node -p 'a'") == ["node", "a"] and names("bash -lc id") == ["bash", "id"]
+    deep = commands.parse_command("bash -c \"sh -c 'bash -c id'\"")
+    assert [x["name"] for x in deep] == ["bash", "sh", "bash"] and deep[-1]["degraded"] and not deep[0]["degraded"]
+
+
+def test_unknown_calls_are_only_raised(spark):
+    calls = [("act_on", {"q": "select * from t"}), ("act_on", {"u": "https://example.com/a"}), ("act_on", {"q": "DELETE FROM t"}), ("act_on", {"u": "http://169.254.169.254/x"}), ("act_on", {"q": "DROP TABLE t -- " + "x" * 30_000})]
+    got = [(r.impact_class, r.impact_tier) for r in classified(spark.createDataFrame(calls, "tool_name string, arguments map<string,string>").coalesce(1)).collect()]
+    assert got == [("unknown", "medium"), ("unknown", "medium"), ("delete", "critical"), ("credential_access", "critical"), ("delete", "critical")]
+
+
+def test_trips_are_all_handed_on(spark, monkeypatch):
+    from tessera.streaming import sinks
+
+    monkeypatch.setattr(sinks, "AT_ONCE", 7)
+    got = []
+    sinks.on_trip(lambda trips: got.append(len(trips)))(spark.range(40).selectExpr("id", "id % 2 = 0 as tripped"))
+    assert sum(got) == 20 and max(got) == 7
+
+
+def test_event_json_keeps_types(spark):
+    row = [("output", "blocked", 0.95, "out", ["A", "B"], "a", True, 12)]
+    df = spark.createDataFrame(row, "direction string, action string, score double, category string, rules array<string>, agent_id string, degraded boolean, content_length int")
+    from tessera.operators import events
+
+    got = json.loads(events.as_json(df).first().value)
+    at = "gen_ai.security."
+    assert (got[at + "detection.score"], got[at + "detection.rules"], got[at + "detection.degraded"], got[at + "interaction.content_length"]) == (0.95, ["A", "B"], True, 12)
+    assert at + "authz.decision" not in got
+
+
 def test_shell_segments():
     got = commands.parse_command("sudo -u bob env A=1 cat '/etc/shadow' > out.txt && bash -c 'rm -rf / | tee x'")
     assert [(s["name"], s["wrappers"], s["depth"]) for s in got] == [("cat", ["sudo", "env"], 0), ("bash", [], 0), ("rm", [], 1), ("tee", [], 1)]
