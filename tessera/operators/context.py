@@ -176,27 +176,35 @@ def _repeated(text: str, chars: np.ndarray, periods: list[int], shortest: int, l
     return None
 
 
-_UNITS = min(r[3] for r in REPETITION_RULES), max(r[4] for r in REPETITION_RULES), min(r[3] * (r[5] - 1) for r in REPETITION_RULES)
 _REPEATS = ArrayType(StructType([StructField("rule", StringType()), StructField("category", StringType()), StructField("score", DoubleType()), StructField("matched", StringType())]))
 
 
-@F.pandas_udf(_REPEATS)
-def repetitions(texts: pd.Series) -> pd.Series:
-    """Findings of phrases repeated many times, anywhere in a text; in fewer than 100 characters no rule has room."""
+def repetitions(text: str, rules: list[tuple] = REPETITION_RULES) -> Column:
+    """Findings of phrases repeated many times, anywhere in a text; in fewer than 100 characters no rule has room.
+
+    rules: (id, category, score, shortest unit, longest unit, least repeats) of each detector.
+    """
+    if not rules:
+        return F.array().cast(_REPEATS)
+    units = min(r[3] for r in rules), max(r[4] for r in rules), min(r[3] * (r[5] - 1) for r in rules)
 
     def found(text: str | None) -> list:
         out = []
         if not text or len(text) < 100:
             return out
         text, chars = _folded(text)
-        periods = _periods(chars, *_UNITS)
-        for rule, category, score, shortest, longest, least in REPETITION_RULES:
+        periods = _periods(chars, *units)
+        for rule, category, score, shortest, longest, least in rules:
             unit = _repeated(text, chars, periods, shortest, longest, least)
             if unit:
                 out.append((rule, category, score, unit))
         return out
 
-    return texts.map(found)
+    @F.pandas_udf(_REPEATS)
+    def repeats(texts: pd.Series) -> pd.Series:
+        return texts.map(found)
+
+    return repeats(text)
 
 
 def windows(text: Column, size: int = 100_000, overlap: int = 512, most: int | None = 8) -> Column:

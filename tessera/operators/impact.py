@@ -94,9 +94,22 @@ def _raises(globs: list[str], pattern: str | None):
     return lambda e: matches_any_glob(e["key"], globs) & (e["value"].rlike(pattern) if pattern else F.lit(True))
 
 
-def classified(calls: DataFrame) -> DataFrame:
+def _by_name(rules: list[tuple], calls: DataFrame) -> Column:
+    """The first rule (globs of tools, class, tier, and globs of MCP servers, if any) that a call's names match."""
+    cases = []
+    for globs, cls, tier, *servers in rules:
+        fires = matches_any_glob(F.col("tool_name"), globs)
+        if servers:
+            fires = fires & (matches_any_glob(F.col("mcp_server"), servers[0]) if "mcp_server" in calls.columns else F.lit(False))
+        cases.append((fires, _hit("tool." + cls, cls, tier, None)))
+    return _first(cases)
+
+
+def classified(calls: DataFrame, tool_rules: list[tuple] = TOOL_RULES) -> DataFrame:
     """calls (tool_name, arguments map<string,string>, ...) with segments, impact_class, impact_tier, structure.
 
+    tool_rules: (globs of tools, class, tier[, globs of servers]); those with servers ask for a column mcp_server.
+
     A rule on the tool's name goes first; the command decides only where none fits; SQL and URLs override it if their
     tier is higher; arguments can raise the tier. structure are findings of segments, statements and URLs that rules
     give a score; segments that could not be cut as a shell would give none, and no tier above high.
@@ -104,10 +117,10 @@ def classified(calls: DataFrame) -> DataFrame:
     kept = calls.columns
     arguments = F.col("arguments")
     out = calls.withColumns({"command": command_of(arguments), "sql": _value(arguments, r"(?i)^\s*(?:select|insert|update|delete|drop|truncate|alter|create|grant|revoke|merge|replace|exec|execute|call|with)\b"), "url": _value(arguments, r"(?i)^\s*[a-z][a-z0-9+.\-]{0,31}:(?://)?\S+$|^\s*[0-9a-fx.]+(?::\d+)?(?:/|$)")})
-    out = out.withColumn("segments", F.when(F.length("command") > 0, segments("command")))
+    out = out.withColumn("segments", segments(F.when(F.length("command") > 0, F.col("command"))))
     out = with_url_shape(out, "url")
     out = out.withColumns({"command_hits": command_hits(F.coalesce("segments", F.array().cast(ArrayType(SEGMENT)))), "sql_hits": sql_hits(sql_shapes(F.col("sql"))), "url_hit": url_hit()})
-    by_name = _first([(matches_any_glob(F.col("tool_name"), globs), _hit("tool." + cls, cls, tier, None)) for globs, cls, tier in TOOL_RULES])
+    by_name = _by_name(tool_rules, calls)
     degraded = F.exists("segments", lambda s: s["degraded"]) & ~F.exists("segments", lambda s: ~s["degraded"])
     command = strongest(F.col("command_hits"))
     out = out.withColumns({"by_name": by_name, "by_command": command, "by_sql": strongest(F.col("sql_hits")), "degraded": F.coalesce(degraded, F.lit(False))})

@@ -32,6 +32,17 @@ class Limits:
     cooldown: float | None = 300.0
     block: bool = True
 
+    def __post_init__(self) -> None:
+        for name in ("violations", "calls"):
+            n = getattr(self, name)
+            if n is not None and (not isinstance(n, int) or n < 1):
+                raise ValueError(f"{name} must be a positive int or None, not {n!r}")
+        for name in ("violation_window", "call_window"):
+            if not getattr(self, name) or getattr(self, name) < 0:
+                raise ValueError(f"{name} must be positive, not {getattr(self, name)!r}")
+        if self.cooldown is not None and self.cooldown < 0:
+            raise ValueError(f"cooldown must not be negative, but is {self.cooldown!r}")
+
 
 @dataclass
 class Breaker:

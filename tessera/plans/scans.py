@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import HEAD, all_normalised, content_hash, head, normalised, percent_decoded
+from tessera.functions.text import HEAD, all_normalised, coerced, content_hash, head, normalised, percent_decoded
 from tessera.operators import context as C
 from tessera.operators import findings as D
 from tessera.operators import verdict as V
-from tessera.rules.inputs import INPUT_RULES, RESERVED_FILTERED
+from tessera.rules import fixed
+from tessera.rules.inputs import INPUT_RULES, REPETITION_RULES, RESERVED_FILTERED
 
 
 def pinned(df: DataFrame, columns: dict) -> DataFrame:
@@ -30,7 +31,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 def views(df: DataFrame, text: str = "text", normalise: bool = True) -> DataFrame:
     """df with raw (the first HEAD characters), view (as a reader sees them) and both in lower case."""
-    df = spread(df).withColumn("raw", head(F.col(text)))
+    df = spread(df)
+    if dict(df.dtypes)[text] == "binary":
+        df = df.withColumn(text, coerced(F.col(text)))
+    df = df.withColumn("raw", head(F.col(text)))
     df = df.withColumn("view", normalised("raw") if normalise else F.col("raw"))
     return pinned(df, {"low": F.lower("view"), "low_raw": F.lower("raw")})
 
@@ -84,16 +88,18 @@ def _twice(scan) -> dict:
     return {"by_view": F.expr(scan("view", "low")), "by_raw": F.when(F.col("raw") != F.col("view"), F.expr(scan("raw", "low_raw"))).otherwise(none)}
 
 
-def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normalise: bool = True) -> DataFrame:
+def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normalise: bool = True, rules: list[tuple] = fixed.OUTPUT_RULES) -> DataFrame:
     """df with the verdict on model outputs: findings, score, category, rules, true_action, action.
 
-    A null text is not scannable: it is allowed, with input_status saying so.
+    A null text is not scannable: it is allowed, with input_status saying so. Bytes are read as UTF-8. rules: those of
+    the first layer, as sources.rule_files loads them.
     """
+    scan = lambda t, low=None: D.scanned_sql(t, rules, fixed.RESERVED_FILTERED, low)
     out = views(df, text, normalise)
-    out = pinned(out, _twice(D.outputs_sql) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low")})
+    out = pinned(out, _twice(scan) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low")})
     out = pinned(out, {"l1": D.united(F.col("by_view"), F.col("by_raw"))})
     out = pinned(out, {"l2": D.behaviours(F.col("acts"), D.categories(F.col("l1")))})
-    out = with_tail(related(out), text, D.outputs_sql, normalise=normalise)
+    out = with_tail(related(out), text, scan, normalise=normalise)
     return _verdict(out, text, mode).drop("raw", "view", "low", "low_raw", "by_view", "by_raw", "acts", "tail")
 
 
@@ -116,19 +122,23 @@ def _verdict(out: DataFrame, text: str, mode: str) -> DataFrame:
     return out.withColumns({"action": V.action(F.col("true_action"), mode), "score": F.round("score_exact", 3)})
 
 
-def _inputs(text: str, low: str | None = None) -> str:
-    """SQL for the findings of the rules on inputs."""
-    return D.scanned_sql(text, INPUT_RULES, RESERVED_FILTERED, low)
+def _scan_of(rules: list[tuple]):
+    """A text's name, and that of its lower-cased form -> SQL for the findings of rules on inputs."""
+    return lambda text, low=None: D.scanned_sql(text, rules, RESERVED_FILTERED, low)
 
 
-def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic: str = "chat") -> DataFrame:
-    """df with the verdict on inputs: as for outputs, with the frame's calibration and signals against evasion."""
+def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic: str = "chat", rules: list[tuple] = INPUT_RULES, detectors: list[tuple] = REPETITION_RULES) -> DataFrame:
+    """df with the verdict on inputs: as for outputs, with the frame's calibration and signals against evasion.
+
+    rules and detectors: those of the first layer, as sources.rule_files loads them.
+    """
+    scan = _scan_of(rules)
     out = C.with_extraction(views(df, text), "view", "low")
-    found = _twice(_inputs) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low"), "frame": C.frame("view", F.col("extraction"), "low"), "uncoded": C.uncoded("raw")}
-    out = pinned(out.withColumn("repeats", C.repetitions(text)), found)
+    found = _twice(scan) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low"), "frame": C.frame("view", F.col("extraction"), "low"), "uncoded": C.uncoded("raw")}
+    out = pinned(out.withColumn("repeats", C.repetitions(text, detectors)), found)
     out = pinned(out, {"l1": F.concat("repeats", D.united(F.col("by_view"), F.col("by_raw"))).cast(D.FINDING)}).drop("repeats", "by_view", "by_raw")
     out = pinned(out, {"l2": D.behaviours(F.col("acts"), D.categories(F.col("l1")))}).drop("acts")
-    out = with_tail(related(out, "view", traffic), text, _inputs, traffic)
+    out = with_tail(related(out, "view", traffic), text, scan, traffic)
     raw = F.col("raw")
     disarmed = C.carries_command(F.col("l1"), V.BLOCK) & (F.col("frame") != "protective")
     out = out.withColumn("framed", F.coalesce(F.col("frame").isNotNull() & ~disarmed, F.lit(False)))
@@ -140,14 +150,14 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     live = F.exists(l1, C.is_live)
     cap = F.greatest(F.lit(V.FLAG), F.lit(V.BLOCK - 0.05))
     mentioned = (score >= V.BLOCK) & (D.top_score(dlp) < V.BLOCK) & ~live & ~C.active_extraction("view", "low") & C.is_quoted_mention("raw", "low_raw")
-    clean = ~F.exists(F.expr(_inputs("uncoded")), lambda x: C.is_live(x) | (x["score"] >= V.BLOCK))
+    clean = ~F.exists(F.expr(scan("uncoded")), lambda x: C.is_live(x) | (x["score"] >= V.BLOCK))
     documentary = F.when(F.col("uncoded").isNotNull(), clean).otherwise(F.lit(False))
     score = F.when(mentioned | documentary, F.least(score, cap)).otherwise(score)
     bypass = C.protective_then_override("view", F.col("extraction"), "low")
     encoded = C.encoded_directive("raw", "low_raw")
     out = out.withColumn("decoded", percent_decoded(F.when(raw.rlike("%[0-9A-Fa-f]{2}"), raw)))
     dangers = ["prompt_injection", "jailbreak", "system_prompt_leak", "code_execution", "credential_access", "data_exfiltration"]
-    danger = F.when(F.col("decoded").isNotNull(), D.top_score(F.filter(F.expr(_inputs("decoded")), lambda x: x["category"].isin(dangers)))).otherwise(F.lit(0.0))
+    danger = F.when(F.col("decoded").isNotNull(), D.top_score(F.filter(F.expr(scan("decoded")), lambda x: x["category"].isin(dangers)))).otherwise(F.lit(0.0))
     long, missing = F.length(text) > HEAD, F.col(text).isNull()
     out = pinned(out, {"danger": danger, "bypass": bypass, "encoded": encoded, "capped": score})
     bypass, encoded, decoded, score = (F.col(c) for c in ("bypass", "encoded", "danger", "capped"))
@@ -185,16 +195,16 @@ SOFT = ["data_exfiltration", "jailbreak", "system_prompt_leak", "encoding_evasio
 PROSE_FREE_KEYS = ["command", "cmd", "script", "args", "shell", "code"]
 
 
-def _found_behind():
+def _found_behind(scan):
     """Findings in the windows behind the head of a tool call's text, each rule once."""
     none = F.array().cast(D.FINDING)
     kept = ", ".join(f"'{c}'" for c in (*HARD, *SOFT))
-    content = F.expr(f"transform(array_union(tail_views, tails), t -> filter({_inputs('t')}, x -> x.category in ({kept})))")
+    content = F.expr(f"transform(array_union(tail_views, tails), t -> filter({scan('t')}, x -> x.category in ({kept})))")
     secrets = F.expr(f"transform(tails, t -> {D.data_loss_sql('t', D.SURE_SECRETS)})")
     return F.coalesce(F.aggregate(F.concat(content, secrets), none, D.united), none)
 
 
-def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[str] = (), policy=None) -> DataFrame:
+def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[str] = (), policy=None, rules: list[tuple] = INPUT_RULES) -> DataFrame:
     """calls (tool_name, arguments map<string,string>, ...) with impact, findings and a verdict.
 
     There are no thresholds here: a finding of a hard category, of the structure or a sure secret stops the call in
@@ -204,7 +214,7 @@ def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[s
     from tessera.operators.impact import classified
     from tessera.operators.policy import annotated, evaluated, is_listed
 
-    kept = calls.columns
+    kept, scan = calls.columns, _scan_of(rules)
     out = classified(spread(calls))
     flat = F.concat_ws(" ", "tool_name", F.array_join(F.map_values("arguments"), " "))
     out = views(out.withColumn("flat", flat), "flat")
@@ -212,14 +222,14 @@ def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[s
     out = pinned(out, {"rebuilt": rebuilt(F.col("segments")), "uncoded": C.uncoded("raw")})
     # A command that is rebuilt as it stands is seen already.
     again = F.col("rebuilt").isNotNull() & ~F.col("raw").contains(F.col("rebuilt"))
-    found = _twice(_inputs) | {"by_rebuilt": F.when(again, F.expr(_inputs("rebuilt"))).otherwise(none), "secrets": D.data_loss("raw", D.SURE_SECRETS, "low_raw")}
+    found = _twice(scan) | {"by_rebuilt": F.when(again, F.expr(scan("rebuilt"))).otherwise(none), "secrets": D.data_loss("raw", D.SURE_SECRETS, "low_raw")}
     out = pinned(out, found)
     every = D.united(D.united(F.col("by_view"), F.col("by_raw")), F.col("by_rebuilt"))
     out = pinned(out, {"content": F.filter(every, lambda x: x["category"].isin(*HARD, *SOFT))})
-    out = pinned(behind(out, "flat"), {"tail_found": _found_behind()})
+    out = pinned(behind(out, "flat"), {"tail_found": _found_behind(scan)})
     listed = is_listed(F.col("tool_name"), list(blocked_tools))
     prose = F.col("uncoded").isNotNull() & ~F.exists(F.map_keys("arguments"), lambda k: F.lower(k).isin(*PROSE_FREE_KEYS))
-    residue = ~F.exists(F.expr(_inputs("uncoded")), lambda x: x["category"].isin(*HARD))
+    residue = ~F.exists(F.expr(scan("uncoded")), lambda x: x["category"].isin(*HARD))
     head_found = F.concat("content", "structure", "secrets")
     all_found = D.united(head_found, F.col("tail_found"))
     # What prose explains is explained in the head only.
@@ -242,6 +252,16 @@ def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[s
     return out.withColumn("action", V.action(F.col("true_action"), mode)).select(*kept, "impact_class", "impact_tier", "score", "category", "rules", "true_action", "action", *extra)
 
 
+def scan_routed(df: DataFrame, body: str = "body", mode: str = "block") -> DataFrame:
+    """df with route and a verdict: envelopes between agents are scanned as such, everything else as an input."""
+    from tessera.operators.envelopes import routed
+
+    fields = [*df.columns, "route", "score", "category", "rules", "input_status", "true_action", "action"]
+    found = routed(df, body)
+    envelopes = scan_envelopes(found.where("route = 'a2a'"), body, mode)
+    return envelopes.select(fields).union(scan_inputs(found.where("route = 'input'"), body, mode).select(fields))
+
+
 def scan_envelopes(df: DataFrame, body: str = "body", mode: str = "block", block_structure: bool = False) -> DataFrame:
     """df with the verdict on envelopes: their text is scanned as traffic between agents, their structure raises it."""
     from tessera.operators.envelopes import envelope_text, structural

@@ -31,7 +31,33 @@ def console(rows: int = 20) -> Sink:
     return lambda events: as_json(events).show(rows, truncate=False)
 
 
-def webhook(url: str, batch: int = 50, timeout: float = 5.0) -> Sink:
+def _as_log_records(events: list[dict]) -> dict:
+    """Events as a request of the OpenTelemetry protocol for logs, JSON over HTTP."""
+
+    def value(v) -> dict:
+        if isinstance(v, bool):
+            return {"boolValue": v}
+        if isinstance(v, int):
+            return {"intValue": str(v)}
+        if isinstance(v, float):
+            return {"doubleValue": v}
+        return {"arrayValue": {"values": [value(x) for x in v]}} if isinstance(v, list) else {"stringValue": str(v)}
+
+    at = "gen_ai.security.detection."
+    levels = {"info": 9, "medium": 13, "high": 17, "critical": 21}
+    records = [
+        {"severityText": e.get(at + "severity", "info"), "severityNumber": levels.get(e.get(at + "severity"), 9), "body": value(e.get(at + "message", "")), "attributes": [{"key": k, "value": value(v)} for k, v in e.items()]}
+        for e in events
+    ]
+    return {"resourceLogs": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "tessera"}}]}, "scopeLogs": [{"scope": {"name": "tessera"}, "logRecords": records}]}]}
+
+
+def otlp(url: str, batch: int = 50, timeout: float = 5.0) -> Sink:
+    """Posts log records of the OpenTelemetry protocol (the collector's /v1/logs), as webhook does."""
+    return webhook(url, batch, timeout, _as_log_records)
+
+
+def webhook(url: str, batch: int = 50, timeout: float = 5.0, shape: Callable[[list], dict] = lambda events: {"events": events}) -> Sink:
     """Posts {"events": [...]} from the tasks, batch by batch; a post that fails is left out, as delivery is not vital."""
 
     def post(rows) -> None:
@@ -40,7 +66,7 @@ def webhook(url: str, batch: int = 50, timeout: float = 5.0) -> Sink:
         def send() -> None:
             if held:
                 try:
-                    request = urllib.request.Request(url, json.dumps({"events": held}).encode(), {"Content-Type": "application/json"})
+                    request = urllib.request.Request(url, json.dumps(shape(held)).encode(), {"Content-Type": "application/json"})
                     urllib.request.urlopen(request, timeout=timeout).close()
                 except OSError as e:
                     log.warning("webhook: %s", e)
