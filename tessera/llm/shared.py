@@ -84,6 +84,20 @@ def drop(*tables: DataFrame) -> None:
             _kept[:] = [x for x in _kept if x[1] != path]
 
 
+def mark() -> int:
+    """How many folders there are now, for drop_since."""
+    return len(_kept)
+
+
+def drop_since(place: int, *but: DataFrame) -> None:
+    """Delete the folders made since a mark, but those of some tables: what an operator wrote for a result that is read."""
+    kept = {getattr(t, "_tessera_path", None) for t in but}
+    for spark, path in _kept[place:]:
+        if path not in kept:
+            _delete(spark, path)
+    _kept[place:] = [x for x in _kept[place:] if x[1] in kept]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
