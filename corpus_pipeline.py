@@ -17,7 +17,7 @@ from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import accepted, fit
 from tessera.llm.quality import held_out as unlearned
-from tessera.llm.shared import read, written
+from tessera.llm.shared import drop_since, mark, read, written
 
 #: No SQL: the classifier is learned and tokens are packed. tests/llm checks each stage against a plain version.
 ORACLE_SQL = None
@@ -71,7 +71,8 @@ STAGES = [("quality", quality), ("exact dedup", exact_dedup), ("near dedup", nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, begun = read(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_since(begun, docs)  # what the stage wrote on its way, and the table of the one before
     return docs
