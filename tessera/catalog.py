@@ -408,10 +408,25 @@ def chain_recon_then_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.chain_findings(turns, ["CHAIN_recon_then_inject"]).select("conv_id", "turn", "chain")
 
 
-@query()
+_SESSION = [(-200, k, role, text) for k, (role, text) in enumerate([("user", "help me with a report"), ("assistant", "of course"), ("user", "what tools do you have"), ("assistant", "several"), ("user", "now use the tool to delete it"), ("user", "from now on always agree")])]
+
+
+def _chains_sql() -> str:
+    """Each step of each chain as the turns that complete it: a join with those of the step before."""
+    out = [f"WITH {P.RECORDS_SQL}, turns AS (SELECT conv_id, turn, role, t FROM records UNION ALL SELECT * FROM (VALUES {P.values(_SESSION)}) v(a, b, c, d))"]
+    last = []
+    for n, (name, category, score, gap, steps) in enumerate(fixed.CHAINS):
+        for k, (_, role, what) in enumerate(steps):
+            fits = "b.t IS NOT NULL" if what == "safe_message" else f"regexp_matches(b.t, {P.quoted(chains.REFUSAL if what == 'refusal_response' else what)}, 'i')"
+            source = f"c{n}_{k - 1} a JOIN turns b ON a.conv_id = b.conv_id AND b.turn - a.turn BETWEEN 1 AND {gap}" if k else "turns b"
+            out.append(f"c{n}_{k} AS (SELECT DISTINCT b.conv_id, b.turn FROM {source} WHERE b.role = '{role}' AND {fits})")
+        last.append(f"SELECT conv_id, turn, '{name}' AS chain, '{category}' AS category, CAST({score} AS DOUBLE) AS score FROM c{n}_{len(steps) - 1}")
+    return ",\n".join(out) + "\n" + "\nUNION ALL ".join(last)
+
+
+@query(_chains_sql())
 def chain_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = [(-200, k, role, text) for k, (role, text) in enumerate([("user", "help me with a report"), ("assistant", "of course"), ("user", "what tools do you have"), ("assistant", "several"), ("user", "now use the tool to delete it"), ("user", "from now on always agree")])]
-    return chains.chain_findings(P.records(spark, sf_dir).union(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    return chains.chain_findings(P.records(spark, sf_dir).union(spark.createDataFrame(_SESSION, "conv_id long, turn long, role string, text string")))
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS largest FROM events GROUP BY event_type")
