@@ -61,14 +61,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, even: bool = False) -> DataFrame:
+#: Rows of the input that a file of an intermediate table stands for, about.
+ROWS_A_FILE = 10_000
+
+
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files of intermediate tables of an input of so many rows: four for each core at least, and more as it grows."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE))
+
+
+def written(df: DataFrame, name: str, even: bool = False, files: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and lost executors cost no recomputation.
 
+    files: at most so many, where the partitions of a table may be many more than its size asks for.
+
     even: Spark evens out and joins the partitions of a shuffle by their measured sizes first, so that a small table
     has few files, a large one many, and none grows with the table.
     """
     spark = df.sparkSession
-    df = df.hint("rebalance") if even else df
+    df = df.hint("rebalance") if even else df.coalesce(files) if files else df
     path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

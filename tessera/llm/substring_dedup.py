@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import BLOCK_BYTES, bitmap, blocks, bounded_batches, drop, may_hold, mix, powers, prefix_sums, read, span_hash, written
+from tessera.llm.shared import BLOCK_BYTES, bitmap, blocks, bounded_batches, drop, files_for, may_hold, mix, powers, prefix_sums, read, span_hash, written
 from tessera.llm.suffixes import repeated_starts
 
 LENGTH, GRAM = 200, 80
@@ -173,10 +173,10 @@ def _cut_up(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in PIECES.split(", ")])
 
 
-def _resolved(folded: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+def _resolved(folded: DataFrame, widths: tuple[int, ...], files: int) -> DataFrame:
     """(gram, chunk, runs) of the chunks in folded (gram, chunk, n, lead, bytes) with strings that repeat."""
     spark = folded.sparkSession
-    kinds = written(folded.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1"), "kinds", True)
+    kinds = written(folded.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1"), "kinds", files=files)
     # A gram with one chunk, once, is alone.
     few, many = (kinds.where(c).select("gram") for c in (f"kinds between 2 and {TOGETHER}", f"kinds > {TOGETHER}"))
     alone = folded.join(kinds.where("kinds = 1 and most > 1").select("gram"), "gram", "left_semi")
@@ -186,13 +186,13 @@ def _resolved(folded: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     runs = runs.union(near.select("gram", "chunk", "n", "bytes").mapInArrow(_sorted_chunks, "gram long, chunk long, runs array<long>"))
     if widths and not many.isEmpty():
         crowded = folded.join(many, "gram", "left_semi").select("gram", "chunk", "n", "lead", "bytes")
-        pieces = written(crowded.mapInArrow(lambda it: _cut_up(it, widths[0]), PIECES), "pieces")
+        pieces = written(crowded.mapInArrow(lambda it: _cut_up(it, widths[0]), PIECES), "pieces", files=files)
         below = pieces.groupBy(F.col("gram1").alias("gram"), F.col("chunk1").alias("chunk")).agg(F.sum("n").alias("n"), F.max("lead").alias("lead"), F.max("bytes").alias("bytes"))
-        inner = _resolved(written(below, "folded"), widths[1:]).select(F.col("gram").alias("gram1"), F.col("chunk").alias("chunk1"), "runs")
+        inner = _resolved(written(below, "folded", files=files), widths[1:], files).select(F.col("gram").alias("gram1"), F.col("chunk").alias("chunk1"), "runs")
         back = pieces.select("gram", "chunk", "at", "gram1", "chunk1").join(inner, ["gram1", "chunk1"])
         moved = back.select("gram", "chunk", F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
         runs = runs.union(moved.groupBy("gram", "chunk").agg(F.flatten(F.collect_list("runs")).alias("runs")))
-    return written(runs, "runs")
+    return written(runs, "runs", files=files)
 
 
 def _whole(batches: Iterator[pa.RecordBatch], touched: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -251,11 +251,12 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(bitmap(counts.where("n > 1").select("gram")))
     chosen = written(texts.select("doc_id", "digest", "text").mapInArrow(lambda it: _chosen(it, wanted.value), CHOSEN), "chunks")
-    folded = written(chosen.groupBy("gram", "chunk").agg(F.count("*").alias("n"), F.max("lead").alias("lead"), F.max("bytes").alias("bytes")), "folded")
-    runs = _resolved(folded, WIDTHS)
+    files = files_for(spark, docs.count())
+    folded = written(chosen.groupBy("gram", "chunk").agg(F.count("*").alias("n"), F.max("lead").alias("lead"), F.max("bytes").alias("bytes")), "folded", files=files)
+    runs = _resolved(folded, WIDTHS, files)
     placed = chosen.select("doc_id", "digest", "first", "gram", "chunk").join(runs, ["gram", "chunk"])
     shifted = placed.select("doc_id", "digest", F.transform("runs", lambda x: x + F.col("first")).alias("runs"))
-    found = written(shifted.groupBy("doc_id", "digest").agg(F.collect_set("runs").alias("runs")), "removed")
+    found = written(shifted.groupBy("doc_id", "digest").agg(F.collect_set("runs").alias("runs")), "removed", files=files)
     drop(chosen, folded, runs)
     touched = spark.sparkContext.broadcast(bitmap(found.select("digest")))
     whole = texts.mapInArrow(lambda it: _whole(it, touched.value), "doc_id long, digest long, n_bytes long, sha string, bytes binary")
