@@ -72,7 +72,7 @@ def data_loss_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(O.ALL + _FOUND + "l2")
 def intents_and_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scans.pinned(_records(spark, sf_dir), {"l1": findings.outputs("text", "low"), "acts": findings.intents("text", "low")})
-    return _exploded(found, findings.behaviours(F.col("acts"), findings.categories(F.col("l1"))))
+    return _exploded(found, findings.behaviours("acts", "l1"))
 
 
 @query(O.ALL + _FOUND + "related")

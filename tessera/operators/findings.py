@@ -8,8 +8,6 @@ that it needs.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,16 +22,6 @@ SHOWN = 100
 BOOST, MANY = 1.3, 3
 
 
-def _finding(rule: str, category: str, score: float | Column, matched: Column | None = None) -> Column:
-    score = score if isinstance(score, Column) else F.lit(float(score))
-    return F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"), score.alias("score"), (F.lit(None).cast("string") if matched is None else F.substring(matched, 1, SHOWN)).alias("matched"))
-
-
-def collected(findings: list[Column]) -> Column:
-    """Findings that are not null, as an array."""
-    return F.filter(F.array(*findings), lambda x: x.isNotNull()).cast(FINDING) if findings else F.array().cast(FINDING)
-
-
 def pattern(text: str, ignore_case: bool = True, dot_all: bool = False) -> str:
     flags = "i" * ignore_case + "s" * dot_all
     return f"(?{flags}){text}" if flags else text
@@ -114,19 +102,20 @@ def intents(text: str, low: str | None = None) -> Column:
     return F.expr(intents_sql(text, low))
 
 
-def composites(found: Column) -> Column:
-    """Composites over the categories found: each group has a category among them. Those without groups never fire."""
-    out = []
-    for name, category, score, groups in fixed.COMPOSITES:
-        if groups:
-            fires = reduce(lambda a, b: a & b, [F.arrays_overlap(found, F.array(*map(F.lit, g))) for g in groups])
-            out.append(F.when(fires, _finding(name, category, score)))
-    return collected(out)
+def _composites_sql(found: str) -> str:
+    """Composites over an array of categories: each group has a category among them. Those without groups never fire."""
+    fires = lambda groups: " and ".join(f"arrays_overlap({found}, array({', '.join(map(quoted, g))}))" for g in groups)
+    return _list([(fires(groups), _struct(name, category, str(score))) for name, category, score, groups in fixed.COMPOSITES if groups])
+
+
+def behaviours_sql(first: str, found: str) -> str:
+    """Intents (first) and then composites over their categories and those of what was found before."""
+    both = ", ".join(f"array_distinct(transform({x}, f -> f.category))" for x in (found, first))
+    return f"concat({first}, transform(array(array_union({both})), c -> {_composites_sql('c')})[0])"
 
 
-def behaviours(first: Column, found: Column) -> Column:
-    """Intents and then composites over them and the categories found before."""
-    return F.concat(first, composites(F.array_union(found, categories(first))))
+def behaviours(first: str, found: str) -> Column:
+    return F.expr(behaviours_sql(first, found))
 
 
 def data_loss_sql(text: str, only: set[str] | None = None, low: str | None = None) -> str:
@@ -170,31 +159,34 @@ def concepts(text: str, low: str | None = None) -> dict[str, Column]:
     return {k: F.expr(c) for k, c in concepts_sql(text, low).items()}
 
 
-def relations(text: Column, mode: str, has: dict[str, Column]) -> Column:
+def relations_sql(text: str, mode: str, has: dict[str, str]) -> str:
     """Relations between concepts (an order to an assistant to drop its rules, and the like), as findings.
 
     Where nothing is aimed at an assistant, protected or an order, no score exceeds .04. Between agents scores are
-    raised by a third, to .85 at most. has: the concepts of the text.
+    raised by a third, to .85 at most. has: the concepts of the text, by name or as SQL.
     """
-    order = has["imperative"]
-    protected = has["protected"] | has["secret"]
-    ai = has["ai"] | has["system_ai"] | (order & protected)
-    ai = F.when(F.lower(text).contains("system") & has["other_system"], has["ai"]).otherwise(ai)
-    loose = has["negation"] | has["unsafe"]
+    h = has
+    order, protected, loose = h["imperative"], f"({h['protected']} or {h['secret']})", f"({h['negation']} or {h['unsafe']})"
+    either = f"({h['override']} or {protected})"
+    ai = f"(case when contains(lower({text}), 'system') and {h['other_system']} then {h['ai']} else {h['ai']} or {h['system_ai']} or ({order} and {protected}) end)"
     rules = [
-        ("role_negated_safety", "role_override", STRONG, has["role"] & loose & protected),
-        ("role_negated_implied", "role_override", MEDIUM, has["role"] & loose & ~protected),
-        ("ai_negated_safety", "safety_negation", STRONG, ai & has["negation"] & protected & ~has["role"]),
-        ("authority_override", "authority", STRONG, has["authority"] & has["authority_verb"] & (has["override"] | protected)),
-        ("authorization_override", "authority", MEDIUM, has["authority_verb"] & ai & (has["override"] | protected)),
-        ("behavior_modification", "behavior_change", MEDIUM, has["behavior"] & (ai | order) & loose),
-        ("direct_override_safety", "override", STRONG, has["override"] & ai & protected),
-        ("imperative_override_safety", "override", WEAK, has["override"] & protected & order & ~ai),
-        ("named_persona", "persona", MEDIUM, has["role"] & has["persona"]),
-        ("behavior_override_safety", "behavior_change", MEDIUM, has["behavior"] & has["override"] & protected),
-        ("exfiltrate_secret", "exfiltration", STRONG, has["exfiltration"] & has["secret"]),
-        ("exfiltrate_protected", "exfiltration", MEDIUM, has["exfiltration"] & ~has["secret"] & ai & protected),
+        ("role_negated_safety", "role_override", STRONG, f"{h['role']} and {loose} and {protected}"),
+        ("role_negated_implied", "role_override", MEDIUM, f"{h['role']} and {loose} and not {protected}"),
+        ("ai_negated_safety", "safety_negation", STRONG, f"{h['negation']} and {protected} and not {h['role']} and {ai}"),
+        ("authority_override", "authority", STRONG, f"{h['authority']} and {h['authority_verb']} and {either}"),
+        ("authorization_override", "authority", MEDIUM, f"{h['authority_verb']} and {either} and {ai}"),
+        ("behavior_modification", "behavior_change", MEDIUM, f"{h['behavior']} and {loose} and ({order} or {ai})"),
+        ("direct_override_safety", "override", STRONG, f"{h['override']} and {protected} and {ai}"),
+        ("imperative_override_safety", "override", WEAK, f"{h['override']} and {protected} and {order} and not {ai}"),
+        ("named_persona", "persona", MEDIUM, f"{h['role']} and {h['persona']}"),
+        ("behavior_override_safety", "behavior_change", MEDIUM, f"{h['behavior']} and {h['override']} and {protected}"),
+        ("exfiltrate_secret", "exfiltration", STRONG, f"{h['exfiltration']} and {h['secret']}"),
+        ("exfiltrate_protected", "exfiltration", MEDIUM, f"{h['exfiltration']} and not {h['secret']} and {protected} and {ai}"),
     ]
-    cap = F.when(~ai & ~protected & ~order, F.lit(0.04)).otherwise(F.lit(1.0))
-    raise_ = (lambda s: F.least(s * 1.3, F.lit(0.85))) if mode in AGENT_TRAFFIC else (lambda s: s)
-    return collected([F.when(fires, _finding(rule, category, F.round(raise_(F.least(F.lit(score), cap)), 4))) for rule, category, score, fires in rules])
+    raised = (lambda x: f"least({x} * 1.3D, 0.85D)") if mode in AGENT_TRAFFIC else (lambda x: x)
+    score = lambda x: f"round({raised(f'case when not {ai} and not {protected} and not {order} then least({x}D, 0.04D) else {x}D end')}, 4)"
+    return _list([(fires, _struct(rule, category, score(x))) for rule, category, x, fires in rules])
+
+
+def relations(text: str, mode: str, has: dict[str, str]) -> Column:
+    return F.expr(relations_sql(text, mode, has))

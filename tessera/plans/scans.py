@@ -43,7 +43,7 @@ def related(df: DataFrame, view: str = "view", traffic: str = "chat") -> DataFra
     """df (with low, the view in lower case) with related, the relations in a view; each concept is looked for once."""
     has = D.concepts(view, "low")
     out = pinned(df, {f"has_{k}": c for k, c in has.items()})
-    out = pinned(out, {"related": D.relations(F.col(view), traffic, {k: F.col(f"has_{k}") for k in has})})
+    out = pinned(out, {"related": D.relations(view, traffic, {k: f"has_{k}" for k in has})})
     return out.drop(*[f"has_{k}" for k in has])
 
 
@@ -65,10 +65,8 @@ def with_tail(df: DataFrame, text: str, rules, traffic: str = "chat", normalise:
     looked = f"named_struct('part', t, 'l1', {rules('t')}, 'intents', {D.intents_sql('t')}, 'dlp', {D.data_loss_sql('t')}, 'has', named_struct({has}))"
     out = pinned(out, {"tail": F.expr(f"transform(tail_views, t -> {looked})")})
 
-    def layers(p):
-        both = F.array_union(D.categories(p["l1"]), D.categories(p["intents"]))
-        related = D.relations(p["part"], traffic, {k: p["has"][k] for k in names})
-        return F.struct(p["l1"].alias("l1"), F.concat(p["intents"], D.composites(both)).alias("l2"), p["dlp"].alias("dlp"), related.alias("related"))
+    related = D.relations_sql("p.part", traffic, {k: f"p.has.{k}" for k in names})
+    layers = f"named_struct('l1', p.l1, 'l2', {D.behaviours_sql('p.intents', 'p.l1')}, 'dlp', p.dlp, 'related', {related})"
 
     def judged(p):
         l1, l2, dlp, rel = (p[c] for c in ("l1", "l2", "dlp", "related"))
@@ -76,7 +74,7 @@ def with_tail(df: DataFrame, text: str, rules, traffic: str = "chat", normalise:
         category = V.category(F.concat(l1, l2, dlp), rel, F.lit(None).cast("string"))
         return F.struct(score.alias("score"), category.alias("category"), F.transform(F.concat(l1, l2, dlp, rel), lambda x: x["rule"]).alias("rules"))
 
-    out = pinned(out, {"tail": F.transform("tail", layers)})
+    out = pinned(out, {"tail": F.expr(f"transform(tail, p -> {layers})")})
     out = pinned(out, {"tail": F.transform("tail", judged)})
     out = pinned(out, {"tail": V.first_top(F.col("tail"))})
     return out.drop("tails", "tail_views")
@@ -98,7 +96,7 @@ def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normali
     out = views(df, text, normalise)
     out = pinned(out, _twice(scan) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low")})
     out = pinned(out, {"l1": D.united(F.col("by_view"), F.col("by_raw"))})
-    out = pinned(out, {"l2": D.behaviours(F.col("acts"), D.categories(F.col("l1")))})
+    out = pinned(out, {"l2": D.behaviours("acts", "l1")})
     out = with_tail(related(out), text, scan, normalise=normalise)
     return _verdict(out, text, mode).drop("raw", "view", "low", "low_raw", "by_view", "by_raw", "acts", "tail")
 
@@ -137,7 +135,7 @@ def scan_inputs(df: DataFrame, text: str = "text", mode: str = "block", traffic:
     found = _twice(scan) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low"), "frame": C.frame("view", F.col("extraction"), "low"), "uncoded": C.uncoded("raw")}
     out = pinned(out.withColumn("repeats", C.repetitions(text, detectors)), found)
     out = pinned(out, {"l1": F.concat("repeats", D.united(F.col("by_view"), F.col("by_raw"))).cast(D.FINDING)}).drop("repeats", "by_view", "by_raw")
-    out = pinned(out, {"l2": D.behaviours(F.col("acts"), D.categories(F.col("l1")))}).drop("acts")
+    out = pinned(out, {"l2": D.behaviours("acts", "l1")}).drop("acts")
     out = with_tail(related(out, "view", traffic), text, scan, traffic)
     raw = F.col("raw")
     disarmed = C.carries_command(F.col("l1"), V.BLOCK) & (F.col("frame") != "protective")
