@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_text, language_model, licenses, near_dedup, packing, quality, substring_dedup, token_files
+from tessera.llm import decontaminate, exact_dedup, html_text, language_model, licenses, near_dedup, packing, quality, substring_dedup, token_files, vector_codes, whitening
 
 _QUERIES = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, near_dedup.ORACLE),
@@ -15,6 +15,8 @@ _QUERIES = {
     "op8_license_scan": (licenses.op8_license_scan, licenses.ORACLE),
     "op9_token_files": (token_files.op9_token_files, None),
     "op10_packing": (packing.op10_packing, None),
+    "op11_vector_codes": (vector_codes.op11_vector_codes, vector_codes.ORACLE),
+    "op12_whitening": (whitening.op12_whitening, None),
 }
 
 
