@@ -15,7 +15,7 @@ tells texts that are alike but not enough.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,10 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shin
 SIGNED = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>, parity array<long>"
 
 
-def text_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of each text one after another, where each text's begin)."""
+def text_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes of the k-word shingles of each text one after another, where each text's begin)."""
     low, starts, ends, first = find_words(data, offsets, SPACED)
-    return distinct_in_texts(*shingle_hashes(word_hashes(low, starts, ends), first, SHINGLE))
+    return distinct_in_texts(*shingle_hashes(word_hashes(low, starts, ends), first, k))
 
 
 def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -105,13 +105,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists], schema=_SIGNED)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both texts, those whose full sets are alike."""
+def confirm(batches: Iterator[pa.RecordBatch], percent: int, k: int = SHINGLE) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both texts, those whose full sets are alike, by intersection of the sorted sets."""
     for batch in batches:
         for part, data, offsets in blocks(batch, "text_a"):
-            x, fx = text_sets(data, offsets)
+            x, fx = text_sets(data, offsets, k)
             for sub, data_b, offsets_b in blocks(part.append_column("row", pa.array(range(part.num_rows))), "text_b"):
-                y, fy = text_sets(data_b, offsets_b)
+                y, fy = text_sets(data_b, offsets_b, k)
                 keep = []
                 for i, r in enumerate(sub.column("row").to_pylist()):
                     p, q = x[fx[r] : fx[r + 1]], y[fy[i] : fy[i + 1]]
@@ -122,7 +122,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 yield sub.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _differ(a: str, b: str, longs: int) -> Column:
+def differ(a: str, b: str, longs: int) -> Column:
     """Bits in which two bitmaps differ."""
     return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(longs)), F.lit(0))
 
@@ -165,32 +165,53 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = written(members.join(shared, "bucket"), "buckets")
     involved = written(classes.join(buckets.select("node").distinct(), "node", "left_semi"), "involved")
     named = involved.select("doc_id", "text_hash", "node")
-    texts = _may_be_in(rows, named).join(named, ["doc_id", "text_hash"])
+    texts = may_be_in(rows, named).join(named, ["doc_id", "text_hash"])
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-    marks = written(involved.select("node", F.col("n_shingles").alias("n"), *_spread("sketch", "s", LONGS), *_spread("parity", "f", SET_LONGS)), "marks")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        # Texts of the many ends first, so that a pivot's text meets them last; Spark splits its tasks where it has very many.
-        return written(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "confirmed")
+    marks = written(involved.select("node", F.col("n_shingles").alias("n"), *spread("sketch", "s", LONGS), *spread("parity", "f", SET_LONGS)), "marks")
 
     mine = marks.select("node", "n", *[f"s{i}" for i in range(LONGS)])
     other = mine.select(*[F.col(c).alias(f"p_{c}") for c in mine.columns])
     pivots = buckets.select("node", F.explode(F.array("low", "high")).alias("p_node")).where("node <> p_node").distinct()
-    near = (_differ("p_s", "s", LONGS) <= _most_bits(percent)) & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
+    near = (differ("p_s", "s", LONGS) <= _most_bits(percent)) & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
     pairs = written(pivots.join(mine, "node").join(other, "p_node").where(near).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct(), "pairs", True)
-    # One pair for each member first; then those that could still join two components.
+    alike = (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent) & (differ("p_f", "f", SET_LONGS) <= _most_set_bits(F.col("n"), F.col("p_n"), percent))
+    comps = linked(pairs, confirming(texts, lambda it: confirm(it, percent)), lambda comps: across(buckets, marks, comps, alike))
+    drop(buckets, texts, marks, pairs, involved)
+
+    return labelled(signed, classes, comps)
+
+
+def confirming(texts: DataFrame, check: Callable) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives those of pairs (a, b) of nodes whose texts (node, text) pass a check."""
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        # Texts of the many ends first, so that a pivot's text meets them last; Spark splits its tasks where it has very many.
+        return written(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "confirmed")
+
+    return confirmed
+
+
+def linked(pairs: DataFrame, confirmed: Callable[[DataFrame], DataFrame], others: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components (id, component) of nodes, from candidate pairs (a, b) with pivots and what others(components) adds.
+
+    One pair for each member is confirmed first; then only those that could still join two components.
+    """
     links = confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     comps = components(links)
     ca, cb = (comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     open_pairs = met(pairs, ca, "a", "b", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     links = links.union(confirmed(open_pairs))
     comps = components(links)
-    links = links.union(confirmed(_across(buckets, marks, comps, percent).join(pairs, ["a", "b"], "left_anti")))
-    comps = components(links)
-    drop(buckets, texts, marks, pairs, involved)
+    links = links.union(confirmed(others(comps).join(pairs, ["a", "b"], "left_anti")))
+    return components(links)
+
 
-    # Nodes are numbered in the order of their doc_id, so a component's smallest node has its smallest doc_id.
+def labelled(signed: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of signed with their component: classes (node, doc_id, text_hash, h1, h2), comps (id, component).
+
+    Nodes are numbered in the order of their doc_id, so a component's smallest node has its smallest doc_id.
+    """
     roots = comps.where("id = component").select("component").join(classes.select(F.col("node").alias("component"), F.struct("doc_id", "text_hash").alias("name")), "component")
     named = met(comps, roots, "component", "id").select(F.col("id").alias("node"), "name")
     sets = classes.join(named, "node", "left").select("h1", "h2", F.coalesce("name", F.struct("doc_id", "text_hash")).alias("first"))
@@ -213,7 +234,7 @@ def _classes(full: DataFrame) -> DataFrame:
     return written(sets.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
-def _spread(column: str, name: str, longs: int) -> list[Column]:
+def spread(column: str, name: str, longs: int) -> list[Column]:
     return [F.col(column)[i].alias(f"{name}{i}") for i in range(longs)]
 
 
@@ -221,7 +242,7 @@ def _spread(column: str, name: str, longs: int) -> list[Column]:
 FILTER_BITS = 1 << 24
 
 
-def _may_be_in(rows: DataFrame, named: DataFrame) -> DataFrame:
+def may_be_in(rows: DataFrame, named: DataFrame) -> DataFrame:
     """The rows whose (doc_id, text_hash) may be in named, by a bitmap of fixed size: a join that follows moves fewer texts."""
     bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS))
     words = named.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("set_bits"))
@@ -233,8 +254,9 @@ def _may_be_in(rows: DataFrame, named: DataFrame) -> DataFrame:
 APART = 256
 
 
-def _across(buckets: DataFrame, marks: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs within buckets whose ends lie in different components."""
+def across(buckets: DataFrame, marks: DataFrame, comps: DataFrame, alike: Column) -> DataFrame:
+    """Candidate pairs within buckets whose ends lie in different components and are alike by their marks (one end's are
+    named p_...)."""
     named = buckets.select("bucket", "node").join(comps, buckets.node == comps.id, "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts"), F.sum("size").alias("all")).where("parts > 1")
@@ -246,7 +268,6 @@ def _across(buckets: DataFrame, marks: DataFrame, comps: DataFrame, percent: int
     few = named.where("apart").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
     few = few.select(*[F.col(c).alias(c if c in ("bucket", "share") else f"p_{c}") for c in few.columns])
     every = named.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-    alike = (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent) & (_differ("p_f", "f", SET_LONGS) <= _most_set_bits(F.col("n"), F.col("p_n"), percent))
     pairs = few.join(every, ["bucket", "share"]).where((F.col("p_component") != F.col("component")) & (F.col("p_node") != F.col("node")) & alike)
     return pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_text, language_model, licenses, near_dedup, packing, quality, substring_dedup, token_files, vector_codes, whitening
+from tessera.llm import decontaminate, exact_dedup, html_text, jaccard_join, language_model, licenses, near_dedup, packing, quality, substring_dedup, token_files, vector_codes, whitening
 
 _QUERIES = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, near_dedup.ORACLE),
@@ -17,6 +17,7 @@ _QUERIES = {
     "op10_packing": (packing.op10_packing, None),
     "op11_vector_codes": (vector_codes.op11_vector_codes, vector_codes.ORACLE),
     "op12_whitening": (whitening.op12_whitening, None),
+    "op13_jaccard_join": (jaccard_join.op13_jaccard_join, jaccard_join.ORACLE),
 }
 
 

@@ -93,14 +93,14 @@ def learned(kept: DataFrame, dims: int, parts: int = PARTS, entries: int = ENTRI
     for _ in range(rounds if rows.num_rows else 0):
         sums = summed(kept.select("embedding").mapInArrow(_summing(dims, parts, scale, books), SUMS))
         for p, book in enumerate(books):
-            for e in range(len(book)):
-                if count := sums.get((p * entries + e, -1)):
-                    book[e] = [sums.get((p * entries + e, k), 0) // count for k in range(dims // parts)]
+            for e, slot in enumerate(range(p * len(book), (p + 1) * len(book))):
+                if count := sums.get((slot, -1)):
+                    book[e] = [sums.get((slot, k), 0) // count for k in range(dims // parts)]
     return books
 
 
 def _summing(dims: int, parts: int, scale: int, books: list):
-    """A pass that adds up the parts of each entry: i is place * entries + entry, j a component, or -1 for their number."""
+    """A pass that adds up the parts of each entry: i is place * size of a codebook + entry, j a component, or -1 for their number."""
     k, width = len(books[0]), dims // parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
