@@ -7,8 +7,9 @@ are aligned with those of its two nearest by a longest common subsequence, and l
 template and are deleted. Pages meet their neighbours by their rank in the order, keys of at most five rows, and only
 line hashes move.
 
-A neighbour that shares nearly all of a page's text (COPY of its characters) is a copy of it and tells nothing about
-the template. Lines inside a declared content element (article, main) are kept even if they are shared.
+A neighbour is a copy and tells nothing about the template if neither page has a line of LETTERS that the other does
+not share: copies may differ in a date or a counter, while two short notes under one menu do not make each other copies.
+Lines inside a declared content element (article, main) are kept even if they are shared.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from tessera.llm.shared import bounded_batches, read, written
 
 #: Cells of an alignment table that are held at once.
 CELLS = 1 << 22
-#: A page that shares more than this part of the characters is a copy.
-COPY = 0.8
+#: Letters from which on a line that is not shared tells two pages apart.
+LETTERS = 8
 
-PARSED = "page_id long, url string, host string, path string, content long, blocks array<string>, sure array<boolean>, hashes array<long>, sizes array<int>"
+PARSED = "page_id long, url string, host string, path string, content long, blocks array<string>, sure array<boolean>, hashes array<long>, letters array<int>"
 
 
 def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,8 +95,13 @@ def _where(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
+def _letters(line: str) -> int:
+    """Letters of a short line; a long one has enough."""
+    return sum(map(str.isalpha, line)) if len(line) < 100 else len(line)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())), ("sure", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())), ("sure", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64())), ("letters", pa.list_(pa.int32()))])
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             rows = []
@@ -103,7 +109,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = [(b, inside) for b, frame, inside in text_blocks(source or "") if not frame]
                 hashes = np.array([xxhash.xxh64_intdigest(b) for b, _ in found], np.uint64).view(np.int64)
                 content = xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
-                rows.append((page_id, url, *_where(url), content, [b for b, _ in found], [s for _, s in found], hashes, [len(b) for b, _ in found]))
+                rows.append((page_id, url, *_where(url), content, [b for b, _ in found], [s for _, s in found], hashes, [_letters(b) for b, _ in found]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
 
@@ -114,12 +120,12 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += batch.num_rows
 
 
-def shared_lines(own: np.ndarray, sizes: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Which lines of a page its neighbours share; a neighbour that shares over COPY of the characters is not counted."""
-    shared, whole = np.zeros(len(own), bool), COPY * sizes.sum()
-    for other in others:
+def shared_lines(own: np.ndarray, letters: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which lines of a page its neighbours (lines, letters) share; a copy is not counted."""
+    shared = np.zeros(len(own), bool)
+    for other, other_letters in others:
         common = common_lines(own, other)
-        if sizes[common].sum() <= whole:
+        if (letters[~common] >= LETTERS).any() or (other_letters[~common_lines(other, own)] >= LETTERS).any():
             shared |= common
     return shared
 
@@ -130,9 +136,9 @@ def _template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for near in batch.column("near").to_pylist():
             at = {x["k"]: x for x in near}
             own = at[0]
-            same = {k: np.array(x["hashes"], np.int64) for k, x in at.items() if x["host"] == own["host"]}
+            same = {k: (np.array(x["hashes"], np.int64), np.array(x["letters"], np.int64)) for k, x in at.items() if x["host"] == own["host"]}
             chosen = [k for k in (-1, 1, -2, 2) if k in same][:2]
-            shared = shared_lines(np.array(own["hashes"], np.int64), np.array(own["sizes"], np.int64), [same[k] for k in chosen])
+            shared = shared_lines(*same[0], [same[k] for k in chosen])
             found.append((own["host"], own["content"], np.flatnonzero(shared).astype(np.int32)))
         columns = list(zip(*found)) if found else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int32())))], ["host", "content", "shared"])
@@ -148,15 +154,15 @@ def template_lines(parsed: DataFrame) -> DataFrame:
     Lists of lines that all lie in declared content elements are neighbours, but nothing is asked of them.
     """
     n = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = parsed.groupBy("host", "content").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"), F.max(F.expr(LOOSE)).alias("loose"))
+    lines = parsed.groupBy("host", "content").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("letters").alias("letters"), F.max(F.expr(LOOSE)).alias("loose"))
     order = ["host", "path", "content"]
-    fields = "host string, path string, content long, hashes array<long>, sizes array<int>, loose boolean, part int, place long"
-    ordered = lines.select("host", "path", "content", "hashes", "sizes", "loose").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    fields = "host string, path string, content long, hashes array<long>, letters array<int>, loose boolean, part int, place long"
+    ordered = lines.select("host", "path", "content", "hashes", "letters", "loose").repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered = written(ordered.mapInArrow(_numbered, fields), "ordered")
     parts = ordered.groupBy("part").agg(F.count("*").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     ranked = ordered.join(F.broadcast(before), "part").withColumn("rank", F.col("first") + F.col("place"))  # a row for each task that sorted
-    line = F.struct(F.col("k"), "host", "content", "hashes", "sizes", "loose")
+    line = F.struct(F.col("k"), "host", "content", "hashes", "letters", "loose")
     sent = ranked.withColumn("k", F.explode(F.array(*map(F.lit, range(-2, 3))))).select((F.col("rank") - F.col("k")).alias("rank"), line.alias("line"))
     near = sent.groupBy("rank").agg(F.collect_list("line").alias("near"))  # five at most
     return near.where(F.exists("near", lambda x: (x["k"] == 0) & x["loose"])).select("near").mapInArrow(_template, "host string, content long, shared array<int>")

@@ -16,17 +16,23 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _BROKEN = re.compile(r"<[a-zA-Z/!?]")
-_MARKED = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, so that nothing within a value is taken for a name.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 
 #: Elements that are never content.
 FRAME = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "title", "label", "fieldset"}
-#: Words of a class, an id or a role that mark an element as not content.
-FRAME_WORDS = set(
-    "ad ads advert adverts advertisement advertisements adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert"
-    " sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond reply replies share sharing social related"
-    " recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager widget toolbar"
-    " complementary contentinfo search skip hidden disclaimer".split()
+#: Whole names of a class or an id that mark an element as not content.
+FRAME_NAMES = set(
+    "ad ads advert adverts advertisement advertisements adsbygoogle ad-banner ad-slot ad-unit ad-container sponsored promo banner masthead"
+    " menu main-menu nav navbar navigation main-nav site-nav breadcrumb breadcrumbs pagination"
+    " header site-header page-header footer site-footer page-footer sidebar side-bar widget-area"
+    " notice cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr popup modal newsletter newsletter-signup subscribe login signup search search-form searchform"
+    " comment comments comment-list comments-area comment-section comment-form reader-comments user-comments respond disqus_thread"
+    " share sharing social-share related related-posts related-articles".split()
 )
+FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "alertdialog", "dialog"}
+#: Names that an article's own head may have.
+HEADS = {"header", "page-header", "banner"}
 CONTENT = {"article", "main"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 INLINE = {
@@ -35,17 +41,21 @@ INLINE = {
 }
 
 
-def _frame_by_name(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes mark an element as frame, or as content."""
-    for name, *values in _MARKED.findall(attrs):
+def _frame_by_name(attrs: str, within: bool) -> tuple[bool, bool]:
+    """Whether attributes mark an element as frame, or as content; within: it lies in a content element."""
+    frame = content = False
+    for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True, False
-        if value in ("main", "articlebody") and name in ("role", "itemprop"):
-            return False, True
-        if FRAME_WORDS.intersection(re.split(r"[\s_-]+", value)):
-            return True, False
-    return False, False
+        if name in ("role", "itemprop") and value in ("main", "articlebody"):
+            content = True
+        elif name == "role":
+            frame |= value in FRAME_ROLES
+        elif name in ("class", "id"):
+            found = FRAME_NAMES.intersection(value.split())
+            frame |= bool(found - HEADS if within else found)
+    return frame and not content, content
 
 
 def text_blocks(source: str) -> list[tuple[str, bool, bool]]:
@@ -96,7 +106,7 @@ def text_blocks(source: str) -> list[tuple[str, bool, bool]]:
                 if stack and stack[-1][0] == tag:
                     flush()
                     close()
-            elif m["attrs"] and tag not in VOID and _frame_by_name(m["attrs"])[0]:
+            elif m["attrs"] and tag not in VOID and _frame_by_name(m["attrs"], contents > 0)[0]:
                 flush()
                 stack.append((tag, True, False))
                 opened[tag] += 1
@@ -116,8 +126,8 @@ def text_blocks(source: str) -> list[tuple[str, bool, bool]]:
             frames = contents = 0
         while stack and stack[-1][0] in ("p", "b", "span", "a", "i", "small", "strong", "em") and tag not in CONTENT:
             close()
-        by_frame, by_content = _frame_by_name(m["attrs"]) if m["attrs"] else (False, False)
-        frame = tag in FRAME or by_frame and tag not in CONTENT and tag not in ("body", "html") or tag == "header" and not contents
+        by_frame, by_content = _frame_by_name(m["attrs"], contents > 0) if m["attrs"] else (False, False)
+        frame = tag in FRAME or by_frame and (tag not in CONTENT or contents > 0) and tag not in ("body", "html") or tag == "header" and not contents
         content = not frame and (tag in CONTENT or by_content)
         if tag != "p" or frame:
             stack.append((tag, frame, content))
