@@ -27,14 +27,23 @@ ORACLE_SQL = None
 LIKE = 80
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_hash", F.xxhash64("text"))
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """These names, made longer where the table has such a column already."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name)
+    return out
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id and text are not among those dropped (doc_id, text_hash)."""
-    dropped = dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
-    return _key(docs).join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_anti").select(docs.columns)
+def _among(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """The rows whose doc_id and text are (left_semi) or are not (left_anti) among those chosen (doc_id, text_hash)."""
+    hash_, id_, text_ = _free(docs, "hash_of_text", "chosen_id", "chosen_text")
+    chosen = chosen.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text_))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(text_))
+    return docs.withColumn(hash_, F.xxhash64("text")).join(chosen, same, how).drop(hash_)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,19 +56,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the largest doc_id stays; of rows alike in doc_id and text, one."""
     found = exact_duplicates(docs, keep="largest").groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     changed = written(found.where("not kept or n > 1"), "exact")
-    twins = changed.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
-    one = _key(docs).join(twins, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")
-    return _without(docs, changed).union(one.dropDuplicates(["doc_id", "_hash"]).select(docs.columns))
+    (hash_,) = _free(docs, "hash_of_text")
+    one = _among(docs, changed.where("kept"), "left_semi").withColumn(hash_, F.xxhash64("text")).dropDuplicates(["doc_id", hash_]).drop(hash_)
+    return _among(docs, changed, "left_anti").union(one)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a group of texts alike by 0.8 or more, the one with the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs, LIKE).where("not stays"))
+    return _among(docs, near_duplicates(docs, LIKE).where("not stays"), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
-    return _without(docs, contamination(docs, read(spark, sf_dir, "benchmark")).where("size(hit_words) > 0"))
+    return _among(docs, contamination(docs, read(spark, sf_dir, "benchmark")).where("size(hit_words) > 0"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
