@@ -2,9 +2,11 @@
 
 Two sets can be as like as asked only if their sizes lie in the same or in neighbouring bands, and if they share one of
 the few shingles that come first in both by any common order (a set of n leaves out none that it could do without: n -
-ceil(0.85 n) + 1 of them). The order is rare shingles first, by counts over all documents in a table of fixed size, so
-a passage that very many documents share comes last and brings nobody together. A tile is such a shingle and a pair of
-neighbouring bands; no link lies outside all tiles. Tiles with the same members are one.
+ceil(0.85 n) + 1 of them). The order may be any that depends on the shingle alone. Here those come first that are known
+to occur in one document only: a third of all shingles, told by their hash, is counted over all documents, and a bitmap
+of fixed size tells which of these may occur twice. They fill most documents' share, and as they can bring nobody
+together, they are dropped. A tile is one of the others and a pair of neighbouring bands; no link lies outside all
+tiles. Tiles with the same members are one.
 
 Each set has a bitmap, as wide as its size asks for, whose bits are the parity of the shingles that fall on them. Sets
 that differ in d shingles differ in at most d bits, so the bits that differ bound the overlap from above, and most
@@ -22,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.near_dedup import SET_BITS, SET_LONGS, across, confirm, confirming, differ, labelled, linked, may_be_in, spread, text_sets
-from tessera.llm.shared import blocks, bounded_batches, drop, mix, read, written
+from tessera.llm.shared import bitmap, blocks, bounded_batches, drop, may_hold, mix, read, written
 
 SHINGLE, PERCENT = 4, 85
-#: Slots of the table of counts that orders shingles, whatever the corpus holds.
-SLOTS = 1 << 16
+#: One of so many shingles is counted.
+COUNTED = 3
+#: Bits of the bitmap of counted shingles that occur more than once: 8 MB, whatever the corpus holds.
+COMMON_BITS = 1 << 26
 #: Widest bitmap of a set, in bits; the narrowest has SET_BITS.
 WIDEST = 1 << 15
 #: Bits of the filter of shingles that several sets share: 4 MB as it is sent.
@@ -40,8 +45,8 @@ SIGNED = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, parity
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("parity", pa.list_(pa.int64())), ("wide", pa.binary()), ("ahead", pa.list_(pa.int64()))])
 
 
-def slot_of(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes) >> np.uint64(48)).astype(np.int64)
+def is_counted(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(COUNTED) == 0
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -63,38 +68,37 @@ def parities(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[by
     return np.packbits(folded, axis=1).view(np.int64), wide
 
 
-def first_by(hashes: np.ndarray, first: np.ndarray, ranks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the shingles that come first in each set by rank of their slot and then by hash, where each set's begin)."""
+def first_by(hashes: np.ndarray, first: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(of the shingles that come first in each set, those that another set may hold, where each set's begin).
+
+    Counted shingles of one document come first, then those not counted, then the other counted ones; each by hash.
+    """
     sizes = np.diff(first)
     text = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((hashes, ranks[slot_of(hashes)], text))
+    rank = np.where(is_counted(hashes), np.where(may_hold(common, hashes), 2, 0), 1).astype(np.uint8)
+    order = np.lexsort((hashes, rank, text))
     take = np.where(sizes > 0, sizes - needed(sizes, percent) + 1, 0)
-    keep = np.arange(len(hashes)) - np.repeat(first[:-1], sizes) < np.repeat(take, sizes)
-    return hashes[order][keep], np.concatenate(([0], np.cumsum(take)))
+    keep = (np.arange(len(hashes)) - np.repeat(first[:-1], sizes) < np.repeat(take, sizes)) & (rank[order] > 0)
+    return hashes[order][keep], np.concatenate(([0], np.cumsum(np.bincount(text[keep], minlength=len(sizes)))))
 
 
-def _count(k: int):
+def _counted(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, data, offsets in blocks(batch):
-                total += np.bincount(slot_of(text_sets(data, offsets, k)[0]), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+                found = text_sets(data, offsets, k)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(found[is_counted(found)].view(np.int64))], ["shingle"])
 
     return run
 
 
-def slot_ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """A rank for each slot that grows with the logarithm of the shingles that fall on it, over all of docs (text)."""
-    counts = docs.select("text").mapInArrow(_count(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(SLOTS, np.int64)
-    total[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
-    usual = max(1, int(total.sum()) // SLOTS)
-    return np.ceil(np.log2(1 + total // usual)).astype(np.uint8)
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """A bitmap of the counted shingles that occur in more than one row of docs (text)."""
+    counts = docs.select("text").mapInArrow(_counted(k), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    return bitmap(counts.where("n > 1").select("shingle"), COMMON_BITS)
 
 
-def _sign(k: int, percent: int, ranks: np.ndarray):
+def _sign(k: int, percent: int, common: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in blocks(batch):
@@ -105,7 +109,7 @@ def _sign(k: int, percent: int, ranks: np.ndarray):
                 if len(full):
                     h1[full], h2[full] = (np.add.reduceat(mix(h ^ np.uint64(salt)), first[:-1][full]) for salt in (0, 0x5851F42D4C957F2D))
                 parity, wide = parities(h, first)
-                ahead, begins = first_by(h, first, ranks, percent)
+                ahead, begins = first_by(h, first, common.value, percent)
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((np.arange(len(n) + 1) * SET_LONGS, parity.ravel()), (begins, ahead.view(np.int64)))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists[0], pa.array(wide, pa.binary()), lists[1]], schema=_SIGNED)
 
@@ -176,7 +180,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = rows.mapInArrow(_sign(k, percent, slot_ranks(docs, k)), SIGNED).withColumn("row", F.monotonically_increasing_id())
+    signed = rows.mapInArrow(_sign(k, percent, spark.sparkContext.broadcast(common_shingles(docs, k))), SIGNED).withColumn("row", F.monotonically_increasing_id())
     signed = written(signed, "signed")
     nodes = _nodes(signed.where("n_shingles > 0 and doc_id is not null"))
     named = nodes.select("node", "row")
