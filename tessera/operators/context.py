@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from tessera.functions.gates import gated, may_match, quoted
-from tessera.operators.findings import pattern
+from tessera.operators.findings import FINDING, pattern
+from tessera.operators.verdict import BLOCK
 from tessera.rules import fixed
 from tessera.rules.inputs import REPETITION_RULES
 
@@ -75,9 +76,81 @@ def is_live(finding: Column) -> Column:
     return (finding["category"] == "code_execution") | finding["rule"].isin(LIVE_RULES)
 
 
-def carries_command(findings: Column, block: float) -> Column:
-    """A gated finding at the level of a block whose matched words are a predicate: the frame does not explain it."""
-    return F.exists(findings, lambda x: (x["score"] >= block) & x["category"].isin(GATED) & ~is_live(x) & x["matched"].isNotNull() & x["matched"].rlike(_CUE["predicate"]) & x["matched"].rlike(r"(?i)^(?:ignore|disregard|forget|override|bypass)\b"))
+def _list(values) -> str:
+    return "(" + ", ".join(map(quoted, values)) + ")"
+
+
+_LIVE = f"(x.category = 'code_execution' or x.rule in {_list(LIVE_RULES)})"
+#: A finding whose matched words are a command: they hold a verb, as the action of an intent does.
+_COMMAND = f"(x.rule in {_list([r[0] for r in fixed.INTENTS])} or coalesce(rlike(x.matched, {quoted(_CUE['predicate'])}), false))"
+
+
+def live_command(found: str, residue: str, directives: bool) -> Column:
+    """Whether findings (SQL of an array) carry a command and not only a topic that a frame may be about.
+
+    One of them must reach the block band, and one, or one in the text without the frame's cues (SQL of what judged()
+    found there), must have matched a command. directives: all findings count, not only those that a frame may explain.
+    """
+    counts = "true" if directives else f"x.category in {_list(GATED)} and not {_LIVE}"
+    command = f"x -> ({counts}) and {_COMMAND}"
+    return F.expr(f"exists({found}, x -> ({counts}) and x.score >= {BLOCK}) and (exists({found}, {command}) or coalesce(exists({residue}.l1, {command}), false))")
+
+
+#: Residues of a text, in their order: without the cues of its frame, without words for artifacts of security work,
+#: without what these report, without code spans; and its percent escapes decoded.
+_RESIDUES = ["unframed", "unnamed", "unreported", "uncoded", "decoded"]
+RESIDUES = len(_RESIDUES)
+
+
+def residue(name: str, of: str = "again") -> str:
+    """SQL of one of the residues in an array; null where there is none."""
+    return f"get({of}, {_RESIDUES.index(name)})"
+
+
+def no_residues() -> Column:
+    return F.expr(f"array_repeat(cast(null as string), {RESIDUES})")
+
+
+#: Of what a word for an artifact governs, the rest of its clause; a point between digits does not end one.
+_CLAUSE = r"(?:[^.;!?\n]++|(?<=\d)\.|\.(?=\d))*+"
+_REPORTS = f"{_CUE['artifact']}({_CLAUSE})"
+_TOLD = f"{_CUE['attribution']}|{fixed.CUES['code_span']}"
+
+
+def _unreported(text: str) -> str:
+    """SQL of a text without what words for artifacts report; null where they report nothing."""
+    spans = f"filter(regexp_extract_all({text}, {quoted(_REPORTS)}, 1), s -> rlike(s, {quoted(_TOLD)}))"
+    return f"case when size({spans}) > 0 then aggregate({spans}, {text}, (rest, s) -> replace(rest, s, ' ')) end"
+
+
+def residues(hot: str, decoded: str, view: str = "view", raw: str = "raw", low: str = "low") -> Column:
+    """The residues of texts: those without cues where there are cues, what documents report and quote where a text
+    reaches the block band (hot), and a decoded form where there is one; null where there is none of these."""
+    artifact = gated(view, fixed.CUES["artifact"], _CUE["artifact"], low)
+    cues = f"{_CUE['descriptive']}|{fixed.CUES['code_as_docs']}"
+    told = " or ".join(gated(view, fixed.CUES[k], _CUE[k], low) for k in ("descriptive", "code_as_docs"))
+    unframed = f"case when {told} then regexp_replace({view}, {quoted(cues)}, ' ') end"
+    unnamed = f"case when {artifact} then regexp_replace({view}, {quoted(_CUE['artifact'])}, ' ') end"
+    unreported = f"case when {hot} and {artifact} then {_unreported(raw)} end"
+    parts = [unframed, unnamed, unreported, f"case when {hot} then {_uncoded_sql(raw)} end", decoded]
+    return F.expr(f"transform(array(array({', '.join(parts)})), r -> case when exists(r, x -> x is not null) then r end)[0]")
+
+
+def wedged(first: str) -> Column:
+    """Commands of the block band that a text holds once its cues are gone, as findings of rules that are not among those
+    of first (SQL): a cue within a command splits it, and hides it from the rule."""
+    none = f"cast(array() as {FINDING})"
+    both = f"concat({', '.join(f'coalesce({residue(k)}.l1, {none})' for k in ('unframed', 'unnamed'))})"
+    new = f"filter({both}, x -> x.score >= {BLOCK} and {_COMMAND} and not array_contains(transform({first}, f -> f.rule), x.rule))"
+    return F.expr(f"concat({first}, filter({new}, (x, i) -> not array_contains(transform(slice({new}, 1, i), f -> f.rule), x.rule)))")
+
+
+def earned_mention(found: str, view: str, low: str) -> Column:
+    """Whether attack words are mentioned and not said: in quotation marks, or by a word for an artifact of security
+    work that is about a topic, or that reports a command outside of which nothing dangerous is left."""
+    topic = ~live_command(found, residue("unnamed"), directives=True)
+    reported = F.coalesce(F.expr(f"{residue('unreported')}.clean"), F.lit(False))
+    return has(view, "quoted_attack", low) | has(view, "artifact", low) & (topic | reported)
 
 
 def dampened(findings: Column, framed: Column) -> Column:
@@ -85,15 +158,14 @@ def dampened(findings: Column, framed: Column) -> Column:
     return F.when(framed, F.filter(findings, lambda x: ~x["category"].isin(GATED) | is_live(x))).otherwise(findings)
 
 
-def is_quoted_mention(text: str, low: str | None = None) -> Column:
-    """Attack words in quotation marks with a verb that reports them, or near an artifact of security work."""
-    return has(text, "quoted_attack", low) & (has(text, "attribution", low) | has(text, "artifact", low) | has(text, "descriptive", low))
+def _uncoded_sql(text: str) -> str:
+    bare = f"regexp_replace({text}, {quoted(fixed.CUES['code_span'])}, ' ')"
+    return f"case when rlike({text}, {quoted(fixed.CUES['code_span'])}) and rlike({bare}, {quoted(_CUE['documentary'])}) then {bare} end"
 
 
 def uncoded(text: str) -> Column:
     """A column's prose without its code spans; null where there are none or where the prose documents nothing."""
-    bare = f"regexp_replace({text}, {quoted(fixed.CUES['code_span'])}, ' ')"
-    return F.expr(f"case when rlike({text}, {quoted(fixed.CUES['code_span'])}) and rlike({bare}, {quoted(_CUE['documentary'])}) then {bare} end")
+    return F.expr(_uncoded_sql(text))
 
 
 def protective_then_override(text: str, extraction: Column, low: str | None = None) -> Column:

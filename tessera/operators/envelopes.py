@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from tessera.functions.columns import named, packed, unpacked
 from tessera.rules import fixed
 
 # Keys that carry identifiers rather than text; shapes of identifiers.
@@ -134,9 +135,10 @@ def structural(df: DataFrame, body: str = "body") -> DataFrame:
 
     Parts are those of a request's message and of all artifacts of a result.
     """
+    df = packed(df, body=named(body))
     # The body is parsed once: what is looked at below are columns of the parsed tree.
     fields = {name: f"$.{name}" for name in ("jsonrpc", "method", "params")} | {"message": "$.params.message", "role": "$.params.message.role", "metadata": "$.params.message.metadata", "extensions": "$.params.message.extensions"}
-    df = df.withColumn("tree", F.try_parse_json(F.col(body)))
+    df = df.withColumn("tree", F.try_parse_json("body"))
     tree = F.col("tree")
     parts = F.concat(_items(tree, "$.params.message.parts"), F.flatten(F.transform(_items(tree, "$.result.artifacts"), lambda a: _items(a, "$.parts"))))
     seen = {f"kind_{k}": _kind(tree, p) for k, p in fields.items()} | {f"text_{k}": F.try_variant_get(tree, p, "string") for k, p in fields.items()}
@@ -156,14 +158,14 @@ def structural(df: DataFrame, body: str = "body") -> DataFrame:
         "role_unexpected_value": (kind("message") == "OBJECT") & kind("role").isNotNull() & ~known,
         "metadata_prose_surface": (kind("message") == "OBJECT") & (prose[0] | prose[1]),
     } | {name: F.exists("parts", _field(name)) for name in ("part_oneof_no_content", "part_oneof_multiple_content", "part_kind_content_mismatch", "part_role_forgery", "part_unexpected_role")}
-    df = df.withColumn("ids", id_values(F.when(F.col("is_object") & F.col(body).rlike(r'"(?:id|\w*Id)"\s*:'), F.col(body))))
+    df = df.withColumn("ids", id_values(F.when(F.col("is_object") & F.col("body").rlike(r'"(?:id|\w*Id)"\s*:'), F.col("body"))))
     moves = lambda v: v.rlike(fixed.ID_TRAVERSAL) | v.rlike(fixed.ID_ENCODED) | v.rlike(fixed.ID_ABSOLUTE)
     fires["id_field_traversal"] = F.exists("ids", moves)
     fires["id_field_malicious_content"] = F.exists("ids", lambda v: ~moves(v) & (v.rlike(fixed.ID_CONTROL) | v.rlike(fixed.ID_INJECTION)))
     gate = {k: (rpc if k.startswith("envelope") else F.col("is_object")) for k in fires}
     hits = F.filter(F.array(*[F.when(F.coalesce(gate[k] & c, F.lit(False)), F.struct(F.lit(k).alias("name"), F.lit(SIGNALS[k]).alias("score"))) for k, c in fires.items()]), lambda h: h.isNotNull())
     found = {"signals": F.sort_array(F.transform(hits, lambda h: h["name"])), "structural_score": F.coalesce(F.array_max(F.transform(hits, lambda h: h["score"])), F.lit(0.0))}
-    return df.withColumns(found).drop("ids", *seen)
+    return unpacked(df.withColumns(found), "signals", "structural_score")
 
 
 def _part(p: Column) -> Column:
@@ -201,5 +203,5 @@ def provider(url: Column) -> Column:
 
 
 def response_text(body: Column) -> Column:
-    """The first text under a usual key of a response, else its first 2000 characters."""
-    return F.coalesce(*[F.nullif(_path(body, f"$.{k}"), F.lit("")) for k in ("text", "content", "message", "output", "response", "result")], F.substring(body, 1, 2000))
+    """The first text under a usual key of a response, else all of it."""
+    return F.coalesce(*[F.nullif(_path(body, f"$.{k}"), F.lit("")) for k in ("text", "content", "message", "output", "response", "result")], body)

@@ -163,7 +163,7 @@ def relations_sql(text: str, mode: str, has: dict[str, str]) -> str:
     """Relations between concepts (an order to an assistant to drop its rules, and the like), as findings.
 
     Where nothing is aimed at an assistant, protected or an order, no score exceeds .04. Between agents scores are
-    raised by a third, to .85 at most. has: the concepts of the text, by name or as SQL.
+    raised by a third, to .85 at most. mode: chat, one of AGENT_TRAFFIC, or SQL that tells them apart record by record. has: the concepts of the text, by name or as SQL.
     """
     h = has
     order, protected, loose = h["imperative"], f"({h['protected']} or {h['secret']})", f"({h['negation']} or {h['unsafe']})"
@@ -183,7 +183,8 @@ def relations_sql(text: str, mode: str, has: dict[str, str]) -> str:
         ("exfiltrate_secret", "exfiltration", STRONG, f"{h['exfiltration']} and {h['secret']}"),
         ("exfiltrate_protected", "exfiltration", MEDIUM, f"{h['exfiltration']} and not {h['secret']} and {protected} and {ai}"),
     ]
-    raised = (lambda x: f"least({x} * 1.3D, 0.85D)") if mode in AGENT_TRAFFIC else (lambda x: x)
+    more = lambda x: f"least({x} * 1.3D, 0.85D)"
+    raised = more if mode in AGENT_TRAFFIC else (lambda x: x) if mode == "chat" else (lambda x: f"case when {mode} then {more(x)} else {x} end")
     score = lambda x: f"round({raised(f'case when not {ai} and not {protected} and not {order} then least({x}D, 0.04D) else {x}D end')}, 4)"
     return _list([(fires, _struct(rule, category, score(x))) for rule, category, x, fires in rules])
 

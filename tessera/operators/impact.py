@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from tessera.functions.checks import matches_any_glob
+from tessera.functions.columns import named, packed, unpacked
 from tessera.operators.commands import SEGMENT, segment_matches, segments
 from tessera.operators.findings import FINDING
-from tessera.operators.shapes import sql_shapes, with_url_shape
+from tessera.operators.shapes import VERBS, sql_shapes, with_url_shape
 from tessera.rules.impact import COMBINATIONS, COMMAND_KEYS, COMMAND_RULES, ESCALATIONS, PRECEDENCE, SQL_RULES, TIERS, TOOL_RULES, URL_RULES
 
 HIT = "struct<rule:string,class:string,tier:int,rank:int,at:int,score:double>"
@@ -112,11 +113,11 @@ def classified(calls: DataFrame, tool_rules: list[tuple] = TOOL_RULES) -> DataFr
 
     A rule on the tool's name goes first; the command decides only where none fits; SQL and URLs override it if their
     tier is higher; arguments can raise the tier. structure are findings of segments, statements and URLs that rules
-    give a score; segments that could not be cut as a shell would give none, and no tier above high.
+    give a score; segments that could not be cut as a shell would give none, and no tier above high. Columns of calls stay.
     """
-    kept = calls.columns
+    out = packed(calls, **{c: named(c) for c in ("tool_name", "arguments", "mcp_server") if c in calls.columns})
     arguments = F.col("arguments")
-    out = calls.withColumns({"command": command_of(arguments), "sql": _value(arguments, r"(?i)^\s*(?:select|insert|update|delete|drop|truncate|alter|create|grant|revoke|merge|replace|exec|execute|call|with)\b"), "url": _value(arguments, r"(?i)^\s*[a-z][a-z0-9+.\-]{0,31}:(?://)?\S+$|^\s*[0-9a-fx.]+(?::\d+)?(?:/|$)")})
+    out = out.withColumns({"command": command_of(arguments), "sql": _value(arguments, rf"(?is)^(?:\s++|/\*.*?\*/|(?:--|#)[^\n]*+\n|\()*+(?:{VERBS})\b"), "url": _value(arguments, r"(?i)^\s*[a-z][a-z0-9+.\-]{0,31}:(?://)?\S+$|^\s*[0-9a-fx.]+(?::\d+)?(?:/|$)")})
     out = out.withColumn("segments", segments(F.when(F.length("command") > 0, F.col("command"))))
     out = with_url_shape(out, "url")
     out = out.withColumns({"command_hits": command_hits(F.coalesce("segments", F.array().cast(ArrayType(SEGMENT)))), "sql_hits": sql_hits(sql_shapes(F.col("sql"))), "url_hit": url_hit()})
@@ -136,5 +137,5 @@ def classified(calls: DataFrame, tool_rules: list[tuple] = TOOL_RULES) -> DataFr
         out = out.withColumn("tier", F.when(F.coalesce(raises, F.lit(False)), F.greatest("tier", F.lit(tier_number(least)))).otherwise(F.col("tier")))
     hits = F.concat(F.when(F.col("degraded"), F.array().cast(f"array<{HIT}>")).otherwise(F.col("command_hits")), F.col("sql_hits"), F.filter(F.array("url_hit"), lambda h: h.isNotNull()))
     structure = F.transform(F.filter(hits, lambda h: h["score"].isNotNull()), lambda h: F.struct(h["rule"].alias("rule"), h["class"].alias("category"), h["score"].alias("score"), F.lit(None).cast("string").alias("matched"))).cast(FINDING)
-    return out.withColumns({"impact_tier": tier_name(F.col("tier")), "structure": structure}).select(*kept, "segments", "impact_class", "impact_tier", "structure")
+    return unpacked(out.withColumns({"impact_tier": tier_name(F.col("tier")), "structure": structure}), "segments", "impact_class", "impact_tier", "structure")
 

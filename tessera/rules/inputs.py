@@ -32,7 +32,7 @@ INPUT_RULES = [
     ("LLM08_pipe_exec", "code_execution", 0.9, "critical", rf"\b(?:curl|wget|fetch|base64\s+(?:-d|--decode))\b[^\n|]{{0,200}}\|\s{{0,8}}(?:sudo\s+)?(?:{_INTERPRETER})\b"),
     ("ASI05_pipe_to_shell", "code_execution", 0.85, "critical", r"\|\s*(?:sudo\s+)?(?:ba|z)?sh\b(?:\s+-[sc])?"),
     ("MCP_shell_injection", "code_execution", 0.85, "critical", r"(?:;|&&|\|\||`|\$\()\s*(?:rm|curl|wget|nc|ncat|bash|sh|python|perl|cat\s+/etc)\b"),
-    ("MCP_sensitive_file_access", "credential_access", 0.85, "critical", r"(?:/etc/(?:shadow|passwd|sudoers)|\.ssh/(?:id_\w+|authorized_keys)|\.aws/credentials|\.kube/config|\.netrc|\.pgpass|/proc/self/environ)"),
+    ("MCP_sensitive_file_access", "credential_access", 0.85, "critical", r"(?:\b(?:cat|less|more|head|tail|cp|scp|mv|tar|zip|base64|xxd|strings|curl|read|open|fetch|upload|email|send)\b[^\n;|&]{0,60}?)?(?:/etc/(?:shadow|passwd|sudoers)|\.ssh/(?:id_\w+|authorized_keys)|\.aws/credentials|\.kube/config|\.netrc|\.pgpass|/proc/self/environ)"),
     ("LLM06_exfiltrate_data", "data_exfiltration", 0.7, "high", r"\b(?:send|post|upload|forward|transmit|exfiltrate|leak|email)\b[^.\n]{0,80}\b(?:data|credentials?|passwords?|secrets?|tokens?|keys?|records?|database|conversation|history)\b[^.\n]{0,60}\b(?:to|at)\s+(?:https?://|\S+@\S+|an?\s+external|my\s+server|attacker)"),
     ("LLM06_outbound_exfil_suspicious_dest", "data_exfiltration", 0.55, "medium", r"\b(?:send|post|upload|forward)\b[^.\n]{0,80}\b(?:webhook\.site|requestbin|ngrok|pastebin|transfer\.sh|burpcollaborator|interact\.sh)\b"),
     ("EVA003_fragment_exfil", "data_exfiltration", 0.45, "medium", r"\b(?:first|next|last)\s+\d{1,3}\s+(?:characters?|letters?|words?|lines?)\s+of\s+(?:your|the)\s+(?:system\s+)?(?:prompt|instructions?)"),
