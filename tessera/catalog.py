@@ -12,7 +12,7 @@ from tessera import oracles as O
 from tessera import probes as P
 from tessera.functions import text as T
 from tessera.functions.checks import address_kind, dotted_quad
-from tessera.operators import chains, context, envelopes, events, findings, policy, provenance, reports, shapes, state, verdict
+from tessera.operators import chains, context, envelopes, events, findings, policy, provenance, reports, shapes, state, tracking, verdict
 from tessera.operators.impact import classified
 from tessera.plans import scans
 from tessera.rules import fixed
@@ -383,6 +383,37 @@ def kept_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.kept_ids(e, 3)
 
 
+#: Each view is a response that issues a task and a context, each click a request about a task, each purchase one in a context.
+_TRACKED_SQL = """WITH m AS (
+  SELECT event_id, user_id % 50 AS agent, ts, event_type, event_id % 20 AS task, event_id % 7 AS context, lag(ts) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS before
+  FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+seen AS (
+  SELECT *, last_value(CASE WHEN event_type = 'view' THEN ts END IGNORE NULLS) OVER (PARTITION BY agent, task ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + INTERVAL 6 HOUR AS task_ends,
+    last_value(CASE WHEN event_type = 'view' THEN ts END IGNORE NULLS) OVER (PARTITION BY agent, context ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + INTERVAL 6 HOUR AS context_ends FROM m),
+told AS (
+  SELECT *, CASE event_type WHEN 'click' THEN task_ends WHEN 'purchase' THEN context_ends END AS ends FROM seen),
+status AS (
+  SELECT *, CASE WHEN event_type = 'view' OR ends > ts THEN 'known' WHEN ends <= ts AND coalesce(before < ends, true) THEN 'expired' ELSE 'unknown' END AS status FROM told)
+SELECT event_id, CASE WHEN status = 'known' THEN '' WHEN status = 'expired' THEN CASE event_type WHEN 'click' THEN 'expired_task_reference' ELSE 'expired_context_reference' END
+    WHEN event_type = 'purchase' THEN 'context_id_smuggling' WHEN event_id % 2 = 0 THEN 'task_id_smuggling' ELSE 'unverified_task_reference' END AS signals,
+  CAST(CASE WHEN status = 'known' THEN 0 WHEN status = 'expired' THEN 0.20 WHEN event_type = 'purchase' THEN 0.40 WHEN event_id % 2 = 0 THEN 0.45 ELSE 0.25 END AS DOUBLE) AS score
+FROM status"""
+
+
+@query(_TRACKED_SQL)
+def tracked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('view', 'click', 'purchase')")
+    kind, task, ctx = F.col("event_type"), F.concat(F.lit("t"), F.col("event_id") % 20), F.concat(F.lit("c"), F.col("event_id") % 7)
+    issued = F.to_json(F.struct(F.struct(task.alias("taskId"), ctx.alias("contextId")).alias("result")))
+    about = F.struct(F.struct(task.alias("taskId")).alias("message")).alias("params")
+    asked = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.lit("message/send").alias("method"), about))).otherwise(F.to_json(F.struct(about)))
+    within = F.to_json(F.struct(F.struct(ctx.alias("contextId")).alias("params")))
+    body = F.when(kind == "view", issued).when(kind == "click", asked).otherwise(within)
+    messages = e.select(F.concat(F.lit("agent-"), F.col("user_id") % 50).alias("agent_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (kind == "view").alias("received"), body.alias("body"))
+    found = tracking.tracked_ids(tracking.message_ids(messages), ttl=6 * 3600)
+    return found.select(F.col("seq").alias("event_id"), F.array_join("signals", ",").alias("signals"), "score")
+
+
 def _breaker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(

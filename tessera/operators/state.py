@@ -8,12 +8,13 @@ plain window columns.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.verdict import BLOCK
 
@@ -87,53 +88,107 @@ class Breaker:
 BREAKER_OUT = "agent_id string, ts timestamp, seq long, state string, tripped boolean, action string"
 
 
+def _seconds(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64") / 1e6
+
+
 def _rows(breaker: Breaker, pdf: pd.DataFrame) -> pd.DataFrame:
-    seconds = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
-    met = [breaker.step(t, k, a, s) for t, k, a, s in zip(seconds, pdf["kind"], pdf["action"], pdf["score"])]
+    met = [breaker.step(t, k, a, s) for t, k, a, s in zip(_seconds(pdf["ts"]), pdf["kind"], pdf["action"], pdf["score"])]
     out = pdf[["agent_id", "ts", "seq"]].copy()
     out["state"], out["tripped"] = [m[0] for m in met], [m[1] for m in met]
     out["action"] = ["blocked" if m[0] == "open" and breaker.limits.block else a for m, a in zip(met, pdf["action"])]
     return out
 
 
-def breaker_states(events: DataFrame, limits: Limits) -> DataFrame:
-    """The state that each of events (agent_id, ts, seq, kind scan or tool_call, action, score) met, and trips.
+def by_agent_in_order(rows: DataFrame, new: Callable, step: Callable, schema: str) -> DataFrame:
+    """step(state, rows) over each agent's rows (agent_id, ts, seq, ...) in order of time and number; new() begins one.
 
-    An agent's events go by in order of time and number, in Arrow batches of bounded size, so an agent with very many
-    does not have to fit into memory; different agents run apart. Rows without agent_id are an agent of their own.
+    Rows come in Arrow batches of bounded size, so an agent with very many does not have to fit into memory; different
+    agents run apart. Rows without agent_id are an agent of their own.
     """
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = events.select("agent_id", "ts", "seq", "kind", "action", "score").repartition(n, "agent_id").sortWithinPartitions("agent_id", "ts", "seq")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(n, "agent_id").sortWithinPartitions("agent_id", "ts", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        agent, breaker = object(), None
+        agent, state = object(), None
         for pdf in batches:
             for name, group in pdf.groupby("agent_id", dropna=False, sort=False):
-                if breaker is None or not (name == agent or pd.isna(name) and pd.isna(agent)):
-                    agent, breaker = name, Breaker(limits)
-                yield _rows(breaker, group)
-
-    return ordered.mapInPandas(run, BREAKER_OUT)
-
-
-def breaker_stream(events: DataFrame, limits: Limits, delay: str = "10 minutes") -> DataFrame:
-    """The same over a stream with a watermark on ts: rows later than delay are dropped and open nothing again."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        breaker = Breaker(limits)
-        if state.exists:
-            opened, violations, calls = state.get
-            breaker = Breaker(limits, None if opened is None or pd.isna(opened) else opened, deque(violations), deque(calls))
-        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        yield _rows(breaker, pdf)
-        state.update((breaker.opened, list(breaker.violations), list(breaker.calls)))
-
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy("agent_id")
-        .applyInPandasWithState(run, BREAKER_OUT, "opened double, violations array<double>, calls array<double>", "append", GroupStateTimeout.NoTimeout)
-    )
+                if state is None or not (name == agent or pd.isna(name) and pd.isna(agent)):
+                    agent, state = name, new()
+                yield step(state, group)
+
+    return ordered.mapInPandas(run, schema)
+
+
+def breaker_states(events: DataFrame, limits: Limits) -> DataFrame:
+    """The state that each of events (agent_id, ts, seq, kind scan or tool_call, action, score) met, and trips."""
+    return by_agent_in_order(events.select("agent_id", "ts", "seq", "kind", "action", "score"), lambda: Breaker(limits), _rows, BREAKER_OUT)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Streams with states of several parts need this store; set it before the stream starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+#: State that a row met which came too late to be counted.
+LATE = "late"
+
+
+class _Breaking(StatefulProcessor):
+    """A breaker for each agent, with the time of its newest row. Late rows are told by that time, and passed on.
+
+    A timer on event time ends the state when nothing of it can matter any more.
+    """
+
+    def __init__(self, limits: Limits, delay: float) -> None:
+        self.limits, self.delay = limits, delay
+        windows = [limits.violation_window if limits.violations else 0, limits.call_window if limits.calls else 0]
+        #: Seconds after the newest row for which state is kept; None: an open breaker stays open.
+        self.keep = max(*windows, limits.cooldown or 0) + delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("breaker", "opened double, violations array<double>, calls array<double>, newest double, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        breaker, newest, timer = Breaker(self.limits), float("-inf"), None
+        if self.state.exists():
+            opened, violations, calls, newest, timer = self.state.get()
+            breaker = Breaker(self.limits, None if opened is None or pd.isna(opened) else opened, deque(violations), deque(calls))
+        # A batch's rows are kept as a few numbers and codes each until they are in order.
+        pdf = pd.concat([p.astype({"kind": "category", "action": "category"}) for p in rows]).sort_values(["ts", "seq"], kind="stable")
+        late = _seconds(pdf["ts"]) < newest - self.delay
+        for part, met in ((pdf[late.to_numpy()], False), (pdf[~late.to_numpy()], True)):
+            for at in range(0, len(part), 10_000):
+                some = part.iloc[at : at + 10_000].astype({"kind": "object", "action": "object"})
+                yield _rows(breaker, some) if met else some[["agent_id", "ts", "seq"]].assign(state=LATE, tripped=False, action=some["action"])
+        newest = max(newest, float(_seconds(pdf["ts"]).max()))
+        if timer is not None and not pd.isna(timer):
+            self.handle.deleteTimer(int(timer))
+        timer = None
+        if breaker.opened is None or self.limits.cooldown is not None:
+            timer = max(round((newest + self.keep) * 1000), timerValues.getCurrentWatermarkInMs()) + 1
+            self.handle.registerTimer(timer)
+        self.state.update((breaker.opened, list(breaker.violations), list(breaker.calls), newest, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def breaker_stream(events: DataFrame, limits: Limits, delay: float = 600.0, forget: str = "1 day") -> DataFrame:
+    """The same over a stream. A row more than delay seconds behind the newest of its agent from earlier batches has the
+    state LATE: it is not counted, opens nothing, and is for the caller to divert (sinks.split). Spark itself drops only
+    rows that lie further back than forget, and counts them.
+
+    A silent agent's state ends when its windows and cooldown have passed in event time (forget later, as that is how far
+    the watermark lags); an open breaker without a cooldown stays. Needs the RocksDB state store (use_rocksdb).
+    """
+    rows = events.select("agent_id", "ts", "seq", "kind", "action", "score").withWatermark("ts", forget)
+    return rows.groupBy("agent_id").transformWithStateInPandas(_Breaking(limits, delay), BREAKER_OUT, "append", "EventTime")
 
 
 def sliding_counts(events: DataFrame, seconds: int, by: str = "agent_id") -> DataFrame:

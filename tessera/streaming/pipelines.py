@@ -17,7 +17,7 @@ def verdicts(turns: DataFrame, mode: str = "block") -> DataFrame:
     return hashed(inputs).select(*keep).union(hashed(outputs).select(*keep))
 
 
-def guarded(scans: DataFrame, limits: Limits, delay: str = "10 minutes") -> DataFrame:
+def guarded(scans: DataFrame, limits: Limits, delay: float = 600.0) -> DataFrame:
     """Breaker states of a stream of verdicts (agent_id, ts, seq, kind, true_action, score)."""
     return breaker_stream(scans.withColumn("action", F.col("true_action")), limits, delay)
 

@@ -96,6 +96,20 @@ def fan_out(*sinks: Sink) -> Sink:
     return run
 
 
+def split(condition: str, yes: Sink, no: Sink) -> Sink:
+    """Rows that meet a condition go to one sink, the others to another: split("state = 'late'", aside, states)."""
+
+    def run(rows: DataFrame) -> None:
+        kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yes(kept.where(condition))
+            no(kept.where(f"not coalesce({condition}, false)"))
+        finally:
+            kept.unpersist()
+
+    return run
+
+
 def deliver(events: DataFrame, sink: Sink, checkpoint: str, every: str = "5 seconds", available_now: bool = False) -> StreamingQuery:
     """Runs a sink on each micro-batch of a stream. Where the sink is slow the stream waits; nothing is dropped."""
     writer = events.writeStream.foreachBatch(lambda batch, _: sink(batch)).option("checkpointLocation", checkpoint)
