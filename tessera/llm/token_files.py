@@ -118,7 +118,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, width: int = 2)
     """Write the ids of docs (doc_id long, text string, ...) to a folder, in ascending doc_id order.
 
     Null and empty texts have the end id alone. Documents without a doc_id come first; rows that repeat a doc_id are
-    all written, in the order of their texts (null ones first). An empty table gives a folder without documents. Other columns are
+    all written, in the order of a hash of their texts. An empty table gives a folder without documents. Other columns are
     not read. path: the vocabulary file; width: bytes of an id in the files.
     """
     bounded_batches(docs.sparkSession)
@@ -148,7 +148,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, width: int = 2)
 
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # An id of very many rows is parted by text, and equal rows by their place.
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), "text")
+    ordered = keyed.repartitionByRange(n, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     fields = "part int, number long, inside long, first_doc long, last_doc long, n_docs long, n_tokens long, shard binary"
     ordered.mapInArrow(shards, fields).write.mode("overwrite").option("compression", "none").parquet(f"{folder}/shards")
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/dictionary")
