@@ -201,13 +201,13 @@ _MADE_ID = "conv_id * 1000 + turn"
 
 
 @query(
-    f"""SELECT id, body IS NOT NULL AND json_valid(body) AND coalesce(json_extract_string(body, '$.jsonrpc') = '2.0' AND json_type(body, '$.method') = 'VARCHAR'
+    f"""SELECT id, coalesce(json_extract_string(body, '$.jsonrpc') = '2.0' AND json_type(body, '$.method') = 'VARCHAR'
   OR json_type(body, '$.params.message.parts') = 'ARRAY' OR list_contains(list_transform(json_extract(body, '$.result.artifacts[*].parts'), lambda x: json_type(x)), 'ARRAY'), false) AS a2a
-FROM (VALUES {P.values([(-1 - k, b) for k, b in enumerate(P.ENVELOPES) if b.startswith("{")])}) v(id, body)
+FROM (SELECT id, CASE WHEN json_valid(body) THEN body END AS body FROM (VALUES {P.values([(-1 - k, b) for k, b in enumerate(P.ENVELOPES)])}) v(id, body))
 UNION ALL SELECT {_MADE_ID}, true FROM conversations"""
 )
 def envelope_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelopes.routed(_bodies(spark, sf_dir).where("body like '{%'")).select("id", (F.col("route") == "a2a").alias("a2a"))
+    return envelopes.routed(_bodies(spark, sf_dir)).select("id", (F.col("route") == "a2a").alias("a2a"))
 
 
 @query(f"""SELECT * REPLACE (CAST(structural_score AS DOUBLE) AS structural_score) FROM (VALUES {P.values(P.STRUCTURE)}) v(id, signals, structural_score)
@@ -278,10 +278,10 @@ _SCHEME = r"regexp_extract(url, '^\s*([a-zA-Z][a-zA-Z0-9+.\-]{0,31})://', 1)"
 _HOST = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]{0,31}://(?:[^/?#@]*@)?([^/?#:]*)', 1)"
 
 
-@query(f"""SELECT url, nullif(lower({_SCHEME}), '') AS scheme, CASE WHEN {_SCHEME} <> '' THEN lower({_HOST}) WHEN regexp_matches(url, '^[0-9.]+(/|$)') THEN regexp_extract(url, '^([0-9.]+)', 1) END AS host FROM ({_URLS}) WHERE url <> ''""")
+@query(f"""SELECT url, nullif(lower({_SCHEME}), '') AS scheme, CASE WHEN {_SCHEME} <> '' THEN lower({_HOST}) WHEN regexp_matches(url, '^[0-9.]+(/|$)') THEN regexp_extract(url, '^([0-9.]+)', 1) END AS host FROM ({_URLS})""")
 def url_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").union(spark.createDataFrame([(u,) for u in P.URLS], "url string"))
-    return shapes.with_url_shape(pages.where("url <> ''")).select("url", "scheme", "host")
+    return shapes.with_url_shape(pages).select("url", "scheme", "host")
 
 
 @query("""WITH h AS (
@@ -422,9 +422,28 @@ def _breaker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: An agent's events one after another: each step has the state that the one before left.
+_BREAKER_SQL = """WITH RECURSIVE e AS (
+  SELECT 'agent-' || (user_id % 25) AS agent_id, event_id AS seq, epoch_us(ts) AS t, event_type = 'click' AS is_call, event_type = 'error' AS is_violation, row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts, event_id) AS k FROM events),
+r(agent_id, seq, k, state, tripped, violation, opened, violations, calls) AS (
+  SELECT DISTINCT agent_id, NULL::BIGINT, 0::BIGINT, '', false, false, NULL::BIGINT, []::BIGINT[], []::BIGINT[] FROM e
+  UNION ALL
+  SELECT agent_id, seq, k, CASE WHEN is_open THEN 'open' ELSE 'closed' END, trips, is_violation, CASE WHEN trips THEN t WHEN is_open THEN opened END, violations, calls FROM (
+    SELECT *, NOT is_open AND (is_call AND len(calls) >= 6 OR is_violation AND len(violations) >= 3) AS trips FROM (
+      SELECT agent_id, seq, k, t, is_call, is_violation, is_open, opened,
+        CASE WHEN is_violation AND NOT is_open THEN list_filter(list_append(violations, t), lambda x: x >= t - 86400000000) ELSE violations END AS violations,
+        CASE WHEN is_call AND NOT is_open THEN list_filter(list_append(calls, t), lambda x: x >= t - 43200000000) ELSE calls END AS calls
+      FROM (
+        SELECT e.agent_id, e.seq, e.k, e.t, e.is_call, e.is_violation, r.opened IS NOT NULL AND e.t - r.opened < 21600000000 AS is_open, r.opened,
+          CASE WHEN e.t - r.opened >= 21600000000 THEN [] ELSE r.violations END AS violations, CASE WHEN e.t - r.opened >= 21600000000 THEN [] ELSE r.calls END AS calls
+        FROM r JOIN e ON e.agent_id = r.agent_id AND e.k = r.k + 1))))
+SELECT agent_id, seq, state, tripped, CASE WHEN state = 'open' OR violation THEN 'blocked' ELSE 'allowed' END AS action FROM r WHERE k > 0"""
+
+
+@query(_BREAKER_SQL)
 def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.breaker_states(_breaker_events(spark, sf_dir), state.Limits(violations=3, violation_window=86_400, calls=6, call_window=43_200, cooldown=21_600))
+    limits = state.Limits(violations=3, violation_window=86_400, calls=6, call_window=43_200, cooldown=21_600)
+    return state.breaker_states(_breaker_events(spark, sf_dir), limits).select("agent_id", "seq", "state", "tripped", "action")
 
 
 _RECON, _INJECT = (fixed.CHAINS[0][4][k][2] for k in (0, 1))

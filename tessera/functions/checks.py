@@ -23,10 +23,18 @@ def is_reserved_address(address: Column) -> Column:
     return address.rlike(RESERVED_DOMAIN)
 
 
+_GLOB = re.compile(r"\*|\?|\[(!?)(\]?[^\]]*)\]|.", re.S)
+
+
 def glob_pattern(glob: str) -> str:
-    """A shell glob as an anchored pattern that ignores case."""
-    out = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob)
-    return rf"(?is)\A{out}\z"
+    """A shell glob (*, ?, [a-z], [!abc]) as an anchored pattern that ignores case; a bracket left open stands for itself."""
+
+    def part(m: re.Match) -> str:
+        if m[2]:
+            return "[" + ("^" if m[1] else "") + re.sub(r"[\[\]\\^&]", r"\\\g<0>", m[2]) + "]"
+        return {"*": ".*", "?": "."}.get(m[0]) or re.escape(m[0])
+
+    return rf"(?is)\A{_GLOB.sub(part, glob)}\z"
 
 
 def matches_any_glob(value: Column, globs: list[str]) -> Column:

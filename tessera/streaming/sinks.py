@@ -10,7 +10,7 @@ from collections.abc import Callable
 from itertools import islice
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.events import as_json, mapped
@@ -117,6 +117,41 @@ def deliver(events: DataFrame, sink: Sink, checkpoint: str, every: str = "5 seco
     return writer.start()
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def once(path: str, shape: Callable[[DataFrame], DataFrame] = mapped) -> Callable[[DataFrame, int], None]:
+    """A sink of Parquet files that takes each micro-batch once: its folder is named after the batch's number.
+
+    Spark's mark of success in a folder is the ledger. A batch that is run again after a failure is skipped if its folder
+    has the mark, and replaces what lies there if not, so a reader of marked folders (delivered) sees no row twice. One
+    folder belongs to one query and its checkpoint.
+    """
+
+    def run(events: DataFrame, number: int) -> None:
+        folder = f"{path}/batch={number}"
+        if not _is_there(events.sparkSession, f"{folder}/_SUCCESS"):
+            shape(events).write.mode("overwrite").parquet(folder)
+
+    return run
+
+
+def delivered(spark: SparkSession, path: str) -> DataFrame:
+    """What once() has delivered, with the number of its batch; folders without a mark are left out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folders = [str(x.getPath()) for x in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    return spark.read.option("basePath", path).parquet(*[f for f in folders if _is_there(spark, f"{f}/_SUCCESS")])
+
+
+def deliver_once(events: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", available_now: bool = False, shape: Callable[[DataFrame], DataFrame] = mapped) -> StreamingQuery:
+    """Runs once() on each micro-batch of a stream."""
+    writer = events.writeStream.foreachBatch(once(path, shape)).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
+    return writer.start()
+
+
 #: Trips that a handler is given in one call, at most.
 AT_ONCE = 1000
 

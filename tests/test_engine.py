@@ -370,3 +370,31 @@ def test_rule_files(tmp_path):
     with pytest.raises(rule_files.RuleError, match="jailbreak"):
         rule_files.load_rules(p)
     assert rule_files.load_rules(tmp_path / "none.json") == ([], []) and rule_files.load_policy(tmp_path / "none.json") is None
+
+
+@pytest.mark.parametrize("glob", ["read_[ab]", "read_[!ab]", "*[0-9]", "[]x]y", "[a", "a?c*", "x[a-c&&b]", "[!]]", "a.b", "[^a]"])
+def test_globs_agree_with_the_shells(spark, glob):
+    import fnmatch
+
+    from tessera.functions.checks import matches_any_glob
+
+    names = ["read_a", "read_b", "read_c", "READ_A", "v1", "v", "]y", "xy", "[a", "abc", "abcd", "xa", "xb", "x&", "a.b", "axb", "]", "q", "^a", "a"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {r.n for r in df.where(matches_any_glob(F.col("n"), [glob])).collect()}
+    assert got == {n for n in names if fnmatch.fnmatchcase(n.lower(), glob.lower())}
+
+
+def test_percentiles_agree_with_sorting(spark, monkeypatch):
+    monkeypatch.setattr(reports, "RANGES", 4)
+    rng = random.Random(2)
+    rows = [(g, rng.choice([rng.gauss(0, 10.0 ** rng.randint(-300, 300)), float(rng.randint(0, 3)), 5.0])) for g in ("a", "b", None) for _ in range(rng.randint(1, 300))]
+    rows += [("one", 1.5), ("same", 2.0), ("same", 2.0), ("none", None), ("a", float("nan")), ("ends", -1.7e308), ("ends", 1.7e308)]
+    got = {r.g: tuple(r)[1:] for r in reports.percentiles(spark.createDataFrame(rows, "g string, v double"), "v", "g").collect()}
+    by = {}
+    for g, v in rows:
+        if v is not None and v == v:
+            by.setdefault(g, []).append(v)
+    import math
+
+    want = {g: (*(sorted(v)[max(1, math.ceil(p * len(v))) - 1] for p in (0.5, 0.95, 0.99)), max(v)) for g, v in by.items()}
+    assert got == want and reports.percentiles(spark.createDataFrame([], "g string, v double"), "v", "g").count() == 0

@@ -162,3 +162,26 @@ def test_tracked_stream_agrees_with_batch(spark, tmp_path):
     batch = tracking.tracked_ids(tracking.message_ids(spark.createDataFrame(rows, MESSAGE)), 100.0, 6)
     as_rows = lambda d: sorted((r.seq, r.score, tuple(r.signals)) for r in d.collect())
     assert as_rows(spark.table("ids")) == as_rows(batch)
+
+
+def test_a_batch_that_runs_again_is_delivered_once(spark, tmp_path):
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "once-cp")
+    stream = stream_of(spark, tmp_path, [[("a", at(k), k, "scan", "allowed", 0.0)] for k in range(3)], FIELDS, "once")
+
+    def deliver():
+        sinks.deliver_once(stream, path, checkpoint, available_now=True, shape=lambda d: d.select("agent_id", "seq")).awaitTermination(120)
+
+    deliver()
+    # Killed between the write and Spark's commit: the last batch's commit is missing when the query starts again.
+    last = max((tmp_path / "once-cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for file in (last, last.with_name(f".{last.name}.crc")):
+        file.unlink(missing_ok=True)
+    deliver()
+    assert sorted(r.seq for r in sinks.delivered(spark, path).collect()) == [0, 1, 2]
+    # Killed within the write: the folder has rows and no mark.
+    for file in (last, last.with_name(f".{last.name}.crc")):
+        file.unlink(missing_ok=True)
+    (tmp_path / "out" / f"batch={last.name}" / "_SUCCESS").unlink()
+    assert len(sinks.delivered(spark, path).collect()) == 2
+    deliver()
+    assert sorted(r.seq for r in sinks.delivered(spark, path).collect()) == [0, 1, 2]
