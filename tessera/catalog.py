@@ -12,7 +12,7 @@ from tessera import oracles as O
 from tessera import probes as P
 from tessera.functions import text as T
 from tessera.functions.checks import address_kind, dotted_quad
-from tessera.operators import chains, context, envelopes, events, findings, policy, provenance, reports, shapes, state, tracking, verdict
+from tessera.operators import chains, context, envelopes, events, findings, lists, policy, provenance, reports, shapes, state, tracking, verdict
 from tessera.operators.impact import classified
 from tessera.plans import scans
 from tessera.rules import fixed
@@ -273,6 +273,23 @@ def delegation_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.size("delegation_chain").alias("hops"), "origin_agent", F.when(F.size("delegation_chain") == 1, "agent0").otherwise(F.element_at("delegation_chain", -1)["agent_id"]).alias("tail"))
 
 
+@query("""WITH h AS (SELECT user_id % 40 AS correlation_id, event_id AS seq, event_type AS agent_id, lag(event_type) OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS tail FROM events),
+m AS (SELECT * FROM h WHERE tail IS DISTINCT FROM agent_id)
+SELECT correlation_id, row_number() OVER w AS place, agent_id, first_value(agent_id) OVER w AS origin FROM m WINDOW w AS (PARTITION BY correlation_id ORDER BY seq)""")
+def flow_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hops = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 40).alias("correlation_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("agent_id"), F.lit("worker").alias("role"))
+    return provenance.flow_hops(hops).select("correlation_id", "place", "agent_id", "origin")
+
+
+#: Errors change the list of the tools that users stand for: even ones add, odd ones take off.
+@query("""SELECT c.event_id, coalesce((SELECT arg_max(x.event_id % 2 = 0, (x.ts, x.event_id)) FROM events x WHERE x.event_type = 'error' AND x.user_id % 30 = c.user_id % 30 AND x.ts <= c.ts), false) AS listed
+FROM events c WHERE c.event_type IN ('click', 'view')""")
+def listed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("Tool"), F.col("user_id") % 30).alias("tool_name"), "ts", F.col("event_id").alias("seq"), "event_type")
+    changes = e.where("event_type = 'error'").withColumn("listed", F.col("seq") % 2 == 0)
+    return lists.listed_calls(e.where("event_type in ('click', 'view')"), changes).select(F.col("seq").alias("event_id"), "listed")
+
+
 _URLS = f"SELECT url FROM pages UNION ALL SELECT * FROM (VALUES {P.values([(u,) for u in P.URLS])}) v(url)"
 _SCHEME = r"regexp_extract(url, '^\s*([a-zA-Z][a-zA-Z0-9+.\-]{0,31})://', 1)"
 _HOST = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]{0,31}://(?:[^/?#@]*@)?([^/?#:]*)', 1)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOP = "struct<agent_id:string,role:string>"
@@ -64,7 +64,19 @@ def headers_of(chain: Column, tiers: Column, correlation: Column, parent: Column
     )
 
 
+def flow_hops(hops: DataFrame) -> DataFrame:
+    """(correlation_id, place, agent_id, role, origin) of hops (correlation_id, seq, agent_id, role): the hops of each flow
+    in order of seq, numbered from 1, with the agent that began it. A hop to the agent that has the flow already is none.
+
+    A flow is a sorted run of rows and no array, so it may have any number of hops. A null correlation_id is one flow.
+    """
+    order = Window.partitionBy("correlation_id").orderBy("seq", "agent_id", "role")
+    tail = F.lag(F.struct("agent_id")).over(order)
+    moved = hops.select("correlation_id", "seq", "agent_id", "role", (tail.isNull() | ~tail["agent_id"].eqNullSafe(F.col("agent_id"))).alias("moves")).where("moves")
+    return moved.select("correlation_id", F.row_number().over(order).cast("long").alias("place"), "agent_id", "role", F.first("agent_id").over(order).alias("origin"))
+
+
 def flows(hops: DataFrame) -> DataFrame:
-    """(correlation_id, delegation_chain) of hops (correlation_id, seq, agent_id, role) in order of seq."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", "agent_id", "role"))), lambda x: F.struct(x["agent_id"].alias("agent_id"), x["role"].alias("role")))
-    return hops.groupBy("correlation_id").agg(ordered.alias("delegation_chain"))
+    """(correlation_id, delegation_chain) of hops, for flows whose chain is to go into a message; long ones are flow_hops."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "agent_id", "role"))), lambda x: F.struct(x["agent_id"].alias("agent_id"), x["role"].alias("role")))
+    return flow_hops(hops).groupBy("correlation_id").agg(ordered.alias("delegation_chain"))

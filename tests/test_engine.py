@@ -398,3 +398,13 @@ def test_percentiles_agree_with_sorting(spark, monkeypatch):
 
     want = {g: (*(sorted(v)[max(1, math.ceil(p * len(v))) - 1] for p in (0.5, 0.95, 0.99)), max(v)) for g, v in by.items()}
     assert got == want and reports.percentiles(spark.createDataFrame([], "g string, v double"), "v", "g").count() == 0
+
+
+def test_flows_are_runs_of_rows(spark):
+    rows = [("f", 1, "a", "x"), ("f", 2, "a", "x"), ("f", 3, "b", "y"), ("f", 4, "a", "x"), ("g", 9, None, "z"), ("g", 10, None, "z"), (None, 1, "q", "w")]
+    hops = spark.createDataFrame(rows, "correlation_id string, seq long, agent_id string, role string")
+    got = {(r.correlation_id, r.place): (r.agent_id, r.origin) for r in provenance.flow_hops(hops).collect()}
+    assert got == {("f", 1): ("a", "a"), ("f", 2): ("b", "a"), ("f", 3): ("a", "a"), ("g", 1): (None, None), (None, 1): ("q", "q")}
+    assert "collect_list" not in provenance.flow_hops(hops)._jdf.queryExecution().toString()
+    chains_ = {r.correlation_id: [h.agent_id for h in r.delegation_chain] for r in provenance.flows(hops).collect()}
+    assert chains_["f"] == ["a", "b", "a"]

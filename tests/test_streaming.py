@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import state, tracking
+from tessera.operators import lists, state, tracking
 from tessera.streaming import pipelines, sinks
 
 EVENTS = [("a", dt.datetime(2024, 1, 1, 0, 0, i), i, "scan", "blocked", 1.0) for i in range(8)] + [("b", dt.datetime(2024, 1, 1, 0, 0, i), 100 + i, "tool_call", "allowed", 0.0) for i in range(3)]
@@ -185,3 +185,17 @@ def test_a_batch_that_runs_again_is_delivered_once(spark, tmp_path):
     assert len(sinks.delivered(spark, path).collect()) == 2
     deliver()
     assert sorted(r.seq for r in sinks.delivered(spark, path).collect()) == [0, 1, 2]
+
+
+CALL, CHANGE = "tool_name string, ts timestamp, seq long", "tool_name string, ts timestamp, seq long, listed boolean"
+
+
+def test_a_list_that_changes_while_a_stream_runs(spark, tmp_path):
+    calls = [[("shell", at(10), 1), ("Mail", at(10), 2), (None, at(10), 3)], [("SHELL", at(20), 4), ("mail", at(20), 5)], [("shell", at(30), 6), ("shell", at(41), 7), ("mail", at(41), 8)]]
+    changes = [[("Shell", at(15), 100, True)], [("mail", at(19), 101, True), (None, at(1), 102, True), ("x", at(1), 103, None)], [("shell", at(40), 104, False)]]
+    stream = lists.listed_stream(stream_of(spark, tmp_path, calls, CALL, "calls"), stream_of(spark, tmp_path, changes, CHANGE, "changes"))
+    run(stream, tmp_path, "listed")
+    want = {1: False, 2: False, 3: False, 4: True, 5: True, 6: True, 7: False, 8: True}
+    assert {r.seq: r.listed for r in spark.table("listed").collect()} == want
+    flat = lambda rows, fields: spark.createDataFrame([r for b in rows for r in b], fields)
+    assert {r.seq: r.listed for r in lists.listed_calls(flat(calls, CALL), flat(changes, CHANGE)).collect()} == want
