@@ -8,10 +8,10 @@ from pyspark.sql.types import ArrayType
 
 from tessera.functions.checks import matches_any_glob
 from tessera.functions.columns import named, packed, unpacked
-from tessera.operators.commands import SEGMENT, segment_matches, segments
+from tessera.operators.commands import SEGMENT, holds, segment_matches, segments
 from tessera.operators.findings import FINDING
 from tessera.operators.shapes import VERBS, sql_shapes, with_url_shape
-from tessera.rules.impact import COMBINATIONS, COMMAND_KEYS, COMMAND_RULES, ESCALATIONS, PRECEDENCE, SQL_RULES, TIERS, TOOL_RULES, URL_RULES
+from tessera.rules.impact import COMMAND_KEYS, PRECEDENCE, TIERS, ImpactRules
 
 HIT = "struct<rule:string,class:string,tier:int,rank:int,at:int,score:double>"
 
@@ -46,34 +46,27 @@ def _matcher(cond: dict):
     return lambda s: segment_matches(s, cond)
 
 
-def command_hits(parsed: Column) -> Column:
+def command_hits(parsed: Column, rules: ImpactRules) -> Column:
     """The first rule that each segment matches, and combinations of segments."""
     numbered = F.arrays_zip(parsed.alias("s"), F.sequence(F.lit(0), F.greatest(F.size(parsed) - 1, F.lit(0))).alias("k"))
-    per = F.transform(numbered, lambda x: _first([(segment_matches(x["s"], cond), _hit(rule, cls, tier, score, x["k"])) for rule, cls, tier, cond, score in COMMAND_RULES]))
-    combined = [F.when(F.exists(parsed, _matcher(one)) & F.exists(parsed, _matcher(two)), _hit(rule, cls, tier, score, 99)) for rule, cls, tier, score, one, two in COMBINATIONS]
-    return F.filter(F.concat(F.coalesce(per, F.array().cast(f"array<{HIT}>")), F.array(*combined)), lambda h: h.isNotNull())
+    per = F.transform(numbered, lambda x: _first([(segment_matches(x["s"], cond), _hit(rule, cls, tier, score, x["k"])) for rule, cls, tier, cond, score in rules.commands]) if rules.commands else F.lit(None).cast(HIT))
+    combined = [F.when(F.exists(parsed, _matcher(one)) & F.exists(parsed, _matcher(two)), _hit(rule, cls, tier, score, 99)) for rule, cls, tier, score, one, two in rules.combinations]
+    return F.filter(F.concat(F.coalesce(per, F.array().cast(f"array<{HIT}>")), F.array(*combined).cast(f"array<{HIT}>")), lambda h: h.isNotNull())
 
 
-def sql_hits(shapes: Column) -> Column:
-    def matches(s: Column, cond: dict) -> Column:
-        out = F.lit(True)
-        for field, values in cond.items():
-            out = out & matches_any_glob(s[field], values)
-        return out
+def sql_hits(shapes: Column, rules: ImpactRules) -> Column:
+    def fires(s: Column, cond: dict) -> Column:
+        return holds(cond, lambda name, globs: matches_any_glob(s[name], globs))
 
-    return F.filter(F.transform(shapes, lambda s: _first([(matches(s, cond), _hit(rule, cls, tier, score)) for rule, cls, tier, cond, score in SQL_RULES])), lambda h: h.isNotNull())
+    if not rules.sql:
+        return F.array().cast(f"array<{HIT}>")
+    return F.filter(F.transform(shapes, lambda s: _first([(fires(s, cond), _hit(rule, cls, tier, score)) for rule, cls, tier, cond, score in rules.sql])), lambda h: h.isNotNull())
 
 
-def url_hit() -> Column:
+def url_hit(rules: ImpactRules) -> Column:
     """The first rule that columns scheme, host and address match."""
-
-    def matches(cond: dict) -> Column:
-        out = F.lit(True)
-        for field, values in cond.items():
-            out = out & matches_any_glob(F.col(field), values)
-        return out
-
-    return _first([(matches(cond), _hit(rule, cls, tier, score)) for rule, cls, tier, cond, score in URL_RULES])
+    cases = [(holds(cond, lambda name, globs: matches_any_glob(F.col(name), globs)), _hit(rule, cls, tier, score)) for rule, cls, tier, cond, score in rules.urls]
+    return _first(cases) if cases else F.lit(None).cast(HIT)
 
 
 def _value(arguments: Column, looks: str) -> Column:
@@ -103,25 +96,27 @@ def _by_name(rules: list[tuple], calls: DataFrame) -> Column:
         if servers:
             fires = fires & (matches_any_glob(F.col("mcp_server"), servers[0]) if "mcp_server" in calls.columns else F.lit(False))
         cases.append((fires, _hit("tool." + cls, cls, tier, None)))
-    return _first(cases)
+    return _first(cases) if cases else F.lit(None).cast(HIT)
 
 
-def classified(calls: DataFrame, tool_rules: list[tuple] = TOOL_RULES) -> DataFrame:
+def classified(calls: DataFrame, tool_rules: list[tuple] | None = None, rules: ImpactRules | None = None) -> DataFrame:
     """calls (tool_name, arguments map<string,string>, ...) with segments, impact_class, impact_tier, structure.
 
-    tool_rules: (globs of tools, class, tier[, globs of servers]); those with servers ask for a column mcp_server.
+    rules: all rules, as sources.impact_files loads them. tool_rules: those on names alone: (globs of tools, class, tier[,
+    globs of servers]); those with servers ask for a column mcp_server.
 
     A rule on the tool's name goes first; the command decides only where none fits; SQL and URLs override it if their
     tier is higher; arguments can raise the tier. structure are findings of segments, statements and URLs that rules
     give a score; segments that could not be cut as a shell would give none, and no tier above high. Columns of calls stay.
     """
+    rules = rules or ImpactRules()
     out = packed(calls, **{c: named(c) for c in ("tool_name", "arguments", "mcp_server") if c in calls.columns})
     arguments = F.col("arguments")
     out = out.withColumns({"command": command_of(arguments), "sql": _value(arguments, rf"(?is)^(?:\s++|/\*.*?\*/|(?:--|#)[^\n]*+\n|\()*+(?:{VERBS})\b"), "url": _value(arguments, r"(?i)^\s*[a-z][a-z0-9+.\-]{0,31}:(?://)?\S+$|^\s*[0-9a-fx.]+(?::\d+)?(?:/|$)")})
     out = out.withColumn("segments", segments(F.when(F.length("command") > 0, F.col("command"))))
     out = with_url_shape(out, "url")
-    out = out.withColumns({"command_hits": command_hits(F.coalesce("segments", F.array().cast(ArrayType(SEGMENT)))), "sql_hits": sql_hits(sql_shapes(F.col("sql"))), "url_hit": url_hit()})
-    by_name = _by_name(tool_rules, calls)
+    out = out.withColumns({"command_hits": command_hits(F.coalesce("segments", F.array().cast(ArrayType(SEGMENT))), rules), "sql_hits": sql_hits(sql_shapes(F.col("sql")), rules), "url_hit": url_hit(rules)})
+    by_name = _by_name(rules.tools if tool_rules is None else tool_rules, calls)
     degraded = F.exists("segments", lambda s: s["degraded"]) & ~F.exists("segments", lambda s: ~s["degraded"])
     command = strongest(F.col("command_hits"))
     out = out.withColumns({"by_name": by_name, "by_command": command, "by_sql": strongest(F.col("sql_hits")), "degraded": F.coalesce(degraded, F.lit(False))})
@@ -132,7 +127,7 @@ def classified(calls: DataFrame, tool_rules: list[tuple] = TOOL_RULES) -> DataFr
     for other in ("by_sql", "url_hit"):
         higher = F.coalesce(F.col(f"{other}.tier") > F.col("tier"), F.lit(False))
         out = out.withColumns({"impact_class": F.when(higher, F.col(f"{other}.class")).otherwise(F.col("impact_class")), "tier": F.when(higher, F.col(f"{other}.tier")).otherwise(F.col("tier"))})
-    for globs, pattern, least in ESCALATIONS:
+    for globs, pattern, least in rules.escalations:
         raises = F.exists(F.map_entries(arguments), _raises(globs, pattern))
         out = out.withColumn("tier", F.when(F.coalesce(raises, F.lit(False)), F.greatest("tier", F.lit(tier_number(least)))).otherwise(F.col("tier")))
     hits = F.concat(F.when(F.col("degraded"), F.array().cast(f"array<{HIT}>")).otherwise(F.col("command_hits")), F.col("sql_hits"), F.filter(F.array("url_hit"), lambda h: h.isNotNull()))

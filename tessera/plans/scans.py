@@ -239,10 +239,11 @@ def _found_behind(scan):
     return F.coalesce(F.aggregate(F.concat(content, secrets), none, D.united), none)
 
 
-def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[str] = (), policy=None, rules: list[tuple] = INPUT_RULES, tool_rules: list[tuple] | None = None) -> DataFrame:
+def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[str] = (), policy=None, rules: list[tuple] = INPUT_RULES, tool_rules: list[tuple] | None = None, impact=None) -> DataFrame:
     """calls (tool_name, arguments map<string,string>, ...) with impact, findings and a verdict.
 
-    tool_rules: rules on names of tools and servers, as impact.classified takes them. Columns of calls stay as they are.
+    tool_rules: rules on names of tools and servers, and impact: all rules on what a call touches, as impact.classified
+    takes them and sources.impact_files loads them. Columns of calls stay as they are.
 
     There are no thresholds here: a finding of a hard category, of the structure or a sure secret stops the call in
     block mode, others flag it. A blocked tool is not looked at further. A policy can only make a verdict stricter.
@@ -253,7 +254,7 @@ def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[s
 
     scan = _scan_of(rules)
     needed = [c for c in ("tool_name", "arguments", "mcp_server") if c in calls.columns]
-    out = classified(packed(spread(calls), **{c: named(c) for c in needed}), *([tool_rules] if tool_rules is not None else []))
+    out = classified(packed(spread(calls), **{c: named(c) for c in needed}), tool_rules, impact)
     flat = F.concat_ws(" ", "tool_name", F.array_join(F.map_values("arguments"), " "))
     out = views(out.withColumn("flat", flat), "flat")
     none = F.array().cast(D.FINDING)

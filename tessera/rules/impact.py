@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 TIERS = ["low", "medium", "high", "critical"]
 #: Of equal tiers, the class that names the finding.
 PRECEDENCE = ["credential_access", "execute", "read", "unknown"]
@@ -90,3 +92,15 @@ URL_RULES = [
 ESCALATIONS = [(["recursive", "force", "all"], r"^(?i:true|1|yes)$", "high"), (["password", "secret", "token", "api_key"], None, "high"), (["env*", "target"], r"(?i)^prod(?:uction)?$", "critical")]
 #: Keys whose values are commands.
 COMMAND_KEYS = ["command", "cmd", "script", "args", "shell", "code"]
+
+
+@dataclass
+class ImpactRules:
+    """All rules on what an action touches, in the order in which they are tried; those here unless others are given."""
+
+    tools: list[tuple] = field(default_factory=lambda: TOOL_RULES)
+    commands: list[tuple] = field(default_factory=lambda: COMMAND_RULES)
+    combinations: list[tuple] = field(default_factory=lambda: COMBINATIONS)
+    sql: list[tuple] = field(default_factory=lambda: SQL_RULES)
+    urls: list[tuple] = field(default_factory=lambda: URL_RULES)
+    escalations: list[tuple] = field(default_factory=lambda: ESCALATIONS)

@@ -408,3 +408,29 @@ def test_flows_are_runs_of_rows(spark):
     assert "collect_list" not in provenance.flow_hops(hops)._jdf.queryExecution().toString()
     chains_ = {r.correlation_id: [h.agent_id for h in r.delegation_chain] for r in provenance.flows(hops).collect()}
     assert chains_["f"] == ["a", "b", "a"]
+
+
+def test_impact_rules_are_data(spark, tmp_path):
+    from tessera.sources.impact_files import load_impact_rules
+
+    path = tmp_path / "impact.json"
+    path.write_text(
+        json.dumps(
+            {
+                "tools": [{"match": ["vault_*"], "class": "credential_access", "tier": "critical", "servers": ["prod*"]}, {"match": ["x"], "class": "read", "tier": "huge"}],
+                "commands": [{"id": "own.a", "class": "write", "tier": "high", "when": {"any": [{"name": ["frob*"]}, {"all": [{"args": "--frob"}, {"not": {"name": ["echo"]}}]}]}, "score": 0.7}, {"id": "bad", "class": "write", "tier": "high", "when": {"args": "("}}, {"id": "odd", "class": "write", "tier": "low", "when": {"colour": ["red"]}}],
+                "combinations": [{"id": "own.c", "class": "execute", "tier": "critical", "score": 0.9, "first": {"name": ["frobnicate"]}, "second": {"name": ["ship"]}}],
+                "sql": [{"id": "own.s", "class": "read", "tier": "high", "when": {"statement": ["select"], "not": {"object": ["public*"]}}}],
+                "urls": [],
+                "escalations": [{"keys": ["why"], "value": "^because$", "tier": "critical"}, {"keys": ["k"], "value": "[", "tier": "low"}],
+            }
+        )
+    )
+    rules = load_impact_rules(path)
+    assert [len(x) for x in (rules.tools, rules.commands, rules.combinations, rules.sql, rules.urls, rules.escalations)] == [1, 1, 1, 1, 0, 1]
+    calls = [("act", {"cmd": "frobnicate a"}, None), ("act", {"cmd": "do --frob"}, None), ("act", {"cmd": "echo --frob"}, None), ("act", {"cmd": "frobnicate x | ship y"}, None), ("act", {"q": "select a from secrets"}, None), ("act", {"q": "select a from public_x"}, None), ("act", {"u": "http://169.254.169.254/"}, None), ("act", {"why": "because"}, None), ("vault_open", {}, "prod-1"), ("vault_open", {}, "test"), ("act", {"cmd": "rm -rf /"}, None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(calls)], "i int, tool_name string, arguments map<string,string>, mcp_server string")
+    got = [(r.impact_class, r.impact_tier, [f.rule for f in r.structure]) for r in classified(df, rules=rules).orderBy("i").collect()]
+    assert got == [("write", "high", ["own.a"]), ("write", "high", ["own.a"]), ("unknown", "medium", []), ("execute", "critical", ["own.a", "own.c"]), ("read", "high", []), ("unknown", "medium", []), ("unknown", "medium", []), ("unknown", "critical", []), ("credential_access", "critical", []), ("unknown", "medium", []), ("unknown", "medium", [])]
+    assert {r.i for r in scans.scan_tool_calls(df, impact=rules).where("true_action = 'blocked'").collect()} >= {0, 1, 3}
+    assert load_impact_rules(tmp_path / "none.json").commands == load_impact_rules(path.with_name("x")).commands != []
