@@ -124,7 +124,28 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "content_hash", "content_length", events.detection_severity(F.col("true_action"), F.col("score")).alias("severity"))
 
 
-@query()
+_D, _I = "gen_ai.security.detection.", "gen_ai.security.interaction."
+_EVENT_SQL = (
+    O.ALL
+    + f""", layered AS (
+  SELECT conv_id, turn, 1 AS layer, ord, rule, category, score FROM l1 UNION ALL SELECT conv_id, turn, 2, ord, rule, category, score FROM l2
+  UNION ALL SELECT conv_id, turn, 3, ord, rule, category, score FROM dlp UNION ALL SELECT conv_id, turn, 4, ord, rule, category, score FROM related),
+told AS (
+  SELECT conv_id, turn, list(rule ORDER BY layer, ord) AS rs, arg_min(category, (-score, layer, ord)) FILTER (WHERE layer < 4) AS first_category, max(score) FILTER (WHERE layer < 4) AS first_score,
+    arg_min(category, (-score, ord)) FILTER (WHERE layer = 4) AS other_category, max(score) FILTER (WHERE layer = 4) AS other_score FROM layered GROUP BY conv_id, turn),
+event AS (
+  SELECT text, true_action AS action, round(score, 3) AS s, 'agent-' || (v.conv_id % 7) AS agent, coalesce(rs, []) AS rs, CASE WHEN other_score >= coalesce(first_score, 0) THEN other_category ELSE first_category END AS category
+  FROM verdicts v LEFT JOIN told USING (conv_id, turn))
+SELECT '{{"gen_ai.agent.id":"' || agent || '","{_D}action":"' || action || '"' || coalesce(',"{_D}category":"' || category || '"', '') || ',"{_D}enforcement_mode":"block","{_D}message":"' || action
+  || CASE WHEN category IS NULL THEN ' on ' || agent || printf(' (score %.2f)', s) ELSE ' ' || category || ' on ' || agent END
+  || CASE len(rs) WHEN 0 THEN '' WHEN 1 THEN ' via ' || rs[1] ELSE ' via ' || rs[1] || ' (+' || (len(rs) - 1) || ' more)' END || '"' || CASE len(rs) WHEN 0 THEN '' ELSE ',"{_D}rules":["' || array_to_string(rs, '","') || '"]' END
+  || ',"{_D}score":' || s || ',"{_D}severity":"' || CASE action WHEN 'blocked' THEN CASE WHEN s >= 0.95 THEN 'critical' ELSE 'high' END WHEN 'flagged' THEN CASE WHEN s >= 0.90 THEN 'high' ELSE 'medium' END ELSE 'info' END || '"'
+  || CASE WHEN text = '' THEN '' ELSE ',"{_I}content_hash":"' || substr(sha256(text), 1, 16) || '"' END || ',"{_I}content_length":' || length(text) || ',"{_I}direction":"outbound","{_I}type":"response","gen_ai.security.schema_version":"1.0"}}' AS value
+FROM event"""
+)
+
+
+@query(_EVENT_SQL)
 def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scans.hashed(_scanned(spark, sf_dir)).withColumns({"direction": F.lit("output"), "agent_id": F.concat(F.lit("agent-"), F.col("conv_id") % 7), "enforcement_mode": F.lit("block")})
     return events.as_json(out)
