@@ -7,8 +7,9 @@ are aligned with those of its two nearest by a longest common subsequence, and l
 template and are deleted. Pages meet their neighbours by their rank in the order, keys of at most five rows, and only
 line hashes move.
 
-A neighbour is a copy and tells nothing about the template if neither page has a line of LETTERS that the other does
-not share: copies may differ in a date or a counter, while two short notes under one menu do not make each other copies.
+A neighbour is a copy and tells nothing about the template if neither page has a line that the other does not share, but
+for short ones with digits (of fewer than LETTERS letters): copies may differ in a date or a counter, while two short
+notes under one menu do not make each other copies.
 Lines inside a declared content element (article, main) are kept even if they are shared.
 """
 
@@ -30,8 +31,8 @@ from tessera.llm.shared import bounded_batches, read, written
 
 #: Cells of an alignment table that are held at once.
 CELLS = 1 << 22
-#: Letters from which on a line that is not shared tells two pages apart.
-LETTERS = 8
+#: Letters from which on a line that is not shared tells two pages apart if it holds a digit; others need one.
+LETTERS = 20
 
 PARSED = "page_id long, url string, host string, path string, content long, blocks array<string>, sure array<boolean>, hashes array<long>, letters array<int>"
 
@@ -96,8 +97,11 @@ def _where(url: str | None) -> tuple[str, str]:
 
 
 def _letters(line: str) -> int:
-    """Letters of a short line; a long one has enough."""
-    return sum(map(str.isalpha, line)) if len(line) < 100 else len(line)
+    """Letters of a short line with a digit, as dates and counters are; all other lines with letters have enough."""
+    if len(line) < 100:
+        n = sum(map(str.isalpha, line))
+        return n if n == 0 or any(map(str.isdigit, line)) else max(n, LETTERS)
+    return len(line)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

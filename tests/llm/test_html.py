@@ -41,6 +41,14 @@ def test_a_menu_over_short_notes_goes(spark):
     assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == dict(enumerate(notes))
 
 
+def test_copies_that_differ_in_a_date_keep_their_text(spark):
+    text = [prose(40) for _ in range(3)]
+    page = lambda day: "".join(f"<div>{x}</div>" for x in [*text, day])
+    for days in (("3 March", "4 April"), ("Updated 3 hours ago", "Updated 5 hours ago"), ("1", "2")):
+        df = spark.createDataFrame([(k, f"http://a/{k}", page(d)) for k, d in enumerate(days)], "page_id long, url string, html string")
+        assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == {k: "\n\n".join([*text, d]) for k, d in enumerate(days)}
+
+
 class Plain(HTMLParser):
     """Blocks of well-formed pages: frames are skipped as a whole."""
 
@@ -124,7 +132,7 @@ def test_random_pages_agree_with_a_plain_parser(spark):
             lines, i, gone = texts[k], host.index(tuple(texts[k])), set()
             for j in [j for j in (i - 1, i + 1, i - 2, i + 2) if 0 <= j < len(host)][:2]:
                 shared, other = common(lines, host[j]), common(host[j], lines)
-                long = lambda x: sum(map(str.isalpha, x)) >= html_text.LETTERS
+                long = lambda x: html_text._letters(x) >= html_text.LETTERS
                 if any(long(x) for n, x in enumerate(lines) if n not in shared) or any(long(x) for n, x in enumerate(host[j]) if n not in other):
                     gone |= shared
             assert got[k] == "\n\n".join(x for n, (x, inside) in enumerate(parsed[k]) if inside or n not in gone), k
