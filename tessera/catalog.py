@@ -204,6 +204,29 @@ def shell_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "place", "s.name", F.array_join("s.args", " ").alias("args"), F.array_join("s.wrappers", ",").alias("wrappers"), "s.separator", "s.depth", "s.parent")
 
 
+_LINES = "replace(replace(text, '. ', '.' || chr(10)), chr(9), ' ')"
+
+
+@query(f"""WITH made AS (SELECT conv_id * 1000 + turn AS id, turn % 5 AS kind, {_LINES} AS body, role FROM conversations WHERE text IS NOT NULL)
+SELECT id, 0 AS place, CASE kind WHEN 0 THEN 'cat' WHEN 1 THEN 'python3' WHEN 2 THEN 'bash' WHEN 3 THEN 'paste' ELSE 'sh' END AS name, number, CASE WHEN number = 1 THEN 'Role' ELSE 'End_Of' END AS delimiter,
+  kind IN (0, 2) OR number = 1 AS quoted, kind = 2 AS tabs, kind <> 4 AS ended, kind IN (1, 4) AS program, kind = 4 AS degraded, md5(CASE WHEN number = 1 THEN role ELSE body END) AS body_md5
+FROM made, (VALUES (0), (1)) n(number) WHERE kind = 3 OR number = 0""")
+def heredoc_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each turn as data and as programs that commands read, with and without an end."""
+    from tessera.operators.commands import segments
+
+    lines, tabbed = F.expr(_LINES), F.expr(f"chr(9) || replace({_LINES}, chr(10), chr(10) || chr(9))")
+    forms = [
+        ("cat <<'End_Of' > notes.md; ls\n", lines, "\nEnd_Of\nls"), ("python3 - <<End_Of\n", lines, "\nEnd_Of"), ("bash run.sh <<-'End_Of' | tee log\n", tabbed, "\n\tEnd_Of\n"),
+        ("paste <<End_Of <<\"Role\" && ls\n", F.concat(lines, F.lit("\nEnd_Of\n"), "role"), "\nRole\n"), ("sh -s <<End_Of\n", lines, ""),
+    ]
+    command = F.coalesce(*[F.when(F.col("turn") % 5 == k, F.concat(F.lit(head), body, F.lit(tail))) for k, (head, body, tail) in enumerate(forms)])
+    table = scans.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text", "role"))
+    found = table.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.posexplode(segments(command)).alias("place", "s")).where("s.depth = 0")
+    docs = found.select("id", "place", "s.name", "s.degraded", F.posexplode("s.heredocs").alias("number", "d"))
+    return docs.select("id", "place", "name", "number", "d.delimiter", "d.quoted", "d.tabs", "d.ended", "d.program", "degraded", F.md5("d.body").alias("body_md5"))
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probes, and each turn of the conversations as an envelope."""
     probes = spark.createDataFrame([(-1 - k, b) for k, b in enumerate(P.ENVELOPES)], "id long, body string")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from tessera.functions.checks import matches_any_glob
-from tessera.functions.columns import named, packed, unpacked
+from tessera.functions.columns import named, packed, pinned, unpacked
 from tessera.operators.commands import SEGMENT, holds, segment_matches, segments
 from tessera.operators.findings import FINDING
 from tessera.operators.shapes import VERBS, sql_shapes, with_url_shape
 from tessera.rules.impact import COMMAND_KEYS, PRECEDENCE, TIERS, ImpactRules
 
-HIT = "struct<rule:string,class:string,tier:int,rank:int,at:int,score:double>"
+HIT = "struct<rule:string,class:string,tier:int,rank:int,at:int,score:double,sure:boolean>"
 
 
 def tier_number(tier: str) -> int:
@@ -24,10 +24,10 @@ def tier_name(number: Column) -> Column:
     return F.get(F.array(*map(F.lit, TIERS)), number)
 
 
-def _hit(rule: str, cls: str, tier: str, score: float | None, at: Column | int = 0) -> Column:
+def _hit(rule: str, cls: str, tier: str, score: float | None, at: Column | int = 0, sure: Column | bool = True) -> Column:
     rank = PRECEDENCE.index(cls) if cls in PRECEDENCE else 99
-    at = F.lit(at) if isinstance(at, int) else at
-    return F.struct(F.lit(rule).alias("rule"), F.lit(cls).alias("class"), F.lit(tier_number(tier)).alias("tier"), F.lit(-rank).alias("rank"), (-at).cast("int").alias("at"), F.lit(score).cast("double").alias("score")).cast(HIT)
+    at, sure = (F.lit(x) if isinstance(x, int) else x for x in (at, sure))
+    return F.struct(F.lit(rule).alias("rule"), F.lit(cls).alias("class"), F.lit(tier_number(tier)).alias("tier"), F.lit(-rank).alias("rank"), (-at).cast("int").alias("at"), F.lit(score).cast("double").alias("score"), sure.alias("sure")).cast(HIT)
 
 
 def _first(cases: list[tuple[Column, Column]]) -> Column:
@@ -39,7 +39,7 @@ def _first(cases: list[tuple[Column, Column]]) -> Column:
 
 def strongest(hits: Column) -> Column:
     """By tier, then by precedence of classes, then the earliest; null of none."""
-    return F.get(F.reverse(F.array_sort(F.transform(hits, lambda h: F.struct(h["tier"], h["rank"], h["at"], h["rule"], h["class"], h["score"])))), F.lit(0))
+    return F.get(F.reverse(F.array_sort(F.transform(hits, lambda h: F.struct(h["tier"], h["rank"], h["at"], h["rule"], h["class"], h["score"], h["sure"])))), F.lit(0))
 
 
 def _matcher(cond: dict):
@@ -47,11 +47,19 @@ def _matcher(cond: dict):
 
 
 def command_hits(parsed: Column, rules: ImpactRules) -> Column:
-    """The first rule that each segment matches, and combinations of segments."""
+    """The first rule that each segment matches, and combinations of segments; sure: no degraded segment is needed."""
     numbered = F.arrays_zip(parsed.alias("s"), F.sequence(F.lit(0), F.greatest(F.size(parsed) - 1, F.lit(0))).alias("k"))
-    per = F.transform(numbered, lambda x: _first([(segment_matches(x["s"], cond), _hit(rule, cls, tier, score, x["k"])) for rule, cls, tier, cond, score in rules.commands]) if rules.commands else F.lit(None).cast(HIT))
-    combined = [F.when(F.exists(parsed, _matcher(one)) & F.exists(parsed, _matcher(two)), _hit(rule, cls, tier, score, 99)) for rule, cls, tier, score, one, two in rules.combinations]
-    return F.filter(F.concat(F.coalesce(per, F.array().cast(f"array<{HIT}>")), F.array(*combined).cast(f"array<{HIT}>")), lambda h: h.isNotNull())
+    per = F.transform(numbered, lambda x: _first([(segment_matches(x["s"], cond), _hit(rule, cls, tier, score, x["k"], ~x["s"]["degraded"])) for rule, cls, tier, cond, score in rules.commands]) if rules.commands else F.lit(None).cast(HIT))
+
+    def level(cond: dict) -> Column:
+        """0: no segment matches, 1: degraded ones, 2: others too."""
+        return F.aggregate(parsed, F.lit(0), lambda most, s: F.greatest(most, F.when(segment_matches(s, cond), F.when(s["degraded"], 1).otherwise(2)).otherwise(0)))
+
+    def combination(rule: str, cls: str, tier: str, score: float | None, one: dict, two: dict) -> Column:
+        return F.transform(F.array(F.least(level(one), level(two))), lambda v: F.when(v > 0, _hit(rule, cls, tier, score, 99, v == 2)))
+
+    combined = [combination(*rule) for rule in rules.combinations]
+    return F.filter(F.concat(F.coalesce(per, F.array().cast(f"array<{HIT}>")), *combined), lambda h: h.isNotNull())
 
 
 def sql_hits(shapes: Column, rules: ImpactRules) -> Column:
@@ -107,7 +115,8 @@ def classified(calls: DataFrame, tool_rules: list[tuple] | None = None, rules: I
 
     A rule on the tool's name goes first; the command decides only where none fits; SQL and URLs override it if their
     tier is higher; arguments can raise the tier. structure are findings of segments, statements and URLs that rules
-    give a score; segments that could not be cut as a shell would give none, and no tier above high. Columns of calls stay.
+    give a score; segments that could not be cut as a shell would give none and no tier above high, those beside them do.
+    Columns of calls stay.
     """
     rules = rules or ImpactRules()
     out = packed(calls, **{c: named(c) for c in ("tool_name", "arguments", "mcp_server") if c in calls.columns})
@@ -115,13 +124,14 @@ def classified(calls: DataFrame, tool_rules: list[tuple] | None = None, rules: I
     out = out.withColumns({"command": command_of(arguments), "sql": _value(arguments, rf"(?is)^(?:\s++|/\*.*?\*/|(?:--|#)[^\n]*+\n|\()*+(?:{VERBS})\b"), "url": _value(arguments, r"(?i)^\s*[a-z][a-z0-9+.\-]{0,31}:(?://)?\S+$|^\s*[0-9a-fx.]+(?::\d+)?(?:/|$)")})
     out = out.withColumn("segments", segments(F.when(F.length("command") > 0, F.col("command"))))
     out = with_url_shape(out, "url")
-    out = out.withColumns({"command_hits": command_hits(F.coalesce("segments", F.array().cast(ArrayType(SEGMENT))), rules), "sql_hits": sql_hits(sql_shapes(F.col("sql")), rules), "url_hit": url_hit(rules)})
+    out = pinned(out, {"command_hits": command_hits(F.coalesce("segments", F.array().cast(ArrayType(SEGMENT))), rules), "sql_hits": sql_hits(sql_shapes(F.col("sql")), rules), "url_hit": url_hit(rules)})
     by_name = _by_name(rules.tools if tool_rules is None else tool_rules, calls)
-    degraded = F.exists("segments", lambda s: s["degraded"]) & ~F.exists("segments", lambda s: ~s["degraded"])
+    # What degraded segments alone say names a class, but no critical tier and no finding.
+    sure = F.filter("command_hits", lambda h: h["sure"])
     command = strongest(F.col("command_hits"))
-    out = out.withColumns({"by_name": by_name, "by_command": command, "by_sql": strongest(F.col("sql_hits")), "degraded": F.coalesce(degraded, F.lit(False))})
+    out = pinned(out, {"by_name": by_name, "by_command": command, "by_sql": strongest(F.col("sql_hits")), "most": F.greatest(F.coalesce(strongest(sure)["tier"], F.lit(0)), F.lit(tier_number("high")))})
     none = F.lit(tier_number("medium"))
-    tier = F.coalesce(F.col("by_name.tier"), F.when(F.col("degraded"), F.least(F.col("by_command.tier"), F.lit(tier_number("high")))).otherwise(F.col("by_command.tier")), none)
+    tier = F.coalesce(F.col("by_name.tier"), F.when(F.col("by_command").isNotNull(), F.least("by_command.tier", "most")), none)
     cls = F.coalesce(F.col("by_name.class"), F.col("by_command.class"), F.lit("unknown"))
     out = out.withColumns({"tier": tier, "impact_class": cls})
     for other in ("by_sql", "url_hit"):
@@ -130,7 +140,7 @@ def classified(calls: DataFrame, tool_rules: list[tuple] | None = None, rules: I
     for globs, pattern, least in rules.escalations:
         raises = F.exists(F.map_entries(arguments), _raises(globs, pattern))
         out = out.withColumn("tier", F.when(F.coalesce(raises, F.lit(False)), F.greatest("tier", F.lit(tier_number(least)))).otherwise(F.col("tier")))
-    hits = F.concat(F.when(F.col("degraded"), F.array().cast(f"array<{HIT}>")).otherwise(F.col("command_hits")), F.col("sql_hits"), F.filter(F.array("url_hit"), lambda h: h.isNotNull()))
+    hits = F.concat(sure, F.col("sql_hits"), F.filter(F.array("url_hit"), lambda h: h.isNotNull()))
     structure = F.transform(F.filter(hits, lambda h: h["score"].isNotNull()), lambda h: F.struct(h["rule"].alias("rule"), h["class"].alias("category"), h["score"].alias("score"), F.lit(None).cast("string").alias("matched"))).cast(FINDING)
-    return unpacked(out.withColumns({"impact_tier": tier_name(F.col("tier")), "structure": structure}), "segments", "impact_class", "impact_tier", "structure")
+    return unpacked(pinned(out, {"impact_tier": tier_name(F.col("tier")), "structure": structure}), "segments", "impact_class", "impact_tier", "structure")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import named, packed, unpacked
+from tessera.functions.columns import named, packed, pinned, unpacked
 from tessera.functions.text import HEAD, all_normalised, coerced, content_hash, head, normalised, percent_decoded
 from tessera.operators import context as C
 from tessera.operators import findings as D
@@ -17,11 +17,6 @@ from tessera.rules import fixed
 from tessera.rules.inputs import INPUT_RULES, REPETITION_RULES, RESERVED_FILTERED
 
 
-def pinned(df: DataFrame, columns: dict) -> DataFrame:
-    """df with columns that are computed once: Catalyst does not copy them into each of the expressions that use them."""
-    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 #: Bytes for each core up to which a table is dealt to all cores. A larger one has files enough to be read by all.
 SMALL = 16 << 20
 
