@@ -132,10 +132,64 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+class Sieved(str):
+    """The name of a lower-cased text beside which lies held: which of the literals stand in it (held_sql). Whether it
+    holds one of them is asked of these few words and not of the text; other literals are looked for in the text."""
+
+    def __new__(cls, low: str, held: str, literals: frozenset[str]):
+        self = super().__new__(cls, low)
+        self.held, self.literals = held, literals
+        return self
+
+    def knows(self, pattern: str) -> bool:
+        """Whether held tells that the pattern cannot match."""
+        found = stems(pattern)
+        return bool(found) and self.literals.issuperset(found)
+
+
+@lru_cache(None)
+def literals(patterns: tuple[str, ...]) -> frozenset[str]:
+    """All literals that the gates of patterns look for."""
+    return frozenset(s for p in patterns for s in stems(p) or ())
+
+
+#: Stands between the literals in held, and in none of them.
+_APART = "\x01"
+
+
+def _trie(words: set[str]) -> str:
+    """A pattern for the longest of the words that stands at a place; each letter of a text is looked at once a place."""
+    branches = []
+    for first in sorted({w[0] for w in words if w}):
+        rest = {w[1:] for w in words if w[:1] == first}
+        branches.append((first if first.isalnum() else f"\\x{ord(first):02x}") + (_trie(rest) if rest != {""} else ""))
+    if not branches:
+        return ""
+    return branches[0] if len(branches) == 1 and "" not in words else f"(?:{'|'.join(branches)})" + ("?" if "" in words else "")
+
+
+@lru_cache(None)
+def _any_of(words: frozenset[str]) -> str:
+    return _trie(set(words))
+
+
+def held_sql(low: str, words: frozenset[str]) -> str:
+    """SQL for those of the words that stand in a text named low, found in one pass: at each place the longest, which
+    holds the others of that place, so held contains a word just if the text does."""
+    words = frozenset(w for w in words if _APART not in w)
+    return f"array_join(array_distinct(regexp_extract_all({low}, {quoted(f'(?=({_any_of(words)}))')}, 1)), '{_APART}')" if words else f"substring({low}, 1, 0)"
+
+
+def holds_none(low: Sieved, patterns: list[str]) -> str:
+    """SQL for whether held tells of all these patterns that none can match."""
+    return f"not rlike({low.held}, {quoted(_any_of(literals(tuple(patterns))))})"
+
+
 def may_match(low: str, pattern: str) -> str | None:
     """SQL for whether the lower-cased text named low holds what the pattern needs; None where nothing is known."""
     if found := stems(pattern):
-        return "(" + " or ".join(f"contains({low}, {quoted(s)})" for s in found) + ")"
+        held = low.held if isinstance(low, Sieved) and low.knows(pattern) else low
+        return "(" + " or ".join(f"contains({held}, {quoted(s)})" for s in found) + ")"
     n = digits(pattern)
     return f"rlike({low}, '[0-9]{{{n}}}')" if n else None
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.checks import RESERVED_DOMAIN
-from tessera.functions.gates import gated, may_match, quoted
+from tessera.functions.gates import Sieved, gated, holds_none, may_match, quoted
 from tessera.rules import fixed
 
 FINDING = "array<struct<rule:string,category:string,score:double,matched:string>>"
@@ -36,6 +36,17 @@ def _list(cases: list[tuple[str, str]]) -> str:
     return f"cast(filter(array({', '.join(f'case when {fires} then {found} end' for fires, found in cases)}), f -> f is not null) as {FINDING})"
 
 
+def _gated_list(cases: list[tuple[str, str, str]], low: str | None) -> str:
+    """As _list, of cases with the pattern that each needs. Where the text holds no literal of any of them, only those
+    that need none are tried."""
+    every = _list([c[:2] for c in cases])
+    known = [c[2] for c in cases if isinstance(low, Sieved) and low.knows(c[2])]
+    if not known:
+        return every
+    others = [c[:2] for c in cases if c[2] not in known]
+    return f"case when {holds_none(low, known)} then {_list(others) if others else f'cast(array() as {FINDING})'} else {every} end"
+
+
 def _live(text: str, p: str) -> str:
     """SQL for the matches of a pattern of addresses outside the reserved domains."""
     return f"filter(regexp_extract_all({text}, {quoted(f'({p})')}, 0), x -> not rlike(x, {quoted(RESERVED_DOMAIN)}))"
@@ -52,8 +63,8 @@ def scanned_sql(text: str, rules: list[tuple], reserved: set[str] = frozenset(),
         fires = gated(text, bare, p, low)
         if rule in reserved:
             fires = f"({fires} and size({_live(text, p)}) > 0)"
-        out.append((fires, _struct(rule, category, str(score), f"substring(regexp_extract({text}, {quoted(p)}, 0), 1, {SHOWN})")))
-    return _list(out)
+        out.append((fires, _struct(rule, category, str(score), f"substring(regexp_extract({text}, {quoted(p)}, 0), 1, {SHOWN})"), bare))
+    return _gated_list(out, low)
 
 
 def scanned(text: str, rules: list[tuple], reserved: set[str] = frozenset(), low: str | None = None) -> Column:
@@ -92,10 +103,10 @@ def outputs(text: str, low: str | None = None) -> Column:
 def intents_sql(text: str, low: str | None = None) -> str:
     """A question about the model itself, then intents: an action and a target anywhere; a modifier raises the score."""
     match = lambda p: gated(text, p, pattern(p), low)
-    out = [(gated(text, fixed.SELF_REFERENCE, pattern(fixed.SELF_REFERENCE, dot_all=True), low), _struct("L2_self_reference", "system_prompt_leak", str(fixed.SELF_REFERENCE_SCORE)))]
+    out = [(gated(text, fixed.SELF_REFERENCE, pattern(fixed.SELF_REFERENCE, dot_all=True), low), _struct("L2_self_reference", "system_prompt_leak", str(fixed.SELF_REFERENCE_SCORE)), fixed.SELF_REFERENCE)]
     for name, category, base, raised, actions, targets, modifiers in fixed.INTENTS:
-        out.append((f"({match(targets)} and {match(actions)})", _struct(name, category, f"case when {match(modifiers)} then {raised} else {base} end")))
-    return _list(out)
+        out.append((f"({match(targets)} and {match(actions)})", _struct(name, category, f"case when {match(modifiers)} then {raised} else {base} end"), targets))
+    return _gated_list(out, low)
 
 
 def intents(text: str, low: str | None = None) -> Column:
@@ -132,8 +143,8 @@ def data_loss_sql(text: str, only: set[str] | None = None, low: str | None = Non
             fires = f"({fires} and length({number}) between 13 and 19 and luhn_check({number}))"
         elif mode == "count":
             fires = f"({fires} and size({_live(text, p)}) >= {MANY})"
-        out.append((fires, _struct(rule, category, str(score), f"substring({first}, 1, 50)")))
-    return _list(out)
+        out.append((fires, _struct(rule, category, str(score), f"substring({first}, 1, 50)"), bare))
+    return _gated_list(out, low)
 
 
 def data_loss(text: str, only: set[str] | None = None, low: str | None = None) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import named, packed, pinned, unpacked
+from tessera.functions.gates import Sieved, held_sql, literals
 from tessera.functions.text import HEAD, all_normalised, coerced, content_hash, head, normalised, percent_decoded
 from tessera.operators import context as C
 from tessera.operators import findings as D
@@ -32,11 +33,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores)
 
 
-def views(df: DataFrame, text: str = "text", normalise: bool = True) -> DataFrame:
-    """df with raw (the first HEAD characters), view (as a reader sees them) and both in lower case."""
+def _looked_for(rules: list[tuple]) -> frozenset[str]:
+    """The literals of all patterns that scans try, those of rules among them."""
+    intents = [p for i in fixed.INTENTS for p in i[4:7]]
+    patterns = [*[r[4] for r in rules], *[r[5] for r in fixed.DATA_LOSS], fixed.SELF_REFERENCE, *intents, *fixed.CONCEPTS.values(), *fixed.CUES.values(), fixed.DECODE_DIRECTIVE]
+    return literals(tuple(patterns))
+
+
+def lows(rules: list[tuple]) -> tuple[Sieved, Sieved]:
+    """The names of the texts in lower case that views gives."""
+    words = _looked_for(rules)
+    return Sieved("low", "held", words), Sieved("low_raw", "held_raw", words)
+
+
+def views(df: DataFrame, rules: list[tuple], text: str = "text", normalise: bool = True) -> DataFrame:
+    """df with raw (the first HEAD characters), view (as a reader sees them), both in lower case, and held and held_raw,
+    the literals of rules and of all other patterns that stand in them (lows)."""
     df = df.withColumn("raw", head(F.col(text)))
     df = df.withColumn("view", normalised("raw") if normalise else F.col("raw"))
-    return pinned(df, {"low": F.lower("view"), "low_raw": F.lower("raw")})
+    words = _looked_for(rules)
+    found = f"named_struct('low', t.low, 'low_raw', t.low_raw, 'held', h, 'held_raw', case when t.low_raw = t.low then h else {held_sql('t.low_raw', words)} end)"
+    lowered = "array(named_struct('low', lower(view), 'low_raw', lower(raw)))"
+    return df.select("*", F.inline(F.expr(f"flatten(transform({lowered}, t -> transform(array({held_sql('t.low', words)}), h -> {found})))")))
 
 
 def _texts(df: DataFrame, text: str) -> DataFrame:
@@ -44,9 +62,9 @@ def _texts(df: DataFrame, text: str) -> DataFrame:
     return packed(df, text=coerced(named(text)) if dict(df.dtypes)[text] == "binary" else named(text))
 
 
-def related(df: DataFrame, view: str = "view", traffic: str = "chat") -> DataFrame:
+def related(df: DataFrame, view: str = "view", traffic: str = "chat", low: str = "low") -> DataFrame:
     """df (with low, the view in lower case) with related, the relations in a view; each concept is looked for once."""
-    has = D.concepts(view, "low")
+    has = D.concepts(view, low)
     out = pinned(df, {f"has_{k}": c for k, c in has.items()})
     out = pinned(out, {"related": D.relations(view, traffic, {k: f"has_{k}" for k in has})})
     return out.drop(*[f"has_{k}" for k in has])
@@ -60,17 +78,19 @@ def behind(df: DataFrame, text: str, normalise: bool = True) -> DataFrame:
     return out.withColumn("tail_views", all_normalised("tails") if normalise else F.col("tails"))
 
 
-def judged(df: DataFrame, texts: str, rules, traffic: str = "chat") -> DataFrame:
+def judged(df: DataFrame, texts: str, rules, words: frozenset[str], traffic: str = "chat") -> DataFrame:
     """df with texts, an array of texts, replaced by what is found in each: l1, score, category, rules, and whether it is
     clean (no command to run, and no block for what it says).
 
     Layers are those of a whole text, without a frame and with the largest score; a text of null gives no findings and is not clean.
-    rules: a text's name -> SQL of findings.
+    rules: a text's name, and that of its lower-cased form -> SQL of findings. words: literals that their gates look for.
     """
+    low = Sieved("t.low", "t.held", words)
     names = list(D.concepts_sql("t"))
-    has = ", ".join(f"'{k}', {c}" for k, c in D.concepts_sql("t").items())
-    looked = f"named_struct('part', t, 'l1', {rules('t')}, 'intents', {D.intents_sql('t')}, 'dlp', {D.data_loss_sql('t')}, 'has', named_struct({has}))"
-    out = pinned(df, {texts: F.expr(f"transform({texts}, t -> {looked})")})
+    has = ", ".join(f"'{k}', {c}" for k, c in D.concepts_sql("t.part", low).items())
+    lowered = f"transform(transform({texts}, t -> named_struct('part', t, 'low', lower(t))), t -> named_struct('part', t.part, 'low', t.low, 'held', {held_sql('t.low', words)}))"
+    looked = f"named_struct('part', t.part, 'l1', {rules('t.part', low)}, 'intents', {D.intents_sql('t.part', low)}, 'dlp', {D.data_loss_sql('t.part', low=low)}, 'has', named_struct({has}))"
+    out = pinned(df, {texts: F.expr(f"transform({lowered}, t -> {looked})")})
     related = D.relations_sql("p.part", traffic, {k: f"p.has.{k}" for k in names})
     layers = f"named_struct('there', p.part is not null, 'l1', p.l1, 'l2', {D.behaviours_sql('p.intents', 'p.l1')}, 'dlp', p.dlp, 'related', {related})"
 
@@ -85,10 +105,10 @@ def judged(df: DataFrame, texts: str, rules, traffic: str = "chat") -> DataFrame
     return pinned(pinned(out, {texts: F.expr(f"transform({texts}, p -> {layers})")}), {texts: F.transform(texts, told)})
 
 
-def with_tail(df: DataFrame, text: str, rules, normalise: bool = True) -> DataFrame:
+def with_tail(df: DataFrame, text: str, rules, words: frozenset[str], normalise: bool = True) -> DataFrame:
     """df with tail_score, tail_category and tail_rules, of the strongest window behind the head (the first of equals; null
     for a short text)."""
-    out = judged(behind(df, text, normalise).drop("tails"), "tail_views", rules)
+    out = judged(behind(df, text, normalise).drop("tails"), "tail_views", rules, words)
     return pinned(out, _of_tail(F.col("tail_views"))).drop("tail_views")
 
 
@@ -98,10 +118,10 @@ def _of_tail(windows) -> dict:
     return {f"tail_{k}": top[k] for k in ("score", "category", "rules")}
 
 
-def _twice(scan) -> dict:
+def _twice(scan, low: str, low_raw: str) -> dict:
     """Findings in the view, and in the raw text where that is another."""
     none = F.array().cast(D.FINDING)
-    return {"by_view": F.expr(scan("view", "low")), "by_raw": F.when(F.col("raw") != F.col("view"), F.expr(scan("raw", "low_raw"))).otherwise(none)}
+    return {"by_view": F.expr(scan("view", low)), "by_raw": F.when(F.col("raw") != F.col("view"), F.expr(scan("raw", low_raw))).otherwise(none)}
 
 
 RESULTS = ("score", "category", "rules", "input_status", "true_action", "action")
@@ -115,11 +135,12 @@ def scan_outputs(df: DataFrame, text: str = "text", mode: str = "block", normali
     replaced by it.
     """
     scan = lambda t, low=None: D.scanned_sql(t, rules, fixed.RESERVED_FILTERED, low)
-    out = views(_texts(spread(df), text), normalise=normalise)
-    out = pinned(out, _twice(scan) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low")})
+    low, low_raw = lows(rules)
+    out = views(_texts(spread(df), text), rules, normalise=normalise)
+    out = pinned(out, _twice(scan, low, low_raw) | {"acts": D.intents("view", low), "dlp": D.data_loss("view", low=low)})
     out = pinned(out, {"l1": D.united(F.col("by_view"), F.col("by_raw"))})
     out = pinned(out, {"l2": D.behaviours("acts", "l1")})
-    out = with_tail(related(out), "text", scan, normalise)
+    out = with_tail(related(out, low=low), "text", scan, low.literals, normalise)
     l1, l2, dlp, rel = (F.col(c) for c in ("l1", "l2", "dlp", "related"))
     score = F.greatest(V.fused(D.rule_score(l1), D.top_score(l2), D.top_score(dlp)), D.top_score(rel))
     missing, long = F.col("text").isNull(), F.length("text") > HEAD
@@ -171,11 +192,12 @@ def _inputs(df: DataFrame, mode: str, traffic: str, rules: list[tuple] = INPUT_R
     and a command that a cue splits counts. Other texts are not read again.
     """
     scan = _scan_of(rules)
-    out = C.with_extraction(views(df), "view", "low")
-    found = _twice(scan) | {"acts": D.intents("view", "low"), "dlp": D.data_loss("view", low="low"), "frame": C.frame("view", F.col("extraction"), "low"), "repeats": C.repetitions("text", detectors)}
+    low, low_raw = lows(rules)
+    out = C.with_extraction(views(df, rules), "view", low)
+    found = _twice(scan, low, low_raw) | {"acts": D.intents("view", low), "dlp": D.data_loss("view", low=low), "frame": C.frame("view", F.col("extraction"), low), "repeats": C.repetitions("text", detectors)}
     out = pinned(out, found)
     out = pinned(out, {"l1": F.concat("repeats", D.united(F.col("by_view"), F.col("by_raw"))).cast(D.FINDING)}).drop("repeats", "by_view", "by_raw")
-    out = related(pinned(out, {"l2": D.behaviours("acts", "l1")}).drop("acts"), "view", traffic)
+    out = related(pinned(out, {"l2": D.behaviours("acts", "l1")}).drop("acts"), "view", traffic, low)
 
     def fused(first, second, dlp, rel):
         return F.greatest(V.fused(first, D.top_score(second), D.top_score(dlp)), D.top_score(rel))
@@ -185,9 +207,9 @@ def _inputs(df: DataFrame, mode: str, traffic: str, rules: list[tuple] = INPUT_R
     out = pinned(out, {"hot": fused(D.rule_score(l1), l2, dlp, rel) >= V.BLOCK, "decoded": percent_decoded(F.when(raw.rlike("%[0-9A-Fa-f]{2}"), raw))})
     windows = F.transform(F.filter(C.windows(F.col("text"), HEAD, most=None), lambda w: w["at"] > 0), lambda w: w["part"])
     long, missing = F.length("text") > HEAD, F.col("text").isNull()
-    out = pinned(out, {"again": C.residues("hot", "decoded")})
+    out = pinned(out, {"again": C.residues("hot", "decoded", low=low)})
     out = pinned(out, {"again": F.when(F.col("again").isNotNull() | long, F.concat(F.coalesce("again", C.no_residues()), F.when(long, windows).otherwise(F.array().cast("array<string>"))))})
-    out = judged(out.withColumn("again", all_normalised("again")), "again", scan, traffic)
+    out = judged(out.withColumn("again", all_normalised("again")), "again", scan, low.literals, traffic)
     behind_head = F.slice("again", C.RESIDUES + 1, F.greatest(F.size("again") - C.RESIDUES, F.lit(1)))
     out = pinned(out, _of_tail(F.when(long, behind_head)) | {"again": F.slice("again", 1, C.RESIDUES)})
 
@@ -197,13 +219,13 @@ def _inputs(df: DataFrame, mode: str, traffic: str, rules: list[tuple] = INPUT_R
     out = pinned(out, {c: C.dampened(F.col(c), F.col("framed")) for c in ("l1", "l2")} | {"related": F.when(F.col("framed"), F.array().cast(D.FINDING)).otherwise(F.col("related"))})
     # A dampened text has plain maxima.
     score = fused(F.when(F.col("framed"), D.top_score(l1)).otherwise(D.rule_score(l1)), l2, dlp, rel)
-    active = C.active_extraction("view", "low")
-    mentioned = ~F.exists(F.concat(l1, l2), C.is_live) & C.earned_mention("concat(l1, l2)", "view", "low")
+    active = C.active_extraction("view", low)
+    mentioned = ~F.exists(F.concat(l1, l2), C.is_live) & C.earned_mention("concat(l1, l2)", "view", low)
     documentary = F.coalesce(F.expr(f"{C.residue('uncoded')}.clean"), F.lit(False))
     capped = (score >= V.BLOCK) & (D.top_score(dlp) < V.BLOCK) & ~active & (mentioned | documentary)
     score = F.when(F.coalesce(capped, F.lit(False)), F.least(score, F.greatest(F.lit(V.FLAG), F.lit(V.BLOCK - 0.05)))).otherwise(score)
     danger = F.coalesce(D.top_score(F.filter(F.expr(f"{C.residue('decoded')}.l1"), lambda x: x["category"].isin(DANGERS))), F.lit(0.0))
-    out = pinned(out, {"danger": F.when(F.col("decoded").isNotNull(), danger).otherwise(F.lit(0.0)), "bypass": C.protective_then_override("view", F.col("extraction"), "low"), "encoded": C.encoded_directive("raw", "low_raw"), "capped": score})
+    out = pinned(out, {"danger": F.when(F.col("decoded").isNotNull(), danger).otherwise(F.lit(0.0)), "bypass": C.protective_then_override("view", F.col("extraction"), low), "encoded": C.encoded_directive("raw", low_raw), "capped": score})
     bypass, encoded, decoded, score = (F.col(c) for c in ("bypass", "encoded", "danger", "capped"))
     score = F.when(bypass, F.greatest(score, F.lit(0.85))).otherwise(score)
     score = F.when(encoded, F.greatest(score, F.lit(0.75))).otherwise(score)
@@ -251,12 +273,13 @@ def scan_tool_calls(calls: DataFrame, mode: str = "block", blocked_tools: list[s
     needed = [c for c in ("tool_name", "arguments", "mcp_server") if c in calls.columns]
     out = classified(packed(spread(calls), **{c: named(c) for c in needed}), tool_rules, impact)
     flat = F.concat_ws(" ", "tool_name", F.array_join(F.map_values("arguments"), " "))
-    out = views(out.withColumn("flat", flat), "flat")
+    low, low_raw = lows(rules)
+    out = views(out.withColumn("flat", flat), rules, "flat")
     none = F.array().cast(D.FINDING)
     out = pinned(out, {"rebuilt": rebuilt(F.col("segments")), "uncoded": C.uncoded("raw")})
     # A command that is rebuilt as it stands is seen already.
     again = F.col("rebuilt").isNotNull() & ~F.col("raw").contains(F.col("rebuilt"))
-    found = _twice(scan) | {"by_rebuilt": F.when(again, F.expr(scan("rebuilt"))).otherwise(none), "secrets": D.data_loss("raw", D.SURE_SECRETS, "low_raw")}
+    found = _twice(scan, low, low_raw) | {"by_rebuilt": F.when(again, F.expr(scan("rebuilt"))).otherwise(none), "secrets": D.data_loss("raw", D.SURE_SECRETS, low_raw)}
     out = pinned(out, found)
     every = D.united(D.united(F.col("by_view"), F.col("by_raw")), F.col("by_rebuilt"))
     out = pinned(out, {"content": F.filter(every, lambda x: x["category"].isin(*HARD, *SOFT))})
