@@ -166,7 +166,7 @@ _CALLS = [(k, "shell", {"command": c}) for k, c in enumerate(P.COMMANDS)] + [(10
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probes, and the events of the table as calls of their type with their properties as arguments."""
-    probes = spark.createDataFrame(_CALLS, "call_id long, tool_name string, arguments map<string,string>")
+    probes = P.rows(spark, _CALLS, "call_id long, tool_name string, arguments map<string,string>")
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     made = table.select((F.col("event_id") + 1000).alias("call_id"), F.concat("event_type", F.lit("_item")).alias("tool_name"), F.from_json("props", "map<string,string>").alias("arguments"))
     return probes.union(made)
@@ -197,7 +197,7 @@ UNION ALL SELECT event_id + 1000, place, CASE place WHEN 0 THEN event_type WHEN
 def shell_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.commands import segments
 
-    probes = spark.createDataFrame([(k, c) for k, c in enumerate(P.COMMANDS)], "id long, command string")
+    probes = P.rows(spark, [(k, c) for k, c in enumerate(P.COMMANDS)], "id long, command string")
     made = F.concat("event_type", F.lit(" --user "), "user_id", F.lit(" | tee 'out "), "event_id", F.lit("' && sudo -u bob /bin/rm -f log"))
     table = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") + 1000).alias("id"), made.alias("command"))
     found = probes.union(table).select("id", F.posexplode(segments("command")).alias("place", "s"))
@@ -229,7 +229,7 @@ def heredoc_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probes, and each turn of the conversations as an envelope."""
-    probes = spark.createDataFrame([(-1 - k, b) for k, b in enumerate(P.ENVELOPES)], "id long, body string")
+    probes = P.rows(spark, [(-1 - k, b) for k, b in enumerate(P.ENVELOPES)], "id long, body string")
     part = F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("text")))
     message = F.struct(F.when(F.col("role") == "assistant", "agent").otherwise(F.col("role")).alias("role"), part.alias("parts"))
     made = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.lit("message/send").alias("method"), F.struct(message.alias("message")).alias("params"))).alias("body"))

@@ -59,7 +59,9 @@ def command_hits(parsed: Column, rules: ImpactRules) -> Column:
         return F.transform(F.array(F.least(level(one), level(two))), lambda v: F.when(v > 0, _hit(rule, cls, tier, score, 99, v == 2)))
 
     combined = [combination(*rule) for rule in rules.combinations]
-    return F.filter(F.concat(F.coalesce(per, F.array().cast(f"array<{HIT}>")), *combined), lambda h: h.isNotNull())
+    none = F.array().cast(f"array<{HIT}>")
+    # Most calls carry no command; rules are not tried on what is not there.
+    return F.when(F.size(parsed) > 0, F.filter(F.concat(F.coalesce(per, none), *combined), lambda h: h.isNotNull())).otherwise(none)
 
 
 def sql_hits(shapes: Column, rules: ImpactRules) -> Column:
@@ -74,7 +76,7 @@ def sql_hits(shapes: Column, rules: ImpactRules) -> Column:
 def url_hit(rules: ImpactRules) -> Column:
     """The first rule that columns scheme, host and address match."""
     cases = [(holds(cond, lambda name, globs: matches_any_glob(F.col(name), globs)), _hit(rule, cls, tier, score)) for rule, cls, tier, cond, score in rules.urls]
-    return _first(cases) if cases else F.lit(None).cast(HIT)
+    return F.when(F.coalesce("scheme", "host", "address").isNotNull(), _first(cases)) if cases else F.lit(None).cast(HIT)
 
 
 def _value(arguments: Column, looks: str) -> Column:

@@ -18,8 +18,9 @@ from tessera.rules import fixed
 from tessera.rules.inputs import INPUT_RULES, REPETITION_RULES, RESERVED_FILTERED
 
 
-#: Bytes for each core up to which a table is dealt to all cores. A larger one has files enough to be read by all.
-SMALL = 16 << 20
+#: Bytes for each core up to which a table is dealt to all cores: a file may be one group of rows of that size, which one
+#: task reads. A larger table is read by all.
+SMALL = 128 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:

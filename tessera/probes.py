@@ -5,7 +5,11 @@ Each query unions them with its table, and its SQL has the same literals.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 #: (role, text); their conversations have negative numbers.
 TEXTS = [
@@ -104,10 +108,18 @@ def values(rows: list[tuple]) -> str:
 TEXT_ROWS = [(-1 - k, 1, role, text) for k, (role, text) in enumerate(TEXTS)]
 
 
+def rows(spark: SparkSession, tuples: list[tuple], schema: str) -> DataFrame:
+    """Literal rows. The planner knows their size, so scans.spread sees that of a table that they are joined to; rows of
+    createDataFrame have none, and the table would stay in the few parts it is read in."""
+    kind = StructType.fromDDL(schema)
+    text = json.dumps([dict(zip(kind.names, v)) for v in tuples])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), ArrayType(kind))))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations and the probes: conv_id, turn, role, text."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return table.unionByName(spark.createDataFrame(TEXT_ROWS, "conv_id long, turn long, role string, text string"))
+    return table.unionByName(rows(spark, TEXT_ROWS, "conv_id long, turn long, role string, text string"))
 
 
 #: Characters beyond ASCII are letters to Spark's word boundaries, so the SQL has a letter in their place.
