@@ -16,12 +16,16 @@ import numpy as np
 
 from tessera.llm.shared import prefix_sums, span_hash
 
-#: Atoms and ids that the table of a Python worker holds at most; beyond, it starts anew.
-MOST_ATOMS, MOST_IDS = 1_000_000, 8 << 20
+#: Atoms and ids that the table of a Python worker holds at most, but for those of one block; beyond, those that came
+#: once are dropped. A worker that Spark uses again keeps its table through other stages, so an atom takes 17 bytes and
+#: its ids.
+MOST_ATOMS, MOST_IDS = 1 << 18, 2 << 20
 #: Punctuation that neither vocabulary parts or joins with letters. No apostrophe: contractions are special.
 _MARKS = b".,!?$%&*#|;:"
 _SPACE, _LETTER, _MARK, _OTHER, _LINE = range(5)
 _JOIN = 256
+#: Texts that the library encodes in one call: what it gives for a short one takes far more room than the ids.
+_CALL = 1024
 _TAG = np.array([0, 0x9E3779B97F4A7C15], np.uint64)
 
 
@@ -58,29 +62,45 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        #: Hashes of atoms, ascending; where the ids of each begin in the pool, and how many they are.
+        self.known = np.empty(0, np.uint64)
+        self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
+        #: Those that a later block had too.
+        self.again = np.empty(0, bool)
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
-        self.at, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _keep(self, hashes: list[int], found: list[np.ndarray | None]) -> None:
+    def _shed(self) -> None:
+        """Keep the atoms that came again; none if these fill half of the table."""
+        keep = np.flatnonzero(self.again)
+        sizes = np.maximum(self.size[keep], 0)
+        ends = np.cumsum(sizes)
+        if not len(keep) or 2 * len(keep) > MOST_ATOMS or 2 * ends[-1] > MOST_IDS:
+            return self._forget()
+        ids = self.pool[np.repeat(self.at[keep] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.known, self.at, self.size = self.known[keep], (ends - sizes).astype(np.int32), self.size[keep]
+        self.again = np.zeros(len(keep), bool)
+        self.pool, self.used = np.concatenate((ids, np.empty(1 << 16, np.uint32))), len(ids)
+
+    def _keep(self, hashes: np.ndarray, found: list[np.ndarray | None]) -> None:
         """Put the ids of atoms into the table; None: the atom is not parted safely from what stands beside it."""
-        n = len(self.known)
-        while n + len(hashes) > len(self.at):
-            self.at, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.at, self.size))
-        sizes = [-1 if x is None else len(x) for x in found]
+        if not len(hashes):
+            return
         joined = np.concatenate([x for x in found if x is not None] or [np.empty(0, np.uint32)])
         while self.used + len(joined) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
         self.pool[self.used : self.used + len(joined)] = joined
-        lengths = np.array(sizes, np.int64)
-        spans = np.maximum(lengths, 0)
-        self.at[n : n + len(sizes)] = self.used + np.cumsum(spans) - spans
-        self.size[n : n + len(sizes)] = lengths
+        sizes = np.array([-1 if x is None else len(x) for x in found], np.int32)
+        spans = np.maximum(sizes, 0)
+        begin = self.used + np.cumsum(spans) - spans
         self.used += len(joined)
-        self.known.update(zip(hashes, range(n, n + len(hashes))))
+        order = np.argsort(hashes)
+        places = np.searchsorted(self.known, hashes[order])
+        self.known, self.at, self.size = (np.insert(x, places, new[order]) for x, new in ((self.known, hashes), (self.at, begin), (self.size, sizes)))
+        self.again = np.insert(self.again, places, False)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        calls = (texts[i : i + _CALL] for i in range(0, len(texts), _CALL))
+        return [np.array(e.ids, np.uint32) for some in calls for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
 
     def _letters(self, runs: list[str]) -> list[np.ndarray]:
         """Ids of runs of letters (after a space), many to a text; the ids tell where one ends."""
@@ -101,14 +121,13 @@ class Encoder:
     def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray, spaced: np.ndarray) -> None:
         raw = data.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
-        keys = hashes.tolist()
-        joined = [i for i in np.flatnonzero((kind == _LETTER) & (spaced | (not self.leading))).tolist()]
-        self._keep([keys[i] for i in joined], self._letters([texts[i] for i in joined]))
-        rest = np.flatnonzero(~((kind == _LETTER) & (spaced | (not self.leading)))).tolist()
+        letters = (kind == _LETTER) & (spaced | (not self.leading))
+        self._keep(hashes[letters], self._letters([texts[i] for i in np.flatnonzero(letters).tolist()]))
+        rest = np.flatnonzero(~letters).tolist()
         found = self.whole([(" " if self.leading and spaced[i] else "") + texts[i] for i in rest])
         if self.leading:
             found = [None if kind[i] == _OTHER and (texts[i][0].isspace() or texts[i][-1].isspace()) else x for i, x in zip(rest, found)]
-        self._keep([keys[i] for i in rest], found)
+        self._keep(hashes[rest], found)
 
     def _atoms(self, data: np.ndarray, offsets: np.ndarray):
         """(starts, ends, kinds, after a space, text) of atoms, and which texts are not parted safely."""
@@ -162,21 +181,23 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text, given their UTF-8 bytes one after another and where each begins."""
         if len(self.known) > MOST_ATOMS or self.used > MOST_IDS:
-            self._forget()
+            self._shed()
         if not len(data):
             return [np.empty(0, np.uint32)] * (len(offsets) - 1)
         starts, ends, kind, spaced, unsafe = self._atoms(data, offsets)
         hashes = span_hash(prefix_sums(data), starts, ends) ^ _TAG[(spaced & self.leading).astype(np.int64)]
         names, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        get = self.known.get
-        rows = np.array([get(h, -1) for h in names.tolist()], np.int64)
-        new = np.flatnonzero(rows < 0)
+        rows = np.searchsorted(self.known, names)
+        held = rows < len(self.known)
+        held[held] = self.known[rows[held]] == names[held]
+        self.again[rows[held]] = True
+        new = np.flatnonzero(~held)
         if len(new):
             at = one[new]
             self._learn(data, names[new], starts[at], ends[at], kind[at], spaced[at])
-            rows[new] = [get(h) for h in names[new].tolist()]
+            rows = np.searchsorted(self.known, names)
         rows = rows[which]
-        sizes = self.size[rows]
+        sizes = self.size[rows].astype(np.int64)
         text = np.searchsorted(offsets, starts, "right") - 1
         unsafe[text[sizes < 0]] = True
         sizes = np.maximum(sizes, 0)
