@@ -2,8 +2,8 @@
 
 A text becomes counts of word buckets, of triples of character classes and of a few measures of repetition and
 length. Document frequencies come from all documents. A truncated singular value decomposition of a bounded sample of
-labelled rows gives the latent space; the sample's vectors, at most SAMPLE of LATENT numbers, are broadcast. Each
-document's cosine with each of them is computed exactly, in blocks, and the nearest vote with their similarity.
+labelled rows gives the latent space; the sample's vectors, at most SAMPLE of LATENT numbers, are broadcast. The driver
+keeps the sample's rows without their zeros and decomposes them PART rows at a time. Each document's cosine with each of them is computed exactly, in blocks, and the nearest vote with their similarity.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ SHAPES = CLASSES**3
 MEASURES, BINS = 4, 12
 WIDTH = WORDS + SHAPES + MEASURES * BINS
 THRESHOLD = 0.3
+#: Rows that the driver fills up with zeros at once.
+PART = 128
 
 
 def _classes() -> np.ndarray:
@@ -85,13 +87,52 @@ def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
-def latent_space(x: np.ndarray, rank: int = LATENT, seed: int = 7) -> np.ndarray:
+def nonzero(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Where each row of x is not zero, and what stands there."""
+    return [(at.astype("<u2"), r[at]) for r in x for at in [np.flatnonzero(r)]]
+
+
+class Sparse:
+    """Rows of WIDTH numbers without their zeros, as nonzero() gives them; a slice is filled up with zeros."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        rows = self.rows[part]
+        out = np.zeros((len(rows), WIDTH), np.float32)
+        for r, (at, values) in zip(out, rows):
+            r[at] = values
+        return out
+
+
+def parts(x: np.ndarray | Sparse) -> Iterator[tuple[slice, np.ndarray]]:
+    for i in range(0, len(x), PART):
+        yield slice(i, i + PART), x[i : i + PART]
+
+
+def times(x: np.ndarray | Sparse, m: np.ndarray) -> np.ndarray:
+    return np.concatenate([rows @ m for _, rows in parts(x)])
+
+
+def turned_times(x: np.ndarray | Sparse, m: np.ndarray) -> np.ndarray:
+    """The transpose of x times m."""
+    out = np.zeros((WIDTH, m.shape[1]))
+    for at, rows in parts(x):
+        out += rows.T @ m[at]
+    return out.astype(np.float32)
+
+
+def latent_space(x: np.ndarray | Sparse, rank: int = LATENT, seed: int = 7) -> np.ndarray:
     """The first right singular vectors of x, as columns, by a randomised range finder."""
     rng = np.random.default_rng(seed)
-    q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], rank + 16)).astype(np.float32))[0]
+    q = np.linalg.qr(times(x, rng.standard_normal((WIDTH, rank + 16)).astype(np.float32)))[0]
     for _ in range(2):
-        q = np.linalg.qr(x @ (x.T @ q))[0]
-    _, _, v = np.linalg.svd(q.T @ x, full_matrices=False)
+        q = np.linalg.qr(times(x, turned_times(x, q)))[0]
+    _, _, v = np.linalg.svd(turned_times(x, q).T, full_matrices=False)
     return np.ascontiguousarray(v[:rank].T, dtype=np.float32)
 
 
@@ -102,12 +143,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Model:
     """idf, the latent space, and the labelled vectors in it."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, df: np.ndarray, n_docs: int):
+    def __init__(self, counts: np.ndarray | Sparse, labels: np.ndarray, df: np.ndarray, n_docs: int):
         self.idf = np.log((n_docs + 1) / (df + 1) + 1).astype(np.float32)
         self.labels = labels.astype(np.float32)
-        x = weighed(counts, self.idf)
+        x = Sparse([r for _, rows in parts(counts) for r in nonzero(weighed(rows, self.idf))])
         self.space = latent_space(x) if len(x) else np.zeros((WIDTH, 1), np.float32)
-        self.vectors = unit(x @ self.space)
+        self.vectors = unit(times(x, self.space)) if len(x) else np.zeros((0, 1), np.float32)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -124,9 +165,8 @@ class Model:
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in blocks(batch):
-            x = features(data, offsets)
-            rows = [np.flatnonzero(r) for r in x]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.astype("<u2").tobytes() for r in rows]), pa.array([x[i, r].tobytes() for i, r in enumerate(rows)])], ["doc_id", "at", "n"])
+            rows = nonzero(features(data, offsets))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[k].tobytes() for r in rows]) for k in (0, 1))], ["doc_id", "at", "n"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +187,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = {r["doc_id"]: r["label"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()}
+    # As Arrow: Spark then cuts to SAMPLE rows in a task, where collect() sends up to SAMPLE of each partition to the driver.
+    chosen = {r["doc_id"]: r["label"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow().to_pylist()}
     spark = docs.sparkSession
     ids = spark.createDataFrame([(k,) for k in chosen], "doc_id long")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sparse, "doc_id long, at binary, n binary")
     # A row for each chosen id, however many rows repeat it; a row has a count for each of WIDTH features at most.
     found = rows.groupBy("doc_id").agg(F.min(F.struct("at", "n")).alias("x")).select("doc_id", "x.at", "x.n").toArrow().to_pylist()
     found.sort(key=lambda r: r["doc_id"])
-    counts = np.zeros((len(found), WIDTH), np.float32)
-    for i, r in enumerate(found):
-        counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], np.float32)
+    counts = Sparse([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], np.float32)) for r in found])
     df = np.zeros(WIDTH + 1, np.int64)
     for r in docs.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():
         df[r["feature"]] = r["df"]
